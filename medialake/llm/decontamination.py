@@ -24,14 +24,10 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .bytehash import MULT_A, MULT_B, SHIFT, U64, blocks
+from .bytehash import blocks
 from .common import ALNUM_PATTERN
+from .wordhash import ALNUM, LOWER, roll, word_table
 
-IS_WORD = np.ones(256, bool)
-IS_WORD[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = False
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[0x41:0x5B] += 32
-SALT = U64(0xD6E8FEB86659FD93)
 SPAN = "array<struct<first:long,last:long,start:long,end:long>>"
 SCHEMA = f"doc_id long, text_key long, n_words long, items array<string>, spans {SPAN}"
 ARROW = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([(k, pa.int64()) for k in ("first", "last", "start", "end")])))])
@@ -41,53 +37,6 @@ def words_of(text: bytes) -> list[bytes]:
     return ALNUM_PATTERN.findall(text.lower())  # bytes.lower() changes A-Z alone
 
 
-def word_table(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block: each word's begin, end and hash, and the number of words before each text.
-
-    A text ends any word, as if a blank followed it."""
-    is_word = IS_WORD[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[starts] = True
-    before = np.concatenate([[False], is_word])
-    after = np.concatenate([is_word, [False]])
-    begins = np.flatnonzero(after & (~before | edge))
-    ends = np.flatnonzero(before & (~after | edge))
-    if not len(begins):
-        return begins, ends, np.zeros(0, U64), np.searchsorted(begins, starts)
-    lengths = ends - begins
-    low = LOWER[data]
-    # eight bytes a step: word k's next eight bytes, those past its end masked away
-    padded = np.zeros(len(data) + 8, np.uint8)
-    padded[: len(data)] = low
-    eight = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
-    h = lengths.astype(U64) * SALT
-    todo, at = np.arange(len(begins)), begins.copy()
-    while len(todo):
-        rest = ends[todo] - at
-        chunk = np.ascontiguousarray(eight[at]).view("<u8").ravel()
-        short = rest < 8
-        chunk[short] &= (U64(1) << (rest[short] * 8).astype(U64)) - U64(1)
-        g = (h[todo] ^ chunk) * MULT_A
-        g ^= g >> SHIFT
-        h[todo] = g * MULT_B
-        more = rest > 8
-        todo, at = todo[more], at[more] + 8
-    h ^= h >> SHIFT
-    return begins, ends, h, np.searchsorted(begins, starts)
-
-
-def roll(hashes: np.ndarray, size: int) -> np.ndarray:
-    """A fingerprint of each ``size`` consecutive word hashes."""
-    n = len(hashes) - size + 1
-    if n <= 0:
-        return np.zeros(0, U64)
-    out = np.zeros(n, U64)
-    for k in range(size):
-        out = (out ^ hashes[k : k + n]) * MULT_A
-        out ^= out >> SHIFT
-    return out
-
-
 def benchmark_windows(items: list[tuple[str, bytes]], size: int) -> list[tuple[str, list[bytes]]]:
     """(item, words) of every window."""
     out = []
@@ -108,7 +57,7 @@ class WindowSet:
             by[len(words)][b" ".join(words)].add(item)
         for length, phrases in by.items():
             joined = b" ".join(phrases)
-            hashes = word_table(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]))[2]
+            hashes = word_table(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]), ALNUM)[2]
             prints = roll(hashes, length)[::length]
             found: dict[int, list[tuple[bytes, tuple[str, ...]]]] = defaultdict(list)
             for print_, (phrase, own) in zip(prints.tolist(), phrases.items()):
@@ -132,7 +81,7 @@ class WindowSet:
 
 def find(known: WindowSet, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[set[str]], list[list[dict[str, int]]]]:
     """Of each text of a block: its word count, the items found, and the hit runs as words and as bytes."""
-    begins, ends, hashes, first = word_table(data, starts)
+    begins, ends, hashes, first = word_table(data, starts, ALNUM)
     n = len(starts) - 1
     text_of_word = np.repeat(np.arange(n), np.diff(first))
     items: list[set[str]] = [set() for _ in range(n)]

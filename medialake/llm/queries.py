@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, packing, quality, sharding, token_output, url_filters
+from . import decontamination, licenses, lm_scoring, packing, quality, sharding, token_output, url_filters
 from .common import table
 from .sql import ORACLES
 
@@ -70,6 +70,10 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontamination.digest(found)
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op2_packing": op2_packing,
     "op5_token_output": op5_token_output,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_decontamination": op7_decontamination,
 }
 
