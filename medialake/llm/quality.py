@@ -154,5 +154,5 @@ def quality(docs: DataFrame, keep_at: float = 0.5) -> DataFrame:
 
 def filter_documents(docs: DataFrame, keep_at: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns of ``docs``."""
-    voted = materialise(with_votes(docs), "quality")
-    return judged(voted, keep_at).filter("_kept").select(docs.columns)
+    voted = materialise(with_votes(docs.select(F.struct("*").alias("_row"), "text")).drop("text"), "quality")
+    return judged(voted, keep_at).filter("_kept").select("_row.*")

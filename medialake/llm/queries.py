@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, lm_scoring, packing, quality, sharding, token_output, url_filters
+from . import decontamination, licenses, lm_scoring, packing, quality, repeats, sharding, token_output, url_filters
 from .common import table
 from .sql import ORACLES
 
@@ -25,6 +25,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -81,6 +85,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op3_repeats": op3_repeats,
     "op4_licenses": op4_licenses,
     "op8_url_filters": op8_url_filters,
     "op10_quality": op10_quality,
