@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, lm_scoring, packing, quality, repeats, sharding, token_output, url_filters
+from . import decontamination, licenses, lm_scoring, near_dedup, packing, quality, repeats, sharding, token_output, url_filters
 from .common import table
 from .sql import ORACLES
 
@@ -60,6 +60,10 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.evaluate(captures, entries)
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.quality(table(spark, sf_dir, "documents"))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "votes", "probability"]
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_repeats": op3_repeats,
     "op4_licenses": op4_licenses,
     "op8_url_filters": op8_url_filters,
+    "op9_near_dedup": op9_near_dedup,
     "op10_quality": op10_quality,
     "op2_packing": op2_packing,
     "op5_token_output": op5_token_output,
