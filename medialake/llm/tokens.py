@@ -1,31 +1,54 @@
 """Token ids of whole texts, by a vocabulary file of the tokenizers library.
 
-In this family of vocabularies the pre-tokeniser drops white space and no token crosses it, so a text's
-ids are its blank-separated chunks' ids in a row. Each Python worker therefore asks the library once for
-every distinct chunk it meets and keeps the answer as packed little-endian integers; the memo is emptied at
-a fixed size, so memory stays bounded. ``chunkable`` verifies the property and texts of any other
-vocabulary go through the library whole.
+In the supported pipeline (NFC, white space collapsed, lower case; a splitting pattern that drops white space;
+byte-level BPE with a word end) no token crosses white space, so the ids of a text are the ids of its
+blank-separated chunks in a row. Each Python worker asks the library once for every distinct chunk it meets
+and keeps the answer as packed little-endian integers; the memo is emptied at a fixed size, so memory stays
+bounded. A chunk that is one Latin word, with or without sentence marks after it, goes straight to the
+library's BPE model, as normalising and splitting it has a known outcome; any other chunk goes through the
+whole library pipeline, and with any other vocabulary every text does.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
+import unicodedata
+from array import array
 
 import numpy as np
 
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 1_200_000
+#: One Latin word in small letters, then sentence marks: two pieces for the splitting pattern.
+PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)")
 _encoders: dict[str, "Encoder"] = {}
 
 
 def chunkable(spec: dict) -> bool:
-    """Whether white space separates tokens in this vocabulary: it is collapsed and then removed, and no
-    added token holds or strips a blank."""
-    pre = spec.get("pre_tokenizer") or {}
-    splits = [s for s in pre.get("pretokenizers", [pre]) if s.get("type") == "Split" and s["behavior"] == "Removed" and s["invert"]]
-    removes = any(r"[^\s" in s["pattern"].get("Regex", "") for s in splits)
-    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or set(t["content"]) & set(" \t\n\r\v\f")) for t in spec["added_tokens"])
-    return removes and plain and spec.get("post_processor") is None
+    """Whether the vocabulary has the pipeline that this module may take apart at blanks."""
+    normalizers = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    model = spec["model"]
+    return (
+        normalizers == ["NFC", "Replace", "Lowercase"]
+        and [p["type"] for p in pre] == ["Split", "ByteLevel"]
+        and pre[0]["behavior"] == "Removed"
+        and pre[0]["invert"]
+        and r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in pre[0]["pattern"].get("Regex", "")
+        and not (pre[1]["add_prefix_space"] or pre[1]["use_regex"])
+        and model["type"] == "BPE"
+        and not model["dropout"]
+        and spec.get("post_processor") is None
+        and all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or set(t["content"]) & set(" \t\n\r\v\f")) for t in spec["added_tokens"])
+    )
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in printable)
+    return {b: chr(256 + n) for n, b in enumerate(others)}
 
 
 class Encoder:
@@ -34,26 +57,47 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        self.letters = byte_letters()
         self.memo: dict[bytes, bytes] = {}
         with open(path, encoding="utf-8") as f:
-            self.by_chunk = chunkable(json.load(f))
+            spec = json.load(f)
+        self.by_chunk = chunkable(spec)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _piece(self, piece: str) -> list[int]:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(piece)]
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        rest = []
+        for chunk in chunks:
+            text = chunk.decode()
+            parts = PLAIN.fullmatch(text.lower())
+            if parts is None or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
+                rest.append(chunk)
+                continue
+            word, marks = parts.groups()
+            ids = array("I", self._piece(word))
+            if marks:
+                ids.extend(self._piece(marks))
+            self.memo[chunk] = ids.tobytes()
+        self.memo.update(zip(rest, self._encode([c.decode() for c in rest])))
+
     def packed(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
         if not self.by_chunk:
             return self._encode([t.decode() for t in texts])
         # bytes.split() cuts at the six ASCII blanks alone; any other white space is the library's matter
         split = [t.split() for t in texts]
-        new = list(set().union(*split).difference(self.memo)) if split else []
+        new = set().union(*split).difference(self.memo)
         if len(self.memo) + len(new) > MEMO_ENTRIES:
             self.memo.clear()
-            new = list(set().union(*split))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            self.memo.update(zip(part, self._encode([w.decode() for w in part])))
+            new = set().union(*split)
+        self._learn(list(new))
         get = self.memo.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
