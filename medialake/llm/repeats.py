@@ -18,7 +18,7 @@ only *anchors* enter the sort, and nothing is lost:
 
 The range sort splits a group of any size; a run cut by a partition's edge stays undecided there and is
 settled in the last round. Anchors with over ``GROUP`` contexts, which could be a third of all rows, are counted
-as rows by Spark's own aggregation instead of within one task.
+as rows by Spark's own aggregation instead of within one task, 16 windows at a time where they agree.
 
 Names are 64-bit fingerprints, and what decides is a pair of them at least.
 
@@ -46,6 +46,7 @@ SEED = 50
 WINDOW = LENGTH - SEED + 1
 SEGMENT = 2 << 20
 GROUP = 128
+PLACES = 16
 INDEX_BITS = U64(23)
 INDEX = (U64(1) << INDEX_BITS) - U64(1)
 
@@ -253,25 +254,63 @@ def local_round(contexts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(count, SPAN)
 
 
-def hot_round(contexts: DataFrame) -> DataFrame:
-    """Round 200 for the other anchors: a row for each window, counted by aggregation and joined back."""
+def block_rows(contexts: DataFrame) -> DataFrame:
+    """Contexts cut into blocks of ``PLACES`` windows, at fixed places relative to the anchor: a row for each
+    block with the names of the bytes that all windows of the block share (``core``), of all its bytes (``outer``) and
+    of its windows."""
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 8192):
-                rows = batch.slice(k, 8192)
+            for k in range(0, batch.num_rows, 4096):
+                rows = batch.slice(k, 4096)
                 name, owner = window_names(rows)
+                if not len(name):
+                    continue
                 n = rows.column("n").to_numpy().astype(np.int64)
                 within = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-                start = rows.column("low").to_numpy().astype(np.int64)[owner] + within
-                took = [rows.column(c).to_numpy(zero_copy_only=False)[owner] for c in ("seed", "id", "document", "whole")]
-                yield pa.record_batch([pa.array(name.view(np.int64)), *map(pa.array, took), pa.array(start)], names=["name", "seed", "id", "document", "whole", "start"])
+                place = rows.column("offset").to_numpy().astype(np.int64)[owner] - within
+                block = place // PLACES
+                first = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (owner[1:] != owner[:-1])]))
+                size = np.diff(np.concatenate([first, [len(block)]]))
+                who, at = owner[first], within[first]
+                content = rows.column("content")
+                starts = np.frombuffer(content.buffers()[1], np.int32)[content.offset : content.offset + len(content) + 1].astype(np.int64)
+                data = np.frombuffer(content.buffers()[2], np.uint8)[starts[0] : starts[-1]]
+                _, h128 = names(data)
+                base = starts[who] - starts[0]
+                seed = rows.column("seed").to_numpy().view(U64)[who]
+                # the core lies between the begin of the block's last place and the end of its first, so it has
+                # the same extent in every context, also where a context holds part of the block only
+                core_at = base + rows.column("offset").to_numpy().astype(np.int64)[who] - block[first] * PLACES
+                core = mix(mix(h128[core_at], h128[core_at + LENGTH - PLACES + 1 - 128]), seed ^ block[first].astype(U64))
+                end = base + at + size + LENGTH - 1
+                outer = mix(mix(h128[base + at], h128[end - 128]), core ^ (place[first] * 512 + size).astype(U64))
+                offsets = pa.array(np.concatenate([first, [len(name)]]).astype(np.int32))
+                took = [rows.column(c).to_numpy(zero_copy_only=False)[who] for c in ("seed", "id", "document", "whole")]
+                start = rows.column("low").to_numpy().astype(np.int64)[who] + at
+                yield pa.record_batch(
+                    [pa.array(core.view(np.int64)), pa.array(outer.view(np.int64)), *map(pa.array, took), pa.array(start), pa.array(size), pa.ListArray.from_arrays(offsets, pa.array(name.view(np.int64)))],
+                    names=["core", "outer", "seed", "id", "document", "whole", "start", "n", "names"],
+                )
+
+    return contexts.filter("hot").mapInArrow(cut, "core long, outer long, seed long, id long, document long, whole boolean, start long, n long, names array<long>")
 
-    windows = materialise(contexts.filter("hot").mapInArrow(spell, "name long, seed long, id long, document long, whole boolean, start long"), "windows")
-    counted = windows.groupBy("seed", "name").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("seed", "name")
-    repeated = materialise(counted, "repeated-windows")
-    hit = windows.filter("NOT whole").join(repeated, ["seed", "name"], "left_semi")
-    return hit.select("document", "start", (F.col("start") + LENGTH).alias("end"))
+
+def hot_round(contexts: DataFrame) -> DataFrame:
+    """Round 200 for the other anchors, by aggregation of rows: blocks of windows first, and single windows only of
+    blocks whose core occurs elsewhere while the whole block does not."""
+    blocks_ = materialise(block_rows(contexts), "blocks")
+    outer = materialise(blocks_.groupBy("seed", "outer").agg(F.min("id").alias("a"), F.max("id").alias("b")), "block-names")
+    named = materialise(blocks_.join(outer, ["seed", "outer"]), "named-blocks")
+    whole_blocks = named.filter("a <> b AND NOT whole").select("document", "start", (F.col("start") + F.col("n") + F.lit(LENGTH - 1)).alias("end"))
+    # one block of each name stands for all of them from here on
+    single = named.filter("id = a").withColumn("known", F.col("whole") | (F.col("a") != F.col("b")))
+    mixed = materialise(single.groupBy("seed", "core").agg(F.min("outer").alias("x"), F.max("outer").alias("y"), F.min("known").alias("all_known")).filter("x <> y AND NOT all_known").select("seed", "core"), "mixed-cores")
+    windows = single.join(mixed, ["seed", "core"], "left_semi").select("seed", "id", "document", "known", "start", F.posexplode("names").alias("k", "name"))
+    windows = materialise(windows.select("seed", "name", "id", "document", "known", (F.col("start") + F.col("k")).alias("start")), "windows")
+    repeated = materialise(windows.groupBy("seed", "name").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x <> y").select("seed", "name"), "repeated-windows")
+    hit = windows.filter("NOT known").join(repeated, ["seed", "name"], "left_semi")
+    return whole_blocks.unionByName(hit.select("document", "start", (F.col("start") + LENGTH).alias("end")))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -337,17 +376,17 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated bytes cut out of ``text``; rows stay, with all their columns."""
-    schema = docs.schema
+    names_ = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            spans = batch.column(batch.num_columns - 1)
-            texts = batch.column(at).to_pylist()
-            for r, own in enumerate(spans.to_pylist()):
+            columns = batch.column(0).flatten()
+            at = names_.index("text")
+            texts = columns[at].to_pylist()
+            for r, own in enumerate(batch.column(1).to_pylist()):
                 if own:
                     texts[r] = kept_parts(texts[r], own)[1].decode(errors="ignore")
-            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            yield batch.select(list(range(batch.num_columns - 1)))
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.record_batch(columns, names=names_)
 
-    return with_spans(docs).select("row.*", "spans").mapInArrow(cut, schema)
+    return with_spans(docs).select("row", "spans").mapInArrow(cut, docs.schema)
