@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 
 from .bytehash import blocks
-from .common import shuffle_width, work_path
+from .common import materialise, shuffle_width, work_path
 from .tokens import encoder
 
 SCHEMA = "doc_id long, ids array<int>"
@@ -52,7 +52,7 @@ def write_token_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.row.index.stride", str(row_index_stride))
-        .option("compression", "zstd")
+        .option("compression", "snappy")
         .orc(path)
     )
 
@@ -76,9 +76,8 @@ def digests(tokens: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "file", "n_tokens", "ids_crc32"])
 
     rows = tokens.select("doc_id", "ids", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long").alias("file"))
-    rows = rows.mapInArrow(sums, "doc_id long, file long, n_tokens long, ids_crc32 long")
-    lengths = tokens.select(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long").alias("file"), F.size("ids").cast("long").alias("n"))
-    files = lengths.groupBy("file").agg(F.sum("n").alias("n"))
+    rows = materialise(rows.mapInArrow(sums, "doc_id long, file long, n_tokens long, ids_crc32 long"), "digests")
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     before = files.select("file", (F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1))).alias("before"))
     inside = W.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))

@@ -16,6 +16,7 @@ import os
 import re
 import unicodedata
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 
@@ -40,6 +41,7 @@ def chunkable(spec: dict) -> bool:
         and model["type"] == "BPE"
         and not model["dropout"]
         and spec.get("post_processor") is None
+        and len(os.path.commonprefix([t["content"] for t in spec["added_tokens"]])) > 0
         and all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or set(t["content"]) & set(" \t\n\r\v\f")) for t in spec["added_tokens"])
     )
 
@@ -59,10 +61,11 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.letters = byte_letters()
-        self.memo: dict[bytes, bytes] = {}
+        self.memo = Memo(self._chunk)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.by_chunk = chunkable(spec)
+        self.added = os.path.commonprefix([t["content"] for t in spec["added_tokens"]]).encode()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -72,34 +75,39 @@ class Encoder:
             piece = piece.encode().decode("latin-1").translate(self.letters)
         return [t.id for t in self.model.tokenize(piece)]
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        rest = []
-        for chunk in chunks:
-            text = chunk.decode()
-            parts = PLAIN.fullmatch(text.lower())
-            if parts is None or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
-                rest.append(chunk)
-                continue
-            word, marks = parts.groups()
-            ids = array("I", self._piece(word))
-            if marks:
-                ids.extend(self._piece(marks))
-            self.memo[chunk] = ids.tobytes()
-        self.memo.update(zip(rest, self._encode([c.decode() for c in rest])))
+    def _chunk(self, chunk: bytes) -> bytes:
+        """The ids of one chunk, packed."""
+        text = chunk.decode()
+        parts = PLAIN.fullmatch(text.lower())
+        if parts is None or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        word, marks = parts.groups()
+        ids = array("I", self._piece(word))
+        if marks:
+            ids.extend(self._piece(marks))
+        return ids.tobytes()
 
     def packed(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
         if not self.by_chunk:
             return self._encode([t.decode() for t in texts])
-        # bytes.split() cuts at the six ASCII blanks alone; any other white space is the library's matter
-        split = [t.split() for t in texts]
-        new = set().union(*split).difference(self.memo)
-        if len(self.memo) + len(new) > MEMO_ENTRIES:
+        if len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()
-            new = set().union(*split)
-        self._learn(list(new))
         get = self.memo.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        # A-Z may be lower-cased early, except where an added token could be spelt; bytes.split() cuts at the six
+        # ASCII blanks alone, and any other white space is the library's matter
+        return [b"".join(map(get, (t if self.added in t else t.lower()).split())) for t in texts]
+
+
+class Memo(dict):
+    """Chunks and their packed ids; an unknown chunk is encoded when it is first asked for."""
+
+    def __init__(self, encode: Callable[[bytes], bytes]) -> None:
+        self.encode = encode
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self[chunk] = self.encode(chunk)
+        return ids
 
 
 def encoder(path: str) -> Encoder:
