@@ -80,30 +80,28 @@ def best_fit_decreasing(histogram: dict[int, int], window: int) -> tuple[dict[in
         left, placed, out = histogram[length], 0, []
         while left:
             capacity = tree.at_least(length)
+            # the tightest open windows, or fresh ones. What is left of a window that takes a piece is tighter
+            # still, so each window takes as many of the equal pieces as fit before the next one gets any
             if capacity is None:
-                # no window is open for this length: each fresh one takes as many of the equal pieces as fit,
-                # the last one what is left
-                deep = window // length
-                for pieces, fresh in ((deep, left // deep), (left % deep, 1)):
-                    if not pieces or not fresh:
-                        continue
-                    for level in range(pieces):
-                        out.append(Run(placed, opened, level * length))
-                        placed += fresh
-                    if window - pieces * length:
-                        _hold(tree, held, window - pieces * length, opened, fresh)
-                    opened += fresh
-                left = 0
-                continue
-            first, n = held[capacity].pop()
-            used = min(n, left)
-            if used < n:
-                held[capacity].append((first + used, n - used))
-            tree.add(capacity, -used)
-            out.append(Run(placed, first, window - capacity))
-            if capacity - length:
-                _hold(tree, held, capacity - length, first, used)
-            placed, left = placed + used, left - used
+                capacity, first, n = window, opened, -(-left // (window // length))
+                opened += n
+            else:
+                first, n = held[capacity].pop()
+                tree.add(capacity, -n)
+            deep = capacity // length
+            filled = min(n, left // deep)
+            last = min(n - filled, 1) * (left - filled * deep)  # pieces of one more window
+            for pieces, windows in ((deep, filled), (last, 1)):
+                if not pieces or not windows:
+                    continue
+                for level in range(pieces):
+                    out.append(Run(placed, first, window - capacity + level * length))
+                    placed += windows
+                if capacity - pieces * length:
+                    _hold(tree, held, capacity - pieces * length, first, windows)
+                first, n, left = first + windows, n - windows, left - pieces * windows
+            if n:
+                _hold(tree, held, capacity, first, n)
         runs[length] = out
     return runs, opened
 
