@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, licenses, lm_scoring, near_dedup, packing, quality, repeats, sharding, token_output, url_filters
 from .common import table
-from .sql import ORACLES
+from .sql import oracles
 
 
 def vocabulary() -> str:
@@ -100,4 +100,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
 }
 
-__all__ = ["ORACLES", "QUERIES", "F"]
+ORACLES: dict[str, str] = oracles(SHARD_BYTES, LIST_ENTRIES)
