@@ -41,17 +41,27 @@ def recurring_in_videos(videos: DataFrame, min_videos: int = MIN_VIDEOS) -> Data
     return out
 
 
+def runs_of(phrases: DataFrame) -> DataFrame:
+    """``outer, outer_count, run``: every phrase with its runs of ``MIN_WORDS`` words or more, itself included."""
+    runs = F.expr(
+        f"flatten(transform(sequence({MIN_WORDS}, greatest(size(w), {MIN_WORDS})), k -> transform(sequence(1, greatest(size(w) - k + 1, 1)), i -> slice(w, i, k))))"
+    )
+    split = phrases.select(F.col("phrase").alias("outer"), F.col("video_count").alias("outer_count"), F.split("phrase", " ").alias("w"))
+    return split.select("outer", "outer_count", F.explode(runs).alias("run"))
+
+
 def ranked(phrases: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """The phrases not contained, as text, in a longer phrase of as many videos; most videos first.
-
-    Containment is looked up, not searched: a phrase of at most six words has a bounded number of substrings of
-    whole words, and each is joined by equality. Substrings that start within a word are those of its suffixes
-    and prefixes at either end."""
-    cut = F.explode(F.array_distinct(F.expr("transform(sequence(1, length(phrase)), i -> substr(phrase, i))")))
-    # inner texts end at a word's end or inside it, so both ends move
-    inner = phrases.select(F.col("video_count").alias("outer_count"), F.length("phrase").alias("outer_length"), cut.alias("tail"))
-    inner = inner.select("outer_count", "outer_length", F.explode(F.expr("transform(sequence(1, length(tail)), i -> substr(tail, 1, i))")).alias("part"))
-    inner = inner.filter((F.length("part") >= 2 * MIN_WORDS - 1) & (F.size(F.split("part", " ")) >= MIN_WORDS) & (F.length("part") < F.col("outer_length")))
-    best = inner.groupBy("part").agg(F.max("outer_count").alias("outer_count"))
-    covered = phrases.join(best, (phrases["phrase"] == best["part"]) & (best["outer_count"] >= phrases["video_count"]), "left_anti")
-    return covered.orderBy(F.desc("video_count"), F.desc("occurrences"), "phrase").limit(limit)
+    """The phrases not contained, as text, in another phrase of as many videos; most videos first.
+
+    A contained phrase is a run of the other's words, except that its first word may be the end of a word there and its
+    last the beginning of one. Whole runs are looked up by equality; for the phrases that this leaves, the words
+    between the first and the last are looked up, and the two ends compared."""
+    runs = runs_of(phrases)
+    whole = runs.withColumn("part", F.array_join("run", " ")).filter(F.col("part") != F.col("outer")).groupBy("part").agg(F.max("outer_count").alias("outer_count"))
+    left = phrases.join(whole, (phrases["phrase"] == whole["part"]) & (whole["outer_count"] >= phrases["video_count"]), "left_anti")
+    inner = lambda c: F.array_join(F.slice(c, F.lit(2), F.size(c) - 2), " ")
+    mine = left.select("phrase", "video_count", F.split("phrase", " ").alias("own")).withColumn("between", inner(F.col("own")))
+    others = runs.withColumn("between", inner(F.col("run")))
+    ends = F.element_at("run", 1).endswith(F.element_at("own", 1)) & F.element_at("run", -1).startswith(F.element_at("own", -1))
+    cut = others.join(mine, "between").filter((F.col("outer") != F.col("phrase")) & (F.size("run") == F.size("own")) & ends & (F.col("outer_count") >= F.col("video_count"))).select("phrase")
+    return left.join(cut, "phrase", "left_anti").orderBy(F.desc("video_count"), F.desc("occurrences"), "phrase").limit(limit)
