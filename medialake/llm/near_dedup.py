@@ -11,10 +11,12 @@ document is its length plus about m log m points; the few documents with an empt
 horizon. Two documents agree on a register with the probability of their weighted Jaccard similarity.
 
 Search: documents with equal bags are one node. Bands of registers put nodes into buckets. In each bucket
-the nodes are compared with a few pivots, and only across components that are still apart; pivots that are
-done leave the bucket, their number doubles with each round, and a bucket is finished when the rest of it is
-in one component. So a bucket of copies costs about one comparison a node, and no pair that shares a bucket
-and could still join two components goes untested. Comparisons are exact, on the shingles themselves.
+the nodes are first compared with a pivot, and only across components that are still apart; a bucket is
+finished when the rest of it is in one component, so a bucket of copies costs about one comparison a node.
+Buckets that are still mixed after three pivots are compared in blocks within tasks, which return similar pairs
+only. So no pair that shares a bucket and could still join two components goes untested. A two-bit sketch of the
+registers rules out pairs five standard deviations below the threshold (3e-7 of those at it); all other
+comparisons are exact, on the shingles themselves.
 With 36 bands of 6 registers a pair at 0.8 shares no bucket with probability 2e-5.
 
 Defined cases: a document of one to four words has one shingle of them all; one without words (null, empty)
@@ -41,6 +43,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 36, 6
 REGISTERS = BANDS * ROWS
 BLOCK = 2 << 20
+PIVOT_ROUNDS = 3
+BLOCK_SHINGLES = 1 << 17
 #: Expected points a register when a document's processes stop; e ** -3 of the documents go on.
 HORIZON = float(np.log(REGISTERS) + 3.0)
 
@@ -130,6 +134,39 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Two bits a register, 32 registers a word.
+SKETCH_WORDS = -(-REGISTERS // 32)
+#: A pair at the threshold differs in 15 % of its registers' bit pairs; beyond that by five standard deviations it
+#: is not compared further, which a linked pair meets with probability 3e-7.
+SKETCH_SIGMAS = 5.0
+
+
+def sketches(registers: np.ndarray) -> np.ndarray:
+    """Two hashed bits of each register, packed; unequal registers differ in them three times out of four."""
+    bits = (scramble(registers) & U64(3)).astype(U64)
+    out = np.zeros((len(bits), SKETCH_WORDS), U64)
+    for k in range(REGISTERS):
+        out[:, k // 32] |= bits[:, k] << U64(2 * (k % 32))
+    return out
+
+
+def sketch_distance(a: str, b: str) -> str:
+    """SQL for the number of registers whose bits differ."""
+    parts = []
+    for k in range(SKETCH_WORDS):
+        x = f"({a}.w{k} ^ {b}.w{k})"
+        parts.append(f"bit_count(({x} | shiftrightunsigned({x}, 1)) & {0x5555555555555555}L)")
+    return " + ".join(parts)
+
+
+def sketch_limit(similarity: float) -> int:
+    p = 0.75 * (1 - similarity)
+    return int(np.ceil(REGISTERS * p + SKETCH_SIGMAS * (REGISTERS * p * (1 - p)) ** 0.5))
+
+
+SKETCH = "struct<" + ",".join(f"w{k}:long" for k in range(SKETCH_WORDS)) + ">"
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     key = [F.xxhash64("doc_id", "text").alias("key"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("check")]
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *key, F.col("text").cast("string").alias("text"))
@@ -147,12 +184,14 @@ def describe(docs: DataFrame) -> DataFrame:
                 bag = np.zeros(n, U64)
                 np.add.at(bag, owner, mix(scramble(hashes), counts.astype(U64)))
                 bag = mix(scramble(bag), size.astype(U64))
-                keys = band_keys(signatures(owner, hashes, counts, n))
+                registers = signatures(owner, hashes, counts, n)
+                keys, bits = band_keys(registers), sketches(registers).view(np.int64)
+                sketch = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(bits[:, k])) for k in range(SKETCH_WORDS)], [f"w{k}" for k in range(SKETCH_WORDS)])
                 has = size > 0
                 bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32)), pa.array(keys[has].ravel().view(np.int64)))
-                yield pa.record_batch([*(batch.column(k).slice(i, n) for k in range(3)), pa.array(bag.view(np.int64), mask=~has), pa.array(size), bands], names=["doc_id", "key", "check", "bag", "size", "bands"])
+                yield pa.record_batch([*(batch.column(k).slice(i, n) for k in range(3)), pa.array(bag.view(np.int64), mask=~has), pa.array(size), bands, sketch], names=["doc_id", "key", "check", "bag", "size", "bands", "sketch"])
 
-    return keyed(docs).mapInArrow(sign, "doc_id long, key long, check long, bag long, size long, bands array<long>")
+    return keyed(docs).mapInArrow(sign, f"doc_id long, key long, check long, bag long, size long, bands array<long>, sketch {SKETCH}")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -192,26 +231,25 @@ def components(edges: DataFrame) -> DataFrame:
 def link_components(docs: DataFrame, described: DataFrame, similarity: float) -> DataFrame | None:
     """``node, component`` for the nodes that are linked to another; None if there are none."""
     nodes = materialise(
-        described.filter("bag IS NOT NULL").groupBy(F.col("bag").alias("node")).agg(F.min(F.struct("key", "check")).alias("at"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes"
+        described.filter("bag IS NOT NULL").groupBy(F.col("bag").alias("node")).agg(F.min(F.struct("key", "check")).alias("at"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes"
     )
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = materialise(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "buckets")
-    members = materialise(rows.join(shared, "bucket").join(nodes.select("node", "size"), "node").select("bucket", "node", "size", F.col("node").alias("component")), "bucket-members")
+    shared = materialise(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    placed = materialise(rows.join(shared, "bucket"), "placed")
+    degree = placed.groupBy("node").agg(F.sum("n").alias("degree"))
+    known = degree.join(nodes.select("node", "size", "sketch"), "node")
+    members = materialise(placed.select("bucket", "node").join(known, "node").select("bucket", "node", "degree", "size", "sketch", F.col("node").alias("component")), "bucket-members")
     if members.isEmpty():
         return None
     wanted = members.select("node").distinct().join(nodes, "node").select("node", "at.key", "at.check")
     sets = materialise(shingle_sets(docs, materialise(wanted, "wanted")), "shingles")
     linked: DataFrame | None = None
-    pivots = 1
-    while True:
-        heads = materialise(first_nodes(members, pivots), "pivots")
-        other = members.select("bucket", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("component").alias("b_component"))
-        near = (F.col("a") != F.col("b")) & (F.col("a_component") != F.col("b_component")) & (F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size"))
-        pairs = materialise(other.join(heads, "bucket").filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        with_b = materialise(pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b"), "pairs-b")
-        compared = with_b.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
-        common = F.size(F.array_intersect("of_a", "of_b"))
-        links = materialise(compared.filter(common >= similarity * (F.size("of_a") + F.size("of_b") - common)).select("a", "b"), "links")
+    for turn in range(PIVOT_ROUNDS + 1):
+        if turn < PIVOT_ROUNDS:
+            heads = materialise(pivots(members), "pivots")
+            links = materialise(compared(pivot_pairs(members, heads, similarity), sets, similarity), "links")
+        else:
+            links = materialise(compare_in_blocks(members, sets, similarity), "links")
         if not links.isEmpty():
             found = members.select("node", "component").distinct()
             known = links.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
@@ -224,23 +262,105 @@ def link_components(docs: DataFrame, described: DataFrame, similarity: float) ->
                 again = linked.join(renamed, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
                 linked = again.unionByName(new.join(linked.select("node"), "node", "left_anti").select("node", F.col("into").alias("component")))
             linked = materialise(linked, "linked")
-            members = members.join(renamed, "component", "left").select("bucket", "node", "size", F.coalesce("into", "component").alias("component"))
+            members = members.join(renamed, "component", "left").select("bucket", "node", "degree", "size", "sketch", F.coalesce("into", "component").alias("component"))
+        if turn == PIVOT_ROUNDS:
+            return linked
         # pivots were compared with all of their bucket; a bucket goes on while what is left spans components
         left = members.join(heads.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
         mixed = materialise(left.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket"), "buckets")
         if mixed.isEmpty():
             return linked
         members = materialise(left.join(mixed, "bucket"), "bucket-members")
-        pivots *= 2
-
-
-def first_nodes(members: DataFrame, n: int) -> DataFrame:
-    """``bucket, a, a_size, a_component`` of the ``n`` least nodes of each bucket.
-
-    Each of ``n`` slots keeps a minimum, so the aggregate is bounded and combines before the shuffle."""
-    slot = F.pmod(F.xxhash64("node"), F.lit(n))
-    least = members.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("node", "size", "component")).alias("p"))
-    return least.select("bucket", F.col("p.node").alias("a"), F.col("p.size").alias("a_size"), F.col("p.component").alias("a_component"))
+    return linked
+
+
+def pivots(members: DataFrame) -> DataFrame:
+    """``bucket, a, a_size, a_sketch, a_component``: the node of each bucket that shares most places with others. The
+    text from which others were copied meets more of them than they meet one another."""
+    best = members.groupBy("bucket").agg(F.max(F.struct("degree", "node", "size", "sketch", "component")).alias("p"))
+    return best.select("bucket", F.col("p.node").alias("a"), F.col("p.size").alias("a_size"), F.col("p.sketch").alias("a_sketch"), F.col("p.component").alias("a_component"))
+
+
+def pivot_pairs(members: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: each node with its buckets' pivots, where they are of different components and may be similar."""
+    other = members.select("bucket", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("sketch").alias("b_sketch"), F.col("component").alias("b_component"))
+    near = (F.col("a") != F.col("b")) & (F.col("a_component") != F.col("b_component")) & (F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size"))
+    near = near & F.expr(f"{sketch_distance('a_sketch', 'b_sketch')} <= {sketch_limit(similarity)}")
+    pairs = other.join(heads, (other["bucket"] == heads["bucket"]) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return materialise(pairs.distinct(), "pairs")
+
+
+def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that are similar, by their shingles."""
+    with_b = materialise(pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b"), "pairs-b")
+    both = with_b.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    return both.filter(common >= similarity * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
+
+
+def similar_pairs(sizes: np.ndarray, sketch: np.ndarray, component: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """All similar pairs of different components among the rows of one task, by exact intersection sizes."""
+    left, right = [], []
+    limit = sketch_limit(similarity)
+    for i in range(len(sizes) - 1):
+        rest = slice(i + 1, len(sizes))
+        x = sketch[i] ^ sketch[rest]
+        far = np.bitwise_count((x | (x >> U64(1))) & U64(0x5555555555555555)).sum(1)
+        ok = (component[rest] != component[i]) & (np.minimum(sizes[rest], sizes[i]) >= similarity * np.maximum(sizes[rest], sizes[i])) & (far <= limit)
+        at = np.flatnonzero(ok) + i + 1
+        left.append(np.full(len(at), i))
+        right.append(at)
+    left, right = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
+    if not len(left):
+        return left, right
+    if len(left) < 2000:
+        common = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(left, right)])
+    else:
+        # intersection sizes of all rows at once, as a product of 0/1 matrices over the shingles met twice or more
+        used = np.unique(np.concatenate([left, right]))
+        owner = np.repeat(np.arange(len(used)), [len(sets[i]) for i in used])
+        _, column, times = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True, return_counts=True)
+        rank = np.cumsum(times > 1) - 1
+        kept = times[column] > 1
+        owner, column = owner[kept], rank[column[kept]]
+        total = np.zeros((len(used), len(used)), np.float32)
+        width = max(1, (1 << 24) // len(used))
+        for low in range(0, int(rank[-1]) + 1, width):
+            part = (column >= low) & (column < low + width)
+            matrix = np.zeros((len(used), width), np.float32)
+            matrix[owner[part], column[part] - low] = 1
+            total += matrix @ matrix.T
+        place = np.zeros(len(sizes), np.int64)
+        place[used] = np.arange(len(used))
+        common = total[place[left], place[right]]
+    good = common >= similarity * (sizes[left] + sizes[right] - common)
+    return left[good], right[good]
+
+
+def compare_in_blocks(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: the similar pairs of different components in each bucket that is still mixed.
+
+    A bucket is dealt into blocks of some ``BLOCK_SHINGLES`` shingles by hash, and a task compares two blocks. It
+    returns similar pairs only, and holds two blocks at most, however large the bucket."""
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        node, component, size = (rows.column(c).to_numpy() for c in ("node", "component", "size"))
+        side = rows.column("side").to_numpy()
+        sketch = np.stack([c.to_numpy().view(U64) for c in rows.column("sketch").combine_chunks().flatten()], 1)
+        values = [np.sort(x.values.to_numpy()) for x in rows.column("shingles")]
+        a, b = similar_pairs(size, sketch, component, values, similarity)
+        if key[1].as_py() != key[2].as_py():  # pairs within a block belong to another task
+            cross = side[a] != side[b]
+            a, b = a[cross], b[cross]
+        return pa.table({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
+
+    total = materialise(members.groupBy("bucket").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks")), "block-counts")
+    placed = members.join(total, "bucket").withColumn("side", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    # block k meets every block, itself included
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "component", "size", "sketch"
+    )
+    return dealt.join(sets, "node").groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
