@@ -36,7 +36,8 @@ def recurring_in_videos(videos: DataFrame, min_videos: int = MIN_VIDEOS) -> Data
     words = videos.select("video_id", phrase_words("text").alias("words"))
     out, prefixes = None, None
     for length in range(MIN_WORDS, MAX_WORDS + 1):
-        prefixes = count_phrases(words, length, prefixes).filter(F.col("video_count") >= min_videos)
+        # kept, since the next length and the ranking read it again; a lost part is computed anew
+        prefixes = count_phrases(words, length, prefixes).filter(F.col("video_count") >= min_videos).persist()
         out = prefixes if out is None else out.unionByName(prefixes)
     return out
 
