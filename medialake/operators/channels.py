@@ -34,7 +34,7 @@ def resolve_channel(channel: DataFrame, name: str) -> DataFrame:
     asked = channel_key(F.lit(name))
     handle = F.regexp_replace(channel_key("handle"), "^@", "")
     names = F.array_compact(F.array(channel_key("channel_id"), handle, F.concat(F.lit("@"), handle), channel_key("name"), channel_key("channel_url")))
-    inside = F.exists(F.array_compact(F.array(channel_key("channel_id"), F.concat(F.lit("/@"), handle))), lambda k: asked.endswith(k) | asked.contains(F.concat(k, F.lit("/"))))
+    inside = F.exists(F.array_compact(F.array(F.concat(F.lit("/"), channel_key("channel_id")), F.concat(F.lit("/@"), handle))), lambda k: asked.endswith(k) | asked.contains(F.concat(k, F.lit("/"))))
     return channel.filter(F.array_contains(names, asked) | inside)
 
 

@@ -57,12 +57,14 @@ def ranked(phrases: DataFrame, limit: int = LIMIT) -> DataFrame:
     A contained phrase is a run of the other's words, except that its first word may be the end of a word there and its
     last the beginning of one. Whole runs are looked up by equality; for the phrases that this leaves, the words
     between the first and the last are looked up, and the two ends compared."""
-    runs = runs_of(phrases)
-    whole = runs.withColumn("part", F.array_join("run", " ")).filter(F.col("part") != F.col("outer")).groupBy("part").agg(F.max("outer_count").alias("outer_count"))
+    runs = runs_of(phrases).withColumn("part", F.array_join("run", " "))
+    whole = runs.filter(F.col("part") != F.col("outer")).groupBy("part").agg(F.max("outer_count").alias("outer_count"))
     left = phrases.join(whole, (phrases["phrase"] == whole["part"]) & (whole["outer_count"] >= phrases["video_count"]), "left_anti")
-    inner = lambda c: F.array_join(F.slice(c, F.lit(2), F.size(c) - 2), " ")
-    mine = left.select("phrase", "video_count", F.split("phrase", " ").alias("own")).withColumn("between", inner(F.col("own")))
-    others = runs.withColumn("between", inner(F.col("run")))
-    ends = F.element_at("run", 1).endswith(F.element_at("own", 1)) & F.element_at("run", -1).startswith(F.element_at("own", -1))
-    cut = others.join(mine, "between").filter((F.col("outer") != F.col("phrase")) & (F.size("run") == F.size("own")) & ends & (F.col("outer_count") >= F.col("video_count"))).select("phrase")
+    words = lambda c: F.split(c, " ")
+    between = lambda c: F.array_join(F.slice(words(c), F.lit(2), F.size(words(c)) - 2), " ")
+    first, last = (lambda c: F.substring_index(c, " ", 1)), (lambda c: F.substring_index(c, " ", -1))
+    mine = left.select("phrase", "video_count", between("phrase").alias("between"), first("phrase").alias("first"), last("phrase").alias("last"))
+    others = runs.groupBy("part").agg(F.max("outer_count").alias("outer_count")).select("part", "outer_count", between("part").alias("between"), first("part").alias("begin"), last("part").alias("end"))
+    ends = F.col("begin").endswith(F.col("first")) & F.col("end").startswith(F.col("last")) & (F.col("part") != F.col("phrase"))
+    cut = others.join(mine, (others["between"] == mine["between"]) & ends & (F.col("outer_count") >= F.col("video_count"))).select("phrase")
     return left.join(cut, "phrase", "left_anti").orderBy(F.desc("video_count"), F.desc("occurrences"), "phrase").limit(limit)

@@ -475,3 +475,100 @@ def playability_codes(spark, d):
 @registered("SELECT doc_id, length(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS words, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS chars FROM documents")
 def word_counts(spark, d):
     return t.read(spark, d, "documents").select("doc_id", T.word_count("text").cast("long").alias("words"), F.length(T.collapse_blanks("text")).cast("long").alias("chars"))
+
+
+@registered("""SELECT l_orderkey AS video_id, l_linenumber AS line, l_partkey AS author_id, l_suppkey AS author_part FROM lineitem WHERE l_linenumber = 1 ORDER BY l_shipdate ASC NULLS FIRST, l_orderkey, l_partkey, l_suppkey LIMIT 40 OFFSET 10""")
+def comments_oldest_page(spark, d):
+    rows = t.comments(spark, d).filter("line = 1")
+    return rows.orderBy(F.asc_nulls_first("published_at"), "video_id", "author_id", "author_part").offset(10).limit(40).select("video_id", "line", "author_id", "author_part")
+
+
+@registered("""SELECT CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR) AS comment_id FROM conversations WHERE conv_id = 3""")
+def thread_page(spark, d):
+    return query.comment_page(t.threaded(spark, d), t.videos(spark, d), query.CommentQuery(thread="3.0", limit=200)).select("comment_id")
+
+
+@registered("SELECT CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR) AS comment_id FROM conversations WHERE turn = 0")
+def top_level_comments(spark, d):
+    return query.comments(t.threaded(spark, d), t.videos(spark, d), query.CommentQuery(top_level_only=True)).select("comment_id")
+
+
+@registered(f"""SELECT target_id, reason, stale_after FROM {RECEIPTS} r ORDER BY stale_after DESC NULLS LAST, target_id LIMIT 100""")
+def receipt_listing(spark, d):
+    rows = cov.receipts(t.attempts(spark, d))
+    return rows.orderBy(F.desc_nulls_last("stale_after"), "target_id").limit(100).select("target_id", "reason", "stale_after")
+
+
+@registered(f"""WITH p AS (SELECT video_id FROM {VIDEO} v ORDER BY view_count DESC NULLS LAST, video_id LIMIT 25) SELECT target_id, complete, reason FROM {RECEIPTS} r WHERE target_id IN (SELECT video_id FROM p)""")
+def page_receipts(spark, d):
+    page = query.ordered(t.videos(spark, d), query.VIDEO_ORDERS, "views", "video_id").limit(25)
+    receipts = cov.receipts(t.attempts(spark, d)).withColumn("target_id", F.col("target_id").cast("string"))
+    return query.with_receipts(page, receipts, "video_id", "comments").select(F.col("target_id").cast("long").alias("target_id"), "complete", "reason")
+
+
+@registered("""WITH p AS (SELECT doc_id, source, n_chars // 10 AS n FROM documents), c AS (SELECT *, CASE WHEN n <= 2000 THEN n ELSE 0 END AS counted FROM p),
+    s AS (SELECT *, sum(counted) OVER (PARTITION BY source ORDER BY doc_id) AS total FROM c) SELECT doc_id, CASE WHEN n > 2000 THEN 'TOO_LARGE' WHEN total > 100000 THEN 'CORPUS_FULL' ELSE 'indexed' END AS state FROM s""")
+def passage_limits(spark, d):
+    rows = t.read(spark, d, "documents").select(F.col("doc_id").alias("video_id"), F.col("source").alias("channel_id"), F.col("doc_id").alias("ord"), F.expr("n_chars div 10").alias("passages"))
+    return transcript.size_guards(rows).select(F.col("video_id").alias("doc_id"), "state")
+
+
+@registered("""SELECT coalesce(s.video_id, l.video_id) AS video_id, CASE WHEN s.state IS NULL THEN 'pending' WHEN s.state = 'indexed' AND p.doc_id IS NULL THEN 'pending' ELSE s.state END AS state
+    FROM (SELECT doc_id AS video_id, CASE quality WHEN 1 THEN 'indexed' ELSE 'failed' END AS state FROM labels) s FULL JOIN (SELECT doc_id AS video_id FROM documents WHERE doc_id < 500) l ON s.video_id = l.video_id
+    LEFT JOIN (SELECT DISTINCT doc_id FROM documents WHERE n_chars > 1000) p ON p.doc_id = coalesce(s.video_id, l.video_id)""")
+def reconcile_states(spark, d):
+    docs = t.read(spark, d, "documents")
+    states = t.read(spark, d, "labels").select(F.col("doc_id").alias("video_id"), F.when(F.col("quality") == 1, "indexed").otherwise("failed").alias("state"))
+    held = docs.filter("n_chars > 1000").select(F.col("doc_id").alias("video_id"))
+    return ch.reconcile(states, held, docs.filter("doc_id < 500").select(F.col("doc_id").alias("video_id")))
+
+
+@registered("SELECT c_custkey AS channel_id FROM customer WHERE lower(c_name) = 'customer#000000042'")
+def channel_lookup(spark, d):
+    rows = t.channels(spark, d).select("channel_id", F.col("channel_id").cast("string").alias("id"), "name")
+    named = rows.select(F.col("id").alias("channel_id"), F.lit(None).cast("string").alias("handle"), "name", F.lit(None).cast("string").alias("channel_url"))
+    return ch.resolve_channel(named, " Customer#000000042/ ").select(F.col("channel_id").cast("long").alias("channel_id"))
+
+
+@registered("""SELECT o_orderkey AS video_id, coalesce(q, o_totalprice) AS view_count, o_orderpriority AS title FROM orders LEFT JOIN (SELECT l_orderkey, max(l_quantity) AS q FROM lineitem WHERE l_linenumber = 2 GROUP BY 1) ON l_orderkey = o_orderkey""")
+def detail_update(spark, d):
+    details = t.comments(spark, d).filter("line = 2").groupBy("video_id").agg(F.max("like_count").alias("view_count")).withColumn("title", F.lit(None).cast("string"))
+    return store.update_details(t.videos(spark, d), details, ["view_count", "title"]).select("video_id", "view_count", "title")
+
+
+@registered("""SELECT event_id, h * 3600 + m * 60 + s AS seconds FROM (SELECT event_id, CAST(floor(value) AS BIGINT) % 5 AS h, CAST(floor(value) AS BIGINT) % 60 AS m, (event_id % 60) + 0.5::DOUBLE AS s FROM events)""")
+def timestamp_parse(spark, d):
+    h, m, s = F.floor("value").cast("long") % 5, F.floor("value").cast("long") % 60, F.col("event_id") % 60
+    text = F.format_string("%02d:%02d:%02d.5", h, m, s)
+    return t.read(spark, d, "events").select("event_id", X.parse_timestamp(text).alias("seconds"))
+
+
+@registered("""SELECT doc_id, CASE WHEN hard >= n THEN substr(text, f + 1) ELSE substr(text, f + 1, (CASE WHEN soft > f THEN soft ELSE hard END) - f) END AS part, hard < n AS truncated FROM
+    (SELECT doc_id, text, n, f, hard, hard + 1 - nullif(strpos(reverse(substr(text, 1, hard + 1)), ' '), 0) AS soft FROM (SELECT doc_id, text, length(text) AS n, least(100, length(text)) AS f, least(100, length(text)) + 200 AS hard FROM documents))""")
+def text_windows(spark, d):
+    w = T.text_window("text", 100, 200)
+    return t.read(spark, d, "documents").select("doc_id", w["text"].alias("part"), w["truncated"].alias("truncated"))
+
+
+@registered("""SELECT conv_id, string_agg(CAST(turn + 1 AS VARCHAR) || chr(10) || printf('%02d:%02d:%02d,000', turn * 10 // 3600, turn * 10 // 60 % 60, turn * 10 % 60) || ' --> ' || printf('%02d:%02d:%02d,000', (turn * 10 + 9) // 3600, (turn * 10 + 9) // 60 % 60, (turn * 10 + 9) % 60)
+    || chr(10) || text || chr(10), chr(10) ORDER BY turn) AS srt FROM conversations WHERE text IS NOT NULL GROUP BY conv_id HAVING count(*) = max(turn) + 1""")
+def subtitle_files(spark, d):
+    c = t.read(spark, d, "conversations").filter("text IS NOT NULL")
+    whole = c.groupBy("conv_id").agg((F.count("*") == F.max("turn") + 1).alias("whole")).filter("whole")
+    rows = c.join(whole, "conv_id", "left_semi").select(F.col("conv_id").alias("video_id"), F.col("turn").alias("ord"), (F.col("turn") * 10.0).alias("start"), (F.col("turn") * 10.0 + 9).alias("end"), "text")
+    return exports.subtitles(rows).select(F.col("video_id").alias("conv_id"), F.col("text").alias("srt"))
+
+
+@registered("""SELECT c_custkey, '"' || replace(c_name, '"', '""') || ',"' AS quoted FROM customer WHERE c_custkey % 10 = 0""")
+def csv_quoting(spark, d):
+    rows = t.read(spark, d, "customer").filter("c_custkey % 10 = 0")
+    cell = rows.select("c_custkey", F.concat("c_name", F.lit(",")).alias("name"))
+    lines = exports.csv_lines(cell).select(F.split("line", ",", 2).alias("p"))
+    return lines.select(F.col("p")[0].cast("long").alias("c_custkey"), F.col("p")[1].alias("quoted"))
+
+
+@registered("""SELECT o_orderkey, CASE WHEN NOT (e <= s OR (dur > 0 AND s >= dur)) THEN CASE WHEN dur > 0 THEN least(e, dur) ELSE e END END AS clipped FROM
+    (SELECT o_orderkey, (o_orderkey % 50)::DOUBLE AS s, (o_orderkey % 70)::DOUBLE AS e, (o_orderkey % 3 * 20)::DOUBLE AS dur FROM orders)""")
+def range_clamp(spark, d):
+    part = lambda m: (F.col("o_orderkey") % m).cast("double")
+    return t.read(spark, d, "orders").select("o_orderkey", X.clamp_range(part(50), part(70), part(3) * 20)["end"].alias("clipped"))
