@@ -10,19 +10,20 @@ from ..functions.text import STOP_WORDS, ngrams, phrase_words
 MIN_WORDS, MAX_WORDS, MIN_VIDEOS, LIMIT = 3, 6, 3, 20
 
 
-def count_phrases(words: DataFrame, length: int, prefixes: DataFrame | None) -> DataFrame:
-    """``phrase, video_count, occurrences`` of the runs of one length.
-
-    Occurrences within a video are added up first, so a common phrase crosses the shuffle once a video. Without
-    ``prefixes``, runs of stop words alone are left out; with them, only runs whose opening recurs count."""
-    runs = words.select("video_id", F.explode(ngrams(F.col("words"), length)).alias("phrase"))
-    if prefixes is None:
-        runs = runs.filter(F.exists(F.split("phrase", " "), lambda w: ~w.isin(STOP_WORDS)))
-    per_video = runs.groupBy("video_id", "phrase").agg(F.count("*").alias("n"))
-    if prefixes is not None:
-        opening = F.substring_index("phrase", " ", length - 1)
-        per_video = per_video.withColumn("_opening", opening).join(prefixes.select(F.col("phrase").alias("_opening")), "_opening", "left_semi").drop("_opening")
-    return per_video.groupBy("phrase").agg(F.count("*").alias("video_count"), F.sum("n").alias("occurrences"))
+def count_phrases(words: DataFrame, lengths: range, min_videos: int) -> DataFrame:
+    """``phrase, video_count, occurrences`` of the runs of the given lengths in ``words(video_id, words)``, one row a
+    video; runs that open with three stop words are left out.
+
+    A longer run recurs only where its opening does, so there is nothing to gain from counting lengths in turn. Each
+    video counts once through its distinct runs and its occurrences through all of them, so a single aggregation,
+    combined before its shuffle, gives both numbers."""
+    runs = F.concat(*(ngrams(F.col("words"), n) for n in lengths))
+    once = lambda g: F.struct(g.alias("phrase"), F.lit(1).alias("v"), F.lit(0).alias("n"))
+    each = lambda g: F.struct(g.alias("phrase"), F.lit(0).alias("v"), F.lit(1).alias("n"))
+    rows = words.select(runs.alias("runs")).select(F.explode(F.concat(F.transform(F.array_distinct("runs"), once), F.transform("runs", each))).alias("r")).select("r.*")
+    counted = rows.groupBy("phrase").agg(F.sum("v").alias("video_count"), F.sum("n").alias("occurrences")).filter(F.col("video_count") >= min_videos)
+    opening = F.slice(F.split("phrase", " "), 1, MIN_WORDS)
+    return counted.filter(F.exists(opening, lambda w: ~w.isin(STOP_WORDS)))
 
 
 def recurring(passages: DataFrame, min_videos: int = MIN_VIDEOS) -> DataFrame:
@@ -33,13 +34,8 @@ def recurring(passages: DataFrame, min_videos: int = MIN_VIDEOS) -> DataFrame:
 
 def recurring_in_videos(videos: DataFrame, min_videos: int = MIN_VIDEOS) -> DataFrame:
     """The same of ``videos(video_id, text)``, one row a video."""
-    words = videos.select("video_id", phrase_words("text").alias("words"))
-    out, prefixes = None, None
-    for length in range(MIN_WORDS, MAX_WORDS + 1):
-        # kept, since the next length and the ranking read it again; a lost part is computed anew
-        prefixes = count_phrases(words, length, prefixes).filter(F.col("video_count") >= min_videos).persist()
-        out = prefixes if out is None else out.unionByName(prefixes)
-    return out
+    words = videos.select(phrase_words("text").alias("words"))
+    return count_phrases(words, range(MIN_WORDS, MAX_WORDS + 1), min_videos)
 
 
 def runs_of(phrases: DataFrame) -> DataFrame:
@@ -57,6 +53,7 @@ def ranked(phrases: DataFrame, limit: int = LIMIT) -> DataFrame:
     A contained phrase is a run of the other's words, except that its first word may be the end of a word there and its
     last the beginning of one. Whole runs are looked up by equality; for the phrases that this leaves, the words
     between the first and the last are looked up, and the two ends compared."""
+    phrases = phrases.persist()  # read several times; a lost part is computed anew
     runs = runs_of(phrases).withColumn("part", F.array_join("run", " "))
     whole = runs.filter(F.col("part") != F.col("outer")).groupBy("part").agg(F.max("outer_count").alias("outer_count"))
     left = phrases.join(whole, (phrases["phrase"] == whole["part"]) & (whole["outer_count"] >= phrases["video_count"]), "left_anti")

@@ -297,8 +297,7 @@ PHRASE_WORDS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}'']+'
 @registered(f"""WITH w AS (SELECT doc_id, {PHRASE_WORDS} AS w FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, length(w) - 1), lambda i: w[i:i+2])) AS g FROM w WHERE length(w) >= 3)
     SELECT array_to_string(g, ' ') AS phrase, count(DISTINCT doc_id) AS video_count, count(*) AS occurrences FROM g WHERE length(list_filter(g, lambda x: x NOT IN ({STOP}))) > 0 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3""")
 def phrase_3gram(spark, d):
-    words = t.read(spark, d, "documents").select(F.col("doc_id").alias("video_id"), T.phrase_words("text").alias("words"))
-    return phrases.count_phrases(words, 3, None).filter("video_count >= 3")
+    return phrases.count_phrases(t.read(spark, d, "documents").select(T.phrase_words("text").alias("words")), range(3, 4), 3)
 
 
 @registered()
