@@ -125,10 +125,10 @@ def orphan_replies(spark, d):
     return threads.with_roots(capped).filter("is_orphan").select("comment_id")
 
 
-@registered("""WITH k AS (SELECT item_id AS video_id FROM benchmark), l AS (SELECT doc_id AS video_id, source AS tab FROM documents WHERE doc_id < 300)
+@registered("""WITH k AS (SELECT item_id AS video_id FROM benchmark), l AS (SELECT doc_id AS video_id, source AS tab FROM documents)
     SELECT video_id, tab FROM l WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.video_id = l.video_id)""")
 def new_uploads(spark, d):
-    listed = t.read(spark, d, "documents").filter("doc_id < 300").select(F.col("doc_id").alias("video_id"), F.col("source").alias("tab"), F.lit(0).alias("tab_order"), F.col("doc_id").alias("position"))
+    listed = t.read(spark, d, "documents").select(F.col("doc_id").alias("video_id"), F.col("source").alias("tab"), F.lit(0).alias("tab_order"), F.col("doc_id").alias("position"))
     return ch.new_uploads(listed, t.read(spark, d, "benchmark").select(F.col("item_id").alias("video_id"))).select("video_id", "tab")
 
 
@@ -200,9 +200,9 @@ def coverage_summary(spark, d):
 
 
 @registered(f"""SELECT target_id, 'Coverage: ' || CAST(have AS VARCHAR) || CASE WHEN expected IS NULL THEN ' comments' ELSE ' of ' || CAST(expected AS VARCHAR) || ' comments' ||
-    CASE WHEN expected > 0 THEN ' (' || printf('%.1f', have * 100.0 / expected) || '%)' ELSE '' END END || ' for ' || CAST(target_id AS VARCHAR) || '.' AS sentence FROM {RECEIPTS} r WHERE target_id % 100 = 1""")
+    CASE WHEN expected > 0 THEN ' (' || printf('%.1f', have * 100.0 / expected) || '%)' ELSE '' END END || ' for ' || CAST(target_id AS VARCHAR) || '.' AS sentence FROM {RECEIPTS} r""")
 def coverage_sentences(spark, d):
-    return cov.receipts(t.attempts(spark, d)).filter("target_id % 100 = 1").select("target_id", cov.sentence().alias("sentence"))
+    return cov.receipts(t.attempts(spark, d)).select("target_id", cov.sentence().alias("sentence"))
 
 
 @registered("SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS uploads FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1")
@@ -284,11 +284,11 @@ def ask_many_fused(spark, d):
     return retrieval.fused(found, "source", 5, 20).select("doc_id", "source", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@registered("""WITH a AS (SELECT doc_id, text, least(nullif(strpos(lower(text), 'licensed'), 0), nullif(strpos(lower(text), 'und'), 0)) - 1 AS p FROM documents WHERE doc_id % 3 = 0),
+@registered("""WITH a AS (SELECT doc_id, text, least(nullif(strpos(lower(text), 'licensed'), 0), nullif(strpos(lower(text), 'und'), 0)) - 1 AS p FROM documents),
     b AS (SELECT doc_id, text, p, greatest(p - 120, 0) AS f, least(p + 120, length(text)) AS e FROM a)
     SELECT doc_id, CASE WHEN p IS NULL THEN trim(substr(text, 1, 240), ' ') ELSE CASE WHEN f > 0 THEN '…' ELSE '' END || trim(substr(text, f + 1, e - f), ' ') || CASE WHEN e < length(text) THEN '…' ELSE '' END END AS excerpt FROM b""")
 def excerpt(spark, d):
-    return t.read(spark, d, "documents").filter("doc_id % 3 = 0").select("doc_id", T.excerpt("text", ["licensed", "und"]).alias("excerpt"))
+    return t.read(spark, d, "documents").select("doc_id", T.excerpt("text", ["licensed", "und"]).alias("excerpt"))
 
 
 PHRASE_WORDS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}'']+'), lambda x: x <> '')"
@@ -413,10 +413,10 @@ def tags_array_ops(spark, d):
     return rows.select("doc_id", F.array_join(X.merge_tags("tags", F.array(F.lit("Kept"))), ",").alias("merged"), F.array_join(X.remove_tags("more", ["KEPT", "EN"]), ",").alias("left_over"))
 
 
-@registered("""SELECT doc_id, CASE WHEN substr(c, 1, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) THEN '''' || c ELSE c END AS cell FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '=' WHEN 1 THEN '-' WHEN 2 THEN '@' ELSE '' END || substr(text, 1, 20) AS c FROM documents)""")
+@registered("""SELECT doc_id, CASE WHEN substr(c, 1, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) THEN '''' || c ELSE c END AS cell FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '=' WHEN 1 THEN '-' WHEN 2 THEN '@' ELSE '' END || text AS c FROM documents)""")
 def csv_defuse(spark, d):
     sign = F.when(F.col("doc_id") % 4 == 0, "=").when(F.col("doc_id") % 4 == 1, "-").when(F.col("doc_id") % 4 == 2, "@").otherwise("")
-    return t.read(spark, d, "documents").select("doc_id", exports.defused(F.concat(sign, F.substring("text", 1, 20))).alias("cell"))
+    return t.read(spark, d, "documents").select("doc_id", exports.defused(F.concat(sign, F.col("text"))).alias("cell"))
 
 
 @registered("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
@@ -450,17 +450,16 @@ def session_gap(spark, d):
     return jobs.sessions(t.read(spark, d, "events"))
 
 
-@registered("""SELECT doc_id, regexp_replace(regexp_replace(substr(text, 1, 60), '([\\\\|`\\[\\]])', '\\\\\\1', 'g'), '\\r\\n|\\r|\\n', ' ', 'g') AS line FROM documents WHERE doc_id % 2 = 0 AND substr(text, 1, 60) NOT LIKE '%<%' AND substr(text, 1, 60) NOT LIKE '%>%'""")
+@registered("""SELECT doc_id, regexp_replace(replace(replace(regexp_replace(text, '([\\\\|`\\[\\]])', '\\\\\\1', 'g'), '<', '&lt;'), '>', '&gt;'), '\\r\\n|\\r|\\n', ' ', 'g') AS line FROM documents""")
 def markdown_cells(spark, d):
-    head = F.substring("text", 1, 60)
-    return t.read(spark, d, "documents").filter((F.col("doc_id") % 2 == 0) & ~head.contains("<") & ~head.contains(">")).select("doc_id", exports.markdown_cell(head).alias("line"))
+    return t.read(spark, d, "documents").select("doc_id", exports.markdown_cell(F.col("text")).alias("line"))
 
 
-@registered("""SELECT o_orderkey, CASE WHEN n >= 1000000 THEN regexp_replace(printf('%.1f', n / 1000000.0), '\\.0$', '') || 'M' WHEN n >= 1000 THEN regexp_replace(printf('%.1f', n / 1000.0), '\\.0$', '') || 'K' ELSE CAST(n AS VARCHAR) END AS shown
-    FROM (SELECT o_orderkey, CAST(floor(o_totalprice * (o_orderkey % 50)) AS BIGINT) AS n FROM orders) WHERE n % 100 NOT IN (50) AND n % 100000 <> 50000""")
+@registered("""SELECT o_orderkey, CASE WHEN n >= 1000000 THEN regexp_replace(printf('%.1f', floor(n / 100000 + 0.5) / 10), '\\.0$', '') || 'M' WHEN n >= 1000 THEN regexp_replace(printf('%.1f', floor(n / 100 + 0.5) / 10), '\\.0$', '') || 'K' ELSE CAST(n AS VARCHAR) END AS shown
+    FROM (SELECT o_orderkey, CAST(floor(o_totalprice * (o_orderkey % 50)) AS BIGINT) AS n FROM orders)""")
 def count_format(spark, d):
     n = F.floor(F.col("o_totalprice") * (F.col("o_orderkey") % 50)).cast("long")
-    rows = t.read(spark, d, "orders").select("o_orderkey", n.alias("n")).filter("n % 100 <> 50 AND n % 100000 <> 50000")
+    rows = t.read(spark, d, "orders").select("o_orderkey", n.alias("n"))
     return rows.select("o_orderkey", X.format_count("n").alias("shown"))
 
 
@@ -513,13 +512,13 @@ def passage_limits(spark, d):
 
 
 @registered("""SELECT coalesce(s.video_id, l.video_id) AS video_id, CASE WHEN s.state IS NULL THEN 'pending' WHEN s.state = 'indexed' AND p.doc_id IS NULL THEN 'pending' ELSE s.state END AS state
-    FROM (SELECT doc_id AS video_id, CASE quality WHEN 1 THEN 'indexed' ELSE 'failed' END AS state FROM labels) s FULL JOIN (SELECT doc_id AS video_id FROM documents WHERE doc_id < 500) l ON s.video_id = l.video_id
+    FROM (SELECT doc_id AS video_id, CASE quality WHEN 1 THEN 'indexed' ELSE 'failed' END AS state FROM labels) s FULL JOIN (SELECT doc_id AS video_id FROM documents) l ON s.video_id = l.video_id
     LEFT JOIN (SELECT DISTINCT doc_id FROM documents WHERE n_chars > 1000) p ON p.doc_id = coalesce(s.video_id, l.video_id)""")
 def reconcile_states(spark, d):
     docs = t.read(spark, d, "documents")
     states = t.read(spark, d, "labels").select(F.col("doc_id").alias("video_id"), F.when(F.col("quality") == 1, "indexed").otherwise("failed").alias("state"))
     held = docs.filter("n_chars > 1000").select(F.col("doc_id").alias("video_id"))
-    return ch.reconcile(states, held, docs.filter("doc_id < 500").select(F.col("doc_id").alias("video_id")))
+    return ch.reconcile(states, held, docs.select(F.col("doc_id").alias("video_id")))
 
 
 @registered("SELECT c_custkey AS channel_id FROM customer WHERE lower(c_name) = 'customer#000000042'")
@@ -558,9 +557,9 @@ def subtitle_files(spark, d):
     return exports.subtitles(rows).select(F.col("video_id").alias("conv_id"), F.col("text").alias("srt"))
 
 
-@registered("""SELECT c_custkey, '"' || replace(c_name, '"', '""') || ',"' AS quoted FROM customer WHERE c_custkey % 10 = 0""")
+@registered("""SELECT c_custkey, '"' || replace(c_name, '"', '""') || ',"' AS quoted FROM customer""")
 def csv_quoting(spark, d):
-    rows = t.read(spark, d, "customer").filter("c_custkey % 10 = 0")
+    rows = t.read(spark, d, "customer")
     cell = rows.select("c_custkey", F.concat("c_name", F.lit(",")).alias("name"))
     lines = exports.csv_lines(cell).select(F.split("line", ",", 2).alias("p"))
     return lines.select(F.col("p")[0].cast("long").alias("c_custkey"), F.col("p")[1].alias("quoted"))
