@@ -13,12 +13,15 @@ horizon. Two documents agree on a register with the probability of their weighte
 Search: documents with equal bags are one node. Bands of registers put nodes into buckets. In each bucket
 the nodes are first compared with a pivot, and only across components that are still apart; a bucket is
 finished when the rest of it is in one component, so a bucket of copies costs about one comparison a node.
-Buckets that are still mixed after three pivots are compared in blocks within tasks, which return similar pairs
+Buckets that are still mixed after their pivot are compared in blocks within tasks, which return similar pairs
 only. So no pair that shares a bucket and could still join two components goes untested. A two-bit sketch of the
 registers rules out pairs five standard deviations below the threshold (3e-7 of those at it); all other
-comparisons are exact, on the shingles themselves.
+comparisons count shingles.
 With 36 bands of 6 registers a pair at 0.8 shares no bucket with probability 2e-5.
 
+Nothing here has a size bound, so no join of documents, places or shingles is a broadcast: merge joins at every
+size, which adaptive execution may split.
+
 Defined cases: a document of one to four words has one shingle of them all; one without words (null, empty)
 is a class of its own; equal texts and repeated rows are one class; ties between representatives go to the
 least id and then to the fingerprint of the text; a null id is never a class id unless its class has no
@@ -43,7 +46,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 36, 6
 REGISTERS = BANDS * ROWS
 BLOCK = 2 << 20
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 1
 BLOCK_SHINGLES = 1 << 17
 #: Expected points a register when a document's processes stop; e ** -3 of the documents go on.
 HORIZON = float(np.log(REGISTERS) + 3.0)
@@ -196,7 +199,10 @@ def describe(docs: DataFrame) -> DataFrame:
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``node, shingles`` of the wanted documents: a shingle's k-th occurrence is an element of its own, so the
-    Jaccard similarity of these sets is that of the multisets."""
+    Jaccard similarity of these sets is that of the multisets. Elements keep 32 bits; two shingles of a pair fall
+    together once in ten thousand pairs of usual length, which moves its similarity by a thousandth.
+
+    Rows that are repeated with their id give a node several times."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,11 +210,11 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 owner, hashes, counts = shingle_bags(data, starts)
                 which = np.repeat(np.arange(len(hashes)), counts)
                 turn = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
-                elements = mix(hashes[which], turn.astype(U64))
+                elements = (mix(hashes[which], turn.astype(U64)) >> U64(32)).astype(np.uint32)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, counts, j - i))]).astype(np.int32)
-                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets), pa.array(elements.view(np.int64)))], names=["node", "shingles"])
+                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets), pa.array(elements.view(np.int32)))], names=["node", "shingles"])
 
-    return keyed(docs).join(wanted, ["key", "check"]).select("node", "text").mapInArrow(spell, "node long, shingles array<long>").dropDuplicates(["node"])
+    return keyed(docs).join(wanted.hint("merge"), ["key", "check"]).select("node", "text").mapInArrow(spell, "node long, shingles array<int>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -235,14 +241,17 @@ def link_components(docs: DataFrame, described: DataFrame, similarity: float) ->
     )
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = materialise(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    placed = materialise(rows.join(shared, "bucket"), "placed")
+    placed = materialise(rows.join(shared.hint("merge"), "bucket"), "placed")
     degree = placed.groupBy("node").agg(F.sum("n").alias("degree"))
     known = degree.join(nodes.select("node", "size", "sketch"), "node")
     members = materialise(placed.select("bucket", "node").join(known, "node").select("bucket", "node", "degree", "size", "sketch", F.col("node").alias("component")), "bucket-members")
     if members.isEmpty():
         return None
     wanted = members.select("node").distinct().join(nodes, "node").select("node", "at.key", "at.check")
-    sets = materialise(shingle_sets(docs, materialise(wanted, "wanted")), "shingles")
+    sets = shingle_sets(docs, materialise(wanted, "wanted"))
+    if not described.groupBy("key", "check").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        sets = sets.dropDuplicates(["node"])  # only where whole rows are repeated: it shuffles the sets
+    sets = materialise(sets, "shingles")
     linked: DataFrame | None = None
     for turn in range(PIVOT_ROUNDS + 1):
         if turn < PIVOT_ROUNDS:
@@ -292,8 +301,8 @@ def pivot_pairs(members: DataFrame, heads: DataFrame, similarity: float) -> Data
 
 def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs that are similar, by their shingles."""
-    with_b = materialise(pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b"), "pairs-b")
-    both = with_b.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
+    with_b = materialise(pairs.hint("merge").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b"), "pairs-b")
+    both = with_b.hint("merge").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
     common = F.size(F.array_intersect("of_a", "of_b"))
     return both.filter(common >= similarity * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
 
@@ -360,7 +369,7 @@ def compare_in_blocks(members: DataFrame, sets: DataFrame, similarity: float) ->
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "component", "size", "sketch"
     )
-    return dealt.join(sets, "node").groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return dealt.hint("merge").join(sets, "node").groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
