@@ -47,6 +47,8 @@ WINDOW = LENGTH - SEED + 1
 SEGMENT = 2 << 20
 GROUP = 128
 PLACES = 16
+#: Sorted anchors that a task holds at once.
+STRETCH = 500_000
 INDEX_BITS = U64(23)
 INDEX = (U64(1) << INDEX_BITS) - U64(1)
 
@@ -127,11 +129,7 @@ def sorted_round(found: DataFrame) -> DataFrame:
     """Round 50: ``document, low, n, offset, seed, whole, open``. ``whole``: all windows of the context occur
     elsewhere; ``open``: the context is to be compared with others of its anchor. Unique anchors are gone."""
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # one sorted partition; its edges may cut a group
-        rows = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if rows is None or not rows.num_rows:
-            return
+    def decide(rows: pa.Table) -> pa.Table:
         seed, context = (rows.column(c).to_numpy() for c in ("seed", "context"))
         new_seed = np.concatenate([[True], seed[1:] != seed[:-1]])
         new_run = new_seed | np.concatenate([[True], context[1:] != context[:-1]])
@@ -141,9 +139,21 @@ def sorted_round(found: DataFrame) -> DataFrame:
         edge = (group == 0) | (group == group[-1])
         whole = size > 1
         compared = new_run & ((runs_of > 1) | edge)
-        keep = pa.array(whole | compared)
         out = rows.select(["document", "low", "n", "offset", "seed"]).append_column("whole", pa.array(whole)).append_column("open", pa.array(compared))
-        yield from out.filter(keep).combine_chunks().to_batches()
+        return out.filter(pa.array(whole | compared))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a sorted partition in stretches of bounded size; groups at the edges of a stretch may go on beyond it
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= STRETCH:
+                yield from decide(pa.Table.from_batches(held)).combine_chunks().to_batches()
+                held, n = [], 0
+        if n:
+            yield from decide(pa.Table.from_batches(held)).combine_chunks().to_batches()
 
     flat = found.select("document", F.inline("anchors"))
     order = ["seed", "context", "document", "low"]
