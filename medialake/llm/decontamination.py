@@ -6,7 +6,8 @@ vector operations, roll them into windows, look the windows up, and verify every
 the item, so a hash collision marks nothing.
 
 The set is broadcast only up to ``block_windows`` windows (about 40 bytes each); a larger benchmark is taken
-in blocks of that size, one scan of the documents each, and the hits of all blocks are merged per document.
+in blocks of that size, one scan of the documents each, and the hits of all blocks are merged per document
+before anything is judged or cut.
 
 Defined cases: a null or empty text, or one without words, has no hits; items without words match nothing;
 repeated or tied items each count; repeated documents each get their row; a null item id never appears in
@@ -22,10 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from .bytehash import blocks
-from .common import ALNUM_PATTERN
+from .common import ALNUM_PATTERN, materialise
 from .wordhash import ALNUM, LOWER, roll, word_table
 
 SPAN = "array<struct<first:long,last:long,start:long,end:long>>"
@@ -156,46 +158,105 @@ MERGE_SPANS = """aggregate(spans, cast(array() as array<struct<first:bigint,last
          ELSE concat(done, array(s)) END)"""
 
 
+def cut(text: bytes, spans: list[dict[str, int]]) -> bytes:
+    for s in reversed(spans):
+        text = text[: s["start"]] + b"\n" + text[s["end"] :]
+    return text
+
+
+def mostly_hit(spans: list[dict[str, int]], n_words: int, remove_above: float) -> bool:
+    return sum(s["last"] - s["first"] + 1 for s in spans) > remove_above * n_words
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, remove_above: float = 0.5, block_windows: int = 500_000) -> DataFrame:
     """``docs`` with the hit spans cut out of ``text``, and without the documents of whose words more than
     the share ``remove_above`` is hit. All columns stay; a cut leaves one line break, and a text is looked
-    at again until nothing is found, so words that a cut brings together make no new hit."""
-    spark, schema = docs.sparkSession, docs.schema
+    at again until nothing is found, so words that a cut brings together make no new hit.
 
-    def cleaner(windows: list[tuple[str, list[bytes]]]):
-        shared = spark.sparkContext.broadcast(windows)
+    The share and each cut follow from the hits of all blocks, so the result is the same for any ``block_windows``."""
+    context = docs.sparkSession.sparkContext
+    shared = [context.broadcast(block) for block in window_blocks(benchmark, size, block_windows)]
+    if len(shared) > 1:
+        return decontaminate_by_blocks(docs, shared, remove_above)
+    (windows,) = shared
 
-        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = WindowSet(shared.value)
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WindowSet(windows.value)
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            keep, texts = np.ones(batch.num_rows, bool), {}
+            for i, j, data, starts in blocks(batch, "text"):
+                n_words, _, spans = find(known, data, starts)
+                for r in range(j - i):
+                    if not spans[r]:
+                        continue
+                    if mostly_hit(spans[r], n_words[r], remove_above):
+                        keep[i + r] = False
+                        continue
+                    text, own = data[starts[r] : starts[r + 1]].tobytes(), spans[r]
+                    while own:
+                        text = cut(text, own)
+                        own = find(known, np.frombuffer(text, np.uint8), np.array([0, len(text)]))[2][0]
+                    texts[i + r] = text.decode()
+            if texts:
+                column = batch.column(at).to_pylist()
+                for r, text in texts.items():
+                    column[r] = text
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(column, batch.schema.field(at).type))
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
+def decontaminate_by_blocks(docs: DataFrame, shared: list[Broadcast], remove_above: float) -> DataFrame:
+    """``decontaminate`` for a benchmark of several blocks. In each turn all blocks look at the same texts, their
+    spans are merged, and each text is cut once; the next turn looks at the texts that were cut."""
+
+    def hits(texts: DataFrame, block: Broadcast) -> DataFrame:
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = WindowSet(block.value)
             for batch in batches:
-                at = batch.schema.get_field_index("text")
-                keep, texts = np.ones(batch.num_rows, bool), {}
                 for i, j, data, starts in blocks(batch, "text"):
                     n_words, _, spans = find(known, data, starts)
-                    for r in range(j - i):
-                        if not spans[r]:
-                            continue
-                        if sum(s["last"] - s["first"] + 1 for s in spans[r]) > remove_above * n_words[r]:
-                            keep[i + r] = False
-                            continue
-                        text, own = data[starts[r] : starts[r + 1]].tobytes(), spans[r]
-                        while own:
-                            for s in reversed(own):
-                                text = text[: s["start"]] + b"\n" + text[s["end"] :]
-                            own = find(known, np.frombuffer(text, np.uint8), np.array([0, len(text)]))[2][0]
-                        texts[i + r] = text.decode()
-                if texts:
-                    column = batch.column(at).to_pylist()
-                    for r, text in texts.items():
-                        column[r] = text
-                    batch = batch.set_column(at, batch.schema.field(at), pa.array(column, batch.schema.field(at).type))
-                yield batch.filter(pa.array(keep))
-
-        return clean
-
-    for block in window_blocks(benchmark, size, block_windows):
-        docs = docs.mapInArrow(cleaner(block), schema)
-    return docs
+                    hit = [r for r in range(j - i) if spans[r]]
+                    columns = [batch.column(k).slice(i, j - i).take(pa.array(hit, pa.int64())) for k in range(2)]
+                    yield pa.record_batch([*columns, pa.array(n_words[hit].astype(np.int64)), pa.array([spans[r] for r in hit], ARROW.field("spans").type)], names=["row", "text", "n_words", "spans"])
+
+        return texts.mapInArrow(look, f"row long, text string, n_words long, spans {SPAN}")
+
+    def changed(first: bool):
+        def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for text, n_words, spans in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                    out.append(None if first and mostly_hit(spans, n_words, remove_above) else cut(text.encode(), spans).decode())
+                yield pa.record_batch([batch.column(0), pa.array(out, pa.string())], names=["row", "text"])
+
+        return change
+
+    # written once, so that a row keeps its number
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "rows")
+    texts = rows.select("row", F.coalesce(F.col("doc.text").cast("string"), F.lit("")).alias("text"))
+    turns: list[DataFrame] = []
+    while True:
+        found = hits(texts, shared[0])
+        for block in shared[1:]:
+            found = found.unionByName(hits(texts, block))
+        merged = found.groupBy("row").agg(F.first("text").alias("text"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+        turn = materialise(merged.withColumn("spans", F.expr(MERGE_SPANS)).mapInArrow(changed(not turns), "row long, text string"), "cut-texts")
+        if turn.isEmpty():
+            break
+        turns.append(turn.select("row", F.lit(len(turns)).alias("turn"), "text"))
+        texts = turn.filter("text IS NOT NULL")
+    if not turns:
+        return rows.select("doc.*")
+    changes = turns[0]
+    for turn in turns[1:]:
+        changes = changes.unionByName(turn)
+    last = changes.groupBy("row").agg(F.max(F.struct("turn", "text")).alias("change"))
+    text = F.when(F.col("change").isNull(), F.col("doc.text")).otherwise(F.col("change.text").cast(docs.schema["text"].dataType))
+    out = rows.join(last, "row", "left").filter("change IS NULL OR change.text IS NOT NULL")
+    return out.select(*(text.alias("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns))
 
 
 def digest(found: DataFrame) -> DataFrame:

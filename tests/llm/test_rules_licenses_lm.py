@@ -4,7 +4,7 @@ import zlib
 from collections import Counter
 
 import pytest
-from corpus import BLANK_WORD, LOWER, documents, empty, rows, words
+from corpus import BLANK_WORD, LOWER, WORD, documents, empty, rows, words
 
 from medialake.llm import decontamination, licenses, lm_scoring, quality
 
@@ -157,3 +157,52 @@ def test_decontaminate(spark):
     assert all(k in left for k, r in before.items() if r.n_hit <= 0.5 * r.n_words)
     assert decontamination.decontaminate(empty(spark), benchmark).count() == 0
     assert decontamination.contamination(docs, spark.createDataFrame([], BENCHMARK)).filter("n_hit > 0").count() == 0
+
+
+def decontaminated(text, windows):
+    """One text as decontaminate leaves it, by brute force; None if it goes."""
+    first = True
+    while True:
+        found = list(re.finditer(WORD, (text or "").translate(LOWER)))
+        w, hit = [m.group() for m in found], set()
+        for own in windows:
+            for i in range(len(w) - len(own) + 1):
+                if w[i : i + len(own)] == own:
+                    hit.update(range(i, i + len(own)))
+        if first and len(hit) > 0.5 * len(w):
+            return None
+        if not hit:
+            return text
+        for last in sorted((k for k in hit if k + 1 not in hit), reverse=True):
+            start = last
+            while start - 1 in hit:
+                start -= 1
+            text = text[: found[start].start()] + "\n" + text[found[last].end() :]
+        first = False
+
+
+def windows_of(benchmark):
+    own = [words(text) for _, text in benchmark]
+    return [w[k : k + min(10, len(w))] for w in own if w for k in range(len(w) - min(10, len(w)) + 1)]
+
+
+@pytest.mark.parametrize("block", [500_000, 7])
+def test_decontaminate_does_not_depend_on_blocks(spark, block):
+    item = [[f"{c}{k}" for k in range(30)] for c in "pqr"]
+    own = lambda n: [f"own{k}" for k in range(n)]
+    texts = [
+        [*item[0], *own(20), *item[1], *own(20)],  # 30 % and 30 % of its words: goes
+        [*own(40), *item[0][:20], *own(40)],  # an item cut at the border of two blocks
+        [*own(60), *item[0][:10], *item[0][3:13], *own(30)],
+        [*own(40), *item[2][:5], *item[0], *item[2][5:12], *own(40)],  # a cut brings words together
+        [*own(60), *item[1][20:30], "p0", "p1", *own(30)],
+    ]
+    benchmark = [(k, " ".join(w)) for k, w in enumerate(item)] + [(9, " ".join([*item[1][25:], *item[0][:8]])), (10, "own5 own6 own7")]
+    more = [(1000 + k, " ".join(t), "en", None, None, None, None, None, None, None) for k, t in enumerate(texts)] * 2
+    docs = documents(spark).unionByName(spark.createDataFrame(more, documents(spark).schema))
+    benchmark += [x for x in items() if x[0] is not None]
+    out = decontamination.decontaminate(docs, spark.createDataFrame(benchmark, BENCHMARK), block_windows=block)
+    assert out.schema == docs.schema
+    expected = Counter((*r[:1], left, *r[2:]) for r in [*rows(), *more] if (left := decontaminated(r[1], windows_of(benchmark))) is not None or r[1] is None)
+    assert Counter(tuple(r) for r in out.collect()) == expected
+    assert not any(r[0] == 1000 for r in expected) and any(r[0] == 1001 for r in expected)
