@@ -10,8 +10,8 @@ in blocks of that size, one scan of the documents each, and the hits of all bloc
 before anything is judged or cut.
 
 Defined cases: a null or empty text, or one without words, has no hits; items without words match nothing;
-repeated or tied items each count; repeated documents each get their row; a null item id never appears in
-the list of items; empty tables on either side give all-clean or no rows; other columns are ignored by
+repeated or tied items each count; repeated documents each get their row; an item with a null id is hit and
+cut as any other, and only its id is left out of the list of items; empty tables on either side give all-clean or no rows; other columns are ignored by
 ``contamination`` and kept by ``decontaminate``.
 """
 
@@ -39,7 +39,7 @@ def words_of(text: bytes) -> list[bytes]:
     return ALNUM_PATTERN.findall(text.lower())  # bytes.lower() changes A-Z alone
 
 
-def benchmark_windows(items: list[tuple[str, bytes]], size: int) -> list[tuple[str, list[bytes]]]:
+def benchmark_windows(items: list[tuple[str | None, bytes]], size: int) -> list[tuple[str | None, list[bytes]]]:
     """(item, words) of every window."""
     out = []
     for item, text in items:
@@ -52,11 +52,13 @@ def benchmark_windows(items: list[tuple[str, bytes]], size: int) -> list[tuple[s
 class WindowSet:
     """Windows by length and fingerprint."""
 
-    def __init__(self, windows: list[tuple[str, list[bytes]]]) -> None:
+    def __init__(self, windows: list[tuple[str | None, list[bytes]]]) -> None:
         self.lengths: dict[int, tuple[np.ndarray, dict[int, list[tuple[bytes, tuple[str, ...]]]]]] = {}
         by: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
         for item, words in windows:
-            by[len(words)][b" ".join(words)].add(item)
+            own = by[len(words)][b" ".join(words)]  # stays empty where only items without an id have the window
+            if item is not None:
+                own.add(item)
         for length, phrases in by.items():
             joined = b" ".join(phrases)
             hashes = word_table(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]), ALNUM)[2]
@@ -94,15 +96,14 @@ def find(known: WindowSet, data: np.ndarray, starts: np.ndarray) -> tuple[np.nda
         hit[k + length] -= 1
     covered = np.cumsum(hit)[:-1] > 0
     spans: list[list[dict[str, int]]] = [[] for _ in range(n)]
-    for r in range(n):
-        if items[r]:
-            turns = np.flatnonzero(np.diff(np.concatenate([[False], covered[first[r] : first[r + 1]], [False]]).astype(np.int8)))
-            for a, b in zip(turns[::2].tolist(), turns[1::2].tolist()):
-                spans[r].append({"first": a, "last": b - 1, "start": int(begins[first[r] + a] - starts[r]), "end": int(ends[first[r] + b - 1] - starts[r])})
+    for r in np.unique(text_of_word[covered]).tolist():
+        turns = np.flatnonzero(np.diff(np.concatenate([[False], covered[first[r] : first[r + 1]], [False]]).astype(np.int8)))
+        for a, b in zip(turns[::2].tolist(), turns[1::2].tolist()):
+            spans[r].append({"first": a, "last": b - 1, "start": int(begins[first[r] + a] - starts[r]), "end": int(ends[first[r] + b - 1] - starts[r])})
     return np.diff(first), items, spans
 
 
-def scan(docs: DataFrame, windows: list[tuple[str, list[bytes]]]) -> DataFrame:
+def scan(docs: DataFrame, windows: list[tuple[str | None, list[bytes]]]) -> DataFrame:
     """``doc_id, text_key, n_words, items, spans`` of each document against one block of windows."""
     shared = docs.sparkSession.sparkContext.broadcast(windows)
 
@@ -118,12 +119,12 @@ def scan(docs: DataFrame, windows: list[tuple[str, list[bytes]]]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(look, SCHEMA)
 
 
-def window_blocks(benchmark: DataFrame, size: int, block_windows: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def window_blocks(benchmark: DataFrame, size: int, block_windows: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """The benchmark's windows in blocks; the driver never holds more than one block and one item."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    own: list[tuple[str, list[bytes]]] = []
+    own: list[tuple[str | None, list[bytes]]] = []
     any_block = False
-    for row in rows.filter("item IS NOT NULL").toLocalIterator():
+    for row in rows.toLocalIterator():
         own += benchmark_windows([(row["item"], row["text"].encode())], size)
         while len(own) > block_windows:
             any_block = True

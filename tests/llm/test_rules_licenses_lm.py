@@ -206,3 +206,14 @@ def test_decontaminate_does_not_depend_on_blocks(spark, block):
     expected = Counter((*r[:1], left, *r[2:]) for r in [*rows(), *more] if (left := decontaminated(r[1], windows_of(benchmark))) is not None or r[1] is None)
     assert Counter(tuple(r) for r in out.collect()) == expected
     assert not any(r[0] == 1000 for r in expected) and any(r[0] == 1001 for r in expected)
+
+
+@pytest.mark.parametrize("block", [500_000, 3])
+def test_items_without_id_are_hit_and_cut(spark, block):
+    own, other = " ".join(f"a{k}" for k in range(12)), " ".join(f"b{k}" for k in range(12))
+    before, after = " ".join(f"x{k}" for k in range(20)), " ".join(f"y{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, f"{before} {own} {after}"), (2, own), (3, f"{before} {other} {after} {own}"), (4, before)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, own), (7, other)], BENCHMARK)
+    found = decontamination.contamination(docs, benchmark, block_windows=block).collect()
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in found} == {1: (12, []), 2: (12, []), 3: (24, ["7"]), 4: (0, [])}
+    assert {r.doc_id: r.text for r in decontamination.decontaminate(docs, benchmark, block_windows=block).collect()} == {1: f"{before} \n {after}", 3: f"{before} \n {after} \n", 4: before}
