@@ -2,15 +2,19 @@
 
 Training words are counted in full. The most frequent ``clustered`` words are assigned to ``classes`` classes by
 exchange clustering, which moves one word at a time to the class that raises the likelihood of the class
-bigrams most. Every other word belongs to a class of its own kind (frequent or rare, by length). A text's
-probability is the product of P(class | previous class) and P(word | class), both smoothed, over its words
-and one end token.
-
-Three scans: word counts; bigrams of the clustered words and kinds; scores. Word counts grow with the
-corpus and stay distributed. Two tables are broadcast, both of bounded size: the words above a frequency
-threshold that at most ``frequent`` words pass, and the class model. Words below the threshold, a few per cent
-of all tokens, are joined by fingerprint with the full count table. Words are identified by 64-bit
-fingerprints.
+bigrams most. Every other training word, however rare, then goes to the one of these classes
+that raises the likelihood most, by the counts of the classes on its left and right; among its neighbours, words
+outside the clustered ones count by kind (frequent or rare, by length). The class bigrams are counted again with
+the classes of all words. A text's probability is the product of P(class | previous class), which is smoothed,
+and P(word | class) over its words and one end token. A word unseen in training is the only member of a class for its
+length, which has no counts but the smoothing.
+
+Scans of the texts: word counts; bigrams of the clustered words and kinds; neighbours of all other words; classes of
+the frequent words. The last one leaves a class a word, in which the classes of rare words are filled in and which
+the class bigrams and scores are taken from. Words and their classes grow with the corpus and stay distributed. Two
+tables are broadcast, both of bounded size: the words above a frequency threshold that at most ``frequent`` words
+pass, and the class model. Words below the threshold, a few per cent of all tokens, are joined by fingerprint with
+the table of all classes. Words are identified by 64-bit fingerprints.
 
 Defined cases: a null or empty text is just the end token; a null id counts as the empty string, so its text
 is used for training; repeated rows are each learned from and scored; with no training text every count is 0
@@ -31,10 +35,12 @@ from .bytehash import U64, blocks
 from .common import materialise
 from .wordhash import NOT_BLANK, word_table
 
-#: Upper byte lengths of the kinds of words outside the clustered vocabulary.
+#: Upper byte lengths of the kinds of words outside the clustered vocabulary, and of unseen words.
 LENGTHS = np.array([3, 6, 9, 13])
 N_BINS = len(LENGTHS) + 1
 FLUSH_WORDS = 2_000_000
+FLUSH_NEIGHBOURS = 1 << 20
+ASSIGN_CELLS = 1 << 17
 TRANSITION_SMOOTHING = 0.5
 
 
@@ -93,10 +99,9 @@ class Model:
     tokens: int
     distinct: int
     end_count: int
-    class_of: np.ndarray | None = None
-    transition: np.ndarray | None = None
-    emission: np.ndarray | None = None  # by frequent word: log10 P(word | class)
-    rare_emission: np.ndarray | None = None  # by length bin: -log10 of the class's smoothed total
+    n_classes: int = 1
+    class_of: np.ndarray | None = None  # by symbol, for the neighbours of words outside the clustered ones
+    class_of_word: np.ndarray | None = None  # by frequent word
 
     @property
     def least(self) -> int:
@@ -215,72 +220,247 @@ def exchange_clustering(bigrams: np.ndarray, n_words: int, classes: int, rounds:
     return class_of
 
 
-def fit(rows: DataFrame, counts: DataFrame, frequent: int, clustered: int, classes: int) -> Model:
+def pairs_of(bigrams: np.ndarray, class_of: np.ndarray) -> np.ndarray:
+    """Counts of neighbouring classes."""
+    n = int(class_of.max()) + 1
+    pairs = np.zeros((n, n))
+    np.add.at(pairs, (class_of[:, None], class_of[None, :]), bigrams)
+    return pairs
+
+
+def neighbours(rows: DataFrame, model: Model) -> DataFrame:
+    """``word, cells``: of words outside the clustered ones, counts by the class before (cell = class) and after
+    (cell = number of classes + class), packed as ``cell << 48 | count``; a word comes once from each run of a task."""
+    shared, n = rows.sparkSession.sparkContext.broadcast(model), int(model.class_of.max()) + 1
+
+    def packed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        words, left, right = (np.concatenate(x) for x in zip(*parts))
+        own, where = np.unique(words, return_inverse=True)
+        cells, counts = np.unique(np.concatenate([where * (2 * n) + left, where * (2 * n) + n + right]), return_counts=True)
+        codes = (cells % (2 * n)) << 48 | counts
+        offsets = np.searchsorted(cells, np.arange(len(own) + 1) * (2 * n)) * 8
+        binary = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(codes.astype(np.int64))])
+        return pa.record_batch([pa.array(own.view(np.int64)), binary], names=["word", "cells"])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, parts, held = shared.value, [], 0
+        for batch in batches:
+            training = batch.column(1).to_numpy(zero_copy_only=False)
+            for i, j, data, starts in blocks(batch, "text"):
+                hashes, bins, first = word_block(data, starts)
+                number = np.diff(first)
+                chosen = np.repeat(training[i:j], number)
+                number = number[training[i:j]]
+                hashes = hashes[chosen]
+                _, symbols = own.look_up(hashes, bins[chosen])
+                line = own.class_of[own.sequence(symbols, np.concatenate([[0], np.cumsum(number)]))]
+                other = np.flatnonzero(symbols >= own.n_clustered)
+                if not len(other):
+                    continue
+                at = other + np.repeat(np.arange(len(number)), number)[other]  # an end stands after each text before
+                parts.append((hashes[other], line[at - 1], line[at + 1]))
+                held += len(other)
+                if held > FLUSH_NEIGHBOURS:
+                    yield packed(parts)
+                    parts, held = [], 0
+        if parts:
+            yield packed(parts)
+
+    return rows.mapInArrow(look, "word long, cells binary")
+
+
+def best_classes(owner: np.ndarray, cell: np.ndarray, times: np.ndarray, pairs: np.ndarray, n_classes: int) -> np.ndarray:
+    """For each word the induced class that raises the likelihood of the class bigrams most; cells are sorted by owner."""
+    g = lambda x: x * np.log(np.maximum(x, 1.0))
+    n, k = len(pairs), np.arange(n_classes)
+    starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    # by cell and class: what the class bigram has so far
+    some = np.concatenate([pairs[:, :n_classes], pairs[:n_classes].T])
+    gain = np.add.reduceat(g(some[cell] + times[:, None]) - g(some)[cell], starts)
+    # a class beside itself takes both counts in one cell
+    left, right = np.zeros((2, len(starts), n_classes))
+    for side, low in ((left, 0), (right, n)):
+        inside = (cell >= low) & (cell < low + n_classes)
+        np.add.at(side, (owner[inside], cell[inside] - low), times[inside])
+    w, c = np.nonzero((left > 0) & (right > 0))
+    same, a, b = pairs[k, k][c], left[w, c], right[w, c]
+    gain[w, c] += g(same + a + b) - g(same + a) - g(same + b) + g(same)
+    number = np.add.reduceat(np.where(cell < n, times, 0), starts)[:, None]
+    for total in (pairs[:n_classes].sum(1), pairs[:, :n_classes].sum(0)):
+        gain -= g(total + number) - g(total)
+    return np.argmax(gain, 1)
+
+
+def assign(rows: DataFrame, model: Model, pairs: np.ndarray) -> DataFrame:
+    """``word, n, class`` of every training word outside the clustered ones."""
+    n, n_classes = len(pairs), model.n_classes
+
+    def chosen(words: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+        own, owner = np.unique(words, return_inverse=True)
+        cells, where = np.unique(owner * (2 * n) + (codes >> 48), return_inverse=True)
+        times = np.bincount(where, codes & ((1 << 48) - 1), len(cells))
+        owner, cell = cells // (2 * n), cells % (2 * n)
+        number = np.bincount(owner, np.where(cell < n, times, 0), len(own))
+        best = best_classes(owner, cell, times, pairs, n_classes)
+        return pa.record_batch([pa.array(own), pa.array(number.astype(np.int64)), pa.array(best.astype(np.int16))], names=["word", "n", "class"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, codes, held = [], [], 0
+        for batch in batches:
+            column = batch.column(1).cast(pa.large_binary())
+            starts = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            codes.append(np.frombuffer(column.buffers()[2], np.uint8)[starts[0] : starts[-1]].copy().view(np.int64))
+            words.append(np.repeat(batch.column(0).to_numpy(), np.diff(starts) // 8))
+            held += len(words[-1])
+            if held > ASSIGN_CELLS:
+                w, c = np.concatenate(words), np.concatenate(codes)
+                last = int(np.searchsorted(w, w[-1]))  # the last word may go on in the next batch
+                if last:
+                    yield chosen(w[:last], c[:last])
+                words, codes = [w[last:]], [c[last:]]
+                held = len(words[0])
+        if held:
+            yield chosen(np.concatenate(words), np.concatenate(codes))
+
+    found = neighbours(rows, model)
+    return found.repartition("word").sortWithinPartitions("word").mapInArrow(choose, "word long, n long, class short")
+
+
+def fit(rows: DataFrame, counts: DataFrame, frequent: int, clustered: int, classes: int) -> tuple[Model, DataFrame]:
+    """The model of the frequent words, and ``word, n, class`` of all words that are not clustered."""
     model = frequent_words(counts, frequent, clustered)
     model.end_count = rows.filter("training").count()
     bigrams = count_bigrams(rows, model)
+    model.n_classes = max(1, min(classes, model.n_clustered))
     model.class_of = exchange_clustering(bigrams, model.n_clustered, classes)
-    n_classes = int(model.class_of.max()) + 1
-    pairs = np.zeros((n_classes, n_classes))
-    np.add.at(pairs, (model.class_of[:, None], model.class_of[None, :]), bigrams)
-    model.transition = np.log10((pairs + TRANSITION_SMOOTHING) / (pairs.sum(1, keepdims=True) + TRANSITION_SMOOTHING * n_classes))
-    in_class = pairs.sum(0)
-    model.emission = np.log10(model.counts / np.maximum(in_class[model.class_of[model.symbols]], 1)) if len(model.words) else np.zeros(0)
-    # a rare word's class also gives one count to each of its words and one to all unseen ones
-    rare = np.zeros(N_BINS)
-    for r in counts.filter(F.col("n") < model.least).groupBy("bin").agg(F.count("*").alias("n")).collect():
-        rare[r["bin"]] = r["n"]
-    rare_class = model.class_of[model.n_clustered + N_BINS : model.n_clustered + 2 * N_BINS]
-    model.rare_emission = -np.log10(in_class[rare_class] + rare + 1)
-    return model
-
-
-def local_scores(rows: DataFrame, model: Model) -> DataFrame:
-    """What a text's frequent words and classes give, and its rare words with their numbers."""
+    assigned = materialise(assign(rows, model, pairs_of(bigrams, model.class_of)), "word-classes")
+    model.class_of_word = model.class_of[model.symbols]
+    known = assigned.filter(F.col("n") >= model.least).select("word", "class").toArrow()  # frequent words only
+    model.class_of_word[np.searchsorted(model.words, known.column("word").to_numpy().view(U64))] = known.column("class").to_numpy()
+    return model, assigned
+
+
+def lines(rows: DataFrame, model: Model) -> DataFrame:
+    """The class of each word of a text: a frequent word's own, and -1 - length bin for the others. These
+    are listed once a text (``rare``), with the place in the list of each of them (``places``)."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        end = own.n_symbols - 1
-        base = np.log10(own.counts + 1.0)
-        end_base = np.log10(own.end_count + 1.0)
+        base, log = np.log10(own.counts + 1.0), np.log10(np.maximum(own.counts, 1))
         for batch in batches:
             for i, j, data, starts in blocks(batch, "text"):
                 n = j - i
                 hashes, bins, first = word_block(data, starts)
-                at, symbols = own.look_up(hashes, bins)
+                at, _ = own.look_up(hashes, bins)
                 known = at >= 0
                 per_word = np.zeros((3, len(hashes)))
-                per_word[0] = known
+                line = -1 - bins.astype(np.int16)
                 if len(own.words):
-                    per_word[1] = np.where(known, base[at], 0.0)
-                    per_word[2] = np.where(known, own.emission[at], own.rare_emission[bins])
-                else:
-                    per_word[2] = own.rare_emission[bins]
-                line = own.class_of[own.sequence(symbols, first)]
-                before = np.concatenate([[own.class_of[end]], line[:-1]])
-                steps = np.concatenate([[0.0], np.cumsum(own.transition[before, line])])
-                bounds = first + np.arange(n + 1)
+                    per_word[0], per_word[1], per_word[2] = known, np.where(known, base[at], 0.0), np.where(known, log[at], 0.0)
+                    line = np.where(known, own.class_of_word[at], line).astype(np.int16)
                 sums = np.concatenate([np.zeros((3, 1)), np.cumsum(per_word, 1)], 1)
-                n_frequent, base_sum, emission = sums[:, first[1:]] - sums[:, first[:-1]]
+                n_frequent, base_sum, log_sum = sums[:, first[1:]] - sums[:, first[:-1]]
                 rare = np.flatnonzero(~known)
                 text_of = np.searchsorted(first, rare, "right") - 1
                 order = np.lexsort((hashes[rare], text_of))
                 words, owner = hashes[rare][order], text_of[order]
-                new = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | (owner[1:] != owner[:-1])])) if len(words) else np.zeros(0, int)
-                number = np.diff(np.concatenate([new, [len(words)]]))
-                offsets = pa.array(np.searchsorted(owner[new], np.arange(n + 1)).astype(np.int32))
+                fresh = np.concatenate([[True], (words[1:] != words[:-1]) | (owner[1:] != owner[:-1])]) if len(words) else np.zeros(0, bool)
+                new = np.flatnonzero(fresh)
+                offsets = np.searchsorted(owner[new], np.arange(n + 1))
+                places = np.zeros(len(rare), np.int64)
+                places[order] = np.cumsum(fresh) - 1 - offsets[owner]
+                as_list = lambda o, v: pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(v))
                 yield pa.record_batch(
                     [
-                        batch.column(0).slice(i, n), batch.column(1).slice(i, n), batch.column(3).slice(i, n), pa.array(np.diff(first) + 1), pa.array(n_frequent.astype(np.int64)),
-                        pa.array(base_sum + end_base), pa.array(emission + steps[bounds[1:]] - steps[bounds[:-1]]),
-                        pa.ListArray.from_arrays(offsets, pa.array(words[new].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(number.astype(np.int64))),
+                        batch.column(0).slice(i, n), batch.column(1).slice(i, n), batch.column(3).slice(i, n), pa.array(n_frequent.astype(np.int64)), pa.array(base_sum), pa.array(log_sum),
+                        as_list(first, line), as_list(offsets, words[new].view(np.int64)), as_list(np.searchsorted(text_of, np.arange(n + 1)), places.astype(np.int32)),
                     ],
-                    names=["doc_id", "training", "row", "n_tokens", "n_frequent", "base", "local", "rare", "times"],
+                    names=["doc_id", "training", "row", "n_known", "base", "log_n", "line", "rare", "places"],
                 )
 
-    schema = "doc_id long, training boolean, row long, n_tokens long, n_frequent long, base double, local double, rare array<long>, times array<long>"
-    return rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(score, schema)
+    schema = "doc_id long, training boolean, row long, n_known long, base double, log_n double, line array<short>, rare array<long>, places array<int>"
+    return rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(look, schema)
+
+
+def filled(found: DataFrame, assigned: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, training, n_known, base, log_n, line``: lines with the classes of the rare words; an unseen word keeps
+    -1 - length bin."""
+    rare = found.select("row", F.posexplode("rare").alias("k", "word"))
+    seen = assigned.filter(F.col("n") < model.least)
+    joined = rare.join(seen, "word").groupBy("row").agg(F.collect_list(F.struct("k", "n", "class")).alias("own"))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_known, base, log_n = (batch.column(k).to_numpy().copy() for k in (1, 2, 3))
+            line, places, own = batch.column(4), batch.column(5), batch.column(6)
+            values = line.flatten().to_numpy().copy()
+            first = np.concatenate([[0], np.cumsum(line.value_lengths().to_numpy())])
+            for r in np.flatnonzero(own.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                k, n, c = (x.to_numpy() for x in own[r].values.flatten())
+                at = places[r].values.to_numpy()
+                number, class_of = np.zeros(at.max() + 1), np.full(at.max() + 1, -1)
+                number[k], class_of[k] = n, c
+                text = values[first[r] : first[r + 1]]
+                here = np.flatnonzero(text < 0)
+                hit = class_of[at] >= 0
+                text[here[hit]] = class_of[at][hit]
+                n_known[r] += hit.sum()
+                base[r] += np.log10(number[at][hit] + 1).sum()
+                log_n[r] += np.log10(number[at][hit]).sum()
+            offsets = pa.array(first.astype(np.int32))
+            yield pa.record_batch([*batch.column(0).flatten(), pa.array(n_known), pa.array(base), pa.array(log_n), pa.ListArray.from_arrays(offsets, pa.array(values))], names=["doc_id", "training", "n_known", "base", "log_n", "line"])
+
+    both = found.drop("rare").join(joined, "row", "left").select(F.struct("doc_id", "training").alias("of"), "n_known", "base", "log_n", "line", "places", "own")
+    return both.mapInArrow(fill, "doc_id long, training boolean, n_known long, base double, log_n double, line array<short>")
+
+
+def class_lines(batch: pa.RecordBatch, column: int, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of a batch with the end class after each text, and the number of words before each text."""
+    line = batch.column(column)
+    values = line.flatten().to_numpy().astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(line.value_lengths().to_numpy())])
+    values = np.where(values < 0, n_classes - 1 - values, values)
+    return np.insert(values, first[1:], n_classes + N_BINS), first
+
+
+def class_bigrams(whole: DataFrame, n_classes: int) -> np.ndarray:
+    """Counts of neighbouring classes in the training texts: induced ones, unseen ones by length, the end."""
+    size = n_classes + N_BINS + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(size * size, np.int64)
+        for batch in batches:
+            line, _ = class_lines(batch, 0, n_classes)
+            if len(line):
+                cells += np.bincount(np.concatenate([[size - 1], line[:-1]]) * size + line, minlength=size * size)
+        used = np.flatnonzero(cells)
+        yield pa.record_batch([pa.array(used), pa.array(cells[used])], names=["cell", "n"])
+
+    table = whole.filter("training").select("line").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most size ** 2 rows
+    out = np.zeros(size * size)
+    out[table.column("cell").to_numpy()] = table.column("n").to_numpy()
+    return out.reshape(size, size)
+
+
+def scored(whole: DataFrame, pairs: np.ndarray, n_classes: int, end_count: int) -> DataFrame:
+    """``doc_id, training, n_tokens, n_known, base, score`` by the class model."""
+    transition = np.log10((pairs + TRANSITION_SMOOTHING) / (pairs.sum(1, keepdims=True) + TRANSITION_SMOOTHING * len(pairs)))
+    within = np.zeros(len(pairs))  # an unseen word and the end are alone in their classes
+    within[:n_classes] = np.log10(np.maximum(pairs.sum(0)[:n_classes], 1))
+    step = transition - within[None, :]
+    end_base = float(np.log10(end_count + 1.0))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            line, first = class_lines(batch, 5, n_classes)
+            sums = np.concatenate([[0.0], np.cumsum(step[np.concatenate([[len(step) - 1], line[:-1]]), line])])
+            bounds = first + np.arange(len(first))
+            own = sums[bounds[1:]] - sums[bounds[:-1]] + batch.column(4).to_numpy()
+            base = batch.column(3).to_numpy() + end_base
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.diff(first) + 1), batch.column(2), pa.array(base), pa.array(own)], names=["doc_id", "training", "n_tokens", "n_known", "base", "score"])
+
+    return whole.mapInArrow(score, "doc_id long, training boolean, n_tokens long, n_known long, base double, score double")
 
 
 def score(docs: DataFrame, frequent: int = 1 << 17, clustered: int = 1024, classes: int = 32) -> DataFrame:
@@ -289,19 +469,14 @@ def score(docs: DataFrame, frequent: int = 1 << 17, clustered: int = 1024, class
     probability."""
     rows = texts(docs)
     counts = materialise(count_words(rows), "word-counts")
-    model = fit(rows, counts, frequent, clustered, classes)
-    scored = materialise(local_scores(rows, model), "scores")
-    rare = scored.select("row", F.explode(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("times"))).alias("w")).select("row", "w.word", "w.times")
-    seen = counts.filter(F.col("n") < model.least).select("word", "n")
-    joined = rare.join(seen, "word").groupBy("row").agg(F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rare_base"))
-    out = scored.drop("rare", "times").join(joined, "row", "left")
-    n_known = F.col("n_frequent") + F.coalesce("n_rare", F.lit(0)) + F.lit(int(model.end_count > 0))
-    rare_base = F.coalesce("rare_base", F.lit(0.0))
+    model, assigned = fit(rows, counts, frequent, clustered, classes)
+    whole = materialise(filled(materialise(lines(rows, model), "lines"), assigned, model), "class-lines")
+    found = scored(whole, class_bigrams(whole, model.n_classes), model.n_classes, model.end_count)
+    n_known = F.col("n_known") + F.lit(int(model.end_count > 0))
     train_tokens = model.tokens + model.end_count
     distinct = model.distinct + int(model.end_count > 0)
     total = float(np.log10(train_tokens + distinct + 1.0))
-    own = F.col("local") + rare_base
-    return out.select(
+    return found.select(
         "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", n_known.cast("long").alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + rare_base - F.col("n_tokens") * F.lit(total)).alias("base_score"), own.alias("score"), F.pow(F.lit(10.0), -own / F.col("n_tokens")).alias("perplexity"),
+        (F.col("base") - F.col("n_tokens") * F.lit(total)).alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )

@@ -217,3 +217,76 @@ def test_items_without_id_are_hit_and_cut(spark, block):
     found = decontamination.contamination(docs, benchmark, block_windows=block).collect()
     assert {r.doc_id: (r.n_hit, r["items"]) for r in found} == {1: (12, []), 2: (12, []), 3: (24, ["7"]), 4: (0, [])}
     assert {r.doc_id: r.text for r in decontamination.decontaminate(docs, benchmark, block_windows=block).collect()} == {1: f"{before} \n {after}", 3: f"{before} \n {after} \n", 4: before}
+
+
+def fingerprint(word):
+    import numpy as np
+    from medialake.llm.wordhash import NOT_BLANK, word_table
+
+    data = word.encode()
+    return int(word_table(np.frombuffer(data, np.uint8), np.array([0, len(data)]), NOT_BLANK)[2].view(np.int64)[0])
+
+
+@pytest.mark.parametrize("frequent", [100, 8])
+def test_every_training_word_has_an_induced_class(spark, frequent):
+    clustered, n_classes = 30, 6
+    docs = documents(spark)
+    out = lambda r: zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 == 2
+    tokens = [(r, BLANK_WORD.findall((r[1] or "").translate(LOWER))) for r in rows()]
+    training = [own for r, own in tokens if not out(r)]
+    c = Counter(w for own in training for w in own)
+    texts = lm_scoring.texts(docs)
+    model, assigned = lm_scoring.fit(texts, lm_scoring.count_words(texts), frequent, clustered, n_classes)
+    n_classes = model.n_classes
+    of = {fingerprint(w): w for w in c}
+    seed = {of[int(w)]: int(model.class_of[s]) for w, s in zip(model.words.view("int64"), model.symbols) if s < model.n_clustered}
+    found = {of[r.word]: (r.n, r["class"]) for r in assigned.collect()}
+    assert set(found) == set(c) - set(seed) and all(n == c[w] for w, (n, _) in found.items())
+
+    # each word has the class that gives the class bigrams the greatest likelihood, all others left as they were
+    held = {of[int(w)] for w in model.words.view("int64")}
+    bin_of = lambda w: sum(len(w.encode()) > k for k in (3, 6, 9, 13))
+    kind = lambda w: seed.get(w, ("frequent" if w in held else "rare", bin_of(w)))
+    pairs, beside = Counter(), {w: Counter() for w in found}
+    for own in training:
+        for a, b in zip(["end", *map(kind, own)], [*map(kind, own), "end"]):
+            pairs[a, b] += 1
+        line = ["end", *map(kind, own), "end"]
+        for i, w in enumerate(own):
+            if w in found:
+                beside[w][line[i], None] += 1
+                beside[w][None, line[i + 2]] += 1
+    g = lambda x: x * math.log(x) if x else 0.0
+    before, after = Counter(), Counter()
+    for (a, b), n in pairs.items():
+        before[a] += n
+        after[b] += n
+
+    def gain(w, k):
+        new = Counter()
+        for (a, b), n in beside[w].items():
+            new[k if a is None else a, k if b is None else b] += n
+        return sum(g(pairs[p] + n) - g(pairs[p]) for p, n in new.items()) - sum(g(t[k] + c[w]) - g(t[k]) for t in (before, after))
+
+    for w, (_, k) in found.items():
+        assert gain(w, k) >= max(gain(w, x) for x in range(n_classes)) - 1e-6
+
+    # the score, by a plain class model over these classes
+    class_of = lambda w: seed[w] if w in seed else found[w][1] if w in found else ("unseen", bin_of(w))
+    steps, totals, into = Counter(), Counter(), Counter()
+    for own in training:
+        line = [*map(class_of, own), "end"]
+        for a, b in zip(["end", *line], line):
+            steps[a, b] += 1
+            totals[a] += 1
+            into[b] += 1
+    expected = Counter()
+    for r, own in tokens:
+        total, last = 0.0, "end"
+        for w in [*own, None]:
+            k = "end" if w is None else class_of(w)
+            total += math.log10((steps[last, k] + 0.5) / (totals[last] + 0.5 * (n_classes + 6))) + (math.log10(c[w] / into[k]) if w in c else 0)
+            last = k
+        expected[r[0], round(total, 5)] += 1
+    got = lm_scoring.score(docs, frequent=frequent, clustered=clustered, classes=6)
+    assert Counter((r.doc_id, round(r.score, 5)) for r in got.collect()) == expected
