@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from corpus import documents, empty, rows, words
 
+import pyspark.sql.functions as F
 from medialake.llm import near_dedup, repeats
 
 
@@ -127,3 +128,22 @@ def test_signature_of_any_size_is_full(n):
     hashes = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     got = near_dedup.signatures(np.zeros(n, int), hashes, np.ones(n, int), 1)
     assert np.isfinite(got.view(float)).all()
+
+
+def test_long_pairs_at_the_threshold(spark):
+    n = 360_000  # shingles a text; two texts shifted by n / 9 words have a similarity of exactly 0.8
+    text = lambda low: " ".join(f"{k:x}" for k in range(low, low + n + 4))
+    docs = spark.createDataFrame([(1, text(0)), (2, text(n // 9)), (3, text(n // 9 + n // 9 + 1))], "doc_id long, text string")
+    described = near_dedup.describe(docs).select("doc_id", F.col("bag").alias("node"), "key", "check").collect()
+    of = {r.node: r.doc_id for r in described}
+    wanted = spark.createDataFrame([(r.node, r.key, r.check) for r in described], "node long, key long, check long")
+    sets = near_dedup.shingle_sets(docs, wanted).collect()
+    assert all(len(set(r.shingles)) == n for r in sets)
+    node = {v: k for k, v in of.items()}
+    pairs = spark.createDataFrame([(node[a], node[b]) for a, b in ((1, 2), (2, 3), (1, 3))], "a long, b long")
+    near = near_dedup.compared(pairs, spark.createDataFrame(sets, "node long, shingles array<long>"), 0.8).collect()
+    assert [{of[r.a], of[r.b]} for r in near] == [{1, 2}]
+    arrays = {of[r.node]: np.sort(np.array(r.shingles)) for r in sets}
+    none = np.zeros((3, near_dedup.SKETCH_WORDS), np.uint64)
+    a, b = near_dedup.similar_pairs(np.full(3, n), none, np.arange(3), [arrays[k] for k in (1, 2, 3)], 0.8)
+    assert list(zip(a.tolist(), b.tolist())) == [(0, 1)]
