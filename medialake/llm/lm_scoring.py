@@ -2,7 +2,7 @@
 
 Training words are counted in full. The most frequent ``clustered`` words are assigned to ``classes`` classes by
 exchange clustering, which moves one word at a time to the class that raises the likelihood of the class
-bigrams most. Every other training word, however rare, then goes to the one of these classes
+bigrams most, until none moves. Every other training word, however rare, then goes to the one of these classes
 that raises the likelihood most, by the counts of the classes on its left and right; among its neighbours, words
 outside the clustered ones count by kind (frequent or rare, by length). The class bigrams are counted again with
 the classes of all words. A text's probability is the product of P(class | previous class), which is smoothed,
@@ -173,8 +173,9 @@ def count_bigrams(rows: DataFrame, model: Model) -> np.ndarray:
     return out.reshape(size, size)
 
 
-def exchange_clustering(bigrams: np.ndarray, n_words: int, classes: int, rounds: int = 3) -> np.ndarray:
-    """Classes of the first ``n_words`` symbols; every other symbol is a class of its own."""
+def exchange_clustering(bigrams: np.ndarray, n_words: int, classes: int) -> np.ndarray:
+    """Classes of the first ``n_words`` symbols; every other symbol is a class of its own. Passes go on until no word
+    moves; a move has to gain more than rounding can, so they end."""
     classes = max(1, min(classes, n_words))
     n_other = len(bigrams) - n_words
     total = classes + n_other
@@ -186,8 +187,10 @@ def exchange_clustering(bigrams: np.ndarray, n_words: int, classes: int, rounds:
     pairs = np.zeros((total, total))
     np.add.at(pairs, class_of, between)
     g = lambda x: x * np.log(np.maximum(x, 1.0))
-    for _ in range(rounds):
-        moved = 0
+    tolerance = 1e-9 + 1e-13 * float(g(float(bigrams.sum())))
+    moved = True
+    while moved:
+        moved = False
         for w in range(n_words):
             old, own = class_of[w], bigrams[w, w]
             right, left = between[w].copy(), into[w].copy()
@@ -201,22 +204,21 @@ def exchange_clustering(bigrams: np.ndarray, n_words: int, classes: int, rounds:
             columns = g(pairs[:, :classes] + left[:, None]) - g(pairs[:, :classes])
             k = np.arange(classes)
             gain = rows.sum(1) + columns.sum(0) - rows[k, k] - columns[k, k] + g(some[k, k] + right[k] + left[k] + own) - g(some[k, k])
-            out_of, in_to = some.sum(1), pairs[:, :classes].sum(0)
+            # a class's total has its bigrams with the word, wherever the word goes
+            out_of, in_to = some.sum(1) + left[:classes], pairs[:, :classes].sum(0) + right[:classes]
             n_right, n_left = right.sum() + own, left.sum() + own
             gain -= g(out_of + n_right) - g(out_of) + g(in_to + n_left) - g(in_to)
-            new = int(np.argmax(gain)) if gain.max() > gain[old] + 1e-9 else old
+            new = int(np.argmax(gain)) if gain.max() > gain[old] + tolerance else old
             pairs[new] += right
             pairs[:, new] += left
             pairs[new, new] += own
             if new != old:
-                moved += 1
+                moved = True
                 class_of[w] = new
                 between[:, old] -= bigrams[:, w]
                 between[:, new] += bigrams[:, w]
                 into[:, old] -= bigrams[w]
                 into[:, new] += bigrams[w]
-        if not moved:
-            break
     return class_of
 
 

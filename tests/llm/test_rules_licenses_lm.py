@@ -290,3 +290,22 @@ def test_every_training_word_has_an_induced_class(spark, frequent):
         expected[r[0], round(total, 5)] += 1
     got = lm_scoring.score(docs, frequent=frequent, clustered=clustered, classes=6)
     assert Counter((r.doc_id, round(r.score, 5)) for r in got.collect()) == expected
+
+
+def test_exchange_clustering_ends_in_a_local_optimum():
+    import numpy as np
+
+    bigrams = np.random.default_rng(5).poisson(2.0, (61, 61))
+    g = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+
+    def likelihood(class_of):
+        pairs = lm_scoring.pairs_of(bigrams, class_of)
+        return g(pairs) - g(pairs.sum(0)) - g(pairs.sum(1))
+
+    classes = lm_scoring.exchange_clustering(bigrams, 60, 6)
+    best = likelihood(classes)
+    for w in range(60):
+        for k in range(6):
+            moved = classes.copy()
+            moved[w] = k
+            assert likelihood(moved) <= best + 1e-6
