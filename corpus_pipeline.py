@@ -53,7 +53,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Label-model fitting, MinHash classes and tokenisation are not SQL; tests/llm compare each stage with brute force.
+#: Label-model fitting, MinHash classes and tokenisation are not SQL; tests/llm/test_pipeline.py compares the stages with
+#: brute force, except the label model's verdicts and the packing plan, which it takes from their operators.
 ORACLE_SQL = None
 
 
