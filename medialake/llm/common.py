@@ -6,6 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,9 +23,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which every executor sees; a local one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which every executor sees. Where it is unset, a temporary one if the driver
+    is the only executor, and an error on a cluster, whose executors would not see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors see")
         folder = "file://" + tempfile.mkdtemp(prefix="medialake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -49,7 +53,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def discard(*frames: DataFrame) -> None:
     """Deletes the files of materialised frames that no later plan reads."""
     for df in frames:
-        _remove(df.sparkSession, df._medialake_path)
+        own = (df.sparkSession, df._medialake_path)
+        _remove(*own)
+        if own in _written:
+            _written.remove(own)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``materialise(make(), name)``, after which the work files that ``make`` left are deleted."""
+    mark = len(_written)
+    out = materialise(make(), name)
+    for own in _written[mark:-1]:
+        _remove(*own)
+    del _written[mark:-1]
+    return out
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -77,5 +94,13 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Input bytes, as stored, that a task of a range sort is meant to take.
+TASK_BYTES = 64 << 20
+
+
+def shuffle_width(df: DataFrame) -> int:
+    """Tasks of a shuffle of ``df``: the session's number, or more where its files are large."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    stored = sum(n for n in sizes if n < 1 << 60)  # beyond that the planner does not know
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-stored // TASK_BYTES))

@@ -19,7 +19,6 @@ of the input are ignored, whatever their names. A null id sorts first.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -111,8 +110,9 @@ def _hold(tree: CapacityTree, held: dict[int, list[tuple[int, int]]], capacity:
     held.setdefault(capacity, []).append((first, n))
 
 
-def pieces_of(docs: DataFrame, vocabulary: str, window: int, end_id: int) -> DataFrame:
-    """One row for each piece: a full window, or the rest of a document."""
+def pieces_of(docs: DataFrame, vocabulary: str, window: int, end_id: int, with_ids: bool = False) -> DataFrame:
+    """One row for each piece: a full window, or the rest of a document; with its ids as bytes if ``with_ids``."""
+    schema = PIECE_ARROW.append(pa.field("ids", pa.binary())) if with_ids else PIECE_ARROW
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
@@ -121,26 +121,25 @@ def pieces_of(docs: DataFrame, vocabulary: str, window: int, end_id: int) -> Dat
             for i, j, data, starts in blocks(batch, "text"):
                 raw = data.tobytes()
                 texts = [raw[starts[r] : starts[r + 1]] for r in range(j - i)]
-                rows: tuple[list, ...] = ([], [], [], [], [])
+                rows: tuple[list, ...] = tuple([] for _ in schema)
                 for doc_id, packed in zip(ids[i:j], encode.packed(texts)):
                     packed += end
                     total = len(packed) // 4
                     for start in range(0, total, window):
                         part = packed[4 * start : 4 * (start + window)]
-                        for column, value in zip(rows, (doc_id, start, len(part) // 4, zlib.crc32(part), total)):
+                        for column, value in zip(rows, (doc_id, start, len(part) // 4, zlib.crc32(part), total, part)):
                             column.append(value)
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in rows], schema=PIECE_ARROW)
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECE + ", ids binary" * with_ids)
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """Packs ``docs(doc_id, text)``: a row for each piece with its sequence and its offset there."""
-    spark = docs.sparkSession
-    pieces = materialise(pieces_of(docs, vocabulary, window, end_id), "pieces")
+    pieces = materialise(pieces_of(docs, vocabulary, window, end_id, with_ids), "pieces")
     # a range sort by (length, document) numbers the pieces of a length without gathering them in one task
     ordered = materialise(
-        pieces.repartitionByRange(shuffle_width(spark), F.col("length"), F.col("doc_id"), F.col("start"), F.xxhash64("ids_crc32", "doc_tokens"))
+        pieces.repartitionByRange(shuffle_width(pieces), F.col("length"), F.col("doc_id"), F.col("start"), F.xxhash64("ids_crc32", "doc_tokens"))
         .sortWithinPartitions("length", "doc_id", "start")
         .withColumn("part", F.spark_partition_id())
         .withColumn("row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
@@ -158,36 +157,38 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1)
     for length in sorted([*histogram, window]):
         smaller[length] = at
         at += histogram.get(length, 0)
-    lookup = {length: ([r.first for r in rs], [(r.window, r.offset) for r in rs]) for length, rs in runs.items()}
+    # by length: rank of the first piece of each run, its window and its offset
+    found = {length: np.array([(r.first, full + r.window, r.offset) for r in rs], np.int64).T for length, rs in runs.items()}
+    found[window] = np.zeros((3, 1), np.int64)
+    plan = docs.sparkSession.sparkContext.broadcast((before, smaller, found))  # bounded by the window and the partitions
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, smaller, found = plan.value
         for batch in batches:
-            sequence, offset = [], []
-            for length, part, row in zip(batch.column("length").to_pylist(), batch.column("part").to_pylist(), batch.column("row").to_pylist()):
-                rank = before[part] + row - smaller[length]
-                if length == window:
-                    sequence.append(rank)
-                    offset.append(0)
-                    continue
-                firsts, targets = lookup[length]
-                k = bisect_right(firsts, rank) - 1
-                sequence.append(full + targets[k][0] + rank - firsts[k])
-                offset.append(targets[k][1])
-            yield pa.record_batch([*batch.columns[:5], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=[*PIECE_ARROW.names, "sequence_id", "offset"])
+            length, part, row = (batch.column(c).to_numpy() for c in ("length", "part", "row"))
+            sequence, offset = np.zeros((2, len(length)), np.int64)
+            cuts = np.flatnonzero(np.diff(length, prepend=-1, append=-1))  # rows are sorted by length
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                first, to, at = found[int(length[a])]
+                parts, where = np.unique(part[a:b], return_inverse=True)
+                rank = np.array([before[int(p)] for p in parts])[where] + row[a:b] - smaller[int(length[a])]
+                k = np.searchsorted(first, rank, "right") - 1
+                sequence[a:b], offset[a:b] = to[k] + rank - first[k], at[k]
+            columns = [c for c in batch.schema.names if c not in ("part", "row")]
+            yield pa.record_batch([*(batch.column(c) for c in columns), pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
+
+    return ordered.mapInArrow(place, PIECE + ", ids binary" * with_ids + ", sequence_id long, offset long")
 
-    return ordered.mapInArrow(place, PIECE + ", sequence_id long, offset long")
 
+def token_sequences(packed: DataFrame, window: int = 2048, pad_id: int = 0) -> DataFrame:
+    """The sequences of ``packed``, a plan made with ``with_ids``: ``sequence_id, ids array<int>`` padded to ``window``.
 
-def token_sequences(packed: DataFrame, docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, pad_id: int = 0) -> DataFrame:
-    """The packed sequences themselves, ``sequence_id, ids array<int>`` padded to ``window`` (ids must be unique)."""
+    Each piece brings the ids that were made when its document was cut, so document ids may be repeated or null."""
 
     def fill(key: tuple, rows: pa.Table) -> pa.Table:
-        encode, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
-        out = np.full(window, pad_id, "<u4")
-        texts = [(t or "").encode() for t in rows.column("text").to_pylist()]
-        for start, length, offset, packed_ids in zip(*(rows.column(c).to_pylist() for c in ("start", "length", "offset")), encode.packed(texts)):
-            out[offset : offset + length] = np.frombuffer(packed_ids + end, "<u4")[start : start + length]
+        out = np.full(window, pad_id, "<i4")
+        for offset, own in zip(rows.column("offset").to_pylist(), rows.column("ids").to_pylist()):
+            out[offset : offset + len(own) // 4] = np.frombuffer(own, "<i4")
         return pa.table({"sequence_id": [key[0].as_py()], "ids": [out.astype(np.int32)]})
 
-    joined = packed.select("doc_id", "start", "length", "sequence_id", "offset").join(docs.select("doc_id", "text"), "doc_id")
-    return joined.groupBy("sequence_id").applyInArrow(fill, "sequence_id long, ids array<int>")
+    return packed.select("sequence_id", "offset", "ids").groupBy("sequence_id").applyInArrow(fill, "sequence_id long, ids array<int>")

@@ -1,9 +1,10 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyspark.sql.functions as F
 import pytest
 from corpus import documents, empty, rows
 from tokenizers import Tokenizer
@@ -109,12 +110,19 @@ def test_packing(spark, library):
 
 
 def test_token_sequences(spark, library):
-    docs = documents(spark).filter("doc_id < 20").dropDuplicates(["doc_id"])
-    packed = packing.pack(docs, VOCABULARY, window=64)
-    filled = packing.token_sequences(packed, docs, VOCABULARY, window=64).collect()
+    """Of rows with repeated and null ids and of a text longer than a window, every id is in its place."""
+    window = 64
+    packed = packing.pack(documents(spark), VOCABULARY, window=window, with_ids=True).cache()
+    filled = packing.token_sequences(packed, window).collect()
     by = {r.sequence_id: r.ids for r in filled}
+    used = Counter()
     for p in packed.collect():
         assert crc(by[p.sequence_id][p.offset : p.offset + p.length]) == p.ids_crc32
+        used[p.sequence_id] += p.length
+    assert len(by) == len(filled) == len(used)
+    assert all(len(ids) == window and not any(ids[used[k] :]) for k, ids in by.items())
+    got = Counter(t for k, ids in by.items() for t in ids[: used[k]])
+    assert got == Counter(t for r in rows() for t in [*ids_of(library, r[1]), 1])
 
 
 def test_packing_empty(spark):
@@ -135,5 +143,45 @@ def test_token_output_round_trip(spark, library):
     assert back.filter("doc_id = 7").count() == 1
 
 
+def test_start_is_where_the_ids_lie(spark, library):
+    """Rows that share an id have different starts, and the files hold their ids there."""
+    docs = spark.createDataFrame([(5, t) for t in ("one", "two words", "three words here", "and a much longer text " * 20, None)] + [(None, "x"), (None, "y y")], "doc_id long, text string")
+    path = work_path(spark, "test-ids")
+    token_output.write_token_ids(docs.repartition(3), path, VOCABULARY)
+    back = token_output.read_token_ids(spark, path).select("*", "_metadata.file_name").collect()
+    line = [i for r in sorted(back, key=lambda r: (r.file_name, r.row)) for i in r.ids]
+    found = token_output.digests(token_output.read_token_ids(spark, path)).collect()
+    assert sorted(r.doc_id is None for r in found) == [False] * 5 + [True] * 2
+    for r in found:
+        assert crc(line[r.start : r.start + r.n_tokens]) == r.ids_crc32
+
+
+def test_stripes_have_row_indexes_and_bloom_filters(spark):
+    """The files' footers name both, and a reader that looks for one document skips the others' rows."""
+    docs = spark.range(0, 40_000).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text")).coalesce(1)
+    path = work_path(spark, "test-stripes")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        token_output.write_token_ids(docs, path, VOCABULARY)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = [f.getPath() for f in folder.getFileSystem(conf).listStatus(folder) if f.getPath().getName().endswith(".orc")]
+    reader = jvm.org.apache.orc.OrcFile.createReader(files[0], jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    assert reader.getNumberOfRows() == 40_000 and reader.getRowIndexStride() == 1000
+    stripe = reader.rows().readStripeFooter(reader.getStripes().get(0))
+    kinds = Counter(stripe.getStreams(k).getKind().toString() for k in range(stripe.getStreamsCount()))
+    assert kinds["ROW_INDEX"] >= 1 and kinds["BLOOM_FILTER_UTF8"] == 1
+    assert all(stripe.getColumns(k).getKind().toString() == "DIRECT_V2" for k in range(1, 5))  # run-length encoded
+    one = token_output.read_token_ids(spark, path).filter("doc_id = 12345")
+    assert one.count() == 1
+    scan = one.select("doc_id", "row")
+    scan.collect()
+    plan = scan._jdf.queryExecution().executedPlan()
+    read = plan.collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+    assert read <= 2000
+
+
 def test_token_output_empty(spark):
     assert token_output.token_output(empty(spark), VOCABULARY).count() == 0
