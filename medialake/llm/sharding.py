@@ -11,12 +11,14 @@ histogram has a few rows for each shard, and it stays a DataFrame.
 
 Defined cases: a null or empty text has 0 bytes; a null id hashes as the empty string; a document over the
 limit, and equal rows together over it, cannot be split: their bucket ends when it has one hash value, with
-``fits`` false; an empty table gives no rows; other columns are ignored by ``shard`` and kept by
-``write_shards``.
+``fits`` false; a text of any length counts by its bytes; an empty table gives no rows; other columns are ignored
+by ``shard`` and kept by ``write_shards``, whose folders are named by ``shard`` or, if that is taken, ``_shard``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
@@ -49,26 +51,32 @@ def buckets(rows: DataFrame, limit: int, low: int, high: int) -> DataFrame:
     return leaf.select("fine", "leaf.*")
 
 
-def shard(docs: DataFrame, limit: int, key: str = "doc_id", slack_bits: int = 4) -> DataFrame:
-    """``key, n_bytes, shard, depth, shard_docs, shard_bytes, fits``; ``shard`` is the prefix as a bit string."""
+def levels(docs: DataFrame, limit: int, key: str, slack_bits: int) -> Iterator[tuple[int, DataFrame, DataFrame]]:
+    """For each round its number of bits, its rows and its leaves, the shards by ``fine``, the first bits of a hash. A
+    row has its shard in the first round whose leaves know its ``fine``."""
     rows = materialise(sized(docs, key), "sized")
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).first()["n"]
     low, high = 0, min(BITS, max(1, (max(1, total) // limit).bit_length() + slack_bits))
-    placed: DataFrame | None = None
     while True:
-        leaves = materialise(buckets(rows, limit, low, high), "leaves")
-        fine = F.shiftright("hash", BITS - high).alias("fine")
-        here = rows.select("*", fine).join(leaves, "fine").drop("fine")
-        placed = here if placed is None else placed.unionByName(here)
+        name = F.expr(f"CASE WHEN depth = 0 THEN '' ELSE lpad(bin(shiftright(fine, {high} - depth)), depth, '0') END")
+        leaves = materialise(buckets(rows, limit, low, high).withColumn("shard", name), "leaves")
+        yield high, rows, leaves
         if high == BITS:
-            break
-        rest = materialise(rows.select("*", fine).join(leaves, "fine", "left_anti").drop("fine"), "sized")
+            return
+        rest = materialise(rows.join(leaves, F.shiftright("hash", BITS - high) == F.col("fine"), "left_anti"), "sized")
         if rest.isEmpty():
             discard(rest)
-            break
+            return
         rows, low, high = rest, high + 1, min(BITS, high + 12)
-    bits = F.expr(f"CASE WHEN depth = 0 THEN '' ELSE lpad(bin(shiftright(hash, {BITS} - depth)), depth, '0') END")
-    return placed.select(key, "n_bytes", bits.alias("shard"), "depth", "shard_docs", "shard_bytes", (F.col("shard_bytes") <= limit).alias("fits"))
+
+
+def shard(docs: DataFrame, limit: int, key: str = "doc_id", slack_bits: int = 4) -> DataFrame:
+    """``key, n_bytes, shard, depth, shard_docs, shard_bytes, fits``; ``shard`` is the prefix as a bit string."""
+    placed: DataFrame | None = None
+    for high, rows, leaves in levels(docs, limit, key, slack_bits):
+        here = rows.join(leaves, F.shiftright("hash", BITS - high) == F.col("fine"))
+        placed = here if placed is None else placed.unionByName(here)
+    return placed.select(key, "n_bytes", "shard", "depth", "shard_docs", "shard_bytes", (F.col("shard_bytes") <= limit).alias("fits"))
 
 
 def directory(shards: DataFrame) -> DataFrame:
@@ -78,14 +86,17 @@ def directory(shards: DataFrame) -> DataFrame:
     return own.select("*", first.alias("first_hash"), (first + F.expr(f"shiftleft(1L, {BITS} - depth) - 1")).alias("last_hash"))
 
 
-def write_shards(docs: DataFrame, path: str, limit: int, key: str = "doc_id") -> None:
-    """Writes ``docs`` to a folder for each shard; rows find their shard by the directory's hash ranges.
-
-    Directory entries are sorted, disjoint ranges, so each row joins on the prefix of its shard's depth."""
-    leaves = directory(shard(docs, limit, key))
-    depths = sorted(r["depth"] for r in leaves.select("depth").distinct().collect())
-    hashed = docs.withColumn("_hash", document_hash(key))
-    prefixes = [F.struct(F.lit(d).alias("depth"), F.shiftright("_hash", BITS - d).alias("prefix")) for d in depths]
-    keyed = leaves.select("shard", F.struct("depth", F.expr(f"shiftright(first_hash, {BITS} - depth)").alias("prefix")).alias("_at"))
-    out = hashed.withColumn("_at", F.explode(F.array(*prefixes))).join(keyed, "_at").drop("_at", "_hash")
-    out.repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit: int, key: str = "doc_id", slack_bits: int = 4) -> None:
+    """Writes ``docs`` to a folder for each shard.
+
+    A row finds its shard by the first bits of its hash in the leaves of each round, of which there is one unless
+    some bucket is deeper than the histogram; leaves have a few rows a shard, and rows are never multiplied."""
+    out, at = docs.select(F.struct("*").alias("row"), document_hash(key).alias("hash")), F.lit(None).cast("string")
+    for high, _, leaves in levels(docs, limit, key, slack_bits):
+        own = leaves.select(F.col("fine").alias(f"fine{high}"), F.col("shard").alias(f"shard{high}"))
+        out = out.join(own, F.shiftright("hash", BITS - high) == own[f"fine{high}"], "left")
+        at = F.coalesce(at, F.col(f"shard{high}"))
+    name = "shard"
+    while name in docs.columns:
+        name = "_" + name
+    out.select("row.*", at.alias(name)).repartition(name).write.partitionBy(name).parquet(path)

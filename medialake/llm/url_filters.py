@@ -7,12 +7,16 @@ path prefixes. The join is an equality on the pattern with the interval as a fur
 of one list and pattern are disjoint, so a capture meets at most one of each.
 
 The interval table is broadcast only while it has at most ``broadcast_rows`` rows; beyond that the same join
-shuffles, where a hot host is split by adaptive execution.
+shuffles, where a hot host is split by adaptive execution. Each distinct capture is looked up once, and the
+captures that some interval blocks go back to their rows. Rows that cannot be blocked get a join key of their
+own, so rows without a URL, however many, do not meet in one task.
 
 Defined cases: a null or unparseable URL has no host and is never blocked; a null fetch time meets no
 interval; entries with a null pattern, time or action are ignored; entries of one list, pattern and time that
 disagree count as a removal; repeated entries count once; an add while active and a remove while inactive
-change nothing; repeated captures each get their row; empty tables block nothing or give no rows.
+change nothing; repeated captures each get their row; hosts and paths are compared in lower case, in patterns and
+URLs alike; a host that is an IP address is split at its dots like any other, so a pattern ``2.10`` covers
+``10.1.2.10``; a URL of any length is matched whole; empty tables block nothing or give no rows.
 """
 
 from __future__ import annotations
@@ -62,7 +66,9 @@ def evaluate(captures: DataFrame, entries: DataFrame, broadcast_rows: int = BROA
     found = hits.groupBy(F.col("url").alias("_url"), F.col("fetched_at").alias("_at")).agg(
         F.count("*").alias("n_entries"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"), F.max("active_from").alias("active_since")
     )
-    out = rows.join(found, (rows["url"] == found["_url"]) & (rows["fetched_at"] == found["_at"]), "left")
+    own = F.concat(F.lit("\n"), F.monotonically_increasing_id().cast("string"))  # equal to no URL with a host
+    rows = rows.withColumn("_key", F.when((F.col("host") != "") & F.col("fetched_at").isNotNull(), F.col("url")).otherwise(own))
+    out = rows.join(found, (F.col("_key") == F.col("_url")) & (rows["fetched_at"] == found["_at"]), "left")
     return out.select(
         "page_id", "url", "fetched_at", "host", F.col("n_entries").isNotNull().alias("blocked"), F.coalesce("n_entries", F.lit(0)).cast("long").alias("n_entries"), F.coalesce("lists", F.lit("")).alias("lists"), "active_since"
     )

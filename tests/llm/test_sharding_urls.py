@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
 
 import duckdb
+import pyspark.sql.functions as F
 from corpus import documents, empty, rows
 
 from medialake.llm import sharding, url_filters
@@ -52,9 +53,20 @@ def test_directory_and_files(spark):
     shards = sharding.shard(docs, 20000)
     ranges = sorted((r.first_hash, r.last_hash) for r in sharding.directory(shards).collect())
     assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    where = Counter((r.doc_id, r.shard) for r in shards.collect())
+    for slack_bits in (4, -3):  # one round, and several
+        path = work_path(spark, "test-shards")
+        sharding.write_shards(docs, path, 20000, slack_bits=slack_bits)
+        back = spark.read.schema(docs.withColumn("shard", F.lit("")).schema).parquet(path).collect()
+        assert Counter((r.doc_id, r.shard or "") for r in back) == where
+        assert Counter(tuple(r)[:-1] for r in back) == Counter(tuple(r) for r in rows())
+
+
+def test_shard_column_of_the_input_is_kept(spark):
+    docs = spark.createDataFrame([(1, "a", "mine", 7), (2, None, None, None)], "doc_id long, text string, shard string, hash long")
     path = work_path(spark, "test-shards")
-    sharding.write_shards(docs, path, 20000)
-    assert Counter(r.doc_id for r in spark.read.parquet(path).collect()) == Counter(r[0] for r in rows())
+    sharding.write_shards(docs, path, 1000)
+    assert {(r.doc_id, r.text, r.shard, r.hash) for r in spark.read.parquet(path).collect()} == {(1, "a", "mine", 7), (2, None, None, None)}
 
 
 def test_sharding_empty(spark):
