@@ -13,19 +13,21 @@ horizon. Two documents agree on a register with the probability of their weighte
 Search: documents with equal bags are one node. Bands of registers put nodes into buckets. In each bucket
 the nodes are first compared with a pivot, and only across components that are still apart; a bucket is
 finished when the rest of it is in one component, so a bucket of copies costs about one comparison a node.
-Buckets that are still mixed after their pivot are compared in blocks within tasks, which return similar pairs
-only. So no pair that shares a bucket and could still join two components goes untested. A two-bit sketch of the
-registers rules out pairs five standard deviations below the threshold (3e-7 of those at it); all other
-comparisons count shingles.
+What is still mixed goes to the next pivot while buckets exceed a block, up to ``PIVOT_ROUNDS`` times, and is then
+compared in blocks within tasks. A task joins components as it finds similar pairs and returns a spanning forest,
+fewer pairs than nodes. So no pair that shares a bucket and could still join two components goes untested. A
+two-bit sketch of the registers rules out pairs five standard deviations below the threshold (3e-7 of those at
+it); all other comparisons count shingles.
 With 36 bands of 6 registers a pair at 0.8 shares no bucket with probability 2e-5.
 
-Nothing here has a size bound, so no join of documents, places or shingles is a broadcast: merge joins at every
-size, which adaptive execution may split.
+Nothing here has a size bound, so no join of documents, places or shingles is told to broadcast. Those of texts and
+shingles are merge joins at every size; elsewhere the planner may broadcast a side whose files it knows to be small.
 
 Defined cases: a document of one to four words has one shingle of them all; one without words (null, empty)
 is a class of its own; equal texts and repeated rows are one class; ties between representatives go to the
 least id and then to the fingerprint of the text; a null id is never a class id unless its class has no
-other; an empty table gives no rows; ``drop_near_duplicates`` keeps all other columns.
+other; a text of any length is signed and compared whole; an empty table gives no rows;
+``drop_near_duplicates`` keeps all other columns.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from .bytehash import MULT_A, MULT_B, SHIFT, U64, blocks, mix
-from .common import materialise
+from .common import discard, materialise
 from .wordhash import ALNUM, roll, word_table
 
 SHINGLE = 5
@@ -46,8 +48,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 36, 6
 REGISTERS = BANDS * ROWS
 BLOCK = 2 << 20
-PIVOT_ROUNDS = 1
+PIVOT_ROUNDS = 3
+#: A block of a bucket has at most some this many shingles and rows (a single text may have more shingles).
 BLOCK_SHINGLES = 1 << 17
+BLOCK_ROWS = 512
 #: Expected points a register when a document's processes stop; e ** -3 of the documents go on.
 HORIZON = float(np.log(REGISTERS) + 3.0)
 
@@ -229,9 +233,11 @@ def components(edges: DataFrame) -> DataFrame:
         moved = materialise(moved, "labels")
         jump = moved.select(F.col("node").alias("component"), F.col("component").alias("further"))
         new = materialise(moved.join(jump, "component", "left").select("node", F.coalesce("further", "component").alias("component"), "old"), "labels")
+        discard(labels, moved)
         if new.filter(F.col("component") != F.col("old")).isEmpty():
-            return new.select("node", "component")
-        labels = new.select("node", "component")
+            discard(both)
+            return new
+        labels = new
 
 
 def link_components(docs: DataFrame, described: DataFrame, similarity: float) -> DataFrame | None:
@@ -253,33 +259,54 @@ def link_components(docs: DataFrame, described: DataFrame, similarity: float) ->
         sets = sets.dropDuplicates(["node"])  # only where whole rows are repeated: it shuffles the sets
     sets = materialise(sets, "shingles")
     linked: DataFrame | None = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        if turn < PIVOT_ROUNDS:
+    turn, by_pivot = 0, True
+    while True:
+        used = []
+        if by_pivot:
             heads = materialise(pivots(members), "pivots")
-            links = materialise(compared(pivot_pairs(members, heads, similarity), sets, similarity), "links")
+            pairs = pivot_pairs(members, heads, similarity)
+            with_b = materialise(pairs.hint("merge").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b"), "pairs-b")
+            links = materialise(compared(with_b, sets, similarity), "links")
+            used += [heads, pairs, with_b, links]
         else:
             links = materialise(compare_in_blocks(members, sets, similarity), "links")
+            used += [links]
+        renamed = None
         if not links.isEmpty():
             found = members.select("node", "component").distinct()
             known = links.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
             merged = components(known.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
             renamed = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
             new = merged.withColumnRenamed("component", "into")
+            before = linked
             if linked is None:
                 linked = new.select("node", F.col("into").alias("component"))
             else:
                 again = linked.join(renamed, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
                 linked = again.unionByName(new.join(linked.select("node"), "node", "left_anti").select("node", F.col("into").alias("component")))
             linked = materialise(linked, "linked")
-            members = members.join(renamed, "component", "left").select("bucket", "node", "degree", "size", "sketch", F.coalesce("into", "component").alias("component"))
-        if turn == PIVOT_ROUNDS:
-            return linked
+            used += [merged] + ([before] if before is not None else [])
+        if not by_pivot:
+            discard(*used)
+            break
         # pivots were compared with all of their bucket; a bucket goes on while what is left spans components
-        left = members.join(heads.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
-        mixed = materialise(left.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket"), "buckets")
-        if mixed.isEmpty():
-            return linked
-        members = materialise(left.join(mixed, "bucket"), "bucket-members")
+        left = members
+        if renamed is not None:
+            left = left.join(renamed, "component", "left").withColumn("component", F.coalesce("into", "component"))
+        left = left.select(*members.columns).join(heads.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
+        left = materialise(left, "bucket-members")
+        mixed = materialise(
+            left.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows"), F.sum("size").alias("shingles")).filter("x <> y"), "buckets"
+        )
+        turn += 1
+        large = mixed.filter((F.col("rows") > BLOCK_ROWS) | (F.col("shingles") > BLOCK_SHINGLES))
+        by_pivot = turn < PIVOT_ROUNDS and not large.isEmpty()
+        done = mixed.isEmpty()
+        old, members = members, materialise(left.join(mixed.select("bucket"), "bucket"), "bucket-members")
+        discard(*used, old, left, mixed)
+        if done:
+            break
+    discard(members, sets, nodes)
     return linked
 
 
@@ -299,71 +326,62 @@ def pivot_pairs(members: DataFrame, heads: DataFrame, similarity: float) -> Data
     return materialise(pairs.distinct(), "pairs")
 
 
-def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs that are similar, by their shingles."""
-    with_b = materialise(pairs.hint("merge").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b"), "pairs-b")
+def compared(with_b: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that are similar, by their shingles; those of ``b`` are there already."""
     both = with_b.hint("merge").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
     common = F.size(F.array_intersect("of_a", "of_b"))
     return both.filter(common >= similarity * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
 
 
-def similar_pairs(sizes: np.ndarray, sketch: np.ndarray, component: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """All similar pairs of different components among the rows of one task, by exact intersection sizes."""
+def spanning_links(sizes: np.ndarray, sketch: np.ndarray, component: np.ndarray, side: np.ndarray | None, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Similar pairs among the rows of one task that join all components which any similar pair of them would join:
+    at most a pair a row. ``sets`` are sorted; with ``side``, only pairs across its two values are looked at."""
     left, right = [], []
     limit = sketch_limit(similarity)
+    component = np.unique(component, return_inverse=True)[1]
     for i in range(len(sizes) - 1):
         rest = slice(i + 1, len(sizes))
-        x = sketch[i] ^ sketch[rest]
-        far = np.bitwise_count((x | (x >> U64(1))) & U64(0x5555555555555555)).sum(1)
-        ok = (component[rest] != component[i]) & (np.minimum(sizes[rest], sizes[i]) >= similarity * np.maximum(sizes[rest], sizes[i])) & (far <= limit)
+        ok = (component[rest] != component[i]) & (np.minimum(sizes[rest], sizes[i]) >= similarity * np.maximum(sizes[rest], sizes[i]))
+        if side is not None:
+            ok &= side[rest] != side[i]
         at = np.flatnonzero(ok) + i + 1
-        left.append(np.full(len(at), i))
-        right.append(at)
-    left, right = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
-    if not len(left):
-        return left, right
-    if len(left) < 2000:
-        common = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(left, right)])
-    else:
-        # intersection sizes of all rows at once, as a product of 0/1 matrices over the shingles met twice or more
-        used = np.unique(np.concatenate([left, right]))
-        owner = np.repeat(np.arange(len(used)), [len(sets[i]) for i in used])
-        _, column, times = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True, return_counts=True)
-        rank = np.cumsum(times > 1) - 1
-        kept = times[column] > 1
-        owner, column = owner[kept], rank[column[kept]]
-        total = np.zeros((len(used), len(used)), np.float32)
-        width = max(1, (1 << 24) // len(used))
-        for low in range(0, int(rank[-1]) + 1, width):
-            part = (column >= low) & (column < low + width)
-            matrix = np.zeros((len(used), width), np.float32)
-            matrix[owner[part], column[part] - low] = 1
-            total += matrix @ matrix.T
-        place = np.zeros(len(sizes), np.int64)
-        place[used] = np.arange(len(used))
-        common = total[place[left], place[right]]
-    good = common >= similarity * (sizes[left] + sizes[right] - common)
-    return left[good], right[good]
+        x = sketch[at] ^ sketch[i]
+        at = at[np.bitwise_count((x | (x >> U64(1))) & U64(0x5555555555555555)).sum(1) <= limit]
+        # a run at a time: shingles of the other side are laid out for as many rows as hold some million of them
+        while len(at):
+            n = max(1, int(np.searchsorted(np.cumsum(sizes[at]), 1 << 20)))
+            own, at = at[:n], at[n:]
+            first = np.cumsum(np.concatenate([[0], sizes[own][:-1]]))
+            other = np.concatenate([sets[j] for j in own])
+            place = np.minimum(np.searchsorted(sets[i], other), len(sets[i]) - 1)
+            common = np.add.reduceat((sets[i][place] == other).astype(np.int64), first)
+            similar = own[common >= similarity * (sizes[own] + sizes[i] - common)]
+            for j in similar.tolist():
+                if component[j] != component[i]:
+                    left.append(i)
+                    right.append(j)
+                    component[component == component[j]] = component[i]
+            at = at[component[at] != component[i]]
+    return np.array(left, np.int64), np.array(right, np.int64)
 
 
 def compare_in_blocks(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: the similar pairs of different components in each bucket that is still mixed.
+    """``a, b``: in each bucket that is still mixed, similar pairs that join what any pair of it would join.
 
-    A bucket is dealt into blocks of some ``BLOCK_SHINGLES`` shingles by hash, and a task compares two blocks. It
-    returns similar pairs only, and holds two blocks at most, however large the bucket."""
+    A bucket is dealt into blocks by hash, and a task compares two blocks, so it holds two blocks at most,
+    however large the bucket."""
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
         node, component, size = (rows.column(c).to_numpy() for c in ("node", "component", "size"))
-        side = rows.column("side").to_numpy()
         sketch = np.stack([c.to_numpy().view(U64) for c in rows.column("sketch").combine_chunks().flatten()], 1)
         values = [np.sort(x.values.to_numpy()) for x in rows.column("shingles")]
-        a, b = similar_pairs(size, sketch, component, values, similarity)
-        if key[1].as_py() != key[2].as_py():  # pairs within a block belong to another task
-            cross = side[a] != side[b]
-            a, b = a[cross], b[cross]
+        # pairs within a block belong to another task
+        side = rows.column("side").to_numpy() if key[1].as_py() != key[2].as_py() else None
+        a, b = spanning_links(size, sketch, component, side, values, similarity)
         return pa.table({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
 
-    total = materialise(members.groupBy("bucket").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks")), "block-counts")
+    number = F.greatest(F.ceil(F.sum("size") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int")
+    total = members.groupBy("bucket").agg(number.alias("blocks"))
     placed = members.join(total, "bucket").withColumn("side", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     # block k meets every block, itself included
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
