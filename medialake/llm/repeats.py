@@ -12,18 +12,25 @@ only *anchors* enter the sort, and nothing is lost:
 * Round 50: Spark range-sorts the anchors by (50-byte name, context name, document). An anchor whose 50-byte
   name is unique leaves: none of its windows occurs twice. Where the whole context occurs twice, all its
   windows do, and the anchor is decided.
-* Round 200: only contexts that share their anchor with a different context, the ends of repeated
-  passages, go on. Each of their windows is named by the pair of the 128-byte names at its offsets 0 and 72, and
-  counted within its anchor's group.
-
-The range sort splits a group of any size; a run cut by a partition's edge stays undecided there and is
-settled in the last round. Anchors with over ``GROUP`` contexts, which could be a third of all rows, are counted
+* Rounds 100 and 150: only contexts that share their anchor with a different context, the ends of repeated
+  passages, go on, as up to three positions each: the anchor, and 50 and 100 bytes before it. Every window of a
+  context holds the 150 bytes from one of these. A position's rank is paired with the name 50 bytes on, then the
+  rank of that pair with the name 100 bytes on; in each round Spark sorts the pairs that occur in two
+  contexts or more, their places in the sort are the new ranks, and unique positions leave.
+* Round 200, past which nothing is sorted: the windows of the positions that are left are named by the pair of the
+  128-byte names at their offsets 0 and 72, and counted within their anchor's group.
+
+The range sort of round 50 splits a group of any size; a run cut by a partition's edge stays undecided there and is
+settled in the last round. Later rounds count pairs by aggregation, combined before the shuffle, and sort each
+pair once. Anchors with over ``GROUP`` contexts, which could be a third of all rows, are counted
 as rows by Spark's own aggregation instead of within one task, 16 windows at a time where they agree.
 
-Names are 64-bit fingerprints, and what decides is a pair of them at least.
+Names are 64-bit fingerprints, bytes are not read back to compare them: a window is taken for repeated by mistake if
+two of them, and the fingerprint of its anchor, agree by chance.
 
 Defined cases: a null or empty text has no bytes and its digest is that of no bytes; texts shorter than
 ``LENGTH`` keep everything; repeated rows are copies of each other, so all of them lose their repeats;
+a text of any length is read in segments, and its contexts are cut out some megabytes at a time;
 an empty table gives no rows. Cutting bytes may leave incomplete UTF-8 sequences: digests are over the
 bytes, and ``remove_repeats`` drops the incomplete sequences from the text. It keeps all other columns.
 """
@@ -47,11 +54,16 @@ WINDOW = LENGTH - SEED + 1
 SEGMENT = 2 << 20
 GROUP = 128
 PLACES = 16
+#: Offsets of a context's positions before its anchor, and the rounds: where the name is that joins a position's rank.
+STEP = 50
+BACK = (0, STEP, 2 * STEP)
+GROWTH = (STEP, 2 * STEP)
 #: Sorted anchors that a task holds at once.
 STRETCH = 500_000
 INDEX_BITS = U64(23)
 INDEX = (U64(1) << INDEX_BITS) - U64(1)
 
+
 def keyed() -> list[Column]:
     """What identifies a document in joins: fingerprints of its id and text."""
     return [F.xxhash64("doc_id", "text").alias("key"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("check")]
@@ -157,32 +169,77 @@ def sorted_round(found: DataFrame) -> DataFrame:
 
     flat = found.select("document", F.inline("anchors"))
     order = ["seed", "context", "document", "low"]
-    dealt = flat.repartitionByRange(shuffle_width(found.sparkSession), *order).sortWithinPartitions(*order)
+    dealt = flat.repartitionByRange(shuffle_width(found), *order).sortWithinPartitions(*order)
     return dealt.mapInArrow(runs, "document long, low int, n short, offset short, seed long, whole boolean, open boolean")
 
 
-CONTEXT = "id long, document long, low int, n short, offset short, seed long, whole boolean, hot boolean"
+CONTEXT = "id long, document long, low int, n short, offset short, seed long, whole boolean"
+POSITION = "struct<back:int,rank:long," + ",".join(f"at_{k}:long" for k in GROWTH) + ">"
+
+
+def positions_of(data: np.ndarray, starts: np.ndarray, n: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of contexts laid out from ``starts`` in ``data``: context, step back from the anchor, and the names at the
+    position and at the offsets of each round, for the positions that have windows."""
+    h50, _ = names(data)
+    # windows begin from `first` to `offset` bytes before the anchor
+    first = offset - n + 1
+    has = np.stack([(offset >= back) & (first <= back + STEP - (back < BACK[-1])) for back in BACK], 1)
+    who, k = np.nonzero(has)
+    at = starts[who] + offset[who] - np.array(BACK)[k]
+    return who, np.array(BACK)[k], h50[at], *(h50[at + more] for more in GROWTH)
 
 
 def context_bytes(docs: DataFrame, lists: DataFrame) -> DataFrame:
-    """The bytes of each open context, from the texts of the documents that hold one."""
+    """The bytes and the positions of each open context, from the texts of the documents that hold one."""
     names_ = [c.split()[0] for c in CONTEXT.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, starts in blocks(batch, "text", SEGMENT):
                 lists_ = batch.column(1).slice(i, j - i)
-                rows = lists_.flatten()
+                every = lists_.flatten()
                 number = np.diff(lists_.offsets.to_numpy())
-                begin = np.repeat(starts[:-1], number) + rows.field("low").to_numpy()
-                size = rows.field("n").to_numpy().astype(np.int64) + LENGTH - 1
-                offsets = np.concatenate([[0], np.cumsum(size)])
-                raw = data[np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1])]
-                content = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)])
-                yield pa.record_batch([*(rows.field(k) for k in names_), content], names=[*names_, "content"])
+                begins = np.repeat(starts[:-1], number) + every.field("low").to_numpy()
+                sizes = every.field("n").to_numpy().astype(np.int64) + LENGTH - 1
+                before = np.cumsum(sizes) - sizes
+                edges = [*np.searchsorted(before, np.arange(0, int(sizes.sum()), SEGMENT)).tolist(), len(sizes)]
+                for a, b in zip(edges[:-1], edges[1:]):
+                    if a == b:
+                        continue
+                    rows, begin, size = every.slice(a, b - a), begins[a:b], sizes[a:b]
+                    offsets = np.concatenate([[0], np.cumsum(size)])
+                    raw = data[np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1])]
+                    content = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)])
+                    who, back, rank, *more = positions_of(raw, offsets[:-1], size - LENGTH + 1, rows.field("offset").to_numpy().astype(np.int64))
+                    fields = [pa.array(back.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (rank, *more))]
+                    structs = pa.StructArray.from_arrays(fields, ["back", "rank", *(f"at_{k}" for k in GROWTH)])
+                    positions = pa.ListArray.from_arrays(pa.array(np.searchsorted(who, np.arange(len(size) + 1)).astype(np.int32)), structs)
+                    yield pa.record_batch([*(rows.field(k) for k in names_), content, positions], names=[*names_, "content", "positions"])
 
     joined = docs.select(*keyed(), "text").join(lists, ["key", "check"]).select("text", "contexts")
-    return joined.mapInArrow(cut, CONTEXT + ", content binary")
+    return joined.mapInArrow(cut, CONTEXT + f", content binary, positions array<{POSITION}>")
+
+
+def reranked(rows: DataFrame, growth: int) -> DataFrame:
+    """The positions whose pair of rank and name at ``growth`` occurs in another context too, with the pair's rank."""
+    pair = ["back", "rank", f"at_{growth}"]
+    shared = rows.groupBy(*pair).agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x <> y").select(*pair)
+    order = shared.repartitionByRange(*pair).sortWithinPartitions(*pair).withColumn("next", F.monotonically_increasing_id())
+    ranks = materialise(order, "ranks")  # written, so that a rank stays what it is
+    out = materialise(rows.join(ranks, pair).withColumn("rank", F.col("next")).drop("next", f"at_{growth}"), "positions")
+    discard(ranks)
+    return out
+
+
+def alive(contexts: DataFrame) -> DataFrame:
+    """``id, seed`` of the contexts with a position that no round found unique."""
+    rows, done = contexts.select("id", "seed", F.inline("positions")), []
+    for growth in GROWTH:
+        rows = reranked(rows, growth)
+        done.append(rows)
+    left = materialise(rows.select("id", "seed").distinct(), "contexts-left")
+    discard(*done)
+    return left
 
 
 def window_names(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -246,8 +303,6 @@ def local_round(contexts: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def decide(rows: pa.Table) -> pa.RecordBatch:
-            _, once = np.unique(rows.column("id").to_numpy(), return_index=True)
-            rows = rows.take(pa.array(once))
             name, owner = window_names(rows)
             _, inverse, times = np.unique(name, return_inverse=True, return_counts=True)
             n = rows.column("n").to_numpy().astype(np.int64)
@@ -260,7 +315,7 @@ def local_round(contexts: DataFrame) -> DataFrame:
         for rows in whole_groups(batches):
             yield decide(rows)
 
-    dealt = contexts.filter("NOT hot").drop("hot").repartition(shuffle_width(contexts.sparkSession), "seed").sortWithinPartitions("seed")
+    dealt = contexts.filter("NOT hot").drop("hot").repartition(shuffle_width(contexts), "seed").sortWithinPartitions("seed")
     return dealt.mapInArrow(count, SPAN)
 
 
@@ -330,14 +385,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     decided = materialise(sorted_round(found), "anchors-decided")
     discard(found)
     pending = decided.filter("open").select(F.xxhash64("document", "low").alias("id"), "document", "low", "n", "offset", "seed", "whole")
-    hot = materialise(pending.groupBy("seed").agg(F.count("*").alias("n_contexts")).filter(F.col("n_contexts") > GROUP).select("seed", F.lit(True).alias("hot")), "hot-anchors")
-    pending = pending.join(hot, "seed", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     lists = pending.join(keys, "document").groupBy("key", "check").agg(F.collect_list(F.struct(*[c.split()[0] for c in CONTEXT.split(", ")])).alias("contexts"))
-    contexts = materialise(context_bytes(docs, materialise(lists, "open-contexts")), "contexts")
+    lists = materialise(lists, "open-contexts")
+    opened = materialise(context_bytes(docs, lists), "contexts")
+    left = alive(opened)
+    hot = left.groupBy("seed").agg(F.count("*").alias("n_contexts")).filter(F.col("n_contexts") > GROUP).select("seed", F.lit(True).alias("hot"))
+    flags = left.join(hot, "seed", "left").select("id", F.coalesce("hot", F.lit(False)).alias("hot"))
+    contexts = materialise(opened.drop("positions").dropDuplicates(["id"]).join(flags, "id"), "contexts")
+    discard(lists, opened, left)
     spans = local_round(contexts).unionByName(hot_round(contexts))
     whole = decided.filter("whole").select("document", F.col("low").cast("long").alias("start"), (F.col("low") + F.col("n") + F.lit(LENGTH - 1)).cast("long").alias("end"))
     both = whole.unionByName(spans).join(keys, "document").select("key", "check", "start", "end")
-    return materialise(both.groupBy("key", "check").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "repeats")
+    out = materialise(both.groupBy("key", "check").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "repeats")
+    discard(decided, keys, contexts)
+    return out
 
 
 def merged(spans: list[dict[str, int]] | None) -> list[tuple[int, int]]:

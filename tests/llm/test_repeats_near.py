@@ -43,6 +43,40 @@ def test_long_text_in_segments(spark, monkeypatch):
     assert sorted(found) == [(k, p) for k, t in enumerate(raw) for p in range(len(t) - 199)]
 
 
+def test_repeats_of_long_texts_in_pieces(spark, monkeypatch):
+    """Segments and pieces of contexts far smaller than the texts change nothing."""
+    monkeypatch.setattr(repeats, "SEGMENT", 1500)
+    long = max((r[1] or "" for r in rows(4)), key=len)
+    more = [(950, long[500:] + "x" * 300), (951, long), (951, long), (952, long[:9000])]
+    own = [(r[0], r[1]) for r in rows(4)] + more
+    docs = spark.createDataFrame(own, "doc_id long, text string")
+    raw = [(t or "").encode() for _, t in own]
+    expected = Counter((k, len(t), len(t) - len(kept), runs, hashlib.sha256(kept).hexdigest()) for (k, _), t, (kept, runs) in zip(own, raw, removed(raw)))
+    assert Counter(tuple(r) for r in repeats.digest(docs).collect()) == expected
+
+
+@pytest.mark.parametrize("shared, stays", [(90, False), (140, False), (199, True), (260, True)])
+def test_rounds_drop_what_is_unique(spark, monkeypatch, shared, stays):
+    """Contexts that share their anchor, but no 150 bytes, leave before windows are named."""
+    r = np.random.default_rng(shared)
+    noise = lambda n: bytes(r.integers(33, 127, n, dtype=np.uint8)).decode()
+    passages = [noise(shared) for _ in range(12)]
+    own = [(k, noise(400) + passages[k // 3] + noise(400)) for k in range(36)]
+    counted, real = {}, repeats.alive
+
+    def watched(contexts):
+        left = real(contexts)
+        counted.update(opened=contexts.count(), left=left.count())
+        return left
+
+    monkeypatch.setattr(repeats, "alive", watched)
+    raw = [t.encode() for _, t in own]
+    expected = Counter((k, len(t) - len(kept), runs) for (k, _), t, (kept, runs) in zip(own, raw, removed(raw)))
+    got = repeats.digest(spark.createDataFrame(own, "doc_id long, text string"))
+    assert Counter((x.doc_id, x.n_removed, x.n_spans) for x in got.collect()) == expected
+    assert counted["opened"] > 0 and (counted["left"] > 0) == stays
+
+
 def test_remove_repeats_keeps_rows_and_columns(spark):
     docs = documents(spark)
     out = repeats.remove_repeats(docs)
@@ -91,8 +125,10 @@ def classes(found):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 5])
-def test_near_duplicates(spark, seed):
+@pytest.mark.parametrize("seed, rounds, block", [(1, 3, 512), (5, 3, 512), (1, 1, 3), (5, 2, 3)])
+def test_near_duplicates(spark, monkeypatch, seed, rounds, block):
+    monkeypatch.setattr(near_dedup, "PIVOT_ROUNDS", rounds)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", block)
     assert Counter(tuple(r) for r in near_dedup.digest(documents(spark, seed)).collect()) == classes(rows(seed))
 
 
@@ -141,9 +177,63 @@ def test_long_pairs_at_the_threshold(spark):
     assert all(len(set(r.shingles)) == n for r in sets)
     node = {v: k for k, v in of.items()}
     pairs = spark.createDataFrame([(node[a], node[b]) for a, b in ((1, 2), (2, 3), (1, 3))], "a long, b long")
-    near = near_dedup.compared(pairs, spark.createDataFrame(sets, "node long, shingles array<long>"), 0.8).collect()
+    all_sets = spark.createDataFrame(sets, "node long, shingles array<long>")
+    with_b = pairs.join(all_sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+    near = near_dedup.compared(with_b, all_sets, 0.8).collect()
     assert [{of[r.a], of[r.b]} for r in near] == [{1, 2}]
     arrays = {of[r.node]: np.sort(np.array(r.shingles)) for r in sets}
     none = np.zeros((3, near_dedup.SKETCH_WORDS), np.uint64)
-    a, b = near_dedup.similar_pairs(np.full(3, n), none, np.arange(3), [arrays[k] for k in (1, 2, 3)], 0.8)
+    a, b = near_dedup.spanning_links(np.full(3, n), none, np.arange(3), None, [arrays[k] for k in (1, 2, 3)], 0.8)
     assert list(zip(a.tolist(), b.tolist())) == [(0, 1)]
+
+
+@pytest.mark.parametrize("two_sides", [False, True])
+def test_spanning_links_join_what_all_pairs_join(two_sides):
+    rng = np.random.default_rng(5)
+    base = [rng.choice(1 << 40, 60, replace=False) for _ in range(12)]
+    sets = []
+    for k in range(150):  # chains of slowly changing sets, so that not all of a class are similar to each other
+        own = base[k % 12].copy()
+        own[: rng.integers(0, 14)] = rng.choice(1 << 40, 1)[0] + np.arange(1)
+        sets.append(np.unique(np.concatenate([own, rng.choice(1 << 40, rng.integers(0, 6))])))
+    sizes, side = np.array([len(x) for x in sets]), rng.integers(0, 2, 150) if two_sides else None
+    start = rng.integers(0, 130, 150)  # some are joined already
+    none = np.zeros((150, near_dedup.SKETCH_WORDS), np.uint64)
+
+    def joined(pairs):
+        own = {int(c): int(c) for c in start}
+        find = lambda x: x if own[x] == x else find(own[x])
+        for i, j in pairs:
+            own[find(int(start[i]))] = find(int(start[j]))
+        return [find(int(c)) for c in start]
+
+    def similar(i, j):
+        common = len(np.intersect1d(sets[i], sets[j]))
+        return common >= 0.8 * (sizes[i] + sizes[j] - common)
+
+    pairs = [(i, j) for i in range(150) for j in range(i) if (side is None or side[i] != side[j]) and similar(i, j)]
+    a, b = near_dedup.spanning_links(sizes, none, start, side, sets, 0.8)
+    assert 0 < len(a) < 150 and len(a) < len(pairs) and all(similar(i, j) for i, j in zip(a, b))
+    one, other = joined(pairs), joined(zip(a, b))
+    assert len(set(zip(one, other))) == len(set(one)) == len(set(other))
+
+
+def test_blocks_return_fewer_pairs_than_nodes(spark):
+    """Two thousand similar texts in one bucket give a forest, not two million pairs."""
+    n = 2000
+    base = list(range(100, 140))
+    members = spark.createDataFrame([(7, k, 1, 40, (0,) * near_dedup.SKETCH_WORDS, k) for k in range(n)], f"bucket long, node long, degree long, size long, sketch {near_dedup.SKETCH}, component long")
+    sets = spark.createDataFrame([(k, [*base[:39], 1000 + k]) for k in range(n)], "node long, shingles array<long>")
+    links = [(r.a, r.b) for r in near_dedup.compare_in_blocks(members, sets, 0.8).collect()]
+    blocks = -(-n // near_dedup.BLOCK_ROWS)
+    assert n - 1 <= len(links) <= blocks * n
+    own = list(range(n))
+
+    def find(x):
+        while own[x] != x:
+            x = own[x]
+        return x
+
+    for a, b in links:
+        own[find(a)] = find(b)
+    assert len({find(x) for x in range(n)}) == 1
