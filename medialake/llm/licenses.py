@@ -1,19 +1,26 @@
 """Operator 4, licence scans by a positional rare-token index (DataFrame functions only).
 
-Each licence is a label with mandatory key phrases. Postings hold, for a word, its phrases and its position
-there. One scan finds which licence words each text has and so their document frequencies; every phrase is
-indexed by its words of highest IDF. A second scan looks up the words of each text in the index: phrases whose
-rare words all stand at one relative position are candidates, and a candidate is verified word by word. A
-label is given when all its key phrases are verified. Both scans are row-local; only the frequencies, a row
-for each licence word, are gathered.
-
-Defined cases: a null or empty text has no words, no places and empty labels; a phrase occurrence may
-overlap others and each counts; labels met twice are listed once; repeated rows get a row each; an empty
-table gives no rows; other columns are ignored.
+A licence is a label with one or more templates: the words of its text or notice, and its mandatory key phrases in
+their order. Postings hold, for a word, the phrases (base phrases and first key phrases) that it stands in and its
+position there. One scan finds which licence words each text has and so their document frequencies; every phrase is
+indexed by its words of highest IDF. A second scan looks up the words of each text in the index: phrases whose rare
+words all stand at one relative position are candidates, and a candidate is verified word by word. A first key
+phrase that is met lays its whole template over the text at that position. The template is met if every other key
+phrase stands within ``SLACK`` words of its own place there; the alignment's share is that of the template's words
+which stand at exactly their places. A label is given when a template of its is met, and the score is the largest
+share, 1 for a base phrase. Both scans are row-local; only the frequencies, a row for each licence word, are gathered.
+
+Defined cases: a null or empty text has no words, no places, empty labels and score 0; a phrase occurrence may
+overlap others and each counts; a template that a text's begin or end cuts off is met by the key phrases that are
+there, and its missing words lower the share; labels met twice are listed once; a text of any length is scanned
+whole, with work in proportion to its words and its places; repeated rows get a row each; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
@@ -22,31 +29,123 @@ from .common import NOT_WORD_LOWER, text_of
 # The base labels and their phrases.
 BASE = {"gpl": "gnu general public license", "apache": "apache license", "cc-by": "cc by", "mit": "mit license"}
 
-# Labels of the method and their mandatory key phrases.
-TEMPLATES = {
-    "agpl-3.0": ["gnu affero general public license", "version 3"],
-    "apache-2.0": ["apache license", "version 2 0"],
-    "bsd": ["redistribution and use in source and binary forms", "with or without modification"],
-    "cc-by-4.0": ["cc by 4 0"],
-    "cc-by-nc-4.0": ["cc by nc 4 0"],
-    "cc-by-sa-4.0": ["cc by sa 4 0"],
-    "cc0-1.0": ["cc0 1 0 universal"],
-    "epl-2.0": ["eclipse public license", "v 2 0"],
-    "gpl-2.0": ["gnu general public license", "version 2"],
-    "gpl-3.0": ["gnu general public license", "version 3"],
-    "isc": ["permission to use copy modify and or distribute this software"],
-    "lgpl": ["gnu lesser general public license"],
-    "mit-text": ["permission is hereby granted free of charge to any person obtaining a copy"],
-    "mpl-2.0": ["mozilla public license", "v 2 0"],
-    "unlicense": ["free and unencumbered software released into the public domain"],
-}
 
-#: Words of highest IDF by which each phrase is indexed.
-RARE_WORDS = 2
 
+@dataclass(frozen=True)
+class Template:
+    """A licence's words and its mandatory key phrases, in the order in which they stand there."""
+
+    label: str
+    text: str
+    keys: tuple[str, ...]
+
+    @property
+    def words(self) -> list[str]:
+        return self.text.split()
+
+    @property
+    def places(self) -> list[int]:
+        """The word at which each key phrase begins."""
+        out, at = [], 0
+        for key in self.keys:
+            own = key.split()
+            at = next(i for i in range(at, len(self.words)) if self.words[i : i + len(own)] == own)
+            out.append(at)
+        return out
+
+
+# The words of licence texts and notices, and the phrases that each has to hold.
+TEMPLATES = [
+    Template("agpl-3.0", "licensed under the gnu affero general public license version 3", ("gnu affero general public license", "version 3")),
+    Template(
+        "agpl-3.0",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation "
+        "either version 3 of the license or at your option any later version",
+        ("gnu affero general public license as published by the free software foundation", "version 3 of the license"),
+    ),
+    Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license", "version 2 0")),
+    Template(
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+        "http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+        "without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        ("apache license version 2 0", "except in compliance with the license", "on an as is basis"),
+    ),
+    Template(
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials "
+        "provided with the distribution",
+        ("redistribution and use in source and binary forms", "with or without modification"),
+    ),
+    Template(
+        "bsl-1.0",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software "
+        "to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software",
+        ("permission is hereby granted free of charge to any person or organization",),
+    ),
+    Template("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4 0",)),
+    Template("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0 international",)),
+    Template("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
+    Template("cc-by-nc-4.0", "licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial 4 0 international",)),
+    Template("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa 4 0",)),
+    Template("cc-by-sa-4.0", "licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike 4 0 international",)),
+    Template("cc0-1.0", "licensed under cc0 1 0 universal", ("cc0 1 0 universal",)),
+    Template("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0", ("eclipse public license", "v 2 0")),
+    Template("epl-2.0", "licensed under the eclipse public license version 2 0", ("eclipse public license", "version 2 0")),
+    Template("gpl-2.0", "licensed under the gnu general public license version 2", ("gnu general public license", "version 2")),
+    Template(
+        "gpl-2.0",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+        "either version 2 of the license or at your option any later version",
+        ("gnu general public license as published by the free software foundation", "version 2 of the license"),
+    ),
+    Template("gpl-3.0", "licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
+    Template(
+        "gpl-3.0",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+        "either version 3 of the license or at your option any later version",
+        ("gnu general public license as published by the free software foundation", "version 3 of the license"),
+    ),
+    Template(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission "
+        "notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of "
+        "merchantability and fitness",
+        ("permission to use copy modify and or distribute this software", "is hereby granted"),
+    ),
+    Template("lgpl", "licensed under the gnu lesser general public license", ("gnu lesser general public license",)),
+    Template(
+        "mit-text",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without "
+        "restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the "
+        "software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions "
+        "of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a "
+        "particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort "
+        "or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+        ("permission is hereby granted free of charge to any person obtaining a copy",),
+    ),
+    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license", "v 2 0")),
+    Template("mpl-2.0", "licensed under the mozilla public license version 2 0", ("mozilla public license", "version 2 0")),
+    Template(
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code "
+        "form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        ("free and unencumbered software released into the public domain",),
+    ),
+    Template(
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+        ("provided as is without any express or implied warranty", "permission is granted to anyone to use this software for any purpose"),
+    ),
+]
 
-def all_phrases() -> list[str]:
-    return list(dict.fromkeys([*BASE.values(), *(p for own in TEMPLATES.values() for p in own)]))
+#: Words of highest IDF by which each phrase is indexed.
+RARE_WORDS = 2
+#: Words by which a further key phrase may stand off its place, for what a notice inserts.
+SLACK = 3
 
 
 def words(text: Column) -> Column:
@@ -75,10 +174,11 @@ def quoted(word: str) -> str:
     return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def scan(docs: DataFrame, base: dict[str, str] | None = None, templates: dict[str, list[str]] | None = None, id_column: str = "doc_id") -> DataFrame:
+def scan(docs: DataFrame, base: dict[str, str] | None = None, templates: list[Template] | None = None, id_column: str = "doc_id") -> DataFrame:
     """The licence report of every row of ``docs(doc_id, text)``."""
     base, templates = BASE if base is None else base, TEMPLATES if templates is None else templates
-    phrases = list(dict.fromkeys([*base.values(), *(p for own in templates.values() for p in own)]))
+    phrases = list(dict.fromkeys([*base.values(), *(t.keys[0] for t in templates)]))
+    numbers = {p: n for n, p in enumerate(phrases)}
     frequency, _ = frequencies(docs, phrases)
     postings: dict[str, list[tuple[int, int]]] = {}
     needed, rarest = [], set()
@@ -88,48 +188,56 @@ def scan(docs: DataFrame, base: dict[str, str] | None = None, templates: dict[st
         rarest.add(own[0][0])
         for word, position in own:
             postings.setdefault(word, []).append((number, position))
-    index = ", ".join(
-        f"{quoted(w)}, array({', '.join(f'named_struct({chr(39)}phrase{chr(39)}, {n}, {chr(39)}at{chr(39)}, {p})' for n, p in own)})" for w, own in sorted(postings.items())
-    )
-    indexed = f"array({', '.join(map(quoted, sorted(postings)))})"
-    spelled = f"array({', '.join('array(' + ', '.join(map(quoted, p.split())) + ')' for p in phrases)})"
+    listed = lambda own: f"array({', '.join(map(quoted, own))})"
+    index = ", ".join(f"{quoted(w)}, array({', '.join(f'named_struct({chr(39)}phrase{chr(39)}, {n}, {chr(39)}at{chr(39)}, {p})' for n, p in own)})" for w, own in sorted(postings.items()))
+    spelled = f"array({', '.join(listed(p.split()) for p in phrases)})"
     wanted = f"array({', '.join(map(str, needed))})"
     # hits: indexed words with their places; starts: (phrase, where it would begin), once for each rare word
     # met there; a phrase whose rare words all agree on a start is compared with the text at that place
     places = f"""
-    CASE WHEN arrays_overlap(w, array({', '.join(map(quoted, sorted(rarest)))})) THEN
+    CASE WHEN arrays_overlap(w, {listed(sorted(rarest))}) THEN
       transform(array(array_sort(flatten(transform(
-          filter(transform(w, (x, i) -> named_struct('x', x, 'i', i)), h -> array_contains({indexed}, h.x)),
+          filter(transform(w, (x, i) -> named_struct('x', x, 'i', i)), h -> array_contains({listed(sorted(postings))}, h.x)),
           h -> transform(element_at(map({index}), h.x), p -> named_struct('phrase', p.phrase, 'start', h.i - p.at)))))), starts ->
         filter(array_distinct(filter(starts, (s, k) ->
             s.start >= 0 AND k + element_at({wanted}, s.phrase + 1) <= size(starts) AND starts[least(k + element_at({wanted}, s.phrase + 1) - 1, size(starts) - 1)] = s)),
             s -> slice(w, s.start + 1, size(element_at({spelled}, s.phrase + 1))) = element_at({spelled}, s.phrase + 1)))[0]
     ELSE cast(array() as array<struct<phrase:int,start:int>>) END"""
-    per_row = F.expr(f"transform(array(w0), w -> named_struct('n_words', cast(size(w) as bigint), 'places', {places}))[0]")
+    # alignments: a template laid over the text where its first key phrase stands; `s` is where its first word would be
+    def key_struct(key: str, at: int) -> str:
+        return f"named_struct('at', {at}, 'words', {listed(key.split())})"
+
+    laid = ", ".join(
+        f"named_struct('label', {quoted(t.label)}, 'phrase', {numbers[t.keys[0]]}, 'at', {t.places[0]}, 'words', {listed(t.words)}, 'rest', "
+        + (f"array({', '.join(key_struct(k, a) for k, a in zip(t.keys[1:], t.places[1:]))})" if len(t.keys) > 1 else f"slice(array({key_struct('x', 0)}), 1, 0)")
+        + ")"
+        for t in templates
+    )
+    nearest = f"array({', '.join(map(str, sorted(range(-SLACK, SLACK + 1), key=abs)))})"
+    met = f"""
+    flatten(transform(array({laid}), t -> transform(
+        filter(transform(filter(places, p -> p.phrase = t.phrase), p -> p.start - t.at), s -> forall(t.rest, k ->
+            exists({nearest}, d -> s + k.at + d >= 0 AND slice(w, greatest(s + k.at + d + 1, 1), size(k.words)) = k.words))),
+        s -> named_struct('label', t.label, 'share', cast(size(filter(t.words, (x, i) -> get(w, s + i) = x)) as double) / size(t.words)))))"""
+    none = "cast(array() as array<struct<label:string,share:double>>)"
+    met = met if templates else none
     # array(w0) binds the words once: the expression for w0 itself is put where w0 stands
+    per_row = F.expr(
+        f"transform(array(w0), w -> transform(array({places}), places -> named_struct('n_words', cast(size(w) as bigint), 'places', places,"
+        f" 'met', CASE WHEN size(places) = 0 THEN {none} ELSE {met} END))[0])[0]"
+    )
     rows = docs.select(id_column, words(text_of()).alias("w0")).select(id_column, per_row.alias("r"))
-    numbers = {p: n for n, p in enumerate(phrases)}
     base_numbers = f"array({', '.join(str(numbers[p]) for p in base.values())})"
-    rows = rows.select(id_column, "r.n_words", "r.places").select(
-        "*", F.expr(f"transform(filter(places, p -> array_contains({base_numbers}, p.phrase)), p -> cast(p.start as bigint))").alias("base"), F.expr("array_distinct(transform(places, p -> p.phrase))").alias("met")
+    rows = rows.select(id_column, "r.n_words", "r.places", "r.met").select(
+        "*", F.expr(f"transform(filter(places, p -> array_contains({base_numbers}, p.phrase)), p -> cast(p.start as bigint))").alias("base"), F.expr("array_distinct(transform(places, p -> p.phrase))").alias("found")
     )
-    base_labels = [F.when(F.array_contains("met", numbers[p]), F.lit(label)) for label, p in base.items()]
-    own_labels, shares = [], []
-    for label, own in templates.items():
-        present = [F.array_contains("met", numbers[p]) for p in own]
-        all_met = present[0]
-        for one in present[1:]:
-            all_met = all_met & one
-        own_labels.append(F.when(all_met, F.lit(label)))
-        size = sum(len(p.split()) for p in own)
-        share = F.lit(0)
-        for one, p in zip(present, own):
-            share = share + F.when(one, F.lit(len(p.split()))).otherwise(F.lit(0))
-        shares.append(share.cast("double") / F.lit(float(size)))
-    def joined(labels: list[Column]) -> Column:
-        return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))), ",")
-    score = F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.greatest(*shares, F.lit(0.0)) if shares else F.lit(0.0))
+    base_labels = F.array_compact(F.array(*(F.when(F.array_contains("found", numbers[p]), F.lit(label)) for label, p in base.items())))
+
+    def joined(labels: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    score = F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max("met.share"), F.lit(0.0)))
     return rows.select(
         id_column, "n_words", F.size("base").cast("long").alias("n_base"), F.array_min("base").alias("first_word"), F.array_max("base").alias("last_word"),
-        joined(base_labels).alias("base_labels"), joined(base_labels + own_labels).alias("labels"), score.alias("score"),
+        joined(base_labels).alias("base_labels"), joined(F.concat(base_labels, F.col("met.label"))).alias("labels"), score.alias("score"),
     )

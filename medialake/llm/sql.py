@@ -5,7 +5,7 @@ model (10). tests/llm compares those with brute force."""
 
 from __future__ import annotations
 
-from .licenses import BASE, TEMPLATES
+from .licenses import BASE, SLACK, TEMPLATES
 from .near_dedup import SIMILARITY
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -26,21 +26,27 @@ FROM f JOIN b ON b.depth = f.depth AND b.prefix = f.hash >> (60 - f.depth)"""
 
 def licenses_sql() -> str:
     phrase = lambda p: "' " + "  ".join(p.split()) + " '"
-    parts = []
+    at = lambda words, i: " AND ".join(f"w[{i} + {k}] = '{x}'" for k, x in enumerate(words, 1))
+    parts, laid = [], []
     for label, p in BASE.items():
-        words = p.split()
-        same = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words, 1))
-        parts.append(f"SELECT doc_id, '{label}' AS label, i FROM (SELECT doc_id, w, unnest(range(0, length(w))) AS i FROM d WHERE contains(t, {phrase(p)})) WHERE {same}")
-    own = ", ".join(f"CASE WHEN {' AND '.join(f'contains(t, {phrase(p)})' for p in ps)} THEN '{label}' END" for label, ps in TEMPLATES.items())
-    shares = ", ".join("(" + " + ".join(f"CASE WHEN contains(t, {phrase(p)}) THEN {len(p.split())} ELSE 0 END" for p in ps) + f") / {sum(len(p.split()) for p in ps)}.0::DOUBLE" for ps in TEMPLATES.values())
+        parts.append(f"SELECT doc_id, '{label}' AS label, i FROM (SELECT doc_id, w, unnest(range(0, length(w))) AS i FROM d WHERE contains(t, {phrase(p)})) WHERE {at(p.split(), 'i')}")
+    for t in TEMPLATES:
+        first, *rest = zip(t.keys, t.places)
+        near = " AND ".join("(" + " OR ".join(f"(i + {a - first[1] + d} >= 0 AND {at(key.split(), f'i + {a - first[1] + d}')})" for d in range(-SLACK, SLACK + 1)) + ")" for key, a in rest)
+        words = "[" + ", ".join(f"'{x}'" for x in t.words) + "]"
+        share = f"length(list_filter(range(0, {len(t.words)}), lambda k: i - {first[1]} + k >= 0 AND w[i - {first[1]} + k + 1] = {words}[k + 1])) / {len(t.words)}.0::DOUBLE"
+        laid.append(
+            f"SELECT doc_id, '{t.label}' AS label, {share} AS share FROM (SELECT doc_id, w, unnest(range(0, length(w))) AS i FROM d WHERE contains(t, {phrase(first[0])})) "
+            f"WHERE {at(first[0].split(), 'i')} AND {near or 'true'}"
+        )
     return f"""
 WITH d AS (SELECT doc_id, w, ' ' || array_to_string(w, '  ') || ' ' AS t FROM (SELECT doc_id, {WORDS} AS w FROM documents)),
   p AS ({' UNION ALL '.join(parts)}),
   g AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM p GROUP BY doc_id),
-  m AS (SELECT doc_id, length(w) AS n_words, list_filter([{own}], lambda x: x IS NOT NULL) AS own, greatest({shares}) AS share FROM d)
-SELECT m.doc_id, n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(labels), ','), '') AS base_labels,
-  array_to_string(list_sort(list_distinct(list_concat(own, coalesce(labels, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE share END AS score
-FROM m LEFT JOIN g USING (doc_id)"""
+  m AS (SELECT doc_id, list(DISTINCT label) AS own, max(share) AS share FROM ({' UNION ALL '.join(laid)}) GROUP BY doc_id)
+SELECT d.doc_id, length(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(labels), ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(labels, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0) END AS score
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
 
 CONTAMINATION = f"""
