@@ -5,19 +5,18 @@ window) form a hash set that is broadcast. Executors hash the words of each bloc
 vector operations, roll them into windows, look the windows up, and verify every hit word by word against
 the item, so a hash collision marks nothing.
 
-The set is broadcast only up to ``block_windows`` windows (about 40 bytes each); a larger benchmark is taken
-in blocks of that size, one scan of the documents each, and the hits of all blocks are merged per document
-before anything is judged or cut.
+What is broadcast is the items' words, up to ``block_windows`` windows; workers build the hash set of it once, with
+some 16 bytes a window beside the words. A larger benchmark is taken in blocks of that size, one scan of the
+documents each, and the hits of all blocks are merged per document before anything is judged or cut.
 
 Defined cases: a null or empty text, or one without words, has no hits; items without words match nothing;
-repeated or tied items each count; repeated documents each get their row; an item with a null id is hit and
+a text of any length is one block of words, whatever the others are; repeated or tied items each count; repeated documents each get their row; an item with a null id is hit and
 cut as any other, and only its id is left out of the list of items; empty tables on either side give all-clean or no rows; other columns are ignored by
 ``contamination`` and kept by ``decontaminate``.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,48 +38,51 @@ def words_of(text: bytes) -> list[bytes]:
     return ALNUM_PATTERN.findall(text.lower())  # bytes.lower() changes A-Z alone
 
 
-def benchmark_windows(items: list[tuple[str | None, bytes]], size: int) -> list[tuple[str | None, list[bytes]]]:
-    """(item, words) of every window."""
-    out = []
-    for item, text in items:
-        words = words_of(text)
-        if words:
-            out += [(item, words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
-    return out
-
-
 class WindowSet:
-    """Windows by length and fingerprint."""
-
-    def __init__(self, windows: list[tuple[str | None, list[bytes]]]) -> None:
-        self.lengths: dict[int, tuple[np.ndarray, dict[int, list[tuple[bytes, tuple[str, ...]]]]]] = {}
-        by: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
-        for item, words in windows:
-            own = by[len(words)][b" ".join(words)]  # stays empty where only items without an id have the window
-            if item is not None:
-                own.add(item)
-        for length, phrases in by.items():
-            joined = b" ".join(phrases)
-            hashes = word_table(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]), ALNUM)[2]
-            prints = roll(hashes, length)[::length]
-            found: dict[int, list[tuple[bytes, tuple[str, ...]]]] = defaultdict(list)
-            for print_, (phrase, own) in zip(prints.tolist(), phrases.items()):
-                found[print_].append((phrase, tuple(sorted(own))))
-            self.lengths[length] = (np.unique(prints), dict(found))
-
-    def hits(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray, hashes: np.ndarray, text_of_word: np.ndarray) -> Iterator[tuple[int, int, tuple[str, ...]]]:
+    """The windows of a block of ``(item, words joined by blanks)``, sorted by fingerprint: 16 bytes a window beside
+    the words. Windows have ``size`` words, or all words of a shorter item."""
+
+    def __init__(self, block: list[tuple[str | None, bytes]], size: int) -> None:
+        self.items = [item for item, _ in block]
+        texts = [text for _, text in block]
+        self.data = b"".join(texts)
+        starts = np.cumsum([0, *map(len, texts)])
+        self.begins, self.ends, hashes, first = word_table(np.frombuffer(self.data, np.uint8), starts, ALNUM)
+        self.item_of = np.repeat(np.arange(len(block)), np.diff(first))
+        number = np.diff(first)
+        self.lengths: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for length in np.unique(np.minimum(number[number > 0], size)).tolist():
+            rolled = roll(hashes, length)
+            own = self.item_of[: len(rolled)]
+            fits = (own == self.item_of[length - 1 :]) & (np.minimum(number, size)[own] == length)
+            at = np.flatnonzero(fits)
+            at = at[np.argsort(rolled[at], kind="stable")]
+            self.lengths[length] = (rolled[at], at)
+
+    def hits(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray, hashes: np.ndarray, text_of_word: np.ndarray) -> Iterator[tuple[int, int, set[str]]]:
         """(first word, length, items) of each verified occurrence inside one text."""
-        for length, (prints, found) in self.lengths.items():
+        for length, (prints, places) in self.lengths.items():
             rolled = roll(hashes, length)
             if not len(rolled):
                 continue
-            at = np.minimum(np.searchsorted(prints, rolled), len(prints) - 1)
+            low = np.searchsorted(prints, rolled)
             same_text = text_of_word[: len(rolled)] == text_of_word[length - 1 :]
-            for k in np.flatnonzero((prints[at] == rolled) & same_text).tolist():
+            for k in np.flatnonzero((prints[np.minimum(low, len(prints) - 1)] == rolled) & same_text).tolist():
                 phrase = b" ".join(LOWER[data[begins[w] : ends[w]]].tobytes() for w in range(k, k + length))
-                for known, items in found[int(rolled[k])]:
-                    if known == phrase:
-                        yield k, length, items
+                equal = [p for p in places[low[k] : np.searchsorted(prints, rolled[k], "right")].tolist() if self.data[self.begins[p] : self.ends[p + length - 1]] == phrase]
+                if equal:  # an item without an id is hit, and is not in the list
+                    yield k, length, {item for p in equal if (item := self.items[self.item_of[p]]) is not None}
+
+
+_known: dict[str, object] = {}
+
+
+def window_set(shared: Broadcast, size: int) -> WindowSet:
+    """The set of a broadcast block, built once a worker; a worker keeps the one that it used last."""
+    if shared.value is not _known.get("block"):
+        _known.clear()
+        _known.update(block=shared.value, windows=WindowSet(shared.value, size))
+    return _known["windows"]
 
 
 def find(known: WindowSet, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[set[str]], list[list[dict[str, int]]]]:
@@ -103,12 +105,12 @@ def find(known: WindowSet, data: np.ndarray, starts: np.ndarray) -> tuple[np.nda
     return np.diff(first), items, spans
 
 
-def scan(docs: DataFrame, windows: list[tuple[str | None, list[bytes]]]) -> DataFrame:
+def scan(docs: DataFrame, block: list[tuple[str | None, bytes]], size: int) -> DataFrame:
     """``doc_id, text_key, n_words, items, spans`` of each document against one block of windows."""
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
+    shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WindowSet(shared.value)
+        known = window_set(shared, size)
         for batch in batches:
             for i, j, data, starts in blocks(batch, "text"):
                 n_words, items, spans = find(known, data, starts)
@@ -119,17 +121,23 @@ def scan(docs: DataFrame, windows: list[tuple[str | None, list[bytes]]]) -> Data
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(look, SCHEMA)
 
 
-def window_blocks(benchmark: DataFrame, size: int, block_windows: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
-    """The benchmark's windows in blocks; the driver never holds more than one block and one item."""
+def window_blocks(benchmark: DataFrame, size: int, block_windows: int) -> Iterator[list[tuple[str | None, bytes]]]:
+    """The benchmark in blocks of at most ``block_windows`` windows; the driver never holds more than one block and one
+    item. An item that goes over two blocks has ``size - 1`` words in both."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    own: list[tuple[str | None, list[bytes]]] = []
-    any_block = False
+    own: list[tuple[str | None, bytes]] = []
+    room, any_block = block_windows, False
     for row in rows.toLocalIterator():
-        own += benchmark_windows([(row["item"], row["text"].encode())], size)
-        while len(own) > block_windows:
-            any_block = True
-            yield own[:block_windows]
-            own = own[block_windows:]
+        words = words_of(row["text"].encode())
+        at, n = 0, max(1, len(words) - size + 1) if words else 0
+        while at < n:
+            if not room:
+                any_block = True
+                yield own
+                own, room = [], block_windows
+            took = min(room, n - at)
+            own.append((row["item"], b" ".join(words[at : at + took + size - 1])))
+            at, room = at + took, room - took
     if own or not any_block:
         yield own
 
@@ -138,7 +146,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_w
     """``doc_id, n_words, n_hit, items, spans`` for every row of ``docs(doc_id, text)``.
 
     Spans are the maximal runs of hit words, as word numbers ``first..last`` and as bytes ``[start, end)``."""
-    scans = [scan(docs, block) for block in window_blocks(benchmark, size, block_windows)]
+    scans = [scan(docs, block, size) for block in window_blocks(benchmark, size, block_windows)]
     found = scans[0]
     if len(scans) > 1:
         # each row comes once from every block; equal rows stay as many as they were
@@ -178,11 +186,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, remove_
     context = docs.sparkSession.sparkContext
     shared = [context.broadcast(block) for block in window_blocks(benchmark, size, block_windows)]
     if len(shared) > 1:
-        return decontaminate_by_blocks(docs, shared, remove_above)
+        return decontaminate_by_blocks(docs, shared, size, remove_above)
     (windows,) = shared
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WindowSet(windows.value)
+        known = window_set(windows, size)
         for batch in batches:
             at = batch.schema.get_field_index("text")
             keep, texts = np.ones(batch.num_rows, bool), {}
@@ -209,13 +217,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, remove_
     return docs.mapInArrow(clean, docs.schema)
 
 
-def decontaminate_by_blocks(docs: DataFrame, shared: list[Broadcast], remove_above: float) -> DataFrame:
+def decontaminate_by_blocks(docs: DataFrame, shared: list[Broadcast], size: int, remove_above: float) -> DataFrame:
     """``decontaminate`` for a benchmark of several blocks. In each turn all blocks look at the same texts, their
     spans are merged, and each text is cut once; the next turn looks at the texts that were cut."""
 
     def hits(texts: DataFrame, block: Broadcast) -> DataFrame:
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = WindowSet(block.value)
+            known = window_set(block, size)
             for batch in batches:
                 for i, j, data, starts in blocks(batch, "text"):
                     n_words, _, spans = find(known, data, starts)
