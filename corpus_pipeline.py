@@ -2,6 +2,11 @@
 
 Each stage takes all rows that the one before it kept. Stages up to the last return the columns of
 ``documents``; ``n_chars`` follows the text. A document whose whole text is cut stays as an empty one.
+
+Defined cases: a null or empty text has too few words and goes with the first stage; a null id is kept, and so are
+rows that share an id with different texts; repeated rows are near-duplicates, of which one stays; other columns of
+``documents``, whatever their names, reach the stage before the last unchanged; an empty ``documents`` gives an
+empty plan, and an empty ``benchmark`` cuts nothing; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from medialake.llm import decontamination, near_dedup, packing, quality, repeats
-from medialake.llm.common import materialise, table
+from medialake.llm.common import discard, settled, table
 from medialake.llm.queries import vocabulary
 
 
@@ -59,7 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packing plan of ``documents``. What a stage wrote is deleted when the next one has been written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    for turn, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, settled(lambda: stage(spark, docs, sf_dir), f"stage-{name}")
+        if turn:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
