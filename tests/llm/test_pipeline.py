@@ -40,3 +40,24 @@ def test_pipeline_stages(spark, tmp_path):
     # the plan of the whole run is that of these rows
     plan = packing.pack(spark.createDataFrame(expected, schema), vocabulary())
     assert Counter(corpus_pipeline.run(spark, folder).collect()) == Counter(plan.collect())
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    for name, own in (("none", []), ("some", rows()[:12])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(own, SCHEMA).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], BENCHMARK).write.parquet(f"{folder}/benchmark.parquet")
+        plan = corpus_pipeline.run(spark, folder)
+        assert plan.columns[:2] == ["doc_id", "start"] and bool(plan.collect()) == bool(own)
+
+
+def test_files_of_earlier_stages_are_deleted(spark, tmp_path):
+    from medialake.llm import common
+
+    folder = str(tmp_path)
+    spark.createDataFrame(rows()[:12], SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items(), BENCHMARK).write.parquet(f"{folder}/benchmark.parquet")
+    before = len(common._written)
+    corpus_pipeline.run(spark, folder).collect()
+    left = [path.rsplit("/", 1)[1].rsplit("-", 1)[0] for _, path in common._written[before:]]
+    assert sorted(left) == ["pieces", "pieces-by-length", "stage-decontamination"]
