@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyspark.sql.functions as F
 from pyspark.sql import Column
 
@@ -11,6 +13,8 @@ VIDEO_ID = r"^[A-Za-z0-9_-]{11}$"
 CHANNEL_ID = r"^UC[A-Za-z0-9_-]{22}$"
 HANDLE = r"^@[\w.-]{1,50}$"
 LANGUAGE_TAG = r"^[A-Za-z]{2,3}(-[A-Za-z0-9]{2,8})*$"
+# What stands before the id in a link to a video.
+LINKS = ["youtube.com/watch?v=", "youtu.be/", "youtube.com/embed/", "youtube.com/v/", "youtube.com/shorts/"]
 
 # Typed codes of a video's availability and live status.
 AVAILABILITY_CODES = {"private": "PRIVATE", "subscriber_only": "MEMBERS_ONLY", "premium_only": "PREMIUM_ONLY", "needs_auth": "AGE_GATED"}
@@ -26,7 +30,8 @@ FAILURE_RULES = [
     ("ffmpeg not found. Please install or provide the path using --ffmpeg-location", "FFMPEG_MISSING"),
     ("for tips on effectively exporting YouTube cookies", "LOGIN_REQUIRED"),
 ]
-FAILURE_FALLBACK = "EXTRACTOR_FAILED"
+# Fixed value: the code of any other error text.
+FAILURE_FALLBACK = "YTDLP_FAILED"
 
 
 def _col(c: Column | str) -> Column:
@@ -40,24 +45,39 @@ def format_timestamp(seconds: Column | str) -> Column:
     return F.when(hours > 0, F.format_string("%d:%02d:%02d", hours, minutes, rest)).otherwise(F.format_string("%d:%02d", minutes, rest))
 
 
+def format_duration(seconds: Column | str) -> Column:
+    """As ``format_timestamp``, but parts of a second are shown and nothing is clamped."""
+    total = _col(seconds).cast("double")
+    hours, minutes = F.floor(total / 3600).cast("long"), F.floor(total % 3600 / 60).cast("long")
+    shown = F.regexp_replace((total % 60).cast("string"), r"\.0$", "")
+    rest = F.when(F.length(shown) < 2, F.concat(F.lit("0"), shown)).otherwise(shown)
+    return F.when(hours > 0, F.concat(F.format_string("%d:%02d:", hours, minutes), rest)).otherwise(F.concat(F.format_string("%d:", minutes), rest))
+
+
 def subtitle_timestamp(seconds: Column | str, separator: str = ",") -> Column:
-    """``HH:MM:SS,mmm``; the milliseconds come from the whole time, so they stay below 1000."""
-    millis = F.floor(_col(seconds) * 1000 + 0.5).cast("long")
+    """``HH:MM:SS,mmm``; negatives count as 0, and the milliseconds come from the whole time, so they stay below 1000."""
+    millis = F.floor(F.greatest(_col(seconds), F.lit(0)) * 1000 + 0.5).cast("long")
     return F.format_string(f"%02d:%02d:%02d{separator}%03d", F.floor(millis / 3600000).cast("long"), F.floor(millis / 60000).cast("long") % 60, F.floor(millis / 1000).cast("long") % 60, millis % 1000)
 
 
+def watch_url(video_id: Column | str) -> Column:
+    return F.concat(F.lit("https://www.youtube.com/watch?v="), _col(video_id))
+
+
 def deep_link(video_id: Column | str, seconds: Column | str) -> Column:
     at = F.floor(F.greatest(_col(seconds), F.lit(0))).cast("long").cast("string")
-    return F.concat(F.lit("https://www.youtube.com/watch?v="), _col(video_id), F.lit("&t="), at, F.lit("s"))
+    return F.concat(watch_url(video_id), F.lit("&t="), at, F.lit("s"))
 
 
 def parse_timestamp(text: Column | str) -> Column:
-    """Seconds of ``90``, ``1:30`` or ``01:02:03.5``; null for anything else."""
-    text = F.trim(_col(text))
-    part = lambda i: F.nullif(F.regexp_extract(text, r"^(?:(?:(\d+):)?(\d{1,2}):)?(\d+(?:\.\d+)?)$", i), F.lit("")).cast("double")
-    rest = part(3)
-    bad = part(2).isNotNull() & (rest >= 60)
-    return F.when(~bad, rest + 60 * F.coalesce(part(2), F.lit(0.0)) + 3600 * F.coalesce(part(1), F.lit(0.0)))
+    """Seconds of ``90``, ``1:30`` or ``01:02:03.5``; null for anything else. With a colon, minutes and seconds are
+    below 60 and have two digits at most."""
+    parts = F.split(F.trim(_col(text)), ":")
+    n, part = F.size(parts), lambda k: F.try_element_at(parts, F.lit(k))
+    plain = (n == 1) & part(1).rlike(r"^\d+(\.\d+)?$")
+    timed = n.isin(2, 3) & part(-1).rlike(r"^[0-5]?\d(\.\d+)?$") & part(-2).rlike(r"^[0-5]?\d$") & ((n == 2) | part(1).rlike(r"^\d+$"))
+    hours = F.when(n == 3, part(1).cast("double")).otherwise(0.0)
+    return F.when(plain, part(1).cast("double")).when(timed, hours * 3600 + part(-2).cast("double") * 60 + part(-1).cast("double"))
 
 
 def upload_date(text: Column | str) -> Column:
@@ -66,17 +86,31 @@ def upload_date(text: Column | str) -> Column:
     return F.when(digits.rlike(r"^\d{8}$"), F.to_date(F.try_to_timestamp(digits, F.lit("yyyyMMdd"))))
 
 
+def to_fixed(x: Column, decimals: int) -> Column:
+    """A number that is not negative, with so many decimals: the nearest to the double's exact value, of two the larger.
+
+    The double is split into halves whose products with the power of ten are exact, so the rounding is too."""
+    x, scale = x.cast("double"), float(10**decimals)
+    wide = x * 134217729.0  # 2 ** 27 + 1
+    high = wide - (wide - x)
+    near = F.floor(x * scale + 0.5)
+    over = lambda half: (high * scale - (near + half)) + (x - high) * scale
+    n = F.when(over(-0.5) < 0, near - 1).when(over(0.5) >= 0, near + 1).otherwise(near).cast("long")
+    return F.format_string(f"%d.%0{decimals}d", F.floor(n / int(scale)).cast("long"), n % int(scale))
+
+
 def format_count(n: Column | str) -> Column:
     """``999``, ``1.5K``, ``2M``, ``3.1B``."""
     n = _col(n)
-    short = lambda unit, sign: F.concat(F.regexp_replace(F.format_string("%.1f", n / F.lit(float(unit))), r"\.0$", ""), F.lit(sign))
+    short = lambda unit, sign: F.concat(F.regexp_replace(to_fixed(n / F.lit(float(unit)), 1), r"\.0$", ""), F.lit(sign))
     return F.when(n >= 10**9, short(10**9, "B")).when(n >= 10**6, short(10**6, "M")).when(n >= 1000, short(1000, "K")).otherwise(n.cast("string"))
 
 
 def format_filesize(n: Column | str) -> Column:
-    n = _col(n)
-    size = lambda unit, sign: F.format_string(f"%.1f {sign}", n / F.lit(float(unit)))
-    return F.when(n >= 2**30, size(2**30, "GB")).when(n >= 2**20, size(2**20, "MB")).when(n >= 2**10, size(2**10, "KB")).otherwise(F.format_string("%d B", n.cast("long")))
+    """KB and MB with one decimal, GB with two; ``Unknown`` for 0 or nothing."""
+    n = F.coalesce(_col(n), F.lit(0))
+    size = lambda unit, decimals, sign: F.concat(to_fixed(n / F.lit(float(unit)), decimals), F.lit(f" {sign}"))
+    return F.when(n == 0, "Unknown").when(n < 2**20, size(2**10, 1, "KB")).when(n < 2**30, size(2**20, 1, "MB")).otherwise(size(2**30, 2, "GB"))
 
 
 def round_millis(seconds: Column | str) -> Column:
@@ -84,10 +118,11 @@ def round_millis(seconds: Column | str) -> Column:
 
 
 def video_id(url: Column | str) -> Column:
-    """The id of a watch, short, embed or shorts URL, or of an id itself; null otherwise."""
+    """The id after the first of ``LINKS`` in a URL, or the text itself if it is an id; null otherwise."""
     url = _col(url)
-    watch = r"(?:youtube\.com/watch\?v=|youtu\.be/|youtube\.com/embed/|youtube\.com/v/|youtube\.com/shorts/)([a-zA-Z0-9_-]{11})"
-    return F.when(url.rlike(VIDEO_ID), url).otherwise(F.nullif(F.regexp_extract(url, watch, 1), F.lit("")))
+    watch, shorts = ("|".join(re.escape(x) for x in own) for own in (LINKS[:-1], LINKS[-1:]))
+    after = [F.nullif(F.regexp_extract(url, rf"(?:{links})([a-zA-Z0-9_-]{{11}})", 1), F.lit("")) for links in (watch, shorts)]
+    return F.when(url.rlike(VIDEO_ID), url).otherwise(F.coalesce(*after))
 
 
 def allowed_url(url: Column | str, hosts: list[str] = HOSTS) -> Column:
@@ -130,7 +165,8 @@ def safe_stem(title: Column | str, fallback: Column | str) -> Column:
 
 
 def merge_tags(old: Column | str, add: Column | str) -> Column:
-    return F.array_sort(F.array_union(F.coalesce(_col(old), F.array().cast("array<string>")), _col(add)))
+    """The tags with those to add behind them, each once, in the order in which they came."""
+    return F.array_union(F.coalesce(_col(old), F.array().cast("array<string>")), _col(add))
 
 
 def remove_tags(old: Column | str, remove: list[str]) -> Column:

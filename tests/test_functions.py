@@ -1,3 +1,5 @@
+import random
+
 import pyspark.sql.functions as F
 import pytest
 
@@ -12,14 +14,16 @@ def values(spark, rows, schema, column):
 def test_timestamps(spark):
     got = values(spark, [(0.0,), (62.0,), (3723.0,), (3600.0,), (-5.0,)], "s double", X.format_timestamp("s"))
     assert got == ["0:00", "1:02", "1:02:03", "1:00:00", "0:00"]
-    got = values(spark, [(0.0,), (62.5,), (3723.25,), (1.9996,)], "s double", X.subtitle_timestamp("s"))
-    assert got == ["00:00:00,000", "00:01:02,500", "01:02:03,250", "00:00:02,000"]
+    got = values(spark, [(0.0,), (62.5,), (3723.25,), (1.9996,), (-3.2,)], "s double", X.subtitle_timestamp("s"))
+    assert got == ["00:00:00,000", "00:01:02,500", "01:02:03,250", "00:00:02,000", "00:00:00,000"]
+    got = values(spark, [(0.0,), (65.5,), (3605.0,), (-1.0,)], "s double", X.format_duration("s"))
+    assert got == ["0:00", "1:5.5", "1:00:05", "-1:-1"]
     assert values(spark, [("id", 62.7), ("id", -3.0)], "v string, s double", X.deep_link("v", "s")) == ["https://www.youtube.com/watch?v=id&t=62s", "https://www.youtube.com/watch?v=id&t=0s"]
 
 
 def test_parse_timestamp(spark):
-    got = values(spark, [("90",), ("1:30",), ("01:02:03.5",), ("1:75",), ("x",), ("",), (None,)], "t string", X.parse_timestamp("t"))
-    assert got == [90.0, 90.0, 3723.5, None, None, None, None]
+    got = values(spark, [("90",), ("1:30",), ("01:02:03.5",), ("1:75",), ("x",), ("",), (None,), ("75:10",), ("0:61:00",), ("1:05",), (" 100:59:59.9 ",), ("1:2:3:4",), ("1:",), ("-5",), ("1:005",)], "t string", X.parse_timestamp("t"))
+    assert got == [90.0, 90.0, 3723.5, None, None, None, None, None, None, 65.0, 363599.9, None, None, None, None]
 
 
 def test_dates_and_counts(spark):
@@ -27,7 +31,20 @@ def test_dates_and_counts(spark):
     assert got == ["2026-01-01", "2026-01-01", None, None, None]
     got = values(spark, [(999,), (1500,), (2000000,), (3100000000,)], "n long", X.format_count("n"))
     assert got == ["999", "1.5K", "2M", "3.1B"]
-    assert values(spark, [(5,), (2048,)], "n long", X.format_filesize("n")) == ["5 B", "2.0 KB"]
+    # a double just below a tie goes down, an exact tie up
+    assert values(spark, [(1150,), (1250,), (1350,), (999999,), (999949,)], "n long", X.format_count("n")) == ["1.1K", "1.3K", "1.4K", "1000K", "999.9K"]
+    got = values(spark, [(0,), (None,), (5,), (2048,), (5 << 20,), (3 << 30,), (1234567890,)], "n long", X.format_filesize("n"))
+    assert got == ["Unknown", "Unknown", "0.0 KB", "2.0 KB", "5.0 MB", "3.00 GB", "1.15 GB"]
+
+
+def test_to_fixed_is_exact(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    r = random.Random(3)
+    rows = [(r.choice([r.random() * 10 ** r.randint(-2, 6), r.randint(0, 9999) / 100, r.randint(0, 99999) / 1000]),) for _ in range(2000)]
+    for decimals in (1, 2):
+        got = values(spark, rows, "x double", X.to_fixed(F.col("x"), decimals))
+        assert got == [str(Decimal(x).quantize(Decimal(1).scaleb(-decimals), ROUND_HALF_UP)) for (x,) in rows]
 
 
 def test_ids_and_urls(spark):
@@ -45,6 +62,11 @@ def test_codes(spark):
     assert values(spark, [("..a/b: c\t d",), ("",)], "t string", X.safe_stem("t", F.lit("f"))) == ["ab c d", "f"]
 
 
+def test_tags_keep_their_order(spark):
+    assert values(spark, [(["z", "a"],), (None,)], "t array<string>", X.merge_tags("t", F.array(F.lit("m"), F.lit("a")))) == [["z", "a", "m"], ["m", "a"]]
+    assert X.FAILURE_FALLBACK == "YTDLP_FAILED"
+
+
 def test_even_times(spark):
     got = values(spark, [(0.0, 600.0)], "a double, b double", X.midpoints(F.col("a"), F.col("b"), 4))
     assert got == [[75.0, 225.0, 375.0, 525.0]]
