@@ -1,29 +1,55 @@
-"""Recurring phrases of three to six words."""
+"""Recurring phrases of three to six words.
+
+A phrase recurs only where all runs of three words in it do. The first pass counts the videos of each such run by its
+64-bit fingerprint, combined before its shuffle; the second keeps the positions whose run is met in enough videos, and
+spells out the phrases of what is left, which are counted by their text: a collision of fingerprints adds
+candidates and no results."""
 
 from __future__ import annotations
 
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 
-from ..functions.text import STOP_WORDS, ngrams, phrase_words
+from ..functions.text import STOP_WORDS, phrase_words
+from ..work import materialise, spread
 
 MIN_WORDS, MAX_WORDS, MIN_VIDEOS, LIMIT = 3, 6, 3, 20
 
 
+def openings(words: DataFrame, spelled: bool) -> DataFrame:
+    """``h`` of each run of ``MIN_WORDS`` words of ``words(video_id, words)``: once a video, or, ``spelled``, with its
+    video, position, text and last word."""
+    w = F.col("words")
+    places = F.when(F.size(w) >= MIN_WORDS, F.sequence(F.lit(1), F.size(w) - (MIN_WORDS - 1))).otherwise(F.array().cast("array<int>"))
+    if not spelled:
+        return words.select(F.explode(F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.slice(w, i, MIN_WORDS))))).alias("h"))
+
+    def run(i):  # noqa: ANN001, ANN202
+        own = F.slice(w, i, MIN_WORDS)
+        return F.struct(i.alias("i"), F.xxhash64(own).alias("h"), F.array_join(own, " ").alias("run"), F.get(w, i + (MIN_WORDS - 2)).alias("last"))
+
+    return words.select("video_id", F.explode(F.transform(places, run)).alias("r")).select("video_id", "r.*")
+
+
 def count_phrases(words: DataFrame, lengths: range, min_videos: int) -> DataFrame:
     """``phrase, video_count, occurrences`` of the runs of the given lengths in ``words(video_id, words)``, one row a
-    video; runs that open with three stop words are left out.
-
-    A longer run recurs only where its opening does, so there is nothing to gain from counting lengths in turn. Each
-    video counts once through its distinct runs and its occurrences through all of them, so a single aggregation,
-    combined before its shuffle, gives both numbers."""
-    runs = F.concat(*(ngrams(F.col("words"), n) for n in lengths))
-    once = lambda g: F.struct(g.alias("phrase"), F.lit(1).alias("v"), F.lit(0).alias("n"))
-    each = lambda g: F.struct(g.alias("phrase"), F.lit(0).alias("v"), F.lit(1).alias("n"))
-    rows = words.select(runs.alias("runs")).select(F.explode(F.concat(F.transform(F.array_distinct("runs"), once), F.transform("runs", each))).alias("r")).select("r.*")
-    counted = rows.groupBy("phrase").agg(F.sum("v").alias("video_count"), F.sum("n").alias("occurrences")).filter(F.col("video_count") >= min_videos)
-    opening = F.slice(F.split("phrase", " "), 1, MIN_WORDS)
-    return counted.filter(F.exists(opening, lambda w: ~w.isin(STOP_WORDS)))
+    video; runs that open with three stop words are left out."""
+    known = openings(words, spelled=False).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_videos).select("h")
+    rows = openings(words, spelled=True).join(materialise(known, "openings"), "h", "left_semi")
+    by = W.partitionBy("video_id").orderBy("i")
+    parts, text, unbroken = [], F.col("run"), F.lit(True)
+    for more in range(lengths[-1] - MIN_WORDS + 1):
+        if more:
+            unbroken = unbroken & (F.lead("i", more).over(by) == F.col("i") + more)
+            text = F.concat_ws(" ", text, F.lead("last", more).over(by))
+        if more + MIN_WORDS in lengths:
+            parts.append(F.when(unbroken, text))
+    # a run's opening is that of all its phrases, so the rule on stop words is asked before phrases are counted
+    filler = F.forall(F.split("run", " "), lambda x: x.isin(STOP_WORDS))
+    phrases = rows.select("video_id", filler.alias("filler"), F.array_compact(F.array(*parts)).alias("phrases")).filter("NOT filler").select("video_id", F.explode("phrases").alias("phrase"))
+    own = phrases.groupBy("phrase", "video_id").agg(F.count("*").alias("n"))
+    return own.groupBy("phrase").agg(F.count("*").alias("video_count"), F.sum("n").alias("occurrences")).filter(F.col("video_count") >= min_videos)
 
 
 def recurring(passages: DataFrame, min_videos: int = MIN_VIDEOS) -> DataFrame:
@@ -34,7 +60,7 @@ def recurring(passages: DataFrame, min_videos: int = MIN_VIDEOS) -> DataFrame:
 
 def recurring_in_videos(videos: DataFrame, min_videos: int = MIN_VIDEOS) -> DataFrame:
     """The same of ``videos(video_id, text)``, one row a video."""
-    words = videos.select(phrase_words("text").alias("words"))
+    words = spread(videos.select("video_id", "text")).select("video_id", phrase_words("text").alias("words"))
     return count_phrases(words, range(MIN_WORDS, MAX_WORDS + 1), min_videos)
 
 
@@ -53,7 +79,7 @@ def ranked(phrases: DataFrame, limit: int = LIMIT) -> DataFrame:
     A contained phrase is a run of the other's words, except that its first word may be the end of a word there and its
     last the beginning of one. Whole runs are looked up by equality; for the phrases that this leaves, the words
     between the first and the last are looked up, and the two ends compared."""
-    phrases = phrases.persist()  # read several times; a lost part is computed anew
+    phrases = materialise(phrases, "phrases")  # read several times
     runs = runs_of(phrases).withColumn("part", F.array_join("run", " "))
     whole = runs.filter(F.col("part") != F.col("outer")).groupBy("part").agg(F.max("outer_count").alias("outer_count"))
     left = phrases.join(whole, (phrases["phrase"] == whole["part"]) & (whole["outer_count"] >= phrases["video_count"]), "left_anti")

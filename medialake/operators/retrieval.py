@@ -1,7 +1,8 @@
-"""BM25 retrieval, excerpts and rank fusion over several corpora.
+"""BM25 retrieval and rank fusion over several corpora.
 
-Only postings of the query's terms are built: each document keeps the counts of those terms, taken from its
-own token array, so no token is shuffled. Corpus statistics are one row a corpus and are broadcast."""
+``search_index`` answers from a persisted index and reads the postings of the query's terms only. ``search`` answers
+without one: each document keeps the counts of the terms, taken from its own token array in one pass, so no token is
+shuffled; corpus statistics are one row a corpus."""
 
 from __future__ import annotations
 
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 
 from ..functions.text import STOP_WORDS, tokens
+from ..work import spread
+from .index import Index
 
 K1, B = 1.5, 0.75
 
@@ -27,7 +30,7 @@ def occurrences(words: Column, term: str) -> Column:
 
 def term_counts(documents: DataFrame, terms: list[str], words: Column, keys: list[str], extra: list[str] = ()) -> DataFrame:
     """``keys, n_tokens, tf_0 ..``: a document's length and its count of each distinct term."""
-    counted = documents.select(*keys, *extra, words.alias("_words"))
+    counted = spread(documents.select("*")).select(*keys, *extra, words.alias("_words"))
     counts = [occurrences(F.col("_words"), t).alias(f"tf_{i}") for i, t in enumerate(terms)]
     return counted.select(*keys, *extra, F.size("_words").alias("n_tokens"), *counts)
 
@@ -59,6 +62,36 @@ def search(documents: DataFrame, query: str, words: Column | None = None, key: s
     return joined.select(*keys, score.alias("score"), first.alias("first_term"))
 
 
+def search_index(index: Index, query: str) -> DataFrame:
+    """What ``search`` gives, from an index; with the corpus as a column ``corpus`` where the index has several."""
+    terms = query_terms(query)
+    distinct = list(dict.fromkeys(terms))
+    keys = [F.col("key").alias(index.key)] + ([F.col("corpus").alias(index.corpus)] if index.corpus else [])
+    rows = index.postings(distinct)
+    known = index.frequencies(distinct)
+    # a term's document frequency in each corpus, as literals where there is one corpus and else joined
+    if index.corpus:
+        table = index.spark.createDataFrame([(c, x, n) for (c, x), n in known.items()], "corpus string, term string, df long")
+        rows = rows.join(table, ["corpus", "term"])
+    else:
+        df = F.lit(0)
+        for (_, x), n in known.items():
+            df = F.when(F.col("term") == x, n).otherwise(df)
+        rows = rows.withColumn("df", df)
+    if index.corpus:
+        rows = rows.join(index.corpora(), "corpus")
+    else:
+        n, mean = index.statistics()
+        rows = rows.withColumns({"n": F.lit(n), "mean": F.lit(mean)})
+    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    times = first = F.lit(0)
+    for x in distinct:
+        times = F.when(F.col("term") == x, terms.count(x)).otherwise(times)
+        first = F.when(F.col("term") == x, terms.index(x)).otherwise(first)
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("mean"))) * times
+    return rows.groupBy("corpus", "key").agg(F.sum(part).alias("score"), F.min(first).alias("first_term")).select(*keys, "score", "first_term")
+
+
 def top(found: DataFrame, limit: int, offset: int = 0, key: str = "doc_id") -> DataFrame:
     """One page by the unrounded score; ties in order of the first query term met, then of the documents."""
     page = found.orderBy(F.desc("score"), "first_term", key).offset(offset).limit(limit)
@@ -70,3 +103,20 @@ def fused(found: DataFrame, corpus: str, per_corpus: int, limit: int, key: str =
     by = W.partitionBy(corpus).orderBy(F.desc("score"), "first_term", key)
     ranked = found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= per_corpus)
     return ranked.orderBy("rank", F.desc("score"), corpus).limit(limit).withColumn("score", F.round("score", 3)).drop("first_term")
+
+
+#: Corpora that one question may go to.
+MOST_CORPORA = 20
+
+
+def asked_corpora(asked: DataFrame, key: str = "channel_id", order: str = "ord") -> DataFrame:
+    """The corpora of a question, each once: the last row of an id, in the place of its first."""
+    others = [c for c in asked.columns if c not in (key, order)]
+    out = asked.groupBy(key).agg(F.min(order).alias(order), *(F.max_by(c, order).alias(c) for c in others))
+    return out.select(asked.columns).orderBy(order)
+
+
+def matches(found: DataFrame, corpora: DataFrame, corpus: str) -> DataFrame:
+    """How many documents of each corpus match, none included."""
+    n = found.groupBy(corpus).agg(F.count("*").alias("matches"))
+    return corpora.select(corpus).distinct().join(n, corpus, "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
