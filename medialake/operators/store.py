@@ -1,26 +1,44 @@
 """The store: tables as Parquet snapshots behind one pointer.
 
-A commit writes the tables it changes to a new snapshot folder and then renames a small manifest into place, so
-rows, receipts and events become visible together and a reader sees one snapshot. There is one writer at a time;
-a commit on a snapshot that is no longer current is refused. Files go through Hadoop's FileSystem, so the root may
-be in any store that Spark reaches."""
+A commit writes what it changes to a new snapshot folder and then renames a small manifest into place, so rows,
+receipts and events become visible together and a reader sees one snapshot. A table is written whole, appended to,
+or merged: a merged table is dealt into buckets by the hash of its key, and a merge reads and rewrites the buckets
+that its batch touches, while the manifest goes on naming the others where they are.
+
+There is one writer at a time; a commit on a snapshot that is no longer current is refused. Files go through
+Hadoop's FileSystem. Two writers that meet are told apart by a rename that fails if its target exists, as on HDFS and
+local folders; a root in an object store that cannot do that needs a single writer by other means."""
 
 from __future__ import annotations
 
 import json
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import types as T
 
-FORMAT = 1
+FORMAT = 2
+BUCKETS = 64
 
 
 class StoreError(RuntimeError):
     """The store is damaged, newer than this code, or was changed by another writer."""
 
 
+@dataclass(frozen=True)
+class Merge:
+    """A batch for ``upsert``: rows, key, what orders rows of one key, and the columns that a known key takes."""
+
+    batch: DataFrame
+    key: str
+    seq: str
+    updated: list[str]
+    buckets: int = BUCKETS
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -55,22 +73,61 @@ class Store:
             raise StoreError(f"the store has format {version}, newer than {FORMAT}")
         return found
 
+    def _open(self, entry: dict) -> DataFrame:
+        schema = T.StructType.fromJson(entry["schema"])
+        folders = [f"{self.root}/{p}" for p in entry["parts"].values()]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{self.manifest()['tables'][table]}")
+        return self._open(self.manifest()["tables"][table])
 
     def has(self, table: str) -> bool:
         return table in self.manifest()["tables"]
 
-    def commit(self, tables: dict[str, DataFrame], based_on: int | None = None) -> int:
-        """Publishes new contents of some tables in one step and returns the snapshot's number."""
+    def commit(self, tables: dict[str, DataFrame] | None = None, appends: dict[str, DataFrame] | None = None, merges: dict[str, Merge] | None = None, based_on: int | None = None) -> int:
+        """Publishes new contents, further rows and merged batches of some tables in one step; returns the snapshot's
+        number."""
         now = self.manifest()
         if based_on is not None and based_on != now["snapshot"]:
             raise StoreError(f"snapshot {based_on} is no longer current")
         number = now["snapshot"] + 1
-        places = dict(now["tables"])
-        for name, rows in tables.items():
-            places[name] = f"snapshots/{number}-{uuid.uuid4().hex[:8]}/{name}"
-            rows.write.parquet(f"{self.root}/{places[name]}")
+        places, folder = dict(now["tables"]), f"snapshots/{number}-{uuid.uuid4().hex[:8]}"
+        for name, rows in (tables or {}).items():
+            rows.write.parquet(f"{self.root}/{folder}/{name}")
+            places[name] = {"schema": rows.schema.jsonValue(), "parts": {"0": f"{folder}/{name}"}}
+        for name, rows in (appends or {}).items():
+            rows.write.parquet(f"{self.root}/{folder}/{name}")
+            before = places.get(name, {"schema": rows.schema.jsonValue(), "parts": {}})
+            places[name] = {"schema": before["schema"], "parts": before["parts"] | {str(number): f"{folder}/{name}"}}
+        for name, merge in (merges or {}).items():
+            places[name] = self._merged(places.get(name), merge, f"{folder}/{name}")
+        self._publish(number, places)
+        return number
+
+    def _merged(self, entry: dict | None, merge: Merge, folder: str) -> dict:
+        """A table's entry with a batch merged into the buckets that it touches."""
+        if entry is None:
+            schema = merge.batch.drop(merge.seq).schema
+            entry = {"schema": schema.jsonValue(), "parts": {}, "key": merge.key, "buckets": merge.buckets}
+            touched_parts: dict[str, str] = {}
+        elif "buckets" not in entry:  # written whole before: this merge deals all of it
+            touched_parts, entry = entry["parts"], {"schema": entry["schema"], "parts": {}, "key": merge.key, "buckets": merge.buckets}
+        elif entry["key"] != merge.key:
+            raise StoreError(f"the table is dealt by {entry['key']}, not by {merge.key}")
+        else:
+            touched_parts = None
+        bucket = F.pmod(F.xxhash64(merge.key), F.lit(entry["buckets"])).cast("int")
+        if touched_parts is None:
+            touched = {str(r["b"]) for r in merge.batch.select(bucket.alias("b")).distinct().collect()}  # at most a row a bucket
+            touched_parts = {b: p for b, p in entry["parts"].items() if b in touched}
+        old = self._open({"schema": entry["schema"], "parts": touched_parts})
+        new = upsert(old, merge.batch, merge.key, merge.seq, merge.updated).withColumn("_bucket", bucket)
+        new.repartition(entry["buckets"], "_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
+        written = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/{folder}"))]
+        parts = {b: p for b, p in entry["parts"].items() if b not in touched_parts}
+        return entry | {"parts": parts | {n.split("=")[1]: f"{folder}/{n}" for n in written if n.startswith("_bucket=")}}
+
+    def _publish(self, number: int, places: dict) -> None:
         text = json.dumps({"format": FORMAT, "snapshot": number, "tables": places})
         draft = self._path(f"{self.root}/_manifests/.{uuid.uuid4().hex}")
         out = self._fs.create(draft, True)
@@ -80,16 +137,27 @@ class Store:
         if self._fs.exists(target) or not self._fs.rename(draft, target):
             self._fs.delete(draft, False)
             raise StoreError("another writer was first")
-        return number
+
+    def compact(self, table: str) -> int:
+        """Rewrites an appended table's parts as one."""
+        return self.commit({table: self.read(table)}, based_on=self.manifest()["snapshot"])
 
     def vacuum(self) -> None:
-        """Deletes snapshots that the current manifest does not use."""
-        used = {p.split("/")[1] for p in self.manifest()["tables"].values()}
-        folder = self._path(f"{self.root}/snapshots")
-        if self._fs.exists(folder):
-            for status in self._fs.listStatus(folder):
-                if status.getPath().getName() not in used:
+        """Deletes folders and buckets of snapshots that the current manifest does not use."""
+        used = {p for entry in self.manifest()["tables"].values() for p in entry["parts"].values()}
+
+        def sweep(folder: str) -> None:
+            for status in self._fs.listStatus(self._path(f"{self.root}/{folder}")):
+                own = f"{folder}/{status.getPath().getName()}"
+                if own in used:
+                    continue
+                if any(p.startswith(own + "/") for p in used):
+                    sweep(own)
+                elif status.isDirectory():
                     self._fs.delete(status.getPath(), True)
+
+        if self._fs.exists(self._path(f"{self.root}/snapshots")):
+            sweep("snapshots")
         for number in self._manifests()[:-1]:
             self._fs.delete(self._path(f"{self.root}/_manifests/{number}.json"), False)
 
@@ -137,11 +205,14 @@ def upsert_listing(old: DataFrame, batch: DataFrame, seq: str) -> DataFrame:
     return merged.join(seen, "video_id", "left").withColumn("also_in_tabs", tabs).select(old.columns)
 
 
-def update_details(old: DataFrame, details: DataFrame, columns: list[str]) -> DataFrame:
-    """Known videos with the details that are given; a null detail keeps what is stored, an unknown video is ignored."""
-    new = details.dropDuplicates(["video_id"]).select("video_id", *(F.col(c).alias(f"_{c}") for c in columns))
+def update_details(old: DataFrame, details: DataFrame, columns: list[str], replaced: list[str] = ()) -> DataFrame:
+    """Known videos with the details that are given; a null detail keeps what is stored, an unknown video is ignored.
+    The ``replaced`` columns, when it was read and the record itself, are set even to null."""
+    every = [*columns, *replaced]
+    new = details.dropDuplicates(["video_id"]).select("video_id", *(F.col(c).alias(f"_{c}") for c in every), F.lit(True).alias("_read"))
     out = old.join(new, "video_id", "left")
-    return out.withColumns({c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in columns}).select(old.columns)
+    kept = {c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in columns}
+    return out.withColumns(kept | {c: F.when(F.col("_read"), F.col(f"_{c}")).otherwise(F.col(c)) for c in replaced}).select(old.columns)
 
 
 def mark_unreadable(video: DataFrame, failures: DataFrame) -> DataFrame:
@@ -151,14 +222,15 @@ def mark_unreadable(video: DataFrame, failures: DataFrame) -> DataFrame:
 
 
 def capped_record(record: Column, most: int = 32_768) -> Column:
-    """A detail record as JSON of at most ``most`` bytes: description, chapters, tags and categories go in turn."""
+    """A detail record as JSON of at most ``most`` bytes: description, chapters, tags and categories go in turn, and
+    then all but id and title. A record that lost something says so."""
     drops: list[str] = []
-    out = F.lit(None).cast("string")
+    cut = record.withField("detail_truncated", F.lit(True))
+    out = F.to_json(F.struct(record["id"].alias("id"), record["title"].alias("title"), F.lit(True).alias("detail_truncated")))
     steps = [F.to_json(record)]
     for name in ("description", "chapters", "tags", "categories"):
         drops.append(name)
-        steps.append(F.to_json(record.dropFields(*drops)))
-    out = F.to_json(F.struct(record["id"].alias("id")))
+        steps.append(F.to_json(cut.dropFields(*drops)))
     for step in reversed(steps):
         out = F.when(F.octet_length(step) <= most, step).otherwise(out)
     return out
@@ -170,14 +242,28 @@ def add_parents(video: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def upsert_receipts(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Receipts by (scope, target); ``attempts`` starts at 0 and counts the replacements."""
+    """Receipts by (scope, target); ``attempts`` starts at 0 and counts the replacements, and a known receipt keeps the
+    time at which it was started."""
     keys = ["scope", "target_id"]
-    fresh = new.withColumn("_new", F.lit(True)).drop("attempts")
-    before = old.select(*keys, F.col("attempts").alias("_attempts"))
-    taken = fresh.join(before, keys, "left").withColumn("attempts", F.coalesce(F.col("_attempts") + 1, F.lit(0))).drop("_attempts", "_new")
+    kept = [c for c in ("started_at",) if c in old.columns]
+    before = old.select(*keys, F.col("attempts").alias("_attempts"), *(F.col(c).alias(f"_{c}") for c in kept))
+    taken = new.drop("attempts").join(before, keys, "left").withColumn("attempts", F.coalesce(F.col("_attempts") + 1, F.lit(0)))
+    taken = taken.withColumns({c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in kept}).drop("_attempts", *(f"_{c}" for c in kept))
     return old.join(new.select(keys), keys, "left_anti").unionByName(taken, allowMissingColumns=True).select(old.columns)
 
 
+def receipt_events(new: DataFrame) -> DataFrame:
+    """The log's row of each receipt."""
+    return new.select("scope", "target_id", F.col("finished_at").alias("at"), "state", F.col("have").alias("delta"), F.col("reason").alias("note"))
+
+
+def save_with_receipts(store: Store, new: DataFrame, tables: dict[str, DataFrame] | None = None, merges: dict[str, Merge] | None = None) -> int:
+    """Rows, their receipts and the receipts' events, in one commit."""
+    now = store.manifest()["snapshot"]
+    old = store.read("receipt") if store.has("receipt") else new.withColumn("attempts", F.lit(0)).limit(0)
+    return store.commit({**(tables or {}), "receipt": upsert_receipts(old, new)}, {"event": receipt_events(new)}, merges, based_on=now)
+
+
 def delete_author(comment: DataFrame, author: str) -> DataFrame:
     """Comments without those of an author, named by id or exact name."""
     own = F.coalesce((F.col("author_id") == author) | (F.col("author") == author), F.lit(False))

@@ -20,13 +20,15 @@ def event_log(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def upsert_stream(rows: DataFrame, store: st.Store, table: str, key: str, seq: str, updated: list[str], checkpoint: str) -> StreamingQuery:
-    """Merges each micro-batch into a table. A batch that runs again changes nothing, since an upsert of the same
-    rows is the same."""
+    """Merges each micro-batch into the buckets of a table that it touches. A batch that runs again changes nothing,
+    since an upsert of the same rows is the same."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        now = store.manifest()["snapshot"]
-        old = store.read(table) if store.has(table) else batch.drop(seq).limit(0)
-        store.commit({table: st.upsert(old, batch, key, seq, updated)}, based_on=now)
+        if batch.isEmpty():
+            return
+        kept = batch.persist()  # read for its buckets and for its rows
+        store.commit(merges={table: st.Merge(kept, key, seq, updated)}, based_on=store.manifest()["snapshot"])
+        kept.unpersist()
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
