@@ -12,13 +12,18 @@ from pyspark.sql import Window as W
 from ..functions.scalars import channel_key
 
 
-def union_tabs(listings: DataFrame, max_videos: int | None = None) -> DataFrame:
+def union_tabs(listings: DataFrame, max_videos: int | None = None, step: int = 4096) -> DataFrame:
     """One row a video of ``listings(channel_id, tab, tab_order, position, video_id, ...)``: the first tab owns it, the
-    others are listed, and ``catalog_rank`` is its place in the walk."""
+    others are listed, and ``catalog_rank`` is its place in the walk. A place is counted in two steps, over ranges of
+    ``step`` positions of a tab and within each, so no task sorts a whole channel."""
     walk = F.struct("tab_order", "position")
     owned = listings.groupBy("channel_id", "video_id").agg(F.min(walk).alias("_walk"), F.min_by("tab", walk).alias("tab"), F.collect_set("tab").alias("_tabs"))
-    out = owned.withColumn("also_in_tabs", F.array_sort(F.array_remove("_tabs", F.col("tab"))))
-    out = out.withColumn("catalog_rank", F.row_number().over(W.partitionBy("channel_id").orderBy("_walk", "video_id")) - 1).drop("_walk", "_tabs")
+    owned = owned.withColumn("_range", F.struct(F.col("_walk.tab_order").alias("t"), F.floor(F.col("_walk.position") / step).alias("r")))
+    ranges = owned.groupBy("channel_id", "_range").agg(F.count("*").alias("_n"))
+    before = ranges.select("channel_id", "_range", F.coalesce(F.sum("_n").over(W.partitionBy("channel_id").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("channel_id", "_range").orderBy("_walk", "video_id")) - 1
+    out = owned.withColumn("_inside", inside).join(before, ["channel_id", "_range"]).withColumn("catalog_rank", F.col("_before") + F.col("_inside"))
+    out = out.select("channel_id", "video_id", "tab", F.array_sort(F.array_remove("_tabs", F.col("tab"))).alias("also_in_tabs"), "catalog_rank")
     return out if max_videos is None else out.filter(F.col("catalog_rank") < max_videos)
 
 
@@ -61,25 +66,39 @@ def refilter(states: DataFrame, left_out: Column) -> DataFrame:
     return states.withColumn("state", state)
 
 
-def encode_cursor(start: int, anchor: str | None) -> str:
-    """An opaque place in a listing."""
+def encode_cursor(start: int, anchor: str) -> str:
+    """An opaque place in a listing: the number of the next entry, from 1, and the id of the last one handed out."""
     raw = json.dumps({"v": 1, "start": start, "anchor": anchor}, separators=(",", ":")).encode()
     return base64.urlsafe_b64encode(raw).decode().rstrip("=")
 
 
-def decode_cursor(cursor: str) -> tuple[int, str | None]:
+def decode_cursor(cursor: str) -> tuple[int, str]:
     try:
         found = json.loads(base64.urlsafe_b64decode(cursor + "=" * (-len(cursor) % 4)))
-        if found["v"] != 1 or not isinstance(found["start"], int) or found["start"] < 0:
+        start, anchor = found["start"], found["anchor"]
+        if found["v"] != 1 or type(start) is not int or start < 1 or not isinstance(anchor, str):
             raise ValueError
-        return found["start"], found.get("anchor")
+        return start, anchor
     except (ValueError, KeyError, TypeError) as bad:
         raise ValueError("not a cursor of this listing") from bad
 
 
-def resume_at(listing: DataFrame, cursor: str, order: str = "position", key: str = "video_id") -> DataFrame:
-    """The listing from a cursor on: after its anchor where that is still listed, or else from its offset."""
-    start, anchor = decode_cursor(cursor)
-    place = listing.filter(F.col(key) == anchor).agg(F.min(order).alias("_at"))
-    after = F.coalesce(F.col("_at") + 1, F.lit(start))
-    return listing.crossJoin(F.broadcast(place)).filter(F.col(order) >= after).drop("_at")  # `place` is one row
+def listing_page(listing: DataFrame, limit: int, cursor: str | None = None, order: str = "position", key: str = "video_id") -> DataFrame:
+    """The page of a listing, whose ``position`` counts from 0, that a cursor stands at. New entries move the others on,
+    so the entry handed out last may come again: it is left out."""
+    start, anchor = (1, "") if cursor is None else decode_cursor(cursor)
+    page = listing.filter((F.col(order) >= start - 1) & (F.col(order) < start - 1 + limit))
+    return (page.filter(F.col(key) != anchor) if anchor else page).orderBy(order)
+
+
+def page_state(listing: DataFrame, limit: int, cursor: str | None = None, total: int | None = None, order: str = "position", key: str = "video_id") -> dict[str, object]:
+    """Whether the page moved, whether there is more, and the cursor of the next one. Without a total a full page means
+    that there may be more."""
+    start, anchor = (1, "") if cursor is None else decode_cursor(cursor)
+    on_page = (F.col(order) >= start - 1) & (F.col(order) < start - 1 + limit)
+    last = F.max_by(F.when(F.col(key) != anchor, F.col(key)), F.when(F.col(key) != anchor, F.col(order)))
+    found = listing.filter(on_page).agg(F.count("*").alias("n"), F.count_if(F.col(key) == anchor).alias("again"), last.alias("last")).first()
+    after = start + found["n"]
+    more = found["n"] == limit if total is None else after <= total and found["n"] > 0
+    out = {"drift_detected": bool(anchor) and found["again"] > 0, "has_more": more}
+    return out | ({"next_cursor": encode_cursor(after, found["last"])} if more and found["last"] is not None else {})

@@ -5,12 +5,21 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
+from ..functions.scalars import to_fixed
+
 STALE_AFTER_DAYS = 7
 EXHAUSTED = "source-exhausted"
 
 # Reasons of a failed attempt, and the words for scopes and reasons.
 FAILED_REASONS = ["SOURCE_REFUSED", "TIMEOUT"]
-UNITS = {"catalog": "videos", "details": "videos", "comments": "comments"}
+UNITS = {"catalog": "videos", "details": "videos", "comments": "comments", "channel-catalog": "videos", "video-details": "videos", "video-comments": "comments"}
+ESTIMATED = ["comment_count", "youtube:comment_count"]
+WHY = {
+    "COMPLETE": "complete", "CAP_REACHED": "stopped by the requested cap", "BUDGET_SPENT": "stopped when the time budget ran out",
+    "RATE_LIMITED": "stopped because YouTube throttled this client", "CANCELLED": "cancelled by the client", "TIMEOUT": "timed out",
+    "SOURCE_REFUSED": "YouTube refused this content to the current session", "COMMENTS_DISABLED": "comments are turned off for this video",
+    "SOURCE_SILENT": "YouTube states no total, so exhaustion cannot be proven", "PARTIAL_ERROR": "some items failed", "NOT_ATTEMPTED": "not attempted yet",
+}
 
 
 def cap_binding() -> Column:
@@ -80,10 +89,44 @@ def summary(rows: DataFrame, now: Column) -> DataFrame:
 
 
 def sentence() -> Column:
-    """A receipt in words: the counts, the share, and the target."""
-    unit = F.coalesce(*(F.when(F.col("scope") == k, v) for k, v in UNITS.items()), F.lit("items"))
+    """A receipt's first line: the counts, the share, and the target. A stated count is an estimate."""
     percent = F.col("have") / F.col("expected") * 100
-    share = F.when(F.col("expected") > 0, F.concat(F.lit(" ("), F.when((percent < 0.1) & (percent > 0), "<0.1").otherwise(F.format_string("%.1f", percent)), F.lit("%)"))).otherwise("")
+    shown = F.when((percent < 0.1) & (percent > 0), "<0.1").otherwise(to_fixed(percent, 1))
+    share = F.when(F.col("expected") > 0, F.concat(F.lit(" ("), shown, F.lit("%)"))).otherwise("")
+    about = F.when(F.coalesce(F.col("expected_source"), F.lit("")).isin(ESTIMATED), "about ").otherwise("")
     have = F.format_number("have", 0)
-    of = F.when(F.col("expected").isNull(), F.concat(have, F.lit(" "), unit)).otherwise(F.concat(have, F.lit(" of "), F.format_number("expected", 0), F.lit(" "), unit, share))
+    whole = F.concat(have, F.lit(" of "), about, F.format_number("expected", 0), F.lit(" "), _unit(), share)
+    of = F.when(F.col("expected").isNull(), F.concat(have, F.lit(" "), _unit())).otherwise(whole)
     return F.concat(F.lit("Coverage: "), of, F.lit(" for "), F.col("target_id").cast("string"), F.lit("."))
+
+
+def _unit() -> Column:
+    return F.coalesce(*(F.when(F.col("scope") == k, v) for k, v in UNITS.items()), F.lit("items"))
+
+
+def _iso(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def text() -> Column:
+    """A receipt in words: the counts; whether it is complete, or why not and what must not be said of it; the sort's
+    bias; when to look again; the note. ``sort_applied`` and ``note`` may be null."""
+    why = F.coalesce(*(F.when(F.col("reason") == k, v) for k, v in WHY.items()), F.col("reason"))
+    bias = F.when((F.col("sort_applied") == "top") & F.col("limit_applied").isNotNull(), ', sorted by "top" (a biased prefix, not a random sample)').otherwise("")
+    done = F.concat(F.lit("COMPLETE \u2014 "), why, F.lit(", harvested "), _iso(F.col("harvested_at")), F.lit("."))
+    again = F.concat(F.lit("Re-check after "), _iso(F.col("stale_after")), F.lit(" (this can change upstream)."))
+    what = F.when(_unit() == "comments", "comment history").otherwise("video list")
+    left = F.concat(F.lit("INCOMPLETE \u2014 "), why, bias, F.lit("."))
+    warning = F.concat(F.lit("Do not describe this as the full "), what, F.lit("."))
+    return F.concat_ws("\n", sentence(), F.when(F.col("complete"), done).otherwise(left), F.when(F.col("complete"), again).otherwise(warning), F.when(~F.col("complete"), F.col("note")))
+
+
+def report(rows: DataFrame, stored: DataFrame, now: Column) -> DataFrame:
+    """Receipts as they stand against the store: one that claims another count of comments than ``stored(target_id, n)``
+    has is incomplete, with the store's count. ``receipt_have`` is what it claimed, ``stale`` whether it is complete
+    and past its date."""
+    counted = rows.join(stored.select("target_id", F.col("n").alias("_n")), "target_id", "left").withColumn("receipt_have", F.col("have"))
+    checked = F.when(F.col("scope").isin("comments", "video-comments"), F.coalesce("_n", F.lit(0))).otherwise(F.col("have"))
+    wrong = checked != F.col("receipt_have")
+    out = counted.withColumn("have", checked).withColumn("reason", F.when(wrong, "PARTIAL_ERROR").otherwise(F.col("reason"))).withColumn("complete", F.col("complete") & ~wrong)
+    return out.withColumn("stale", F.col("complete") & (F.col("stale_after") < now)).drop("_n")

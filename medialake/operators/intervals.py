@@ -21,17 +21,19 @@ def overlapping(rows: DataFrame, low, high, begin: str = "start", end: str = "en
     return out if high is None else out.filter(F.col(begin) < high)
 
 
-def context(hits: DataFrame, rows: DataFrame, key: str, at: str, around: float, row_id: str) -> DataFrame:
-    """``hit_id`` with the rows of the same key within ``around`` of it, itself left out.
-
-    Rows are dealt to time buckets as wide as the window, so a hit meets three buckets by equality instead of all
-    rows of its key."""
-    wide = float(around) if around else 1.0
-    left = hits.select(F.col(row_id).alias("hit_id"), F.col(key).alias("_key"), F.col(at).alias("_at"))
-    left = left.withColumn("_bucket", F.explode(F.sequence(F.floor((F.col("_at") - around) / wide), F.floor((F.col("_at") + around) / wide))))
-    right = rows.withColumn("_own", F.floor(F.col(at) / wide))
-    near = (right[key] == left["_key"]) & (right["_own"] == left["_bucket"]) & F.abs(right[at] - left["_at"]).between(0, around) & (right[row_id] != left["hit_id"])
-    return left.join(right, near).drop("_key", "_at", "_bucket", "_own")
+def context(hits: DataFrame, rows: DataFrame, key: str, around: float, row_id: str, begin: str = "start", end: str = "end", bucket: float = 60.0) -> DataFrame:
+    """``hit_id`` with the rows of the same key that overlap the hit widened by ``around`` at both ends, itself left out.
+
+    Both sides are dealt to the time buckets that they touch, so a hit meets the rows near it by equality; a pair is
+    taken in the first bucket that both touch."""
+    width = max(bucket, 2.0 * around)
+    touched = lambda a, b: F.sequence(F.floor(a / width), F.floor(F.greatest(a, b) / width))
+    left = hits.select(F.col(row_id).alias("hit_id"), F.col(key).alias("_key"), (F.col(begin) - around).alias("_low"), (F.col(end) + around).alias("_high"))
+    left = left.withColumn("_bucket", F.explode(touched(F.col("_low"), F.col("_high"))))
+    right = rows.withColumn("_own", F.explode(touched(F.col(begin), F.col(end))))
+    near = (right[key] == left["_key"]) & (right["_own"] == left["_bucket"]) & (right[end] > left["_low"]) & (right[begin] < left["_high"]) & (right[row_id] != left["hit_id"])
+    met = left.join(right, near).filter(F.col("_bucket") == F.greatest(F.floor(F.col("_low") / width), F.floor(F.col(begin) / width)))
+    return met.drop("_key", "_low", "_high", "_bucket", "_own")
 
 
 def as_of(rows: DataFrame, marks: DataFrame, key: str, at: str, mark_at: str, value: str) -> DataFrame:

@@ -28,6 +28,10 @@ COMMENT_ORDERS = {
 }
 
 
+#: Videos of a page whose ids are broadcast.
+MOST = 10_000
+
+
 @dataclass(frozen=True)
 class VideoQuery:
     channel_id: object = None
@@ -72,10 +76,12 @@ def ordered(rows: DataFrame, orders: dict[str, list], order: str, key: str) -> D
 def video_page(video: DataFrame, comment: DataFrame, query: VideoQuery) -> DataFrame:
     """One page of videos with the number of their stored comments.
 
-    The page is cut before comments are counted, so only the comments of its videos are aggregated."""
+    The page is cut before comments are counted, so only the comments of its videos are aggregated. Pages of up to
+    ``MOST`` videos are broadcast to the comments' scan."""
     page = ordered(videos(video, comment, query), VIDEO_ORDERS, query.order, "video_id").offset(query.offset).limit(query.limit)
     ids = page.select("video_id")
-    stored = comment.select("video_id").join(F.broadcast(ids), "video_id", "left_semi").groupBy("video_id").agg(F.count("*").alias("stored_comments"))
+    ids = F.broadcast(ids) if query.limit <= MOST else ids
+    stored = comment.select("video_id").join(ids, "video_id", "left_semi").groupBy("video_id").agg(F.count("*").alias("stored_comments"))
     out = page.join(stored, "video_id", "left").withColumn("stored_comments", F.coalesce("stored_comments", F.lit(0)))
     return ordered(out, VIDEO_ORDERS, query.order, "video_id")
 
@@ -141,6 +147,22 @@ def with_receipts(page: DataFrame, receipts: DataFrame, target: str, scope: str,
     return receipts.filter(F.col("scope") == scope).join(F.broadcast(ids), "target_id")
 
 
+def targets_of(page: DataFrame, target: str, asked: str | None = None) -> DataFrame:
+    """``target_id``: the target that was asked for, and those that the page shows, each once."""
+    seen = page.select(F.col(target).cast("string").alias("target_id")).filter("target_id IS NOT NULL")
+    if asked is not None:
+        seen = seen.unionByName(page.sparkSession.createDataFrame([(asked,)], "target_id string"))
+    return seen.distinct()
+
+
+def receipts_page(receipts: DataFrame, scope: str | None = None, incomplete_only: bool = False, limit: int = 50, offset: int = 0) -> DataFrame:
+    """One page of receipts, newest first. The page is cut from the scope, and then shows the incomplete ones only, if
+    these are asked for."""
+    rows = receipts if scope is None else receipts.filter(F.col("scope") == scope)
+    page = rows.orderBy(F.desc_nulls_last("finished_at"), "target_id").offset(offset).limit(limit)
+    return page.filter(~F.col("complete")) if incomplete_only else page
+
+
 def pending_details(video: DataFrame, unreadable: list[str], limit: int | None = None) -> DataFrame:
     """Videos without details that are not known to be unreadable, in catalogue order."""
     waiting = F.col("detail_at").isNull() & (F.col("availability").isNull() | ~F.col("availability").isin(unreadable))
@@ -148,6 +170,22 @@ def pending_details(video: DataFrame, unreadable: list[str], limit: int | None =
     return rows if limit is None else rows.limit(limit)
 
 
+def unreadable_counts(video: DataFrame, unreadable: list[str]) -> DataFrame:
+    """Of each channel, the videos without details that are known to be unreadable."""
+    known = F.col("detail_at").isNull() & F.coalesce(F.col("availability").isin(unreadable), F.lit(False))
+    return video.groupBy("channel_id").agg(F.count_if(known).alias("unreadable"))
+
+
+def checked(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """``rows`` as they are read, failing on the first that breaks a rule: a row that does not fit was written wrong."""
+    bad = F.concat_ws(", ", *(F.when(~F.coalesce(rule, F.lit(False)), name) for name, rule in rules.items()))
+    shown = F.raise_error(F.concat(F.lit("a stored row has an unexpected shape: "), bad))
+    return rows.filter(F.when(bad == "", True).otherwise(shown))
+
+
+VIDEO_RULES = lambda: {"video_id": F.col("video_id").isNotNull(), "duration_s": F.col("duration_s").isNull() | (F.col("duration_s") >= 0), "channel_id": F.col("channel_id").isNotNull()}
+
+
 def catalogue_counts(video: DataFrame) -> DataFrame:
     return video.groupBy("channel_id").agg(F.count("*").alias("videos"), F.count("detail_at").alias("detailed"))
 

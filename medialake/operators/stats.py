@@ -27,9 +27,37 @@ def state_counts(rows: DataFrame, column: str, values: list[str]) -> DataFrame:
 
 
 def image_stats(images: DataFrame) -> DataFrame:
-    """Per tab: all, saved and failed images, and the bytes of the saved."""
-    saved = F.col("state") == "saved"
-    return images.groupBy("tab").agg(F.count("*").alias("images"), F.count_if(saved).alias("saved"), F.count_if(F.col("state") == "failed").alias("failed"), F.coalesce(F.sum(F.when(saved, F.col("bytes"))), F.lit(0)).alias("bytes"))
+    """Per tab: all, saved, failed and pending images, and the bytes of the saved."""
+    saved, failed = F.col("state") == "saved", F.col("state") == "failed"
+    pending = F.count_if(~F.coalesce(saved | failed, F.lit(False)))
+    return images.groupBy("tab").agg(
+        F.count("*").alias("images"), F.count_if(saved).alias("saved"), F.count_if(failed).alias("failed"), pending.alias("pending"), F.coalesce(F.sum(F.when(saved, F.col("bytes"))), F.lit(0)).alias("bytes")
+    )
+
+
+def image_entries(recorded: DataFrame, files: DataFrame, listed: DataFrame) -> DataFrame:
+    """``video_id, tab, state, bytes``: recorded entries, of which a saved one without an intact file is pending again,
+    and a pending entry for each video of the listings that has none; a video listed in several tabs is of the first.
+
+    ``files(video_id, size)`` are the files that exist, ``listed(video_id, tab, tab_order)`` the listings."""
+    first = listed.groupBy("video_id").agg(F.min_by("tab", "tab_order").alias("_tab"))
+    both = recorded.join(files.select("video_id", F.col("size").alias("_size")), "video_id", "left").join(first, "video_id", "full_outer")
+    intact = F.coalesce(F.col("_size") == F.col("bytes"), F.lit(False))
+    state = F.when(F.col("state").isNull() | ~intact, "pending").otherwise(F.col("state"))
+    return both.select("video_id", F.coalesce("tab", "_tab").alias("tab"), state.alias("state"), "bytes")
+
+
+def image_page(images: DataFrame, tab: str | None = None, state: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """One page of a channel's images, of a tab and in a state if these are given."""
+    rows = images if tab is None else images.filter(F.col("tab") == tab)
+    rows = rows if state is None else rows.filter(F.col("state") == state)
+    return rows.orderBy("video_id").offset(offset).limit(limit)
+
+
+def store_totals(channel: DataFrame, video: DataFrame, comment: DataFrame) -> DataFrame:
+    """One row with the numbers of channels, videos and comments."""
+    parts = [rows.agg(F.count("*").alias(name)) for name, rows in (("channels", channel), ("videos", video), ("comments", comment))]
+    return parts[0].crossJoin(parts[1]).crossJoin(parts[2])  # one row each
 
 
 def largest_image(images: str = "thumbnails"):

@@ -7,18 +7,21 @@ from pyspark.sql import DataFrame
 
 
 def normalised(raw: DataFrame) -> DataFrame:
-    """Raw comments ``(id, parent, text, like_count, author, ...)`` with their defaults; ``root`` means top level."""
+    """Raw comments ``(id, parent, text, like_count, author, ...)`` with their defaults; ``root`` means top level. A
+    comment without an id keeps its row, under an id made up for it."""
     flag = lambda name: F.coalesce(F.col(name), F.lit(False)).alias(name)
-    return raw.filter("id IS NOT NULL").select(
-        F.col("id").alias("comment_id"), F.nullif(F.col("parent"), F.lit("root")).alias("parent_id"), F.coalesce("text", F.lit("")).alias("text"),
-        F.coalesce("like_count", F.lit(0)).alias("like_count"), F.coalesce("author", F.lit("Unknown")).alias("author"), "author_id",
-        flag("author_is_uploader"), flag("author_is_verified"), flag("is_pinned"), flag("is_favorited"), F.timestamp_seconds("timestamp").alias("published_at"),
+    made_up = F.concat(F.lit("unknown-"), F.monotonically_increasing_id().cast("string"))
+    return raw.select(
+        F.coalesce("id", made_up).alias("comment_id"), F.nullif(F.col("parent"), F.lit("root")).alias("parent_id"), F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce("like_count", F.lit(0)).alias("like_count"), F.coalesce("author", F.lit("Unknown")).alias("author"), "author_id", "author_url", F.col("author_thumbnail").alias("author_thumbnail_url"),
+        flag("author_is_uploader"), flag("author_is_verified"), flag("is_pinned"), flag("is_favorited"), F.timestamp_seconds("timestamp").alias("published_at"), F.col("_time_text").alias("time_text"),
     )
 
 
 def with_roots(comment: DataFrame) -> DataFrame:
-    """Each comment with its thread's root. A reply whose parent is missing is an orphan and its own root."""
-    parents = comment.select(F.col("comment_id").alias("_parent"))
+    """Each comment with its thread's root. A reply whose parent is missing, or is a reply itself, is an orphan and its
+    own root."""
+    parents = comment.filter("parent_id IS NULL").select(F.col("comment_id").alias("_parent")).distinct()
     joined = comment.join(parents, comment["parent_id"] == parents["_parent"], "left")
     orphan = F.col("parent_id").isNotNull() & F.col("_parent").isNull()
     root = F.when(F.col("parent_id").isNull() | orphan, F.col("comment_id")).otherwise(F.col("parent_id"))

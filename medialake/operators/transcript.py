@@ -18,14 +18,16 @@ class UnsafePatternError(ValueError):
 
 
 def rolling_dedupe(cues: DataFrame, key: str = "video_id", order: str = "ord") -> DataFrame:
-    """Cue lines ``(key, ord, start, end, text)`` without blank lines and repeats of the line before; the lines of
-    one start are one segment."""
-    lines = cues.filter(F.trim("text") != "")
+    """Cue lines ``(key, ord, start, end, text)`` without blank lines and repeats of the line before; neighbouring lines
+    of one start are one segment, which ends with the last of them."""
+    lines = cues.withColumn("text", F.regexp_replace("text", r"(?U)^\s+|\s+$", "")).filter("text <> ''")
     by = W.partitionBy(key).orderBy(order)
     fresh = lines.withColumn("_before", F.lag("text").over(by)).filter(F.col("_before").isNull() | (F.col("_before") != F.col("text")))
+    new = F.coalesce((F.lag("start").over(by) != F.col("start")).cast("int"), F.lit(1))
+    grouped = fresh.withColumn("_new", new).withColumn("_run", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
     line = F.struct(F.col(order).alias("o"), F.col("text").alias("t"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["t"]), " ")
-    return fresh.groupBy(key, "start").agg(F.min(order).alias(order), F.max("end").alias("end"), joined.alias("text"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: F.trim(x["t"])), " ")
+    return grouped.groupBy(key, "start", "_run").agg(F.min(order).alias(order), F.max_by("end", order).alias("end"), joined.alias("text")).drop("_run")
 
 
 def slice_segments(segments: DataFrame, start: float | None = None, end: float | None = None) -> DataFrame:
@@ -61,17 +63,18 @@ def search_pattern(query: str, regex: bool = False, case_sensitive: bool = False
 
 
 def find_phrase(segments: DataFrame, query: str, regex: bool = False, case_sensitive: bool = False, limit: int | None = None, key: str = "video_id", order: str = "ord") -> DataFrame:
-    """Segments in which a match begins; the match may end in one of the two that follow."""
+    """Segments in which a match begins; the match may end in one of the two that follow. ``limit`` is that of each
+    video's first segments."""
     by = W.partitionBy(key).orderBy(order)
     following = [F.lead("text", k).over(by) for k in (1, 2)]
     hay = segments.withColumn("_hay", F.concat_ws(" ", "text", *following))
     at = F.regexp_instr("_hay", F.lit(search_pattern(query, regex, case_sensitive)))
     found = hay.filter((at > 0) & (at - 1 <= F.length("text"))).drop("_hay")
-    return found if limit is None else found.orderBy(key, order).limit(limit)
+    return found if limit is None else found.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= limit).drop("_n")
 
 
 def passages(segments: DataFrame, chapters: DataFrame | None = None, key: str = "video_id") -> DataFrame:
-    """``key, ord, start, end, text``: segments joined into passages.
+    """``key, ord, start, end, text``: segments joined into passages. Lengths are in UTF-16 units.
 
     A passage ends at a chapter's start, at ``MAX_CHARS``, and at a pause of ``BREAK_GAP`` seconds from
     ``TARGET_CHARS`` on. One fold over a video's sorted segments decides the breaks; it keeps the begins of the
@@ -90,7 +93,7 @@ def passages(segments: DataFrame, chapters: DataFrame | None = None, key: str =
             named_struct('chars', 0, 'end', cast(null as double), 'at', cast(null as double), 'n', 0, 'begins', cast(array() as array<int>)),
             (a, s) -> transform(array(
                 a.n = 0 OR exists(_starts, c -> c <= s.start AND (a.at IS NULL OR c > a.at)) OR a.chars >= {MAX_CHARS} OR (a.chars >= {TARGET_CHARS} AND s.start - a.end >= {BREAK_GAP})
-            ), cut -> named_struct('chars', CASE WHEN cut THEN 0 ELSE a.chars END + length(s.text) + 1, 'end', cast(s.end as double),
+            ), cut -> named_struct('chars', CASE WHEN cut THEN 0 ELSE a.chars END + cast(octet_length(encode(s.text, 'UTF-16BE')) div 2 as int) + 1, 'end', cast(s.end as double),
                 'at', greatest(coalesce(a.at, s.start), s.start), 'n', a.n + 1, 'begins', CASE WHEN cut THEN concat(a.begins, array(a.n)) ELSE a.begins END))[0],
             a -> a.begins)"""
     )
@@ -103,12 +106,20 @@ def passages(segments: DataFrame, chapters: DataFrame | None = None, key: str =
     return kept.select(key, F.posexplode("p").alias("ord", "p")).select(key, "ord", "p.start", "p.end", "p.text")
 
 
-def size_guards(counts: DataFrame, key: str = "video_id", corpus: str = "channel_id", order: str = "ord") -> DataFrame:
-    """A video's state after the size limits: too many passages of its own, or no room left in the corpus."""
+def size_guards(counts: DataFrame, key: str = "video_id", corpus: str = "channel_id", order: str = "ord", step: int = 4096) -> DataFrame:
+    """A video's state after the size limits: too many passages of its own, or no room left in the corpus.
+
+    The running total has two steps, over ranges of ``step`` of the order and within each range, so no task sorts a
+    whole corpus."""
     own = F.when(F.col("passages") > MAX_PASSAGES_PER_VIDEO, "TOO_LARGE")
-    counted = counts.withColumn("_own", own).withColumn("_counted", F.when(own.isNull(), F.col("passages")).otherwise(0))
-    total = F.sum("_counted").over(W.partitionBy(corpus).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return counted.withColumn("state", F.coalesce("_own", F.when(total > MAX_PASSAGES, "CORPUS_FULL"), F.lit("indexed"))).drop("_own", "_counted")
+    counted = counts.withColumn("_own", own).withColumn("_counted", F.when(own.isNull(), F.col("passages")).otherwise(0)).withColumn("_range", F.floor(F.col(order) / step))
+    ranges = counted.groupBy(corpus, "_range").agg(F.sum("_counted").alias("_sum"))
+    before = ranges.withColumn("_before", F.coalesce(F.sum("_sum").over(W.partitionBy(corpus).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    inside = F.sum("_counted").over(W.partitionBy(corpus, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = counted.withColumn("_inside", inside).join(before, [corpus, "_range"])
+    full = F.col("_before") + F.col("_inside") > MAX_PASSAGES
+    state = F.coalesce("_own", F.when(full, "CORPUS_FULL"), F.lit("indexed"))
+    return placed.withColumn("state", state).select(*counts.columns, "state")
 
 
 def best_source(transcripts: DataFrame, priority: dict[str, int], now: Column, keep_days: int = 30) -> DataFrame:

@@ -15,6 +15,7 @@ from ..operators import coverage as cov
 from ..operators import fts, intervals, phrases, query, retrieval, stats, store, threads, transcript
 from ..sources import exports, raw
 from ..streaming import jobs
+from ..work import spread
 from . import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +34,11 @@ def registered(sql: str | None = None, name: str | None = None) -> Callable[[Que
     return add
 
 
+def fixed(x: str) -> str:
+    """One decimal of the exact value; printf takes the even one of two that are equally near, and here the larger counts."""
+    return f"CASE WHEN ({x}) * 4 % 4 = 1 THEN CAST(floor({x}) AS BIGINT) || '.3' ELSE printf('%.1f', {x}) END"
+
+
 VIDEO = """(SELECT o_orderkey AS video_id, o_custkey AS channel_id, o_orderpriority AS title, CAST(o_orderdate AS DATE) AS upload_date, o_totalprice AS view_count,
   o_orderstatus AS availability, CASE WHEN o_orderstatus <> 'O' THEN o_orderdate END AS detail_at, o_orderkey % 3600 AS duration_s FROM orders)"""
 STORED = "(SELECT count(*) FROM lineitem WHERE l_orderkey = v.video_id)"
@@ -73,11 +79,37 @@ def comments_of_channel(spark, d):
     return query.comments(t.comments(spark, d), t.videos(spark, d), query.CommentQuery(channel_id=7)).select("video_id", "line", "like_count")
 
 
-@registered("""SELECT l_orderkey AS video_id, l_linenumber AS line, l_quantity AS like_count, l_partkey AS author_id, l_suppkey AS author_part FROM lineitem WHERE l_quantity >= 40
-    ORDER BY l_quantity DESC NULLS LAST, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 50""")
-def comment_min_likes_top(spark, d):
-    rows = query.comments(t.comments(spark, d), t.videos(spark, d), query.CommentQuery(min_likes=40))
-    return rows.orderBy(F.desc_nulls_last("like_count"), "video_id", "line", "author_id", "author_part").limit(50).drop("published_at")
+KEYED = "(SELECT l_orderkey || '.' || l_linenumber || '.' || l_partkey || '.' || l_suppkey AS comment_id, l_quantity AS like_count, l_shipdate AS published_at FROM lineitem)"
+
+
+def _keyed(spark, d):
+    parts = [F.col(c).cast("string") for c in ("video_id", "line", "author_id", "author_part")]
+    return t.comments(spark, d).withColumn("comment_id", F.concat_ws(".", *parts)).withColumn("parent_id", F.lit(None).cast("string"))
+
+
+def _page(order: str, sql_order: str, name: str) -> None:
+    @registered(f"SELECT comment_id, row_number() OVER (ORDER BY {sql_order}, comment_id) AS place FROM {KEYED} c WHERE like_count >= 40 ORDER BY {sql_order}, comment_id LIMIT 50", name)
+    def run(spark, d):
+        page = query.comment_page(_keyed(spark, d), t.videos(spark, d), query.CommentQuery(min_likes=40, order=order, limit=50))
+        return page.select("comment_id", F.row_number().over(W.orderBy(F.monotonically_increasing_id())).cast("long").alias("place"))  # a page of 50
+
+
+_page("likes", "like_count DESC NULLS LAST", "comment_min_likes_top")
+_page("oldest", "published_at ASC NULLS FIRST", "comments_oldest_page")
+_page("newest", "published_at DESC NULLS LAST", "comments_newest_page")
+
+
+def _videos(order: str, sql_order: str, name: str) -> None:
+    @registered(f"SELECT video_id, row_number() OVER (ORDER BY {sql_order}, video_id) AS place FROM (SELECT *, video_id % 97 AS comment_count, CASE WHEN video_id % 5 > 0 THEN video_id % 1009 END AS catalog_rank FROM {VIDEO} v) ORDER BY {sql_order}, video_id LIMIT 60", name)
+    def run(spark, d):
+        rows = t.videos(spark, d).withColumn("comment_count", F.col("video_id") % 97).withColumn("catalog_rank", F.when(F.col("video_id") % 5 > 0, F.col("video_id") % 1009))
+        page = query.ordered(rows, query.VIDEO_ORDERS, order, "video_id").limit(60)
+        return page.select("video_id", F.row_number().over(W.orderBy(F.monotonically_increasing_id())).cast("long").alias("place"))
+
+
+_videos("oldest", "upload_date ASC NULLS LAST", "videos_oldest")
+_videos("comments", "comment_count DESC NULLS LAST", "videos_most_commented")
+_videos("catalog", "catalog_rank ASC NULLS LAST", "videos_in_catalogue_order")
 
 
 @registered(f"SELECT channel_id, count(*) AS videos, count(detail_at) AS detailed FROM {VIDEO} v GROUP BY channel_id")
@@ -99,10 +131,10 @@ def pending_queue(spark, d):
     return query.pending_details(video, ["P", "F"], 200).select("video_id")
 
 
-@registered("""SELECT o_orderkey AS video_id, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey % 3600 END < 600 OR (CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END) < DATE '1997-01-01' AS excluded FROM orders""")
+@registered("""SELECT o_orderkey AS video_id, CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 3600 = 0 THEN NULL ELSE o_orderkey % 3600 END < 600 OR (CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END) < DATE '1997-01-01' AS excluded FROM orders""")
 def three_valued_exclusion(spark, d):
     video = t.videos(spark, d)
-    known = video.withColumn("duration_s", F.when(F.col("video_id") % 4 != 0, F.when(F.col("duration_s") == 0, 1).otherwise(F.col("duration_s")))).withColumn("upload_date", F.when(F.col("video_id") % 3 != 0, F.col("upload_date")))
+    known = video.withColumn("duration_s", F.when(F.col("video_id") % 4 != 0, F.col("duration_s"))).withColumn("upload_date", F.when(F.col("video_id") % 3 != 0, F.col("upload_date")))
     return known.select("video_id", query.excluded(600, "1997-01-01").alias("excluded"))
 
 
@@ -112,10 +144,11 @@ def thread_assembly(spark, d):
     return threads.assemble(t.threaded(spark, d)).select("root_id", F.size("replies").cast("long").alias("replies"))
 
 
-@registered("""SELECT CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR) AS comment_id, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN turn > 0 THEN 1 ELSE 0 END, turn) AS place FROM conversations""")
+@registered("""SELECT CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR) AS comment_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations c
+    WHERE turn > 0 AND EXISTS (SELECT 1 FROM conversations r WHERE r.conv_id = c.conv_id AND r.turn = 0)""")
 def thread_reply_order(spark, d):
-    by = W.partitionBy("conv_id").orderBy(F.asc_nulls_first("parent_id"), F.asc_nulls_first("published_at"))
-    return t.threaded(spark, d).select("comment_id", F.row_number().over(by).cast("long").alias("place"))
+    found = threads.assemble(t.threaded(spark, d)).select(F.posexplode("replies").alias("place", "r"))
+    return found.select("r.comment_id", F.col("place").cast("long").alias("place"))
 
 
 @registered("""SELECT CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR) AS comment_id FROM conversations c WHERE turn > 0 AND NOT EXISTS
@@ -135,27 +168,32 @@ def new_uploads(spark, d):
 LISTINGS = "(SELECT c_nationkey AS channel_id, c_mktsegment AS tab, o_orderkey % 500 AS video_id, o_orderkey AS position, ascii(c_mktsegment) AS tab_order FROM orders JOIN customer ON c_custkey = o_custkey)"
 
 
-@registered(f"""SELECT channel_id, video_id, arg_min(tab, (tab_order, position)) AS tab, array_to_string(list_sort(list_distinct(list(tab))), ',') AS also_in_tabs
-    FROM {LISTINGS} GROUP BY channel_id, video_id""")
+@registered(f"""SELECT channel_id, video_id, arg_min(tab, (tab_order, position)) AS tab, array_to_string(list_sort(list_distinct(list(tab))), ',') AS also_in_tabs,
+    row_number() OVER (PARTITION BY channel_id ORDER BY min((tab_order, position)), video_id) - 1 AS catalog_rank FROM {LISTINGS} GROUP BY channel_id, video_id""")
 def tab_ownership(spark, d):
     o, c = t.read(spark, d, "orders"), t.read(spark, d, "customer")
     rows = o.join(c, F.col("c_custkey") == F.col("o_custkey")).select(
         F.col("c_nationkey").alias("channel_id"), F.col("c_mktsegment").alias("tab"), (F.col("o_orderkey") % 500).alias("video_id"), F.col("o_orderkey").alias("position"), F.ascii("c_mktsegment").alias("tab_order")
     )
     owned = ch.union_tabs(rows)
-    return owned.select("channel_id", "video_id", "tab", F.array_join(F.array_sort(F.array_append("also_in_tabs", F.col("tab"))), ",").alias("also_in_tabs"))
+    return owned.select("channel_id", "video_id", "tab", F.array_join(F.array_sort(F.array_append("also_in_tabs", F.col("tab"))), ",").alias("also_in_tabs"), "catalog_rank")
 
 
 BATCH = "(SELECT l_orderkey || '-' || l_linenumber AS comment_id, l_quantity AS like_count, l_partkey AS author_id, l_suppkey * 1000000 + l_partkey AS seq FROM lineitem)"
 
 
-@registered(f"SELECT comment_id, arg_max(like_count, seq) AS like_count, arg_min(author_id, seq) AS author_id FROM {BATCH} GROUP BY comment_id")
+@registered(f"""SELECT coalesce(b.comment_id, o.comment_id) AS comment_id, coalesce(b.like_count, o.like_count) AS like_count, coalesce(o.author_id, b.author_id) AS author_id
+    FROM (SELECT comment_id, arg_max(like_count, seq) AS like_count, arg_min(author_id, seq) AS author_id FROM {BATCH} GROUP BY comment_id) b
+    FULL JOIN (SELECT comment_id, min(like_count) - 1 AS like_count, -1 AS author_id FROM (SELECT * FROM {BATCH} UNION ALL SELECT 'old-' || comment_id, like_count, author_id, seq FROM {BATCH}) WHERE right(comment_id, 1) IN ('1', '3') GROUP BY 1) o
+    ON b.comment_id = o.comment_id""")
 def latest_upsert(spark, d):
     rows = t.read(spark, d, "lineitem").select(
         F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("comment_id"), F.col("l_quantity").alias("like_count"), F.col("l_partkey").alias("author_id"),
         (F.col("l_suppkey") * 1000000 + F.col("l_partkey")).alias("seq"),
     )
-    return store.upsert(rows.drop("seq").limit(0), rows, "comment_id", "seq", ["like_count"])
+    both = rows.unionByName(rows.withColumn("comment_id", F.concat(F.lit("old-"), "comment_id")))
+    known = both.filter(F.substring("comment_id", -1, 1).isin("1", "3")).groupBy("comment_id").agg((F.min("like_count") - 1).alias("like_count")).withColumn("author_id", F.lit(-1).cast(rows.schema["author_id"].dataType))
+    return store.upsert(known, rows, "comment_id", "seq", ["like_count"])
 
 
 @registered("""SELECT 'channel' AS t, count(*) AS n FROM customer WHERE c_mktsegment <> 'BUILDING' UNION ALL
@@ -199,12 +237,25 @@ def coverage_summary(spark, d):
     return cov.summary(cov.receipts(t.attempts(spark, d)), F.lit("2000-01-01").cast("timestamp"))
 
 
-@registered(f"""SELECT target_id, 'Coverage: ' || CAST(have AS VARCHAR) || CASE WHEN expected IS NULL THEN ' comments' ELSE ' of ' || CAST(expected AS VARCHAR) || ' comments' ||
-    CASE WHEN expected > 0 THEN ' (' || printf('%.1f', have * 100.0 / expected) || '%)' ELSE '' END END || ' for ' || CAST(target_id AS VARCHAR) || '.' AS sentence FROM {RECEIPTS} r""")
+SENTENCE = f"""'Coverage: ' || CAST(have AS VARCHAR) || CASE WHEN expected IS NULL THEN ' comments' ELSE ' of ' || CASE WHEN target_id % 3 = 0 THEN 'about ' ELSE '' END || CAST(expected AS VARCHAR) || ' comments' ||
+    CASE WHEN expected > 0 THEN ' (' || {fixed('have / expected::DOUBLE * 100')} || '%)' ELSE '' END END || ' for ' || CAST(target_id AS VARCHAR) || '.'"""
+
+
+@registered(f"SELECT target_id, {SENTENCE} AS sentence FROM {RECEIPTS} r")
 def coverage_sentences(spark, d):
     return cov.receipts(t.attempts(spark, d)).select("target_id", cov.sentence().alias("sentence"))
 
 
+@registered(f"""SELECT target_id, {SENTENCE} || chr(10) || CASE WHEN complete THEN 'COMPLETE — complete, harvested ' || strftime(stale_after - INTERVAL 7 DAY, '%Y-%m-%dT%H:%M:%S.000Z') || '.' || chr(10) ||
+      'Re-check after ' || strftime(stale_after, '%Y-%m-%dT%H:%M:%S.000Z') || ' (this can change upstream).'
+    ELSE 'INCOMPLETE — ' || CASE reason WHEN 'CAP_REACHED' THEN 'stopped by the requested cap' WHEN 'TIMEOUT' THEN 'timed out' ELSE 'YouTube states no total, so exhaustion cannot be proven' END ||
+      CASE WHEN target_id % 2 = 0 AND target_id % 5 = 0 THEN ', sorted by "top" (a biased prefix, not a random sample)' ELSE '' END || '.' || chr(10) || 'Do not describe this as the full comment history.' ||
+      CASE WHEN target_id % 11 = 0 THEN chr(10) || 'a note' ELSE '' END END AS words FROM {RECEIPTS} r""")
+def coverage_texts(spark, d):
+    rows = cov.receipts(t.attempts(spark, d)).withColumn("sort_applied", F.when(F.col("target_id") % 2 == 0, "top")).withColumn("note", F.when(F.col("target_id") % 11 == 0, "a note"))
+    return rows.select("target_id", cov.text().alias("words"))
+
+
 @registered("SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS uploads FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1")
 def uploads_per_month(spark, d):
     return stats.uploads_per_month(t.videos(spark, d))
@@ -228,7 +279,7 @@ TOKENS = "list_filter(string_split_regex(lower(coalesce({}, '')), '[^\\p{{L}}\\p
 
 @registered(f"SELECT w AS token, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS w FROM documents) GROUP BY w")
 def token_counts(spark, d):
-    rows = t.read(spark, d, "documents").select("doc_id", F.explode(T.tokens("text")).alias("token"))
+    rows = spread(t.read(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(T.tokens("text")).alias("token"))
     per = rows.groupBy("token", "doc_id").agg(F.count("*").alias("n"))
     return per.groupBy("token").agg(F.sum("n").alias("occurrences"), F.count("*").alias("documents"))
 
@@ -254,17 +305,22 @@ TERMS = retrieval.query_terms(ASKED)
 
 @registered(bm25_sql(TERMS, "SELECT doc_id, round(z, 3) AS score FROM (SELECT doc_id, score AS z, first_term FROM s ORDER BY s.score DESC, first_term, doc_id LIMIT 10)"))
 def bm25_search(spark, d):
+    return retrieval.top(retrieval.search_index(t.index(spark, d, "ranked"), ASKED), 10)
+
+
+@registered(bm25_sql(TERMS, "SELECT doc_id, round(z, 3) AS score FROM (SELECT doc_id, score AS z, first_term FROM s ORDER BY s.score DESC, first_term, doc_id LIMIT 10)"))
+def bm25_scan(spark, d):
     return retrieval.top(retrieval.search(t.read(spark, d, "documents"), ASKED), 10)
 
 
 @registered(bm25_sql(TERMS, "SELECT doc_id, round(z, 3) AS score FROM (SELECT doc_id, score AS z, first_term FROM s ORDER BY s.score DESC, first_term, doc_id LIMIT 10 OFFSET 10)"))
 def bm25_page_two(spark, d):
-    return retrieval.top(retrieval.search(t.read(spark, d, "documents"), ASKED), 10, 10)
+    return retrieval.top(retrieval.search_index(t.index(spark, d, "ranked"), ASKED), 10, 10)
 
 
 @registered(bm25_sql(TERMS, "SELECT count(*) AS total FROM s"))
 def bm25_total(spark, d):
-    return retrieval.search(t.read(spark, d, "documents"), ASKED).agg(F.count("*").alias("total"))
+    return retrieval.search_index(t.index(spark, d, "ranked"), ASKED).agg(F.count("*").alias("total"))
 
 
 TITLED = f"(SELECT doc_id, text, p_name FROM documents JOIN part ON p_partkey = doc_id + 1)"
@@ -280,7 +336,7 @@ def bm25_title_weight(spark, d):
 @registered(bm25_sql(TERMS, """, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, first_term, doc_id) AS rank FROM s)
     SELECT doc_id, source, round(z, 3) AS score, rank FROM (SELECT doc_id, source, score AS z, rank FROM r WHERE rank <= 5 ORDER BY rank, r.score DESC, source LIMIT 20)""", corpus="source"))
 def ask_many_fused(spark, d):
-    found = retrieval.search(t.read(spark, d, "documents"), ASKED, corpus="source")
+    found = retrieval.search_index(t.index(spark, d, "by_source"), ASKED)
     return retrieval.fused(found, "source", 5, 20).select("doc_id", "source", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -297,10 +353,16 @@ PHRASE_WORDS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}'']+'
 @registered(f"""WITH w AS (SELECT doc_id, {PHRASE_WORDS} AS w FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, length(w) - 1), lambda i: w[i:i+2])) AS g FROM w WHERE length(w) >= 3)
     SELECT array_to_string(g, ' ') AS phrase, count(DISTINCT doc_id) AS video_count, count(*) AS occurrences FROM g WHERE length(list_filter(g, lambda x: x NOT IN ({STOP}))) > 0 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3""")
 def phrase_3gram(spark, d):
-    return phrases.count_phrases(t.read(spark, d, "documents").select(T.phrase_words("text").alias("words")), range(3, 4), 3)
+    docs = spread(t.read(spark, d, "documents").select(F.col("doc_id").alias("video_id"), "text"))
+    return phrases.count_phrases(docs.select("video_id", T.phrase_words("text").alias("words")), range(3, 4), 3)
 
 
-@registered()
+# a phrase can only be contained in one of as many videos, so the most frequent ones are compared among themselves
+@registered(f"""WITH w AS (SELECT doc_id, {PHRASE_WORDS} AS w FROM documents),
+    g AS (SELECT doc_id, n, unnest(list_transform(range(1, length(w) - n + 2), lambda i: w[i:i + n - 1])) AS g FROM w, (SELECT unnest(range(3, 7)) AS n) WHERE length(w) >= n),
+    c AS (SELECT array_to_string(g, ' ') AS phrase, count(DISTINCT doc_id) AS video_count, count(*) AS occurrences FROM g WHERE length(list_filter(g[1:3], lambda x: x NOT IN ({STOP}))) > 0 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3),
+    f AS (SELECT * FROM c WHERE video_count >= (SELECT min(video_count) FROM (SELECT video_count FROM c ORDER BY video_count DESC LIMIT 2000)))
+    SELECT * FROM f p WHERE NOT EXISTS (SELECT 1 FROM f o WHERE o.phrase <> p.phrase AND o.video_count >= p.video_count AND contains(o.phrase, p.phrase)) ORDER BY video_count DESC, occurrences DESC, phrase LIMIT 20""")
 def phrase_ranked(spark, d):
     return phrases.ranked(phrases.recurring_in_videos(t.read(spark, d, "documents").select(F.col("doc_id").alias("video_id"), "text")))
 
@@ -331,10 +393,12 @@ def interval_slice(spark, d):
     return intervals.overlapping(_spans(spark, d), low, high).select("user_id", "event_id")
 
 
-@registered("""SELECT h.event_id AS hit_id, r.event_id FROM events h JOIN events r ON r.user_id = h.user_id AND abs(epoch(r.ts) - epoch(h.ts)) <= 3600 AND r.event_id <> h.event_id WHERE h.event_type = 'purchase'""")
+@registered(f"""SELECT h.event_id AS hit_id, r.event_id FROM {SPANS} h JOIN {SPANS} r ON r.user_id = h.user_id AND r.e > h.s - 3600 AND r.s < h.e + 3600 AND r.event_id <> h.event_id
+    WHERE h.event_id IN (SELECT event_id FROM events WHERE event_type = 'purchase')""")
 def context_join(spark, d):
-    rows = t.read(spark, d, "events").select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").cast("double").alias("at"))
-    return intervals.context(rows.filter("event_type = 'purchase'"), rows, "user_id", "at", 3600, "event_id").select("hit_id", "event_id")
+    rows = _spans(spark, d)
+    bought = t.read(spark, d, "events").filter("event_type = 'purchase'").select("event_id")
+    return intervals.context(rows.join(bought, "event_id", "left_semi"), rows, "user_id", 3600, "event_id").select("hit_id", "event_id")
 
 
 @registered("""SELECT e.event_id, c.chapter FROM (SELECT * FROM events WHERE event_type = 'click') e ASOF LEFT JOIN (SELECT user_id, ts, event_id AS chapter FROM events WHERE event_type = 'view') c ON e.user_id = c.user_id AND e.ts >= c.ts""")
@@ -353,7 +417,13 @@ def rolling_dedupe(spark, d):
     return found.join(cues.select("video_id", "ord", "event_id"), ["video_id", "ord"]).select(F.col("video_id").alias("user_id"), F.col("event_id").alias("ord"), "start", "end", "text")
 
 
-@registered()
+@registered("""WITH RECURSIVE h AS (SELECT user_id, floor(epoch(ts) / 3600) * 3600 AS start, round(sum(value), 2) AS value FROM events GROUP BY 1, 2),
+    s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, start) AS k FROM h),
+    r(user_id, k, chosen) AS (SELECT user_id, 1, [{'start': start, 'value': value}] FROM s WHERE k = 1 UNION ALL
+      SELECT s.user_id, s.k, CASE WHEN length(chosen) < 5 AND length(list_filter(chosen, lambda c: abs(s.start - c.start) < 3 * 3600)) = 0 THEN list_append(chosen, {'start': s.start, 'value': s.value}) ELSE chosen END
+      FROM r JOIN s ON s.user_id = r.user_id AND s.k = r.k + 1),
+    e AS (SELECT user_id, chosen, k, max(k) OVER (PARTITION BY user_id) AS last FROM r)
+    SELECT user_id, CAST(rank - 1 AS INTEGER) AS rank, chosen[rank].start AS start, chosen[rank].value AS value FROM (SELECT user_id, chosen, unnest(range(1, length(chosen) + 1)) AS rank FROM e WHERE k = last)""")
 def peak_picking(spark, d):
     hour = F.floor(F.col("ts").cast("timestamp").cast("double") / 3600)
     heat = t.read(spark, d, "events").groupBy("user_id", hour.alias("h")).agg(F.round(F.sum("value"), 2).alias("value"))
@@ -361,9 +431,15 @@ def peak_picking(spark, d):
     return rows.select("user_id", F.posexplode(intervals.peaks("heatmap", 5)).alias("rank", "p")).select("user_id", "rank", "p.start", "p.value")
 
 
-@registered()
+@registered("""WITH RECURSIVE s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, turn * 10.0::DOUBLE AS st, turn * 10.0::DOUBLE + 9 - turn % 4 * 3 AS en, coalesce(text, '') AS text FROM conversations),
+    r AS (SELECT conv_id, k, st, en, text, 0 AS p, length(text) + 1 AS chars FROM s WHERE k = 1 UNION ALL
+      SELECT conv_id, k, st, en, text, p + CASE WHEN cut THEN 1 ELSE 0 END, CASE WHEN cut THEN 0 ELSE chars END + length(text) + 1 FROM
+        (SELECT s.*, r.p, r.chars, r.chars >= 1200 OR (r.chars >= 800 AND s.st - r.en >= 2) AS cut FROM r JOIN s ON s.conv_id = r.conv_id AND s.k = r.k + 1)),
+    g AS (SELECT conv_id, p, min(st) AS start, max_by(en, k) AS "end", trim(regexp_replace(string_agg(text, ' ' ORDER BY k), '\\s+', ' ', 'g')) AS text FROM r GROUP BY conv_id, p)
+    SELECT conv_id AS video_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY p) - 1 AS INTEGER) AS ord, start, "end", text FROM g WHERE text <> ''""")
 def chunk_passages(spark, d):
-    rows = t.read(spark, d, "conversations").select(F.col("conv_id").alias("video_id"), F.col("turn").alias("ord"), (F.col("turn") * 10.0).alias("start"), (F.col("turn") * 10.0 + 9).alias("end"), "text")
+    turn = F.col("turn")
+    rows = t.read(spark, d, "conversations").select(F.col("conv_id").alias("video_id"), turn.alias("ord"), (turn * 10.0).alias("start"), (turn * 10.0 + 9 - turn % 4 * 3).alias("end"), "text")
     return transcript.passages(rows)
 
 
@@ -376,7 +452,7 @@ def _fts(name: str, asked: str, condition: str) -> None:
         return fts.search(t.read(spark, d, "conversations"), asked).select("conv_id", "turn")
 
 
-_fts("fts_boolean", "the (and OR in) NOT under", "list_contains(w, 'the') AND (list_contains(w, 'and') OR list_contains(w, 'in')) AND NOT list_contains(w, 'under')")
+_fts("fts_boolean", "(and OR in) AND the NOT under dass", "(list_contains(w, 'and') OR list_contains(w, 'in')) AND list_contains(w, 'the') AND NOT (list_contains(w, 'under') AND list_contains(w, 'dass'))")
 _fts("fts_phrase", '"of the"', "strpos(' ' || array_to_string(w, ' ') || ' ', ' of the ') > 0")
 _fts("fts_prefix", "thon* AND NOTHING OR thon*", "length(list_filter(w, lambda x: starts_with(x, 'thon'))) > 0")
 _fts("fts_folded", "UEBER OR ción* OR für", "list_contains(w, 'ueber') OR list_contains(w, 'fur') OR length(list_filter(w, lambda x: starts_with(x, 'cion'))) > 0")
@@ -406,7 +482,7 @@ def hash_prefix(spark, d):
     return t.read(spark, d, "documents").groupBy(X.hash_prefix(F.col("doc_id").cast("string")).alias("prefix")).agg(F.count("*").alias("n"))
 
 
-@registered("""SELECT doc_id, array_to_string(list_sort(list_distinct([lang, source, 'Kept'])), ',') AS merged, array_to_string(list_filter([lang, source, 'Kept'], lambda x: lower(x) NOT IN ('kept', 'en')), ',') AS left_over FROM documents""")
+@registered("""SELECT doc_id, CASE WHEN lang = source THEN lang ELSE lang || ',' || source END || ',Kept' AS merged, array_to_string(list_filter([lang, source, 'Kept'], lambda x: lower(x) NOT IN ('kept', 'en')), ',') AS left_over FROM documents""")
 def tags_array_ops(spark, d):
     tags = F.array("lang", "source")
     rows = t.read(spark, d, "documents").select("doc_id", tags.alias("tags"), F.concat(tags, F.array(F.lit("Kept"))).alias("more"))
@@ -431,7 +507,7 @@ def caption_inventory(spark, d):
     return rows.select("source", F.array_join(raw.caption_inventory(F.concat("langs", F.array(F.lit("fr-orig")))), ",").alias("languages"))
 
 
-@registered("""SELECT source AS tab, count(*) AS images, count(*) FILTER (quality = 1) AS saved, count(*) FILTER (quality = 0) AS failed, CAST(coalesce(sum(n_chars) FILTER (quality = 1), 0) AS BIGINT) AS bytes
+@registered("""SELECT source AS tab, count(*) AS images, count(*) FILTER (quality = 1) AS saved, count(*) FILTER (quality = 0) AS failed, count(*) FILTER (quality IS NULL) AS pending, CAST(coalesce(sum(n_chars) FILTER (quality = 1), 0) AS BIGINT) AS bytes
     FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source""")
 def stats_by_group(spark, d):
     rows = t.read(spark, d, "documents").join(t.read(spark, d, "labels"), "doc_id", "left")
@@ -455,7 +531,7 @@ def markdown_cells(spark, d):
     return t.read(spark, d, "documents").select("doc_id", exports.markdown_cell(F.col("text")).alias("line"))
 
 
-@registered("""SELECT o_orderkey, CASE WHEN n >= 1000000 THEN regexp_replace(printf('%.1f', floor(n / 100000 + 0.5) / 10), '\\.0$', '') || 'M' WHEN n >= 1000 THEN regexp_replace(printf('%.1f', floor(n / 100 + 0.5) / 10), '\\.0$', '') || 'K' ELSE CAST(n AS VARCHAR) END AS shown
+@registered(f"""SELECT o_orderkey, CASE WHEN n >= 1000000 THEN regexp_replace({fixed('n / 1000000::DOUBLE')}, '\\.0$', '') || 'M' WHEN n >= 1000 THEN regexp_replace({fixed('n / 1000::DOUBLE')}, '\\.0$', '') || 'K' ELSE CAST(n AS VARCHAR) END AS shown
     FROM (SELECT o_orderkey, CAST(floor(o_totalprice * (o_orderkey % 50)) AS BIGINT) AS n FROM orders)""")
 def count_format(spark, d):
     n = F.floor(F.col("o_totalprice") * (F.col("o_orderkey") % 50)).cast("long")
@@ -475,15 +551,10 @@ def word_counts(spark, d):
     return t.read(spark, d, "documents").select("doc_id", T.word_count("text").cast("long").alias("words"), F.length(T.collapse_blanks("text")).cast("long").alias("chars"))
 
 
-@registered("""SELECT l_orderkey AS video_id, l_linenumber AS line, l_partkey AS author_id, l_suppkey AS author_part FROM lineitem WHERE l_linenumber = 1 ORDER BY l_shipdate ASC NULLS FIRST, l_orderkey, l_partkey, l_suppkey LIMIT 40 OFFSET 10""")
-def comments_oldest_page(spark, d):
-    rows = t.comments(spark, d).filter("line = 1")
-    return rows.orderBy(F.asc_nulls_first("published_at"), "video_id", "author_id", "author_part").offset(10).limit(40).select("video_id", "line", "author_id", "author_part")
-
-
-@registered("""SELECT CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR) AS comment_id FROM conversations WHERE conv_id = 3""")
+@registered("""SELECT CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR) AS comment_id, row_number() OVER (ORDER BY turn > 0, turn) AS place FROM conversations WHERE conv_id = 3""")
 def thread_page(spark, d):
-    return query.comment_page(t.threaded(spark, d), t.videos(spark, d), query.CommentQuery(thread="3.0", limit=200)).select("comment_id")
+    page = query.comment_page(t.threaded(spark, d), t.videos(spark, d), query.CommentQuery(thread="3.0", limit=200))
+    return page.select("comment_id", F.row_number().over(W.orderBy(F.monotonically_increasing_id())).cast("long").alias("place"))
 
 
 @registered("SELECT CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR) AS comment_id FROM conversations WHERE turn = 0")
@@ -491,10 +562,10 @@ def top_level_comments(spark, d):
     return query.comments(t.threaded(spark, d), t.videos(spark, d), query.CommentQuery(top_level_only=True)).select("comment_id")
 
 
-@registered(f"""SELECT target_id, reason, stale_after FROM {RECEIPTS} r ORDER BY stale_after DESC NULLS LAST, target_id LIMIT 100""")
+@registered(f"""SELECT target_id, reason FROM (SELECT target_id, reason, complete FROM {RECEIPTS} r ORDER BY finished_at DESC NULLS LAST, target_id LIMIT 200 OFFSET 50) WHERE NOT complete""".replace("stale_after FROM c)", "stale_after, seen AS finished_at FROM c)"))
 def receipt_listing(spark, d):
-    rows = cov.receipts(t.attempts(spark, d))
-    return rows.orderBy(F.desc_nulls_last("stale_after"), "target_id").limit(100).select("target_id", "reason", "stale_after")
+    rows = cov.receipts(t.attempts(spark, d)).withColumn("finished_at", F.col("harvested_at"))
+    return query.receipts_page(rows, "comments", incomplete_only=True, limit=200, offset=50).select("target_id", "reason")
 
 
 @registered(f"""WITH p AS (SELECT video_id FROM {VIDEO} v ORDER BY view_count DESC NULLS LAST, video_id LIMIT 25) SELECT target_id, complete, reason FROM {RECEIPTS} r WHERE target_id IN (SELECT video_id FROM p)""")
@@ -534,10 +605,12 @@ def detail_update(spark, d):
     return store.update_details(t.videos(spark, d), details, ["view_count", "title"]).select("video_id", "view_count", "title")
 
 
-@registered("""SELECT event_id, h * 3600 + m * 60 + s AS seconds FROM (SELECT event_id, CAST(floor(value) AS BIGINT) % 5 AS h, CAST(floor(value) AS BIGINT) % 60 AS m, (event_id % 60) + 0.5::DOUBLE AS s FROM events)""")
+@registered("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN CASE WHEN m < 60 AND s < 60 THEN h * 3600 + m * 60 + s END WHEN 1 THEN CASE WHEN m < 60 AND s < 60 THEN m * 60 + s END ELSE m + 0.5::DOUBLE END AS seconds
+    FROM (SELECT event_id, CAST(floor(value) AS BIGINT) % 5 AS h, CAST(floor(value) AS BIGINT) % 75 AS m, (event_id % 70) + 0.5::DOUBLE AS s FROM events)""")
 def timestamp_parse(spark, d):
-    h, m, s = F.floor("value").cast("long") % 5, F.floor("value").cast("long") % 60, F.col("event_id") % 60
-    text = F.format_string("%02d:%02d:%02d.5", h, m, s)
+    h, m, s = F.floor("value").cast("long") % 5, F.floor("value").cast("long") % 75, F.col("event_id") % 70
+    kind = F.col("event_id") % 3
+    text = F.when(kind == 0, F.format_string("%02d:%02d:%02d.5", h, m, s)).when(kind == 1, F.format_string("%d:%d.5", m, s)).otherwise(F.format_string("%d.5", m))
     return t.read(spark, d, "events").select("event_id", X.parse_timestamp(text).alias("seconds"))
 
 

@@ -6,6 +6,10 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.fts import search_tokens
+from ..operators.index import Index, build
+from ..work import work_path
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,3 +53,19 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(exhausted, "source-exhausted").when(key % 3 == 0, "comment_count").alias("expected_source"), F.when(exhausted, key % 4 != 0).alias("ran_to_exhaustion"),
         F.when(key % 5 == 0, F.lit(3)).cast("long").alias("limit_applied"), F.when(key % 7 == 0, F.lit("TIMEOUT")).alias("reason"), F.lit(None).cast("string").alias("resume_token"), F.col("o_orderdate").alias("harvested_at"),
     )
+
+
+_indexes: dict[tuple[str, str, str], Index] = {}
+
+
+def index(spark: SparkSession, sf_dir: str, kind: str) -> Index:
+    """The index of the documents, built when a session first asks for it: ``ranked`` for BM25, ``by_source`` with each
+    source as a corpus, ``boolean`` with positions."""
+    name = (spark.sparkContext.applicationId, sf_dir, kind)
+    if name not in _indexes:
+        path, rows = work_path(spark, f"index-{kind}"), read(spark, sf_dir, "documents")
+        if kind == "boolean":
+            _indexes[name] = build(rows, path, search_tokens("text"), positions=True)
+        else:
+            _indexes[name] = build(rows, path, corpus="source" if kind == "by_source" else None)
+    return _indexes[name]

@@ -4,15 +4,16 @@ import struct
 import pyspark.sql.functions as F
 import pytest
 
-from medialake.operators.store import Store
+from medialake.operators.store import Merge, Store
 from medialake.sources import exports, files, listing, raw
-from medialake.streaming import jobs
+from medialake.streaming import ingest, jobs
 
 
 def test_ndjson(spark):
     lines = spark.createDataFrame([('{"id":"a","title":"x","duration":61.5}',), ("not json",), ('{"title":"no id"}',), ('[1]',), ('{"id":"b","upload_date":"20260101","thumbnails":[{"url":"s","width":1,"height":1},{"url":"l","width":9,"height":9}]}',)], "value string")
     rows = raw.listing_rows(raw.ndjson_lines(lines, raw.RAW_LISTING)).orderBy("video_id").collect()
-    assert [(r.video_id, r.duration_s, r.thumbnail_url) for r in rows] == [("a", 61, None), ("b", None, "l")]
+    assert [(r.video_id, r.duration_s, r.thumbnail_url) for r in rows] == [("a", 61.5, None), ("b", 0.0, "l")]
+    assert [r.title for r in rows] == ["x", "Unknown title"]
 
 
 def test_documents(spark, tmp_path):
@@ -36,15 +37,30 @@ def test_video_rows_and_captions(spark):
 
 
 def test_small_parsers(spark):
-    f = raw.ndjson_lines(spark.createDataFrame([('{"formats":[{"format_id":"sb0"},{"format_id":"22","width":4,"height":3},{"format_id":"18","resolution":"r"}]}',)], "value string"), raw.RAW_FORMATS, "formats")
-    assert [r.resolution for r in raw.formats(f).collect()] == ["4x3", "r"]
+    f = raw.ndjson_lines(spark.createDataFrame([('{"formats":[{"format_id":"sb0"},{"format_id":"22","width":4,"height":3},{"format_id":"18","resolution":"r","vcodec":"v","filesize_approx":7.0},{"format_id":"140"}]}',)], "value string"), raw.RAW_FORMATS, "formats")
+    assert [(r.resolution, r.vcodec, r.acodec, r.filesize) for r in raw.formats(f).collect()] == [("4x3", "none", "none", None), ("r", "v", "none", 7), ("audio only", "none", "none", None)]
     s = raw.ndjson_lines(spark.createDataFrame([('{"videoID":"v","segments":[{"category":"a","segment":[5,9]},{"category":"b","segment":[1,2]},{"category":"c","segment":[1]}]}',)], "value string"), raw.RAW_SPONSOR, "videoID")
-    assert [r.start for r in raw.sponsor_segments(s, "v").collect()] == [1.0, 5.0]
-    a = raw.ndjson_lines(spark.createDataFrame([('{"transcription":[{"offsets":{"from":500,"to":1500},"text":" hi "},{"offsets":{"from":1,"to":2},"text":"[BLANK_AUDIO]"},{"offsets":{"from":1,"to":2},"text":" "}]}',)], "value string"), raw.RAW_ASR, "transcription")
-    assert [(r.start, r.end, r.text) for r in raw.asr_segments(a).collect()] == [(0.5, 1.5, "hi")]
+    assert [(r.start, r.duration, r.votes) for r in raw.sponsor_segments(s, "v").collect()] == [(1.0, 1.0, 0), (5.0, 4.0, 0)]
+    a = raw.ndjson_lines(spark.createDataFrame([('{"transcription":[{"offsets":{"from":500,"to":1500},"text":" hi "},{"offsets":{"from":1,"to":2},"text":"[BLANK_AUDIO]"},{"offsets":{"from":1,"to":2},"text":" "},{"offsets":{"from":2000,"to":3000},"text":"[Music]"}]}',)], "value string"), raw.RAW_ASR, "transcription")
+    assert [(r.start, r.end, r.text) for r in raw.asr_segments(a).collect()] == [(0.5, 1.5, "hi"), (2.0, 3.0, "[Music]")]
     assert spark.range(1).select(raw.scene_cuts(F.lit("x pts_time:9.5 y pts_time:1 pts_time:9.5")).alias("c")).first().c == [1.0, 9.5]
 
 
+def test_records_of_listings(spark):
+    lines = lambda *x: spark.createDataFrame([(json.dumps(v),) for v in x], "value string")
+    c = raw.ndjson_lines(lines({"id": "UCa", "title": "T"}, {"id": "x", "channel_id": "UCb", "channel": "C", "uploader_id": "@c"}), raw.RAW_SEARCHED_CHANNEL)
+    assert [(r.channel_id, r.name, r.handle, r.subscriber_count) for r in raw.searched_channels(c).collect()] == [("UCa", "T", "", 0), ("UCb", "C", "@c", 0)]
+    p = raw.playlist_info(raw.ndjson_lines(lines({"id": "PL1", "modified_date": "20260102", "playlist_count": 7}), raw.RAW_LISTING_META), F.lit("asked")).first()
+    assert (p.title, p.video_count, str(p.last_modified), p.url) == ("Unknown", 7, "2026-01-02", "asked")
+    assert [r.total for r in raw.listing_total(raw.ndjson_lines(lines({"id": "a"}, {"id": "b", "playlist_count": 3}), raw.RAW_LISTING_META)).collect()] == [None, 3]
+    record = F.from_json(F.lit(json.dumps({"id": "v", "formats": [1], "description": 'q"\n' + "d" * 600})), "map<string,string>")
+    raw_json = F.map_from_arrays(F.array(*map(F.lit, ["id", "formats", "description"])), F.array(F.lit('"v"'), F.lit("[1]"), F.lit(json.dumps('q"\n' + "d" * 600))))
+    kept = spark.range(1).select(raw.stripped(raw_json).alias("m"), record.alias("r")).first().m
+    assert set(kept) == {"id", "description", "description_truncated"} and json.loads(kept["description"]) == 'q"\n' + "d" * 497
+    short = F.map_from_arrays(F.array(F.lit("id"), F.lit("comments")), F.array(F.lit('"v"'), F.lit("[]")))
+    assert spark.range(1).select(raw.stripped(short).alias("m")).first().m == {"id": '"v"'}
+
+
 def test_vtt(spark):
     text = "WEBVTT\n\nNOTE skip\n\n00:00.000 --> 00:02.000\nhello <c>everyone</c>\n\n1\n00:00:02.000 --> 00:00:04.000\nhello everyone\nwelcome &amp; back\n\nbroken\n"
     got = files.read_vtt(spark.createDataFrame([("v", text)], "video_id string, text string")).orderBy("start").collect()
@@ -86,6 +102,33 @@ def test_listing_source(spark, tmp_path):
     assert [r.video_id for r in read.option("start", 1).option("limit", 1).load().collect()] == ["b"]
 
 
+def test_listing_positions_and_stream(spark, tmp_path):
+    path, want = tmp_path / "l.ndjson", []
+    with path.open("w") as out:
+        for k in range(2500):
+            if k % 7:
+                want.append(f"v{k}")
+                out.write(json.dumps({"id": f"v{k}", "title": "é" * (k % 50)}) + "\n")
+            else:
+                out.write(["broken", '{"title":"none"}', "", "[1]"][k % 4] + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        found = {r.position: r.video_id for r in listing.positions(spark, str(path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [found[k] for k in range(len(want))] == want and len(found) == len(want)
+    reader, at, got = listing.ListingStream({"path": str(path), "page": "300"}), None, []
+    at = reader.initialOffset()
+    while True:
+        rows, after = reader.read(at)
+        rows = list(rows)
+        assert list(reader.readBetweenOffsets(at, after)) == rows
+        if not rows:
+            break
+        got, at = got + rows, after
+    assert [r[1] for r in got] == want and [r[0] for r in got] == list(range(len(want)))
+
+
 def test_streams(spark, tmp_path):
     src = tmp_path / "in"
     rows = spark.createDataFrame([("a", "failed", 1), ("a", "indexed", 2), ("a", "failed", 3), ("b", "failed", 1)], "video_id string, outcome string, at int")
@@ -98,3 +141,43 @@ def test_streams(spark, tmp_path):
     s = Store(spark, f"file://{tmp_path}/store")
     jobs.upsert_stream(spark.readStream.schema(rows.schema).parquet(str(src)), s, "state", "video_id", "at", ["outcome"], str(tmp_path / "cp3")).awaitTermination(60)
     assert {(r.video_id, r.outcome) for r in s.read("state").collect()} == {("a", "failed"), ("b", "failed")}
+    again = s.manifest()["tables"]["state"]
+    one = spark.createDataFrame([("a", "indexed", 9)], "video_id string, outcome string, at int")
+    s.commit(merges={"state": Merge(one, "video_id", "at", ["outcome"])})
+    after = s.manifest()["tables"]["state"]
+    assert {(r.video_id, r.outcome) for r in s.read("state").collect()} == {("a", "indexed"), ("b", "failed")}
+    assert sum(after["parts"][b] != p for b, p in again["parts"].items()) == 1  # the other bucket stays where it is
+
+
+def test_build_checkpoints_and_stops(spark, tmp_path):
+    words = "smash that subscribe button"
+    queue = spark.createDataFrame([(f"v{k}", k) for k in range(25)], "video_id string, ord int")
+
+    def reader(refused):
+        def read(step):
+            error = F.when(F.col("ord").isin(refused), ingest.THROTTLED)
+            states = step.withColumn("error", error).withColumn("state", F.when(error.isNull(), "indexed").otherwise("failed"))
+            return states, step.filter(error.isNull()).select("video_id", F.lit(0).alias("ord"), F.lit(words).alias("text"))
+
+        return read
+
+    s = Store(spark, f"file://{tmp_path}/whole")
+    assert ingest.build(s, queue, reader([3, 4, 9])) == ingest.Build(25, 3, None)
+    assert s.read("state").count() == 25 and s.read("passage").count() == 22 and [r.phrase for r in s.read("phrase").collect()] == [words]
+    s = Store(spark, f"file://{tmp_path}/cut")
+    done = ingest.build(s, queue, reader([9, 10, 11, 12]))
+    assert (done.attempted, done.checkpoints) == (12, 2) and "throttling" in done.stop_reason
+    assert s.read("state").count() == 12 and s.read("passage").count() == 9
+
+
+def test_pace():
+    p = ingest.Pace(8)
+    for outcome, at, concurrency, wait in [("RATE_LIMITED", 0, 4, 0), ("RATE_LIMITED", 1, 2, 60), ("ok", 2, 2, 59), ("TIMEOUT", 3, 2, 58), ("BOT_CHECK", 100, 1, 600), ("NOT_FOUND", 101, 1, 599)]:
+        p = p.after(outcome, at)
+        assert (p.concurrency, p.wait(at)) == (concurrency, wait), outcome
+    for k in range(4):
+        p = p.after("RATE_LIMITED", 200 + k)
+    assert p.wait(203) == 300 and p.strikes == 5
+    for k in range(20):
+        p = p.after("ok", 5000)
+    assert (p.concurrency, p.successes, p.strikes) == (2, 0, 0)
