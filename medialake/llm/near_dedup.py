@@ -13,8 +13,8 @@ horizon. Two documents agree on a register with the probability of their weighte
 Search: documents with equal bags are one node. Bands of registers put nodes into buckets. In each bucket
 the nodes are first compared with a pivot, and only across components that are still apart; a bucket is
 finished when the rest of it is in one component, so a bucket of copies costs about one comparison a node.
-What is still mixed goes to the next pivot while buckets exceed a block, up to ``PIVOT_ROUNDS`` times, and is then
-compared in blocks within tasks. A task joins components as it finds similar pairs and returns a spanning forest,
+What is still mixed goes to the next pivot, ``PIVOT_ROUNDS`` times and more while that pays, and is then compared in
+blocks within tasks. A task joins components as it finds similar pairs and returns a spanning forest,
 fewer pairs than nodes. So no pair that shares a bucket and could still join two components goes untested. A
 two-bit sketch of the registers rules out pairs five standard deviations below the threshold (3e-7 of those at
 it); all other comparisons count shingles.
@@ -48,7 +48,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 36, 6
 REGISTERS = BANDS * ROWS
 BLOCK = 2 << 20
-PIVOT_ROUNDS = 3
+#: Pivots of each mixed bucket; further ones, up to so many in all, follow only while buckets exceed a block and the
+#: last one finished a quarter of the mixed rows.
+PIVOT_ROUNDS = 2
+MOST_ROUNDS = 6
 #: A block of a bucket has at most some this many shingles and rows (a single text may have more shingles).
 BLOCK_SHINGLES = 1 << 17
 BLOCK_ROWS = 512
@@ -259,7 +262,7 @@ def link_components(docs: DataFrame, described: DataFrame, similarity: float) ->
         sets = sets.dropDuplicates(["node"])  # only where whole rows are repeated: it shuffles the sets
     sets = materialise(sets, "shingles")
     linked: DataFrame | None = None
-    turn, by_pivot = 0, True
+    turn, by_pivot, rows_before = 0, True, members.count()
     while True:
         used = []
         if by_pivot:
@@ -299,9 +302,10 @@ def link_components(docs: DataFrame, described: DataFrame, similarity: float) ->
             left.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows"), F.sum("size").alias("shingles")).filter("x <> y"), "buckets"
         )
         turn += 1
-        large = mixed.filter((F.col("rows") > BLOCK_ROWS) | (F.col("shingles") > BLOCK_SHINGLES))
-        by_pivot = turn < PIVOT_ROUNDS and not large.isEmpty()
-        done = mixed.isEmpty()
+        large = F.count_if((F.col("rows") > BLOCK_ROWS) | (F.col("shingles") > BLOCK_SHINGLES))
+        state = mixed.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), large.alias("large")).first()
+        pays = state["large"] > 0 and state["rows"] <= 0.75 * rows_before
+        by_pivot, done, rows_before = turn < PIVOT_ROUNDS or (turn < MOST_ROUNDS and pays), state["rows"] == 0, state["rows"]
         old, members = members, materialise(left.join(mixed.select("bucket"), "bucket"), "bucket-members")
         discard(*used, old, left, mixed)
         if done:

@@ -389,10 +389,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     lists = materialise(lists, "open-contexts")
     opened = materialise(context_bytes(docs, lists), "contexts")
     left = alive(opened)
+    # written, so that the planner knows how few the hot anchors are and need not sort all rows by anchor to join them
     hot = left.groupBy("seed").agg(F.count("*").alias("n_contexts")).filter(F.col("n_contexts") > GROUP).select("seed", F.lit(True).alias("hot"))
+    hot = materialise(hot, "hot-anchors")
     flags = left.join(hot, "seed", "left").select("id", F.coalesce("hot", F.lit(False)).alias("hot"))
     contexts = materialise(opened.drop("positions").dropDuplicates(["id"]).join(flags, "id"), "contexts")
-    discard(lists, opened, left)
+    discard(lists, opened, left, hot)
     spans = local_round(contexts).unionByName(hot_round(contexts))
     whole = decided.filter("whole").select("document", F.col("low").cast("long").alias("start"), (F.col("low") + F.col("n") + F.lit(LENGTH - 1)).cast("long").alias("end"))
     both = whole.unionByName(spans).join(keys, "document").select("key", "check", "start", "end")
