@@ -465,7 +465,7 @@ def scored(whole: DataFrame, pairs: np.ndarray, n_classes: int, end_count: int)
     return whole.mapInArrow(score, "doc_id long, training boolean, n_tokens long, n_known long, base double, score double")
 
 
-def score(docs: DataFrame, frequent: int = 1 << 17, clustered: int = 1024, classes: int = 32) -> DataFrame:
+def score(docs: DataFrame, frequent: int = 1 << 17, clustered: int = 2048, classes: int = 32) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity`` of every row of
     ``docs(doc_id, text)``. ``base_score`` is the add-one unigram score, ``score`` the class model's log10
     probability."""
