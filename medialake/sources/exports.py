@@ -70,12 +70,16 @@ def markdown_lines(rows: DataFrame) -> DataFrame:
 
 
 def markdown_header(columns: list[str]) -> list[str]:
+    """The two lines above a table."""
     return ["| " + " | ".join(columns) + " |", "| " + " | ".join("---" for _ in columns) + " |"]
 
 
 def write_markdown(rows: DataFrame, path: str) -> None:
-    head = rows.sparkSession.createDataFrame([(line,) for line in markdown_header(rows.columns)], "line string")
-    head.coalesce(1).unionByName(markdown_lines(rows)).write.text(path)
+    """A table over one file or several that follow each other by name: a sort puts the header before all rows."""
+    head = rows.sparkSession.createDataFrame(list(enumerate(markdown_header(rows.columns), -2)), "_n long, line string")
+    shown = rows.withColumn("_n", F.monotonically_increasing_id())
+    lines = shown.select("_n", F.concat(F.lit("| "), F.concat_ws(" | ", *(markdown_cell(F.col(c)) for c in rows.columns)), F.lit(" |")).alias("line"))
+    head.unionByName(lines).orderBy("_n").select("line").write.text(path)
 
 
 def json_lines(rows: DataFrame) -> DataFrame:

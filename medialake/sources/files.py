@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.transcript import rolling_dedupe
 
 _TIME = re.compile(r"(?:(\d+):)?(\d{2}):(\d{2})[.,](\d{3})\s*-->\s*(?:(\d+):)?(\d{2}):(\d{2})[.,](\d{3})")
-_TAG = re.compile(r"<[^>]*>")
+_TAG = re.compile(r"<[^>]*(?:>|$)")  # a tag that is not closed ends with its line
 
 
 def vtt_cues(text: str) -> list[dict[str, object]]:
-    """The cue lines of a WebVTT text, in order, without tags; notes, styles and cues out of form are skipped."""
+    """The cue lines of a WebVTT text, in order, without tags; notes, styles and cues out of form are skipped. A cue
+    ends at an empty line, and before a line that holds an arrow."""
     out: list[dict[str, object]] = []
-    for block in re.split(r"\n[ \t]*\n", (text or "").replace("\r\n", "\n").replace("\r", "\n")):
+    for block in re.split(r"\n\n+", (text or "").replace("\r\n", "\n").replace("\r", "\n")):
         lines = block.strip("\n").split("\n")
         at = next((k for k, line in enumerate(lines[:2]) if "-->" in line), None)
         found = _TIME.search(lines[at]) if at is not None else None
@@ -28,6 +29,8 @@ def vtt_cues(text: str) -> list[dict[str, object]]:
         n = [int(x or 0) for x in found.groups()]
         begin, end = (n[k] * 3600 + n[k + 1] * 60 + n[k + 2] + n[k + 3] / 1000 for k in (0, 4))
         for line in lines[at + 1 :]:
+            if "-->" in line:
+                break
             shown = " ".join(html.unescape(_TAG.sub("", line)).split())
             out.append({"ord": len(out), "start": begin, "end": end, "text": shown})
     return out

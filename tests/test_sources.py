@@ -62,9 +62,9 @@ def test_records_of_listings(spark):
 
 
 def test_vtt(spark):
-    text = "WEBVTT\n\nNOTE skip\n\n00:00.000 --> 00:02.000\nhello <c>everyone</c>\n\n1\n00:00:02.000 --> 00:00:04.000\nhello everyone\nwelcome &amp; back\n\nbroken\n"
+    text = "WEBVTT\n\nNOTE skip\n\n00:00.000 --> 00:02.000\nhello <c>everyone</c>\n\n1\n00:00:02.000 --> 00:00:04.000\nhello everyone\nwelcome &amp; back\n \n<v Ann>once <more\n\nbroken\n"
     got = files.read_vtt(spark.createDataFrame([("v", text)], "video_id string, text string")).orderBy("start").collect()
-    assert [(r.start, r.end, r.text) for r in got] == [(0.0, 2.0, "hello everyone"), (2.0, 4.0, "welcome & back")]
+    assert [(r.start, r.end, r.text) for r in got] == [(0.0, 2.0, "hello everyone"), (2.0, 4.0, "welcome & back once")]
 
 
 def test_images(spark, tmp_path):
@@ -85,6 +85,9 @@ def test_exports(spark, tmp_path):
     assert body.startswith(b"videoId,title,viewCount\r\n") and b'"\'=HYPER(""x"")"' in body and body.endswith(b"\r\n")
     cell = spark.createDataFrame([("a|b`c[d]<e>\r\nf\\",)], "t string").select(exports.markdown_cell(F.col("t")).alias("m")).first().m
     assert cell == "a\\|b\\`c\\[d\\]&lt;e&gt; f\\\\"
+    exports.write_markdown(rows.repartition(3), str(tmp_path / "md"))
+    written = [line for f in sorted((tmp_path / "md").glob("part-*.txt")) for line in f.read_text().splitlines()]
+    assert written[:2] == ["| videoId | title | viewCount |", "| --- | --- | --- |"] and len(written) == 5
     receipts = spark.createDataFrame([("x",)], "target_id string")
     assert exports.export(rows, str(tmp_path / "json"), "json", receipts, limit=2) == {"rows": 2, "total": 3, "truncated": True}
     assert spark.read.text(str(tmp_path / "json" / "rows")).count() == 2
