@@ -17,7 +17,7 @@ pass, and the class model. Words below the threshold, a few per cent of all toke
 the table of all classes. Words are identified by 64-bit fingerprints.
 
 Defined cases: a null or empty text is just the end token; a null id counts as the empty string, so its text
-is used for training; repeated rows are each learned from and scored; with no training text every count is 0
+is used for training; a text of any length is read whole, and is one row of classes; repeated rows are each learned from and scored; with no training text every count is 0
 and all probabilities come from smoothing; an empty table gives no rows; other columns are ignored.
 """
 

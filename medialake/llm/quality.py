@@ -9,7 +9,7 @@ The counts come from one scan and never leave their row. EM sees the corpus only
 patterns, at most 3 ** (number of rules) rows whatever the corpus size.
 
 Defined cases: a null text is an empty one (no words, base_failed); a text without lines or windows has none
-repeated; repeated rows get a row each; an empty table gives no rows; a text on which every rule abstains
+repeated; a text of any length is counted whole, in its own row; repeated rows get a row each; an empty table gives no rows; a text on which every rule abstains
 gets the prior. Other columns pass through ``filter_documents`` untouched.
 """
 
