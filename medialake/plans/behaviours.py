@@ -9,7 +9,7 @@ from ..functions import sql as functions_sql
 from ..operators import channels as ch
 from ..operators import coverage as cov
 from ..operators import fts, library, query, retrieval, stats, store, threads, transcript
-from ..sources import raw
+from ..sources import exports, raw
 from ..streaming import ingest
 from ..work import work_path
 from . import tables as t
@@ -377,3 +377,79 @@ def call_paces(spark, d):
     return ingest.paces(calls, 8).select(F.col("client").cast("long").alias("client"), "at", "concurrency", "strikes")
 
 
+
+
+# -- scalars and small rules --------------------------------------------------------------------------------------
+
+
+@registered("""SELECT event_id, floor(value * 1.7 * 1000 + 0.5) / 1000 AS rounded, date_diff('day', DATE '2024-01-01' + CAST(event_id % 300 AS INTEGER), DATE '2026-01-01') AS age FROM events""")
+def rounded_and_aged(spark, d):
+    version = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("event_id") % 300).cast("int")), "yyyy.MM.dd")
+    return t.read(spark, d, "events").select("event_id", X.round_millis(F.col("value") * 1.7).alias("rounded"), X.version_age_days(version, F.lit("2026-01-01").cast("date")).cast("long").alias("age"))
+
+
+@registered("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN i WHEN 1 THEN i WHEN 2 THEN i WHEN 3 THEN i END AS video, doc_id % 5 = 0 AS plain, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'https://youtu.be/' || i WHEN 2 THEN 'https://www.youtube.com/shorts/' || i || '?x=1'
+    WHEN 3 THEN 'https://m.youtube.com/watch?v=' || i || '&t=3' END AS url FROM (SELECT doc_id, substr(sha256(CAST(doc_id AS VARCHAR)), 1, 11) AS i FROM documents)""")
+def ids_of_links(spark, d):
+    k, own = F.col("doc_id"), F.substring(F.sha2(F.col("doc_id").cast("string").cast("binary"), 256), 1, 11)
+    link = (
+        F.when(k % 5 == 0, own).when(k % 5 == 1, F.concat(F.lit("http://youtu.be/"), own)).when(k % 5 == 2, F.concat(F.lit("www.youtube.com/shorts/"), own, F.lit("?x=1")))
+        .when(k % 5 == 3, F.concat(F.lit(" https://m.youtube.com/watch?v="), own, F.lit("&t=3"))).otherwise(F.concat(F.lit("https://youtube.com.evil.example/watch?v=short"), F.lit("")))
+    )
+    rows = t.read(spark, d, "documents").select("doc_id", link.alias("u"))
+    return rows.select("doc_id", X.video_id("u").alias("video"), X.video_id("u").eqNullSafe(F.col("u")).alias("plain"), X.allowed_url("u").alias("url"))
+
+
+@registered("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'a b c' || doc_id WHEN 1 THEN 'x' ELSE 'f' END AS stem FROM documents""")
+def file_stems(spark, d):
+    k = F.col("doc_id")
+    title = F.when(k % 3 == 0, F.concat(F.lit("..a/ b:\t c?"), k.cast("string"))).when(k % 3 == 1, '<x>"|*').otherwise("...")
+    return t.read(spark, d, "documents").select("doc_id", X.safe_stem(title, F.lit("f")).alias("stem"))
+
+
+@registered("""SELECT o_custkey AS channel_id, arg_min(o_orderkey, (CASE WHEN o_orderpriority = '2-HIGH' THEN 0 ELSE 1 END, o_orderkey)) AS at FROM orders WHERE contains(lower(o_orderpriority), '2-high') OR contains(lower(o_orderpriority), 'high') GROUP BY 1""")
+def chapters_by_name(spark, d):
+    rows = t.videos(spark, d).select("channel_id", F.col("video_id").alias("start"), F.when(F.col("title") == "2-HIGH", "High").otherwise(F.col("title")).alias("title"))
+    rows = rows.unionByName(rows.filter("title <> 'High'").withColumn("title", F.concat(F.lit("nothing like "), F.lit("it"))))
+    return ch.chapter_by_name(rows, "HIGH", "channel_id").select("channel_id", F.col("start").alias("at"))
+
+
+@registered("""SELECT doc_id AS video_id, CASE WHEN n_chars < 500 THEN 'excluded' WHEN quality IS NULL AND n_chars >= 500 THEN 'pending' WHEN quality = 1 THEN 'indexed' ELSE 'failed' END AS state FROM documents LEFT JOIN labels USING (doc_id)""")
+def states_after_new_filters(spark, d):
+    rows = t.read(spark, d, "documents").join(t.read(spark, d, "labels"), "doc_id", "left")
+    state = F.when(F.col("quality") == 1, "indexed").when(F.col("quality") == 0, "failed").otherwise("excluded")
+    return ch.refilter(rows.select(F.col("doc_id").alias("video_id"), state.alias("state"), "n_chars"), F.col("n_chars") < 500).select("video_id", "state")
+
+
+@registered("""SELECT event_id FROM events WHERE epoch(ts) > epoch(TIMESTAMP '2024-01-20') - 86400""")
+def cached_rows(spark, d):
+    rows = t.read(spark, d, "events").withColumn("fetched_at", F.col("ts").cast("timestamp"))
+    return raw.fresh(rows, F.lit("2024-01-20").cast("timestamp"), 86400).select("event_id")
+
+
+@registered(f"""SELECT target_id, CASE target_id % 4 WHEN 0 THEN 'complete-with-reason' WHEN 1 THEN 'reason-complete-only' END AS broken FROM (SELECT * FROM {RECEIPTS} r WHERE complete AND target_id % 4 IN (0, 1)) WHERE target_id % 4 IN (0, 1)""")
+def receipts_that_break_rules(spark, d):
+    rows = cov.receipts(t.attempts(spark, d)).filter("complete")
+    k = F.col("target_id") % 4
+    spoiled = rows.withColumn("reason", F.when(k == 0, "TIMEOUT").otherwise(F.col("reason"))).withColumn("complete", k != 1)
+    return cov.violations(spoiled).select("target_id", F.array_join("broken", ",").alias("broken"))
+
+
+@registered("""SELECT l_orderkey AS "videoId", l_linenumber AS "likeCount", strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S.000Z') AS "publishedAt", '''=' || l_partkey AS author FROM lineitem WHERE l_linenumber < 3""")
+def exported_comments(spark, d):
+    none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    rows = t.comments(spark, d).filter("line < 3").select(
+        *none("comment_id", "parent_id", "is_pinned", "author_is_uploader", "author_is_verified", "text"), F.col("video_id"), F.col("line").alias("like_count"), F.col("published_at").cast("timestamp").alias("published_at"),
+        F.concat(F.lit("="), F.col("author_id").cast("string")).alias("author"), F.lit(None).cast("string").alias("author_id"),
+    )
+    found = exports.comment_rows(rows)
+    cells = exports.csv_cells(found)
+    return cells.select(F.col("videoId").cast("long").alias("videoId"), F.col("likeCount").cast("int").alias("likeCount"), "publishedAt", "author")
+
+
+@registered("""SELECT source, count(*) FILTER (quality = 1) AS indexed, count(*) FILTER (quality = 0) AS failed, count(*) FILTER (quality IS NULL) AS pending FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source""")
+def corpus_states(spark, d):
+    rows = t.read(spark, d, "documents").join(t.read(spark, d, "labels"), "doc_id", "left")
+    state = F.when(F.col("quality") == 1, "indexed").when(F.col("quality") == 0, "failed").otherwise("pending")
+    videos = rows.select("source", state.alias("state"), F.lit(0).alias("word_count"), F.lit(0).alias("duration_s"), F.lit(None).cast("date").alias("upload_date"))
+    return stats.corpus_stats(videos, "source").select("source", "indexed", "failed", "pending")
