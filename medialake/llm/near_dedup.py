@@ -47,7 +47,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 36, 6
 REGISTERS = BANDS * ROWS
-BLOCK = 2 << 20
+BLOCK = 1 << 20
+#: Points that are drawn at once.
+POINTS = 1 << 17
 #: Pivots of each mixed bucket; further ones, up to so many in all, follow only while buckets exceed a block and the
 #: last one finished a quarter of the mixed rows.
 PIVOT_ROUNDS = 2
@@ -110,7 +112,7 @@ def signatures(owner: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n_docs
             steps = 1 if few else min(512, int(mean + 4 * mean**0.5 + 4))
             time, done = np.zeros(len(active)), 0
             while len(active):
-                per = max(1, (1 << 21) // steps)
+                per = max(1, POINTS // steps)
                 ahead_active, ahead_time = [], []
                 for k in range(0, len(active), per):  # bounded memory
                     own = active[k : k + per]
