@@ -5,6 +5,8 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
+from .store import Store
+
 STATES = ["indexed", "no-captions", "failed", "excluded", "pending"]
 
 
@@ -47,6 +49,15 @@ def image_entries(recorded: DataFrame, files: DataFrame, listed: DataFrame) -> D
     return both.select("video_id", F.coalesce("tab", "_tab").alias("tab"), state.alias("state"), "bytes")
 
 
+def save_images(store: Store, channel_id: str, entries: DataFrame) -> int:
+    """Publishes a channel's image entries and their statistics in one commit."""
+    tagged = lambda rows: rows.withColumn("channel_id", F.lit(channel_id))
+    changes = {"image": tagged(entries), "image_stats": tagged(image_stats(entries))}
+    if store.has("image"):
+        changes = {name: store.read(name).filter(F.col("channel_id") != channel_id).unionByName(rows) for name, rows in changes.items()}
+    return store.commit(changes, based_on=store.manifest()["snapshot"])
+
+
 def image_page(images: DataFrame, tab: str | None = None, state: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
     """One page of a channel's images, of a tab and in a state if these are given."""
     rows = images if tab is None else images.filter(F.col("tab") == tab)

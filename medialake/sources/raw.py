@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..functions.scalars import format_duration, upload_date, watch_url
+from ..functions.scalars import format_duration, playability, upload_date, watch_url
 
 RAW_VIDEO = (
     "id string, title string, channel string, channel_id string, channel_url string, channel_follower_count long, upload_date string, duration double, view_count long, "
@@ -162,14 +162,18 @@ def stripped(record: Column) -> Column:
 
 
 def video_stats(raw: DataFrame) -> DataFrame:
-    """Full video rows with defaults; caption maps become sorted lists of their languages."""
-    langs = lambda c: F.array_sort(F.coalesce(F.map_keys(c), F.array().cast("array<string>")))
+    """Full video rows with defaults. Caption maps become lists of their languages, in the record's order; ``unplayable``
+    is the code of why a video cannot be read, null if it can."""
+    none = F.array().cast("array<string>")
+    langs = lambda c: F.coalesce(F.map_keys(c), none)
+    duration, text = _or("duration", 0.0), _or("description", "")
     return raw.filter("id IS NOT NULL").select(
-        F.col("id").alias("video_id"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("channel", F.lit("")).alias("channel"), "channel_id", upload_date("upload_date").alias("upload_date"),
-        F.coalesce(F.floor("duration"), F.lit(0)).cast("long").alias("duration_s"), "view_count", "like_count", "comment_count", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),
-        F.coalesce("categories", F.array().cast("array<string>")).alias("categories"), F.coalesce("age_limit", F.lit(0)).alias("age_limit"), "availability", "live_status",
-        F.substring(F.coalesce("description", F.lit("")), 1, PREVIEW_CHARS).alias("description_preview"), (F.length("description") > PREVIEW_CHARS).alias("description_cut"), "chapters", "heatmap",
-        langs("subtitles").alias("subtitle_languages"), langs("automatic_captions").alias("caption_languages"),
+        F.col("id").alias("video_id"), _or("title", "Unknown").alias("title"), watch_url(F.col("id")).alias("url"), _or("channel", "Unknown").alias("channel"), "channel_id", "channel_url", "channel_follower_count",
+        upload_date("upload_date").alias("upload_date"), duration.alias("duration_s"), format_duration(F.floor(duration)).alias("duration_formatted"), "view_count", "like_count", "comment_count",
+        F.coalesce("tags", none).alias("tags"), F.coalesce("categories", none).alias("categories"), _or("age_limit", 0).alias("age_limit"), "availability", "live_status", _or("was_live", False).alias("was_live"),
+        F.substring(text, 1, PREVIEW_CHARS).alias("description_preview"), (F.length(text) > PREVIEW_CHARS).alias("description_cut"), F.length(text).alias("description_chars"), "chapters", "heatmap",
+        (F.coalesce(F.size("heatmap"), F.lit(0)) > 0).alias("has_heatmap"), langs("subtitles").alias("subtitle_languages"), langs("automatic_captions").alias("caption_languages"), F.col("thumbnail").alias("thumbnail_url"),
+        playability("availability", "live_status").alias("unplayable"),
     )
 
 

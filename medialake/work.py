@@ -49,8 +49,8 @@ def _remove_all() -> None:
     for spark, path in _written:
         try:
             if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
-                return
+                continue
             target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # noqa: BLE001  the JVM may be gone at exit; the folder is temporary
-            return
+            continue

@@ -284,6 +284,29 @@ def test_store(spark, tmp_path):
     assert s.quarantine().startswith("file:") and not s.has("comment")
 
 
+def test_images_are_saved(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/s")
+    entries = spark.createDataFrame([("v1", "videos", "saved", 10), ("v2", "videos", "failed", None), ("v3", "shorts", None, None)], "video_id string, tab string, state string, bytes long")
+    stats.save_images(s, "UCa", entries)
+    stats.save_images(s, "UCb", entries.limit(1))
+    stats.save_images(s, "UCa", entries)
+    assert s.read("image").count() == 4
+    got = {(r.channel_id, r.tab): (r.images, r.saved, r.failed, r.pending, r.bytes) for r in s.read("image_stats").collect()}
+    assert got == {("UCa", "videos"): (2, 1, 1, 0, 10), ("UCa", "shorts"): (1, 0, 0, 1, 0), ("UCb", "videos"): (1, 1, 0, 0, 10)}
+
+
+def test_work_files_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from medialake.work import work_path
+
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://somewhere:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        work_path(unset, "x")
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: "hdfs://shared/"), sparkContext=unset.sparkContext)
+    assert work_path(named, "x").startswith("hdfs://shared/medialake/x-")
+
+
 def test_two_writers(spark, tmp_path):
     rows = spark.createDataFrame([("a",)], "k string")
     one, two = (store.Store(spark, f"file://{tmp_path}/s") for _ in range(2))

@@ -31,7 +31,11 @@ def test_documents(spark, tmp_path):
 def test_video_rows_and_captions(spark):
     line = json.dumps({"id": "v", "description": "d" * 600, "subtitles": {"en": [], "de": []}, "automatic_captions": {"en-orig": {}}})
     r = raw.video_stats(raw.ndjson_lines(spark.createDataFrame([(line,)], "value string"), raw.RAW_VIDEO)).first()
-    assert (r.subtitle_languages, r.caption_languages, r.description_cut, r.tags) == (["de", "en"], ["en-orig"], True, [])
+    assert (r.subtitle_languages, r.caption_languages, r.description_cut, r.tags) == (["en", "de"], ["en-orig"], True, [])
+    assert (r.title, r.channel, r.duration_s, r.duration_formatted, r.description_chars, r.has_heatmap, r.unplayable) == ("Unknown", "Unknown", 0.0, "0:00", 600, False, None)
+    line = json.dumps({"id": "w", "availability": "private", "duration": 61.5, "heatmap": [{"start_time": 0, "end_time": 1, "value": 0.5}]})
+    r = raw.video_stats(raw.ndjson_lines(spark.createDataFrame([(line,)], "value string"), raw.RAW_VIDEO)).first()
+    assert (r.duration_s, r.duration_formatted, r.has_heatmap, r.unplayable) == (61.5, "1:01", True, "PRIVATE")
     got = spark.range(1).select(raw.caption_inventory(F.array(F.lit("en"), F.lit("en-orig"), F.lit("de"), F.lit("en"))).alias("x")).first().x
     assert got == ["de", "en"]
 
