@@ -15,7 +15,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..functions.text import tokens
-from ..work import spread
+from ..work import materialise, small
 
 ONE = "all"
 
@@ -69,15 +69,21 @@ class Index:
 
 
 def build(documents: DataFrame, path: str, words: Column | None = None, key: str = "doc_id", corpus: str | None = None, positions: bool = False) -> Index:
-    """Writes the index of ``documents(key, text)`` to ``path``; with ``corpus``, statistics are kept for each."""
+    """Writes the index of ``documents(key, text)`` to ``path``; with ``corpus``, statistics are kept for each. Rows that
+    share a key are one document."""
     spark, path = documents.sparkSession, path.rstrip("/")
     own = F.col(corpus).cast("string") if corpus else F.lit(ONE)
-    dealt = spread(documents).select(F.col(key).alias("key"), own.alias("corpus"), (tokens("text") if words is None else words).alias("w"))
-    dealt.groupBy("corpus").agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpora")
-    placed = dealt.select("key", "corpus", F.size("w").alias("n_tokens"), F.posexplode("w").alias("at", "term"))
-    counts = [F.count("*").cast("int").alias("tf")] + ([F.array_sort(F.collect_list("at")).alias("positions")] if positions else [])
-    # a document's tokens are in one task, so its terms are combined there before they are shuffled
-    rows = placed.groupBy("key", "corpus", "n_tokens", "term").agg(*counts)
+    plain = documents.withColumns({"_key": F.col(key), "_corpus": own})
+    # dealt by document, so that a document's tokens are counted where they are made
+    by_key = plain.repartition(spark.sparkContext.defaultParallelism, "_key") if small(documents) else plain.repartition("_key")
+    dealt = by_key.select(F.col("_key").alias("key"), F.col("_corpus").alias("corpus"), (tokens("text") if words is None else words).alias("w"))
+    placed = dealt.select("key", "corpus", F.size("w").alias("n_tokens"), F.posexplode_outer("w").alias("at", "term"))
+    counts = [F.count("term").cast("int").alias("tf")] + ([F.array_sort(F.collect_list("at")).alias("positions")] if positions else [])
+    # written before it is sorted, since a range sort looks at its rows twice; a document without tokens has one row
+    every = materialise(placed.groupBy("key", "corpus", "n_tokens", "term").agg(*counts), "postings")
+    lengths = every.groupBy("key", "corpus").agg(F.first("n_tokens").alias("n"))
+    lengths.groupBy("corpus").agg(F.count("*").alias("n"), F.avg(F.greatest("n", F.lit(0))).alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpora")
+    rows = every.filter("term IS NOT NULL")
     meta: dict = {"key": key, "corpus": corpus, "positions": positions}
     rows.repartitionByRange("term", "corpus", "key").sortWithinPartitions("term", "corpus", "key").write.mode("overwrite").parquet(f"{path}/postings")
     written = spark.read.schema(rows.schema).parquet(f"{path}/postings")

@@ -33,15 +33,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt to all cores if its files are so small that they are read in fewer tasks than there are cores; files
-    of a core's share of ``maxPartitionBytes`` or more are left as the scan splits them."""
+def small(df: DataFrame) -> bool:
+    """Whether the files of ``df`` are so small that they are read in fewer tasks than there are cores."""
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     stored = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(cores) if stored < cores * split else df
+    return stored < spark.sparkContext.defaultParallelism * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if it is small; files of a core's share of ``maxPartitionBytes`` or more are left as the
+    scan splits them."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if small(df) else df
 
 
 @atexit.register

@@ -81,6 +81,7 @@ def test_images(spark, tmp_path):
 
 
 def test_exports(spark, tmp_path):
+    # Cells that a spreadsheet or a Markdown reader would take for more than text.
     rows = spark.createDataFrame([("-id", '=HYPER("x")', 3), ("b", "a,b\nc", None), ("c", "+1", 4)], "videoId string, title string, viewCount long")
     lines = [r.line for r in exports.csv_lines(rows).collect()]
     assert lines == ['-id,"\'=HYPER(""x"")",3', 'b,"a,b\nc",', "c,'+1,4"]
@@ -157,7 +158,7 @@ def test_streams(spark, tmp_path):
 
 
 def test_build_checkpoints_and_stops(spark, tmp_path):
-    words = "smash that subscribe button"
+    words = "ring the little bell"
     queue = spark.createDataFrame([(f"v{k}", k) for k in range(25)], "video_id string, ord int")
 
     def reader(refused):
