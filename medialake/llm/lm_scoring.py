@@ -40,7 +40,7 @@ LENGTHS = np.array([3, 6, 9, 13])
 N_BINS = len(LENGTHS) + 1
 FLUSH_WORDS = 2_000_000
 FLUSH_NEIGHBOURS = 1 << 20
-ASSIGN_CELLS = 1 << 17
+ASSIGN_CELLS = 1 << 15
 TRANSITION_SMOOTHING = 0.5
 
 
