@@ -34,6 +34,7 @@ RULES = [
     ("repeated_lines", "100 * n_dup_lines > 30 * n_lines", "100 * n_dup_lines <= 10 * n_lines"),
     ("digits", "4 * n_digits > word_chars", "20 * n_digits <= word_chars"),
     ("vocabulary", "n_words >= 100 AND 10 * n_distinct < n_words", "n_words >= 20 AND 5 * n_distinct >= n_words"),
+    ("special_characters", "100 * n_special > 10 * word_chars", "100 * n_special <= 6 * word_chars"),
 ]
 
 # n_repeat_words: hash every window; only a text in which some hash occurs twice sorts them, finds the equal
@@ -52,6 +53,8 @@ element_at(transform(array(
 ), 1)
 """
 
+# n_special counts what is neither a letter nor a digit of any script nor a blank.
+PLAIN = r"[\\p{L}\\p{N}\\x20\\x09-\\x0D]+"
 BLANKS = r"[\\x20\\x09-\\x0D]"
 
 
@@ -67,11 +70,11 @@ def statistics(text: Column) -> Column:
     symbols = "own_text"
     for c in "#*$%&|<>":
         symbols = f"replace({symbols}, '{c}', '')"
-    others = f"named_struct('n_symbols', cast(length(own_text) - length({symbols}) as bigint), 'n_digits', cast(length(own_text) - length(regexp_replace(own_text, '[0-9]+', '')) as bigint))"
+    others = f"named_struct('n_symbols', cast(length(own_text) - length({symbols}) as bigint), 'n_digits', cast(length(own_text) - length(regexp_replace(own_text, '[0-9]+', '')) as bigint), 'n_special', cast(length(regexp_replace(own_text, '{PLAIN}', '')) as bigint))"
     return F.struct(F.expr(body).alias("w"), F.expr(lines).alias("l"), F.expr(others).alias("o"))
 
 
-COUNTS = {"n_words": "w", "word_chars": "w", "n_distinct": "w", "n_repeat_words": "w", "n_lines": "l", "n_dup_lines": "l", "n_symbols": "o", "n_digits": "o"}
+COUNTS = {"n_words": "w", "word_chars": "w", "n_distinct": "w", "n_repeat_words": "w", "n_lines": "l", "n_dup_lines": "l", "n_symbols": "o", "n_digits": "o", "n_special": "o"}
 
 
 def with_votes(docs: DataFrame) -> DataFrame:
@@ -106,16 +109,18 @@ class LabelModel:
         return 1 / (1 + exp(-max(-500.0, min(500.0, odds))))
 
 
-def expectation_maximisation(patterns: dict[str, int], rounds: int = 50, prior: float = 0.9, accuracy: float = 0.8, weight: float = 10.0) -> LabelModel:
-    """Fits the label model to a histogram of vote patterns. ``weight`` pseudo-votes of the starting accuracy
-    keep a rule that hardly ever votes near it."""
+def expectation_maximisation(patterns: dict[str, int], rounds: int = 100, prior: float = 0.8, on_good: float = 0.95, on_bad: float = 0.3, weight: float = 10.0) -> LabelModel:
+    """Fits the label model to a histogram of vote patterns. It starts from rules that rarely vote "bad" on a good text,
+    and that each see some kinds of bad text only; ``weight`` pseudo-votes of these starting values keep a rule
+    that hardly ever votes near them. A rule may miss most bad texts, but its votes are never taken for the
+    opposite of what they say: "bad" is no less likely on a bad text than on a good one."""
     n_rules = len(RULES)
-    model = LabelModel(prior, (accuracy,) * n_rules, (accuracy,) * n_rules)
+    model = LabelModel(prior, (on_good,) * n_rules, (on_bad,) * n_rules)
     items = sorted(patterns.items())
     total = sum(patterns.values())
     for _ in range(rounds if total else 0):
         good = 0.0
-        right = [[weight * accuracy, weight * accuracy] for _ in range(n_rules)]
+        right = [[weight * on_good, weight * on_bad] for _ in range(n_rules)]
         cast = [[weight, weight] for _ in range(n_rules)]
         for votes, n in items:
             p = model.posterior(votes)
@@ -126,12 +131,10 @@ def expectation_maximisation(patterns: dict[str, int], rounds: int = 50, prior:
                     cast[j][1] += n * (1 - p)
                     right[j][0] += n * p * (vote == GOOD)
                     right[j][1] += n * (1 - p) * (vote == BAD)
-        clip = lambda x: min(0.999, max(0.501, x))  # noqa: E731  a rule is never taken to be worse than chance
-        model = LabelModel(
-            min(0.999, max(0.5, (good + weight * prior) / (total + weight))),
-            tuple(clip(right[j][0] / cast[j][0]) for j in range(n_rules)),
-            tuple(clip(right[j][1] / cast[j][1]) for j in range(n_rules)),
-        )
+        bounded = lambda x, low: min(0.999, max(low, x))
+        good_now = tuple(bounded(right[j][0] / cast[j][0], 0.501) for j in range(n_rules))
+        bad_now = tuple(bounded(right[j][1] / cast[j][1], 1.001 - good_now[j]) for j in range(n_rules))
+        model = LabelModel(bounded((good + weight * prior) / (total + weight), 0.5), good_now, bad_now)
     return model
 
 

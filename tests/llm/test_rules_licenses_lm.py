@@ -6,11 +6,13 @@ from collections import Counter
 
 import duckdb
 import pytest
+import regex
 from corpus import BLANK_WORD, LOWER, WORD, documents, empty, rows, words
 
 from medialake.llm import decontamination, licenses, lm_scoring, quality
 from medialake.llm.sql import licenses_sql
 
+SPECIAL = regex.compile(r"[^\p{L}\p{N}\x20\x09-\x0D]")
 BENCHMARK = "item_id long, text string"
 
 
@@ -62,7 +64,18 @@ def test_expectation_maximisation_finds_accuracies():
     model = quality.expectation_maximisation(patterns)
     assert abs(model.prior - 0.8) < 0.03
     assert all(abs(a - on_good) < 0.03 for a in model.on_good) and all(abs(a - on_bad) < 0.05 for a in model.on_bad)
-    assert quality.expectation_maximisation({}).prior == 0.9
+    assert quality.expectation_maximisation({}).prior == 0.8
+
+
+def test_rules_that_see_different_kinds_of_bad_texts():
+    """Two kinds of bad texts, each seen by two rules that all others take for good: both are found, and a lone bad vote
+    of a rule that errs now and then is not enough."""
+    n, patterns = len(quality.RULES), Counter({"+" * len(quality.RULES): 8000})
+    vote = lambda *bad: "".join("-" if j in bad else "+" for j in range(n))
+    patterns += Counter({vote(1, 6): 600, vote(3, 7): 600, vote(0): 400, vote(2): 5})
+    model = quality.expectation_maximisation(patterns)
+    assert model.posterior(vote(1, 6)) < 0.01 and model.posterior(vote(3, 7)) < 0.01 and model.posterior(vote(0)) > 0.9 and model.posterior(vote()) > 0.9
+    assert all(a + b >= 1.0009 for a, b in zip(model.on_good, model.on_bad))
 
 
 LICENSED = [
@@ -117,10 +130,10 @@ def test_licenses_oracle(spark, tmp_path):
     assert Counter(tuple(r) for r in out.collect()) == Counter(db.sql(licenses_sql()).select(*out.columns).fetchall())
 
 
-def label_model(votes, rounds=50, prior=0.9, accuracy=0.8, weight=10.0):
+def label_model(votes, rounds=100, prior=0.8, on_good=0.95, on_bad=0.3, weight=10.0):
     """Expectation maximisation by definition, over a list of votes: the posterior of each."""
     n = len(votes[0])
-    p_good, right_good, right_bad = prior, [accuracy] * n, [accuracy] * n
+    p_good, right_good, right_bad = prior, [on_good] * n, [on_bad] * n
 
     def posterior(v):
         good, bad = p_good, 1 - p_good
@@ -131,12 +144,12 @@ def label_model(votes, rounds=50, prior=0.9, accuracy=0.8, weight=10.0):
 
     for _ in range(rounds):
         q = [posterior(v) for v in votes]
-        bound = lambda x: min(0.999, max(0.501, x))
         next_good, next_bad = [], []
         for j in range(n):
             cast = [(p, v[j]) for p, v in zip(q, votes) if v[j] != "0"]
-            next_good.append(bound((weight * accuracy + sum(p for p, x in cast if x == "+")) / (weight + sum(p for p, _ in cast))))
-            next_bad.append(bound((weight * accuracy + sum(1 - p for p, x in cast if x == "-")) / (weight + sum(1 - p for p, _ in cast))))
+            good = min(0.999, max(0.501, (weight * on_good + sum(p for p, x in cast if x == "+")) / (weight + sum(p for p, _ in cast))))
+            next_good.append(good)
+            next_bad.append(min(0.999, max(1.001 - good, (weight * on_bad + sum(1 - p for p, x in cast if x == "-")) / (weight + sum(1 - p for p, _ in cast)))))
         p_good = min(0.999, max(0.5, (sum(q) + weight * prior) / (len(votes) + weight)))
         right_good, right_bad = next_good, next_bad
     return [posterior(v) for v in votes]
@@ -144,10 +157,11 @@ def label_model(votes, rounds=50, prior=0.9, accuracy=0.8, weight=10.0):
 
 def vote(counts):
     """The rules' votes, from the counts of a text, spelled out anew."""
-    n, chars, symbols, dup, repeat, lines, digits, distinct = counts
+    n, chars, symbols, dup, repeat, lines, digits, distinct, special = counts
     rules = [
         (n < 20, n >= 50), (100 * repeat > 30 * n, 100 * repeat <= 5 * n), (chars < 2 * n or chars > 15 * n, 3 * n <= chars <= 10 * n), (10 * symbols > n, 100 * symbols <= n),
         (100 * dup > 30 * lines, 100 * dup <= 10 * lines), (4 * digits > chars, 20 * digits <= chars), (n >= 100 and 10 * distinct < n, n >= 20 and 5 * distinct >= n),
+        (100 * special > 10 * chars, 100 * special <= 6 * chars),
     ]
     return "".join("-" if bad else "+" if good else "0" for bad, good in rules)
 
@@ -162,7 +176,7 @@ def test_quality_verdicts(spark):
         for i in range(len(w) - 7):
             if seen[tuple(w[i : i + 8])] > 1:
                 covered.update(range(i, i + 8))
-        counts = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in r[1] or ""), len(lines) - len(set(lines)), len(covered), len(lines), sum(c in "0123456789" for c in r[1] or ""), len(set(w)))
+        counts = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in r[1] or ""), len(lines) - len(set(lines)), len(covered), len(lines), sum(c in "0123456789" for c in r[1] or ""), len(set(w)), len(SPECIAL.findall(r[1] or "")))
         own.append((r[0], vote(counts), len(w) < 20 or 100 * len(covered) > 30 * len(w)))
     expected = Counter((k, v, failed, round(p, 9), not failed and p >= 0.5) for (k, v, failed), p in zip(own, label_model([v for _, v, _ in own])))
     assert Counter((r.doc_id, r.votes, r.base_failed, round(r.probability, 9), r.kept) for r in found) == expected
