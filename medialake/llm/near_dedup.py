@@ -56,7 +56,7 @@ PIVOT_ROUNDS = 2
 MOST_ROUNDS = 6
 #: A block of a bucket has at most some this many shingles and rows (a single text may have more shingles).
 BLOCK_SHINGLES = 1 << 17
-BLOCK_ROWS = 512
+BLOCK_ROWS = 256
 #: Expected points a register when a document's processes stop; e ** -3 of the documents go on.
 HORIZON = float(np.log(REGISTERS) + 3.0)
 
