@@ -7,15 +7,15 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, lm_scoring, near_dedup, packing, quality, repeats, sharding, token_output, url_filters
+from . import alignment, decontamination, licenses, lm_scoring, mixing, near_dedup, packing, quality, repeats, sharding, token_output, url_filters
 from .common import table
 from .sql import oracles
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 SHARD_BYTES = 8 << 20
@@ -87,6 +87,18 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(found)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), F.array("source"), mixing.by_weight())
+    own = F.col("takes")[0]
+    return mixed.select("doc_id", own["source"].alias("source"), "size", own["source_size"].alias("source_size"), own["target"].alias("target"), "taken", "copies", "rest")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_repeats": op3_repeats,
@@ -98,6 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_output": op5_token_output,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_decontamination": op7_decontamination,
+    "op11_mixing": op11_mixing,
+    "op12_alignment": op12_alignment,
 }
 
 ORACLES: dict[str, str] = oracles(SHARD_BYTES, LIST_ENTRIES)

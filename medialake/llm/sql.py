@@ -1,6 +1,6 @@
 """DuckDB SQL for the operators that SQL can express.
 
-Left out: token ids (2, 5), the byte windows of 3 (too slow on whole tables), the class model (6) and the label
+Left out: token ids (2, 5, 12), the byte windows of 3 (too slow on whole tables), the class model (6) and the label
 model (10). tests/llm compares those with brute force."""
 
 from __future__ import annotations
@@ -87,7 +87,23 @@ WITH RECURSIVE d AS (SELECT doc_id, {WORDS} AS w FROM documents),
 SELECT x AS doc_id, min(y) AS class_id, count(*) AS class_size FROM reach GROUP BY x"""
 
 
+MIXING = """
+WITH d AS (SELECT doc_id, source, length(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS size,
+      CAST('0x' || substr(md5('7/' || coalesce(CAST(doc_id AS VARCHAR), '') || '/' || coalesce(text, '')), 1, 15) AS BIGINT) AS turn FROM documents),
+  s AS (SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
+  -- sources in the order in which they reach twice their size; ``cut`` and ``free`` are what those before it hold and the weights from it on
+  o AS (SELECT *, coalesce(sum(2 * source_size) OVER w, 0) AS cut, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS free, sum(source_size) OVER () AS total
+    FROM s WINDOW w AS (ORDER BY 2 * source_size / weight::DOUBLE, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  f AS (SELECT cut, free, total FROM o WHERE (3 * total - 2 * cut) * weight <= 4 * source_size * free ORDER BY cut, free DESC LIMIT 1),
+  t AS (SELECT o.source, o.source_size, CASE WHEN (3 * f.total - 2 * f.cut) * o.weight > 4 * o.source_size * f.free THEN (2 * o.source_size)::DOUBLE
+      ELSE ((3 * f.total - 2 * f.cut) * o.weight)::BIGINT::DOUBLE / (2 * f.free)::BIGINT::DOUBLE END AS target FROM o, f),
+  b AS (SELECT d.*, source_size, target, CAST(floor(target) AS BIGINT) AS flow, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY turn, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+  r AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE flow // source_size * size + greatest(0, least(flow % source_size - before, size)) END::BIGINT AS taken FROM b)
+SELECT doc_id, source, CAST(size AS BIGINT) AS size, source_size, target, taken, taken // greatest(size, 1) AS copies, taken % greatest(size, 1) AS rest FROM r"""
+
+
 def oracles(shard_bytes: int, entries: list[tuple[str, str, str, str]]) -> dict[str, str]:
     return {
-        "op1_sharding": sharding_sql(shard_bytes), "op4_licenses": licenses_sql(), "op7_decontamination": CONTAMINATION, "op8_url_filters": url_filters_sql(entries), "op9_near_dedup": NEAR,
+        "op1_sharding": sharding_sql(shard_bytes), "op4_licenses": licenses_sql(), "op7_decontamination": CONTAMINATION, "op8_url_filters": url_filters_sql(entries), "op9_near_dedup": NEAR, "op11_mixing": MIXING,
     }
