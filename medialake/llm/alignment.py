@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pyspark.sql.functions as F
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 
 from .bytehash import blocks
@@ -215,11 +216,11 @@ def best_partners(counts: DataFrame) -> DataFrame:
 class Counts:
     """The sorted shards of ``pair_counts``, mapped into memory."""
 
-    def __init__(self, folder: str) -> None:
-        shards = sorted(f"{folder}/{f}" for f in os.listdir(folder) if f.endswith(".parquet"))
+    def __init__(self, shards: list[str]) -> None:
+        """``shards`` are this executor's copies, in order of their pairs; the flat files are written beside them."""
         total = sum(pq.read_metadata(f).num_rows for f in shards)
-        paths = [f"{folder}/{c}-{total}.npy" for c in ("pair", "n")]
-        if total and not all(map(os.path.exists, paths)):
+        paths = [f"{shards[0]}.{c}.npy" for c in ("pair", "n")] if total else []
+        if not all(map(os.path.exists, paths)):
             whole = [np.lib.format.open_memmap(f"{p}.{os.getpid()}", "w+", np.int64, (total,)) for p in paths]
             at = 0
             for f in shards:
@@ -230,7 +231,7 @@ class Counts:
             for p, out in zip(paths, whole):
                 out.flush()
                 os.replace(f"{p}.{os.getpid()}", p)  # another worker may have made the same file
-        self.pair, self.n = (np.load(p, mmap_mode="r") if total else np.zeros(0, np.int64) for p in paths)
+        self.pair, self.n = (np.load(p, mmap_mode="r") for p in paths) if total else np.zeros((2, 0), np.int64)
 
     def of(self, pairs: np.ndarray) -> np.ndarray:
         return np.asarray(self.n[np.searchsorted(self.pair, pairs)])
@@ -247,16 +248,19 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     context = docs.sparkSession.sparkContext
     counts = pair_counts(docs, path_a, path_b)
-    context.addFile(counts._medialake_path, recursive=True)  # the shards stay until the session ends, for executors to come
-    name = counts._medialake_path.rsplit("/", 1)[1]
-    top = best_partners_counts(counts, docs)
+    paths = sorted(counts.inputFiles())
+    for path in paths:
+        context.addFile(path)  # the shards stay until the session ends, for executors to come
+    shards = [path.rsplit("/", 1)[1] for path in paths]
+    name = counts._medialake_path
+    top = highest(counts)
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, best = pair(path_a, path_b), top.value
         if name not in _counts:
             _counts.clear()
-            _counts[name] = Counts(SparkFiles.get(name))
+            _counts[name] = Counts([SparkFiles.get(f) for f in shards])
         count = _counts[name]
         known: dict[bytes, tuple[int, int]] = {}  # links of a chunk -> its best ones, the sum of their counts
         for batch in batches:
@@ -286,10 +290,10 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("string").alias("text")).mapInArrow(look_up, ", ".join(f"{c} long" for c in names[:-1]) + ", groups string")
 
 
-def best_partners_counts(counts: DataFrame, docs: DataFrame):
+def highest(counts: DataFrame) -> Broadcast:
     """The highest count of each id of B as an array, broadcast: as long as the vocabulary of B at most."""
     rows = counts.groupBy(F.col("pair").bitwiseAND(F.lit(LOW)).alias("b")).agg(F.max("n").alias("n")).collect()
     top = np.zeros(max((r["b"] for r in rows), default=0) + 1, np.int64)
     for r in rows:
         top[r["b"]] = r["n"]
-    return docs.sparkSession.sparkContext.broadcast(top)
+    return counts.sparkSession.sparkContext.broadcast(top)
