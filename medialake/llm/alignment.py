@@ -1,8 +1,9 @@
 """Operator 12, cross-tokenizer alignment: which tokens of two vocabularies cover the same bytes.
 
 Both vocabularies cut the bytes of a space and the text. A *group* ends where tokens of both end; a *link* is a pair of
-tokens whose bytes overlap. Pairs of ids are packed into 64-bit integers, A's id above B's. Counting and looking up are
-two scans of the texts:
+tokens whose bytes overlap. As both sides cut the same bytes, the links of a text are the parts between the ends of either
+side, and a block of texts is aligned by array operations over its bytes. Pairs of ids are packed into 64-bit integers, A's
+id above B's. Counting and looking up are two scans of the texts:
 
 1. Each task counts its links with ``numpy.unique`` and hands on sorted partial counts, at most ``PARTIAL`` pairs at a time.
    A global sort by ranges of the packed pair brings equal pairs together; runs are added up as they stream by. The result
@@ -10,9 +11,9 @@ two scans of the texts:
 2. Executors fetch the shards once each (``SparkContext.addFile`` from the shared folder), keep them as two flat files and map
    these into memory; pages are shared by the workers of an executor and looked up by ``searchsorted``.
 
-Where a vocabulary may be taken apart at blanks (``independent``), a text is cut before the spaces that follow a
-character that is no white space; no token of either side crosses such a cut, and each distinct chunk is encoded and
-aligned once a worker (``MEMO`` entries at most; long chunks are not kept). With other vocabularies texts are encoded whole.
+B reads texts whole. Where A is plain byte-level BPE (no normaliser, the usual splitting pattern), a text is cut for it before
+spaces that follow a character that is no white space, which its pattern always does too; each distinct chunk is encoded
+once a worker and remembered (``MEMO`` entries at most, emptied when full). With another A texts are encoded whole.
 
 Defined cases: a null or empty text has no tokens, and neither has one whose bytes either side does not give back (say one
 with U+2581, which B reads as a space); such texts count nothing. Strings of special tokens are plain text. Texts are taken
@@ -24,9 +25,8 @@ from __future__ import annotations
 
 import os
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -38,38 +38,35 @@ from pyspark.sql import DataFrame
 
 from .bytehash import blocks
 from .common import materialise, shuffle_width, text_of
-from .tokens import byte_letters
+from .tokens import Memo, byte_letters
 
 LOW = (1 << 32) - 1
 PARTIAL = 1 << 21
-MEMO = 300_000
-LONGEST_KEPT = 200  # characters of a chunk that is remembered
-#: White space by any of the libraries' tables; before a space none of these ends a chunk.
+MEMO = 500_000
+BLOCK = 1 << 20  # bytes of text that are aligned at once
+#: White space by any of the libraries' tables; a chunk ends behind none of these.
 BLANK = "\\s\u180e\u200b\ufeff"
 ODD = re.compile(f"^ |[{BLANK}] | $")
 CUT = re.compile(f"(?<=[^{BLANK}])(?= +[^ ])")
+# Fixed value: the splitting pattern of byte-level BPE, for texts of printable ASCII and line ends.
+PIECES = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\s0-9A-Za-z]+|\s+(?!\S)|\s+")
+PRINTABLE = re.compile(r"[\x20-\x7E\n\r\t]*")
+LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
 
 
-class Chunk(NamedTuple):
-    n_a: int
-    n_b: int
-    n_groups: int
-    pairs: bytes  # packed pairs of the links, little-endian
-    groups: bytes
+class Aligned(NamedTuple):
+    """A block of texts: tokens of each side, links and groups, with the bounds of each text among them."""
 
-
-def aligned(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> Chunk:
-    """Links and groups of two cuts of the same bytes."""
-    pairs, groups, i, j, ga, gb = [], [], 0, 0, 0, 0
-    while i < len(a):
-        pairs.append(a[i] << 32 | b[j])
-        x, y = a_ends[i], b_ends[j]
-        i += x <= y
-        j += y <= x
-        if x == y:
-            groups.append(",".join(map(str, a[ga:i])) + "|" + ",".join(map(str, b[gb:j])))
-            ga, gb = i, j
-    return Chunk(len(a), len(b), len(groups), np.array(pairs, "<i8").tobytes(), ";".join(groups).encode())
+    good: np.ndarray  # texts that have tokens; the bounds are of these
+    a: np.ndarray
+    b: np.ndarray
+    a_last: np.ndarray  # where a group ends
+    b_last: np.ndarray
+    pairs: np.ndarray
+    a_at: np.ndarray
+    b_at: np.ndarray
+    pair_at: np.ndarray
+    group_at: np.ndarray
 
 
 class Pair:
@@ -77,69 +74,96 @@ class Pair:
 
     def __init__(self, path_a: str, path_b: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import json
+
         import sentencepiece
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
+        self.model = self.a.model
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        letters = byte_letters()
-        byte = {letters.get(b, chr(b)): b for b in range(256)}
-        self.a_bytes = [b""] * self.a.get_vocab_size()
-        for token, k in self.a.get_vocab().items():
-            self.a_bytes[k] = bytes(map(byte.__getitem__, token)) if all(c in byte for c in token) else token.encode()
+        self.letters = byte_letters()
+        byte = {self.letters.get(b, chr(b)): b for b in range(256)}
+        vocabulary = self.a.get_vocab()
+        a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for token, k in vocabulary.items():
+            a_bytes[k] = bytes(map(byte.__getitem__, token)) if all(c in byte for c in token) else token.encode()
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("\u2581", " ").encode() for k, p in enumerate(pieces)]
-        self.memo: dict[str, Chunk | None] = {}
-        self.apart = self.independent(pieces)
-
-    def independent(self, pieces: list[str]) -> bool:
-        """Whether no token crosses from a character that is no white space into a space: A splits so before it merges, and
-        no piece of B has its mark for a space behind another character; neither changes a text before it cuts it."""
-        import json
-
+        b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("\u2581", " ").encode() for k, p in enumerate(pieces)]
+        self.bytes_of = pa.array(a_bytes, pa.large_binary()), pa.array(b_bytes, pa.large_binary())
+        self.lengths = tuple(np.array([len(x) for x in own], np.int64) for own in (a_bytes, b_bytes))
+        # ids as text with what follows: within a group, at the end of its first half, at its end
+        spelt = [f"{k}{mark}" for k in range(len(a_bytes)) for mark in ",|"] + [f"{k}{mark}" for k in range(len(b_bytes)) for mark in ",;"]
+        self.spelt = pa.array(spelt, pa.large_binary())
         spec = json.loads(self.a.to_str())
-        pre = spec.get("pre_tokenizer") or {}
-        plain = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-        same = "  a \u00e9 \uff21  b\n c"  # widths, accents and blanks that a normaliser would touch
-        kept = b"".join(self.b_bytes[k] for k in self.b.encode(same)) == b" " + same.encode()
-        return bool(plain and kept and not any("\u2581" in p.lstrip("\u2581") for p in pieces))
-
-    def encode(self, text: str) -> Chunk | None:
-        """``text`` with a space before it, aligned; None if a side does not give its bytes back."""
-        a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
-        whole = b" " + text.encode()
-        a_parts, b_parts = [self.a_bytes[k] for k in a], [self.b_bytes[k] for k in b]
-        if b"".join(a_parts) != whole or b"".join(b_parts) != whole:
-            return None
-        ends = lambda parts: np.cumsum([len(p) for p in parts]).tolist()
-        return aligned(a, ends(a_parts), b, ends(b_parts))
-
-    def chunks(self, text: str) -> list[str]:
-        """The text in parts that are encoded on their own, each without the space before it."""
+        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        self.apart = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and model["type"] == "BPE" and not model.get("dropout")
+        self.memo = Memo(self._chunk)
+
+    def _chunk(self, chunk: str) -> bytes:
+        """A's ids, packed, for a space and ``chunk``."""
+        latin = LATIN.fullmatch(chunk)
+        if latin is not None:
+            word, marks = latin.groups()
+            word = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            parts = ["\u0120" + word, marks] if marks else ["\u0120" + word]
+        elif PRINTABLE.fullmatch(chunk):
+            parts = [p.translate(self.letters) for p in PIECES.findall(" " + chunk)]
+        else:
+            return array("I", self.a.encode(" " + chunk, add_special_tokens=False).ids).tobytes()
+        return array("I", [t.id for p in parts for t in self.model.tokenize(p)]).tobytes()
+
+    def a_packed(self, text: str) -> bytes:
         if not self.apart:
-            return [text]
-        if ODD.search(text) is None:
-            return text.split(" ")
-        return [c[1:] for c in CUT.split(" " + text)]
-
-    def look_up(self, text: str) -> list[Chunk] | None:
-        """The chunks of a text; None if it is empty or not given back."""
-        if not text:
-            return None
+            return array("I", self.a.encode(" " + text, add_special_tokens=False).ids).tobytes()
+        chunks = text.split(" ") if ODD.search(text) is None else [c[1:] for c in CUT.split(" " + text)]
+        return b"".join(map(self.memo.__getitem__, chunks))
+
+    def align(self, texts: list[str]) -> Aligned:
+        """Tokens, links and groups of a block of texts."""
         if len(self.memo) > MEMO:
             self.memo.clear()
-        memo, out = self.memo, []
-        for c in self.chunks(text):
-            chunk = memo.get(c, 0)
-            if chunk == 0:
-                chunk = self.encode(c)
-                if len(c) <= LONGEST_KEPT:
-                    memo[c] = chunk
-            if chunk is None:
-                return None
-            out.append(chunk)
-        return out
+        whole = [b" " + t.encode() if t else b"" for t in texts]
+        packed = [self.a_packed(t) if t else b"" for t in texts]
+        tokens = [t if w else [] for t, w in zip(self.b.encode(texts, num_threads=1), whole)]
+        a, b = np.frombuffer(b"".join(packed), np.uint32).astype(np.int64), np.array([k for t in tokens for k in t], np.int64)
+        bounds = lambda sizes: np.concatenate(([0], np.cumsum(np.array(sizes, np.int64)))).astype(np.int64)
+        size, a_at, b_at = bounds([len(w) for w in whole]), bounds([len(p) // 4 for p in packed]), bounds([len(t) for t in tokens])
+        sides = [(a, a_at, self.lengths[0], self.bytes_of[0]), (b, b_at, self.lengths[1], self.bytes_of[1])]
+        good = np.diff(size) > 0
+        joined = b"".join(whole)
+        for ids, at, lengths, own in sides:
+            got = own.take(pa.array(ids))
+            data = got.buffers()[2]
+            data = data.to_pybytes()[: len(joined) + 1] if data is not None else b""
+            ends = np.concatenate(([0], np.cumsum(lengths[ids])))[at]
+            if data != joined or not np.array_equal(ends, size):
+                good &= np.array([w == b"".join(got[x:y].to_pylist()) for w, x, y in zip(whole, at, at[1:])], bool)
+        if not good.all():
+            a, b = a[np.repeat(good, np.diff(a_at))], b[np.repeat(good, np.diff(b_at))]
+            size, a_at, b_at = (bounds(np.diff(x)[good]) for x in (size, a_at, b_at))
+        ends = np.zeros((2, size[-1] + 1), bool)  # of tokens, by their last byte
+        for flags, ids, lengths in ((ends[0], a, self.lengths[0]), (ends[1], b, self.lengths[1])):
+            flags[np.cumsum(lengths[ids])] = True
+        cuts = np.flatnonzero(ends[0] | ends[1])
+        of_a, of_b = ends[0][cuts], ends[1][cuts]
+        pairs = a[np.cumsum(of_a) - of_a] << 32 | b[np.cumsum(of_b) - of_b]
+        common = np.flatnonzero(of_a & of_b)
+        a_last, b_last = of_b[of_a], of_a[of_b]
+        return Aligned(np.flatnonzero(good), a, b, a_last, b_last, pairs, a_at, b_at, np.searchsorted(cuts, size, "right"), np.searchsorted(cuts[common], size, "right"))
+
+    def spell(self, x: Aligned) -> list[bytes]:
+        """The groups of each good text as ``a1,a2|b1;a3|b2,b3``."""
+        heads = lambda last: np.cumsum(last) - last  # the group of each token
+        ends_a, ends_b = np.flatnonzero(x.a_last) + 1, np.concatenate(([0], np.flatnonzero(x.b_last) + 1))
+        order = np.empty(len(x.a) + len(x.b), np.int64)
+        order[np.arange(len(x.a)) + ends_b[heads(x.a_last)]] = 2 * x.a + x.a_last
+        order[np.arange(len(x.b)) + ends_a[heads(x.b_last)]] = 2 * len(self.lengths[0]) + 2 * x.b + x.b_last
+        taken = self.spelt.take(pa.array(order))
+        starts = np.frombuffer(taken.buffers()[1], np.int64)[x.a_at + x.b_at]
+        data = memoryview(taken.buffers()[2]) if len(order) else b""
+        return [bytes(data[i : j - 1]) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist())]
 
 
 _pairs: dict[tuple[str, str], Pair] = {}
@@ -152,7 +176,7 @@ def pair(path_a: str, path_b: str) -> Pair:
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
-    for i, j, data, starts in blocks(batch, "text"):
+    for i, j, data, starts in blocks(batch, "text", BLOCK):
         raw = data.tobytes()
         yield i, j, [raw[starts[r] : starts[r + 1]].decode("utf-8", "replace") for r in range(j - i)]
 
@@ -175,11 +199,7 @@ def pair_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         keys = counts = np.zeros(0, np.int64)
         for batch in batches:
             for _, _, texts in _texts(batch):
-                met: Counter[bytes] = Counter()
-                for text in texts:
-                    met.update(c.pairs for c in own.look_up(text) or ())
-                got = np.frombuffer(b"".join(met), "<i8")
-                times = np.repeat(np.fromiter(met.values(), np.int64, len(met)), np.fromiter((len(p) // 8 for p in met), np.int64, len(met)))
+                got, times = np.unique(own.align(texts).pairs, return_counts=True)
                 keys, counts = added(np.concatenate((keys, got)), np.concatenate((counts, times)))
                 if len(keys) > PARTIAL:
                     yield batch_of(keys, counts)
@@ -262,30 +282,21 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             _counts.clear()
             _counts[name] = Counts([SparkFiles.get(f) for f in shards])
         count = _counts[name]
-        known: dict[bytes, tuple[int, int]] = {}  # links of a chunk -> its best ones, the sum of their counts
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids = batch.column(0)
             for i, j, texts in _texts(batch):
-                rows: list[tuple] = []
-                met = [own.look_up(text) for text in texts]
-                if len(known) > MEMO:
-                    known.clear()
-                new = list({c.pairs for c in chain.from_iterable(m for m in met if m) if c.pairs not in known})
-                if new:
-                    pairs = np.frombuffer(b"".join(new), "<i8")
-                    n = count.of(pairs)
-                    is_best = n == best[pairs & LOW]
-                    heads = np.concatenate(([0], np.cumsum([len(p) // 8 for p in new])))[:-1]
-                    known.update(zip(new, zip(np.add.reduceat(is_best.astype(np.int64), heads).tolist(), np.add.reduceat(n, heads).tolist())))
-                for doc_id, chunks in zip(ids[i:j], met):
-                    if not chunks:
-                        rows.append((doc_id, 0, 0, 0, 0, 0, 0, b""))
-                        continue
-                    n_a, n_b, n_groups, pairs, groups = zip(*chunks)
-                    bests, sums = zip(*map(known.__getitem__, pairs))
-                    rows.append((doc_id, sum(n_a), sum(n_b), sum(n_groups), sum(map(len, pairs)) // 8, sum(bests), sum(sums), b";".join(groups)))
-                columns = list(zip(*rows))
-                yield pa.record_batch([*(pa.array(c, pa.int64()) for c in columns[:-1]), pa.array(columns[-1], pa.binary()).cast(pa.string())], names=names)
+                met = own.align(texts)
+                distinct, where = np.unique(met.pairs, return_inverse=True)
+                n = count.of(distinct)
+                columns = np.zeros((6, j - i), np.int64)
+                for out, of in zip(columns, (met.a_at, met.b_at, met.group_at, met.pair_at)):
+                    out[met.good] = np.diff(of)
+                for out, of in zip(columns[4:], (n == best[distinct & LOW], n)):
+                    out[met.good] = np.diff(np.concatenate(([0], np.cumsum(of[where], dtype=np.int64)))[met.pair_at])
+                groups = [b""] * (j - i)
+                for k, own_groups in zip(met.good.tolist(), own.spell(met)):
+                    groups[k] = own_groups
+                yield pa.record_batch([ids[i:j], *map(pa.array, columns), pa.array(groups, pa.binary()).cast(pa.string())], names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("string").alias("text")).mapInArrow(look_up, ", ".join(f"{c} long" for c in names[:-1]) + ", groups string")
 

@@ -69,22 +69,28 @@ def test_query_equals_both_libraries(spark, tmp_path):
         assert tuple(got[k][c] for c in columns) == want, (k, text and text[:60])
 
 
-def test_small_partials_and_whole_texts_agree(spark, monkeypatch):
-    docs = documents(spark)
-    want = sorted(map(tuple, alignment.pair_counts(docs, A, B).collect()))
+def test_chunks_and_whole_texts_agree(monkeypatch):
     own = alignment.pair(A, B)
     assert own.apart
-    for text in [x[1] for x in rows() if x[1]][:30] + [t for t in ODD if t]:
-        cut, whole = own.look_up(text), own.encode(text)
-        assert (cut is None) == (whole is None), text
-        if cut:
-            assert b"".join(c.pairs for c in cut) == whole.pairs and b";".join(c.groups for c in cut) == whole.groups, text
-    assert len({p for p, _ in want}) == len(want) and all(n > 0 for _, n in want)
-    by_one = Counter()
+    texts = [x[1] for x in rows()] + ODD
+    cut = [own.a_packed(t) for t in texts if t]
+    monkeypatch.setattr(own, "apart", False)
+    assert cut == [own.a_packed(t) for t in texts if t]
+
+
+def test_partial_counts_of_any_size_agree(spark):
+    """Blocks, flushes and shards change nothing."""
+    docs = documents(spark)
+    want = sorted(map(tuple, alignment.pair_counts(docs, A, B).collect()))
+    own, by_one = alignment.pair(A, B), Counter()
     for _, text, *_ in rows():
-        for c in own.look_up(text) or ():
-            by_one.update(int.from_bytes(c.pairs[i : i + 8], "little") for i in range(0, len(c.pairs), 8))
-    assert want == sorted(by_one.items())
+        by_one.update(own.align([text or ""]).pairs.tolist())
+    assert want == sorted(by_one.items()) and len(want) == len(by_one)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert want == sorted(map(tuple, alignment.pair_counts(docs.repartition(9), A, B).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_best_partners(spark):
