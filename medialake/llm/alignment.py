@@ -3,7 +3,7 @@
 Both vocabularies cut the bytes of a space and the text. A *group* ends where tokens of both end; a *link* is a pair of
 tokens whose bytes overlap. As both sides cut the same bytes, the links of a text are the parts between the ends of either
 side, and a block of texts is aligned by array operations over its bytes. Pairs of ids are packed into 64-bit integers, A's
-id above B's. Counting and looking up are two scans of the texts:
+id above B's. Texts are encoded once and their ids written, two or four bytes each; counting and looking up scan these:
 
 1. Each task counts its links with ``numpy.unique`` and hands on sorted partial counts, at most ``PARTIAL`` pairs at a time.
    A global sort by ranges of the packed pair brings equal pairs together; runs are added up as they stream by. The result
@@ -36,14 +36,14 @@ import pyspark.sql.functions as F
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 
-from .bytehash import blocks
+from .bytehash import binary_column, blocks
 from .common import materialise, shuffle_width, text_of
 from .tokens import Memo, byte_letters
 
 LOW = (1 << 32) - 1
 PARTIAL = 1 << 21
 MEMO = 500_000
-BLOCK = 1 << 20  # bytes of text that are aligned at once
+BLOCK = 1 << 20  # bytes of texts or ids that are worked on at once
 #: White space by any of the libraries' tables; a chunk ends behind none of these.
 BLANK = "\\s\u180e\u200b\ufeff"
 ODD = re.compile(f"^ |[{BLANK}] | $")
@@ -57,7 +57,6 @@ LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*
 class Aligned(NamedTuple):
     """A block of texts: tokens of each side, links and groups, with the bounds of each text among them."""
 
-    good: np.ndarray  # texts that have tokens; the bounds are of these
     a: np.ndarray
     b: np.ndarray
     a_last: np.ndarray  # where a group ends
@@ -69,6 +68,10 @@ class Aligned(NamedTuple):
     group_at: np.ndarray
 
 
+def bounds(sizes: list[int] | np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(np.asarray(sizes, np.int64)))).astype(np.int64)
+
+
 class Pair:
     """The two vocabularies in a worker: a byte-level one of the tokenizers library, and a sentencepiece model."""
 
@@ -93,6 +96,7 @@ class Pair:
         b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("\u2581", " ").encode() for k, p in enumerate(pieces)]
         self.bytes_of = pa.array(a_bytes, pa.large_binary()), pa.array(b_bytes, pa.large_binary())
         self.lengths = tuple(np.array([len(x) for x in own], np.int64) for own in (a_bytes, b_bytes))
+        self.width = np.dtype("<u2" if max(len(a_bytes), len(b_bytes)) <= 1 << 16 else "<u4")
         # ids as text with what follows: within a group, at the end of its first half, at its end
         spelt = [f"{k}{mark}" for k in range(len(a_bytes)) for mark in ",|"] + [f"{k}{mark}" for k in range(len(b_bytes)) for mark in ",;"]
         self.spelt = pa.array(spelt, pa.large_binary())
@@ -120,41 +124,40 @@ class Pair:
         chunks = text.split(" ") if ODD.search(text) is None else [c[1:] for c in CUT.split(" " + text)]
         return b"".join(map(self.memo.__getitem__, chunks))
 
-    def align(self, texts: list[str]) -> Aligned:
-        """Tokens, links and groups of a block of texts."""
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """The ids of both sides as bytes of ``self.width``; of a text that a side does not give back, none."""
         if len(self.memo) > MEMO:
             self.memo.clear()
         whole = [b" " + t.encode() if t else b"" for t in texts]
         packed = [self.a_packed(t) if t else b"" for t in texts]
         tokens = [t if w else [] for t, w in zip(self.b.encode(texts, num_threads=1), whole)]
-        a, b = np.frombuffer(b"".join(packed), np.uint32).astype(np.int64), np.array([k for t in tokens for k in t], np.int64)
-        bounds = lambda sizes: np.concatenate(([0], np.cumsum(np.array(sizes, np.int64)))).astype(np.int64)
-        size, a_at, b_at = bounds([len(w) for w in whole]), bounds([len(p) // 4 for p in packed]), bounds([len(t) for t in tokens])
-        sides = [(a, a_at, self.lengths[0], self.bytes_of[0]), (b, b_at, self.lengths[1], self.bytes_of[1])]
-        good = np.diff(size) > 0
-        joined = b"".join(whole)
-        for ids, at, lengths, own in sides:
+        a, b = np.frombuffer(b"".join(packed), np.uint32), np.array([k for t in tokens for k in t], np.uint32)
+        size, joined = bounds([len(w) for w in whole]), b"".join(whole)
+        good, sides = np.ones(len(texts), bool), []
+        for ids, at, lengths, own in ((a, bounds([len(p) // 4 for p in packed]), self.lengths[0], self.bytes_of[0]), (b, bounds([len(t) for t in tokens]), self.lengths[1], self.bytes_of[1])):
             got = own.take(pa.array(ids))
             data = got.buffers()[2]
             data = data.to_pybytes()[: len(joined) + 1] if data is not None else b""
-            ends = np.concatenate(([0], np.cumsum(lengths[ids])))[at]
-            if data != joined or not np.array_equal(ends, size):
+            if data != joined or not np.array_equal(bounds(lengths[ids])[at], size):
                 good &= np.array([w == b"".join(got[x:y].to_pylist()) for w, x, y in zip(whole, at, at[1:])], bool)
-        if not good.all():
-            a, b = a[np.repeat(good, np.diff(a_at))], b[np.repeat(good, np.diff(b_at))]
-            size, a_at, b_at = (bounds(np.diff(x)[good]) for x in (size, a_at, b_at))
-        ends = np.zeros((2, size[-1] + 1), bool)  # of tokens, by their last byte
-        for flags, ids, lengths in ((ends[0], a, self.lengths[0]), (ends[1], b, self.lengths[1])):
-            flags[np.cumsum(lengths[ids])] = True
+            sides.append((ids.astype(self.width).tobytes(), (at * self.width.itemsize).tolist()))
+        return tuple([raw[x:y] if ok else b"" for x, y, ok in zip(at, at[1:], good)] for raw, at in sides)
+
+    def align(self, a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray) -> Aligned:
+        """Links and groups of a block of texts, given by the ids of both sides and the bounds of each text."""
+        a, b = a.astype(np.int64), b.astype(np.int64)
+        a_ends, b_ends = np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b])
+        size = np.concatenate(([0], a_ends))[a_at]  # where texts end
+        ends = np.zeros((2, size[-1] + 1), bool)  # of tokens
+        ends[0][a_ends], ends[1][b_ends] = True, True
         cuts = np.flatnonzero(ends[0] | ends[1])
         of_a, of_b = ends[0][cuts], ends[1][cuts]
         pairs = a[np.cumsum(of_a) - of_a] << 32 | b[np.cumsum(of_b) - of_b]
-        common = np.flatnonzero(of_a & of_b)
-        a_last, b_last = of_b[of_a], of_a[of_b]
-        return Aligned(np.flatnonzero(good), a, b, a_last, b_last, pairs, a_at, b_at, np.searchsorted(cuts, size, "right"), np.searchsorted(cuts[common], size, "right"))
+        common = cuts[of_a & of_b]
+        return Aligned(a, b, of_b[of_a], of_a[of_b], pairs, a_at, b_at, np.searchsorted(cuts, size, "right"), np.searchsorted(common, size, "right"))
 
     def spell(self, x: Aligned) -> list[bytes]:
-        """The groups of each good text as ``a1,a2|b1;a3|b2,b3``."""
+        """The groups of each text as ``a1,a2|b1;a3|b2,b3``."""
         heads = lambda last: np.cumsum(last) - last  # the group of each token
         ends_a, ends_b = np.flatnonzero(x.a_last) + 1, np.concatenate(([0], np.flatnonzero(x.b_last) + 1))
         order = np.empty(len(x.a) + len(x.b), np.int64)
@@ -163,7 +166,7 @@ class Pair:
         taken = self.spelt.take(pa.array(order))
         starts = np.frombuffer(taken.buffers()[1], np.int64)[x.a_at + x.b_at]
         data = memoryview(taken.buffers()[2]) if len(order) else b""
-        return [bytes(data[i : j - 1]) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist())]
+        return [bytes(data[i : max(i, j - 1)]) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist())]
 
 
 _pairs: dict[tuple[str, str], Pair] = {}
@@ -175,10 +178,28 @@ def pair(path_a: str, path_b: str) -> Pair:
     return _pairs[path_a, path_b]
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
-    for i, j, data, starts in blocks(batch, "text", BLOCK):
-        raw = data.tobytes()
-        yield i, j, [raw[starts[r] : starts[r + 1]].decode("utf-8", "replace") for r in range(j - i)]
+def encoded(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """``doc_id long, a binary, b binary``: the ids of each text by both vocabularies, written once."""
+    schema = pa.schema([("doc_id", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pair(path_a, path_b)
+        for batch in batches:
+            for i, j, data, starts in blocks(batch, "text", BLOCK):
+                raw = data.tobytes()
+                a, b = own.encode([raw[starts[r] : starts[r + 1]].decode("utf-8", "replace") for r in range(j - i)])
+                yield pa.record_batch([batch.column(0)[i:j], pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("string").alias("text"))
+    return materialise(texts.mapInArrow(encode, "doc_id long, a binary, b binary"), "ids")
+
+
+def _blocks(own: Pair, batch: pa.RecordBatch) -> Iterator[tuple[int, int, Aligned]]:
+    """The rows of a batch of ``encoded``, aligned block by block."""
+    for i, j, data, a_starts in blocks(batch, "a", BLOCK):
+        b, b_starts = binary_column(batch.column(batch.schema.get_field_index("b"))[i:j])
+        ids = lambda raw: np.frombuffer(raw.tobytes(), own.width)
+        yield i, j, own.align(ids(data), a_starts // own.width.itemsize, ids(b), b_starts // own.width.itemsize)
 
 
 def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,8 +210,9 @@ def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys, out
 
 
-def pair_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """How many links of the corpus hold each pair of ids: ``pair long, n long``, in sorted shards that share no pair."""
+def pair_counts(ids: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """How many links of a corpus, ``encoded`` before, hold each pair of ids: ``pair long, n long``, in sorted shards that
+    share no pair."""
     schema = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
     batch_of = lambda keys, counts: pa.record_batch([pa.array(keys), pa.array(counts)], schema=schema)
 
@@ -198,8 +220,8 @@ def pair_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         own = pair(path_a, path_b)
         keys = counts = np.zeros(0, np.int64)
         for batch in batches:
-            for _, _, texts in _texts(batch):
-                got, times = np.unique(own.align(texts).pairs, return_counts=True)
+            for _, _, met in _blocks(own, batch):
+                got, times = np.unique(met.pairs, return_counts=True)
                 keys, counts = added(np.concatenate((keys, got)), np.concatenate((counts, times)))
                 if len(keys) > PARTIAL:
                     yield batch_of(keys, counts)
@@ -220,8 +242,7 @@ def pair_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             last, n = keys[-1:], counts[-1:]
         yield batch_of(last, n)
 
-    texts = docs.select(text_of().cast("string").alias("text"))
-    partials = materialise(texts.mapInArrow(partial, "pair long, n long"), "pairs-by-task")
+    partials = materialise(ids.select("a", "b").mapInArrow(partial, "pair long, n long"), "pairs-by-task")
     ordered = partials.repartitionByRange(shuffle_width(partials), "pair").sortWithinPartitions("pair")
     return materialise(ordered.mapInArrow(runs, "pair long, n long"), "pairs")
 
@@ -267,7 +288,8 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     from pyspark import SparkFiles
 
     context = docs.sparkSession.sparkContext
-    counts = pair_counts(docs, path_a, path_b)
+    written = encoded(docs, path_a, path_b)
+    counts = pair_counts(written, path_a, path_b)
     paths = sorted(counts.inputFiles())
     for path in paths:
         context.addFile(path)  # the shards stay until the session ends, for executors to come
@@ -283,22 +305,14 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             _counts[name] = Counts([SparkFiles.get(f) for f in shards])
         count = _counts[name]
         for batch in batches:
-            ids = batch.column(0)
-            for i, j, texts in _texts(batch):
-                met = own.align(texts)
+            for i, j, met in _blocks(own, batch):
                 distinct, where = np.unique(met.pairs, return_inverse=True)
                 n = count.of(distinct)
-                columns = np.zeros((6, j - i), np.int64)
-                for out, of in zip(columns, (met.a_at, met.b_at, met.group_at, met.pair_at)):
-                    out[met.good] = np.diff(of)
-                for out, of in zip(columns[4:], (n == best[distinct & LOW], n)):
-                    out[met.good] = np.diff(np.concatenate(([0], np.cumsum(of[where], dtype=np.int64)))[met.pair_at])
-                groups = [b""] * (j - i)
-                for k, own_groups in zip(met.good.tolist(), own.spell(met)):
-                    groups[k] = own_groups
-                yield pa.record_batch([ids[i:j], *map(pa.array, columns), pa.array(groups, pa.binary()).cast(pa.string())], names=names)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("string").alias("text")).mapInArrow(look_up, ", ".join(f"{c} long" for c in names[:-1]) + ", groups string")
+                sums = [np.diff(bounds(of[where])[met.pair_at]) for of in (n == best[distinct & LOW], n)]
+                columns = [*map(np.diff, (met.a_at, met.b_at, met.group_at, met.pair_at)), *sums]
+                yield pa.record_batch([batch.column(0)[i:j], *map(pa.array, columns), pa.array(own.spell(met), pa.binary()).cast(pa.string())], names=names)
+
+    return written.mapInArrow(look_up, ", ".join(f"{c} long" for c in names[:-1]) + ", groups string")
 
 
 def highest(counts: DataFrame) -> Broadcast:

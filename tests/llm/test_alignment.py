@@ -3,6 +3,7 @@ import hashlib
 import itertools
 from collections import Counter
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 from corpus import documents, empty, rows
@@ -81,14 +82,16 @@ def test_chunks_and_whole_texts_agree(monkeypatch):
 def test_partial_counts_of_any_size_agree(spark):
     """Blocks, flushes and shards change nothing."""
     docs = documents(spark)
-    want = sorted(map(tuple, alignment.pair_counts(docs, A, B).collect()))
+    counts = lambda df: sorted(map(tuple, alignment.pair_counts(alignment.encoded(df, A, B), A, B).collect()))
+    want = counts(docs)
     own, by_one = alignment.pair(A, B), Counter()
     for _, text, *_ in rows():
-        by_one.update(own.align([text or ""]).pairs.tolist())
+        sides = [np.frombuffer(x[0], own.width) for x in own.encode([text or ""])]
+        by_one.update(own.align(sides[0], np.array([0, len(sides[0])]), sides[1], np.array([0, len(sides[1])])).pairs.tolist())
     assert want == sorted(by_one.items()) and len(want) == len(by_one)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        assert want == sorted(map(tuple, alignment.pair_counts(docs.repartition(9), A, B).collect()))
+        assert want == counts(docs.repartition(9))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
