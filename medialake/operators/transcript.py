@@ -87,7 +87,13 @@ def passages(segments: DataFrame, chapters: DataFrame | None = None, key: str =
         marks = chapters.groupBy(key).agg(F.array_sort(F.collect_list(F.col("start").cast("double"))).alias("_marks"))
         video = video.join(marks, key, "left")
         starts = F.coalesce("_marks", starts)
-    video = video.withColumn("_starts", starts)
+    kept = cut_passages(video.withColumn("_starts", starts)).select(key, F.filter("passages", lambda p: p["text"] != "").alias("p"))
+    return kept.select(key, F.posexplode("p").alias("ord", "p")).select(key, "ord", "p.start", "p.end", "p.text")
+
+
+def cut_passages(video: DataFrame) -> DataFrame:
+    """``video(segs array<struct<start, end, text>>, _starts array<double>, ..)``, a row a video with its sorted segments, with
+    its ``passages`` in place of these two; blank ones are left in."""
     begins = F.expr(
         f"""aggregate(segs,
             named_struct('chars', 0, 'end', cast(null as double), 'at', cast(null as double), 'n', 0, 'begins', cast(array() as array<int>)),
@@ -102,8 +108,7 @@ def passages(segments: DataFrame, chapters: DataFrame | None = None, key: str =
         """transform(begins, (b, i) -> transform(array(slice(segs, b + 1, coalesce(get(begins, i + 1), size(segs)) - b)), run -> named_struct(
             'start', run[0].start, 'end', element_at(run, -1).end, 'text', trim(regexp_replace(array_join(transform(run, r -> r.text), ' '), '(?U)\\\\s+', ' '))))[0])"""
     )
-    kept = runs.select(key, F.filter(cut, lambda p: p["text"] != "").alias("p"))
-    return kept.select(key, F.posexplode("p").alias("ord", "p")).select(key, "ord", "p.start", "p.end", "p.text")
+    return runs.withColumn("passages", cut).drop("segs", "_starts", "begins")
 
 
 def size_guards(counts: DataFrame, key: str = "video_id", corpus: str = "channel_id", order: str = "ord", step: int = 4096) -> DataFrame:

@@ -12,16 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 _written: list[tuple[SparkSession, str]] = []
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; in a temporary one where that is unset and nothing but this
-    machine computes."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one where that is unset and nothing but this machine computes."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors see")
         folder = "file://" + tempfile.mkdtemp(prefix="medialake-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/medialake/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted at exit."""
+    path = f"{shared_dir(spark)}/medialake/{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     return path
 
