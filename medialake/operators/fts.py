@@ -165,8 +165,9 @@ def search(rows: DataFrame, query: str | None, text: str = "text") -> DataFrame:
     """The rows whose text matches; an empty query filters nothing."""
     if query is None or not query.strip():
         return rows
-    tokenised = spread(rows).withColumn("_tokens", search_tokens(text))
-    return tokenised.filter(compile_query(query, F.col("_tokens"))).drop("_tokens")
+    # the tokens are bound once; as a column they would be made again for each word of the query
+    found = F.transform(F.array(search_tokens(text)), lambda w: compile_query(query, w))
+    return spread(rows).filter(found[0])
 
 
 def search_index(index: Index, query: str) -> DataFrame:

@@ -30,9 +30,11 @@ def occurrences(words: Column, term: str) -> Column:
 
 def term_counts(documents: DataFrame, terms: list[str], words: Column, keys: list[str], extra: list[str] = ()) -> DataFrame:
     """``keys, n_tokens, tf_0 ..``: a document's length and its count of each distinct term."""
-    counted = spread(documents.select("*")).select(*keys, *extra, words.alias("_words"))
-    counts = [occurrences(F.col("_words"), t).alias(f"tf_{i}") for i, t in enumerate(terms)]
-    return counted.select(*keys, *extra, F.size("_words").alias("n_tokens"), *counts)
+    # the tokens are bound once inside one expression: as a column of their own, a filter on the counts that is pushed below
+    # it would make them again for every term
+    counts = lambda w: [occurrences(w, t).alias(f"tf_{i}") for i, t in enumerate(terms)]
+    own = F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("n_tokens"), *counts(w)))
+    return spread(documents.select("*")).select(*keys, *extra, F.inline(own))
 
 
 def search(documents: DataFrame, query: str, words: Column | None = None, key: str = "doc_id", corpus: str | None = None) -> DataFrame:
@@ -71,18 +73,13 @@ def search_index(index: Index, query: str) -> DataFrame:
     known = index.frequencies(distinct)
     # a term's document frequency in each corpus, as literals where there is one corpus and else joined
     if index.corpus:
-        table = index.spark.createDataFrame([(c, x, n) for (c, x), n in known.items()], "corpus string, term string, df long")
-        rows = rows.join(table, ["corpus", "term"])
+        rows = rows.join(known, ["corpus", "term"]).join(index.corpora(), "corpus")
     else:
         df = F.lit(0)
-        for (_, x), n in known.items():
-            df = F.when(F.col("term") == x, n).otherwise(df)
-        rows = rows.withColumn("df", df)
-    if index.corpus:
-        rows = rows.join(index.corpora(), "corpus")
-    else:
+        for r in known.collect():  # a row for each term asked
+            df = F.when(F.col("term") == r["term"], r["df"]).otherwise(df)
         n, mean = index.statistics()
-        rows = rows.withColumns({"n": F.lit(n), "mean": F.lit(mean)})
+        rows = rows.withColumns({"df": df, "n": F.lit(n), "mean": F.lit(mean)})
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     times = first = F.lit(0)
     for x in distinct:

@@ -12,10 +12,10 @@ from ..functions import scalars as X
 from ..functions import text as T
 from ..operators import channels as ch
 from ..operators import coverage as cov
-from ..operators import fts, intervals, phrases, query, retrieval, stats, store, threads, transcript
+from ..operators import fts, index, intervals, phrases, query, retrieval, stats, store, threads, transcript
 from ..sources import exports, raw
 from ..streaming import jobs
-from ..work import spread
+from ..work import spread, work_path
 from . import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -323,6 +323,18 @@ def bm25_total(spark, d):
     return retrieval.search_index(t.index(spark, d, "ranked"), ASKED).agg(F.count("*").alias("total"))
 
 
+CHANGED = "(SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN lang || ' passage ' || coalesce(text, '') ELSE text END AS text FROM documents WHERE doc_id % 9 <> 4)"
+
+
+@registered(bm25_sql(TERMS, "SELECT doc_id, round(z, 3) AS score FROM (SELECT doc_id, score AS z, first_term FROM s ORDER BY s.score DESC, first_term, doc_id LIMIT 200)", source=CHANGED))
+def index_after_changes(spark, d):
+    """All documents are indexed, then some are replaced and some deleted."""
+    docs = t.read(spark, d, "documents").select("doc_id", "text", "lang")
+    replaced = docs.filter("doc_id % 10 = 3").withColumn("text", F.concat("lang", F.lit(" passage "), F.coalesce("text", F.lit(""))))
+    kept = index.build(docs, work_path(spark, "index-changed")).add(replaced).delete(docs.filter("doc_id % 9 = 4"))
+    return retrieval.top(retrieval.search_index(kept, ASKED), 200)
+
+
 TITLED = f"(SELECT doc_id, text, p_name FROM documents JOIN part ON p_partkey = doc_id + 1)"
 WEIGHTED = f"list_concat(list_concat({TOKENS.format('p_name')}, {TOKENS.format('p_name')}), {TOKENS.format('text')})"
 

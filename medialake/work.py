@@ -34,7 +34,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` and reads it back, so that it is computed once and lineage ends there."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._medialake_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of materialised frames that no later plan reads."""
+    for df in frames:
+        own = (df.sparkSession, df._medialake_path)
+        _remove(*own)
+        _written.remove(own)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def small(df: DataFrame) -> bool:
@@ -57,7 +72,6 @@ def _remove_all() -> None:
         try:
             if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
                 continue
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _remove(spark, path)
         except Exception:  # noqa: BLE001  the JVM may be gone at exit; the folder is temporary
             continue

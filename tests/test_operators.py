@@ -154,6 +154,72 @@ def test_queries_as_sqlite_takes_them(spark, tmp_path):
         assert {r.doc_id for r in fts.search_index(kept, q).collect()} == want, q
 
 
+def _words(r, n):
+    return " ".join(r.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta", "the"]) + r.choice(["", "", "s", "x"]) for _ in range(n))
+
+
+def test_index_takes_changes(spark, tmp_path):
+    """After any adds, replacements, deletes and merges, every search gives what a fresh build of the same rows gives."""
+    r = random.Random(1)
+    schema, path = "doc_id long, text string, source string", f"file://{tmp_path}/i"
+    rows = {k: (_words(r, r.randint(0, 12)), r.choice("pq")) for k in range(30)}
+    frame = lambda own: spark.createDataFrame([(k, *v) for k, v in own.items()], schema)
+    words = fts.search_tokens("text")
+    kept = index.build(frame(rows), path, words, positions=True)
+    by_source = index.build(frame(rows), f"{path}-s", words, corpus="source")
+    first = kept
+    for step in range(5):
+        batch = {k: (_words(r, r.randint(0, 12)), r.choice("pq")) for k in r.sample(range(60), 3)}
+        rows |= batch
+        kept, by_source = kept.add(frame(batch), words), by_source.add(frame(batch), words)
+        if step == 1:
+            gone = [(k,) for k in r.sample(range(60), 3)]
+            rows = {k: v for k, v in rows.items() if (k,) not in gone}
+            kept, by_source = (x.delete(spark.createDataFrame(gone, "doc_id long")) for x in (kept, by_source))
+    assert max(s["number"] for s in kept.segments) == 7 and len(kept.segments) < 7  # seven segments were written, a tier was merged
+    opened = index.Index(spark, path)
+    assert opened.meta == kept.meta
+    found = lambda df: sorted((tuple(r)[0], *(round(x, 9) if isinstance(x, float) else x for x in tuple(r)[1:])) for r in df.collect())
+    plain = lambda q: found(retrieval.search(frame(rows), q, words))
+    for q in ("alpha betas", "gammax gammax delta", "zeta"):
+        assert found(retrieval.search_index(opened, q)) == plain(q), q
+        assert found(retrieval.search_index(by_source, q)) == found(retrieval.search(frame(rows), q, words, corpus="source")), q
+    for q in ("alpha NOT betas", '"alpha beta"', "gam* OR deltas", "zeta eps"):
+        assert found(fts.search_index(opened, q)) == found(fts.search(frame(rows), q).select("doc_id")), q
+    assert sorted(x["key"] for x in opened.docs().collect()) == sorted(rows)
+    assert len(first.docs().collect()) == 30  # an older version stays readable
+    again = index.build(frame(rows), path, words, positions=True)
+    assert again.meta["version"] == opened.meta["version"] + 1 and found(retrieval.search_index(index.Index(spark, path), "alpha")) == plain("alpha")
+
+
+def test_a_small_change_writes_little(spark, tmp_path):
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("common words"), F.concat(F.lit("w"), F.col("id") % 97)).alias("text"))
+    kept = index.build(rows, f"file://{tmp_path}/i")
+    more = kept.add(rows.filter("doc_id % 100 = 0"))
+    assert [s["name"] for s in more.segments][0] == kept.segments[0]["name"]  # the large segment is as it was
+    assert spark.read.parquet(f"{tmp_path}/i/{more.segments[1]['name']}/postings").count() == 60
+
+
+def test_repeated_keys_are_refused(spark, tmp_path):
+    for rows in ([(1, "a one"), (1, "b two"), (1, "c"), (2, "d")], [(None, "a")]):
+        with pytest.raises(index.RepeatedKeysError):
+            index.build(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/i")
+    empty = index.build(spark.createDataFrame([], "doc_id long, text string"), f"file://{tmp_path}/e")
+    assert retrieval.search_index(empty, "one").count() == 0
+    filled = empty.add(spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string"))
+    assert [r.doc_id for r in retrieval.search_index(filled, "one").collect()] == [1] and filled.statistics()[0] == 2
+
+
+def test_tokens_are_made_once(spark, tmp_path):
+    """Scans without an index split each text once, however many words are asked for."""
+    spark.createDataFrame([(1, "alpha beta gamma")], "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    rows = spark.read.parquet(f"{tmp_path}/d")
+    for found in (retrieval.search(rows, "alpha beta gamma delta eps zeta").drop("score"), fts.search(rows, "(alpha OR beta OR gamma) NOT delta")):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        scans = plan.count("Relation [")
+        assert scans and plan.count("split(") <= scans, plan
+
+
 def test_index_reads_the_files_of_its_terms(spark, tmp_path):
     docs = spark.createDataFrame([(k, f"word{k % 50:02d} common text{k}") for k in range(400)], "doc_id int, text string")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would make one file
@@ -163,9 +229,9 @@ def test_index_reads_the_files_of_its_terms(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     again = index.Index(spark, f"file://{tmp_path}/i")
     assert again.meta == made.meta and again.statistics()[0] == 400
-    assert made.frequencies(["word07", "common", "none"]) == {("all", "word07"): 8, ("all", "common"): 400}
-    first, last, names = made.ranges["postings"]
-    assert len(names) > 1 and first == sorted(first) and all(a <= b for a, b in zip(first, last))
+    assert {tuple(r) for r in made.frequencies(["word07", "common", "none"]).collect()} == {("all", "word07", 8), ("all", "common", 400)}
+    first, last, names = zip(*made.segments[0]["postings"])
+    assert len(names) > 1 and list(first) == sorted(first) and all(a <= b for a, b in zip(first, last))
     asked = made.postings(["word07"])
     assert len(asked.inputFiles()) < len(names) and asked.count() == 8
     got = [tuple(r) for r in retrieval.search_index(made, "common word07 common").orderBy("doc_id").collect()]
