@@ -13,8 +13,11 @@ horizon. Two documents agree on a register with the probability of their weighte
 Search: documents with equal bags are one node. Bands of registers put nodes into buckets. In each bucket
 the nodes are first compared with a pivot, and only across components that are still apart; a bucket is
 finished when the rest of it is in one component, so a bucket of copies costs about one comparison a node.
-What is still mixed goes to the next pivot, ``PIVOT_ROUNDS`` times and more while that pays, and is then compared in
-blocks within tasks. A task joins components as it finds similar pairs and returns a spanning forest,
+What is still mixed goes to the next pivot, ``PIVOT_ROUNDS`` times and more while that pays. Its nodes are then grouped
+anew by a prefix filter: shingles in order of rarity, two sets that are similar share one of the first few of either, and
+how many these are follows from the sizes in their buckets. So a family of texts that are alike below the threshold falls
+apart, whatever buckets it shares. The groups have pivots again, and what is left of them is compared in blocks within
+tasks. A task joins components as it finds similar pairs and returns a spanning forest,
 fewer pairs than nodes. So no pair that shares a bucket and could still join two components goes untested. A
 two-bit sketch of the registers rules out pairs five standard deviations below the threshold (3e-7 of those at
 it); all other comparisons count shingles.
@@ -56,7 +59,7 @@ PIVOT_ROUNDS = 2
 MOST_ROUNDS = 6
 #: A block of a bucket has at most some this many shingles and rows (a single text may have more shingles).
 BLOCK_SHINGLES = 1 << 17
-BLOCK_ROWS = 256
+BLOCK_ROWS = 512
 #: Expected points a register when a document's processes stop; e ** -3 of the documents go on.
 HORIZON = float(np.log(REGISTERS) + 3.0)
 
@@ -264,7 +267,7 @@ def link_components(docs: DataFrame, described: DataFrame, similarity: float) ->
         sets = sets.dropDuplicates(["node"])  # only where whole rows are repeated: it shuffles the sets
     sets = materialise(sets, "shingles")
     linked: DataFrame | None = None
-    turn, by_pivot, rows_before = 0, True, members.count()
+    turn, by_pivot, by_prefix, rows_before = 0, True, False, members.count()
     while True:
         used = []
         if by_pivot:
@@ -312,10 +315,42 @@ def link_components(docs: DataFrame, described: DataFrame, similarity: float) ->
         discard(*used, old, left, mixed)
         if done:
             break
+        if not by_pivot and not by_prefix:
+            old, members = members, materialise(prefix_groups(members, sets, similarity), "prefix-groups")
+            discard(old)
+            turn, by_pivot, by_prefix, rows_before = 0, True, True, members.count()
+            if not rows_before:
+                break
     discard(members, sets, nodes)
     return linked
 
 
+def prefix_groups(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The nodes of ``members`` in new buckets, one a shingle, so that two similar nodes of one old bucket share a new one.
+
+    With shingles in any common order, two sets whose intersection has ``c`` elements share one of the first ``n - c + 1`` of
+    each; rare shingles come first. ``c`` is least with the smallest partner that a node has in its buckets, and a partner
+    has ``similarity`` times its size or more. Shingles of one set alone take places in the order and make no group."""
+    width = 100  # sizes are classed by hundredths of their logarithm
+    reach = int(np.ceil(-np.log(similarity) * width)) + 1
+    sized = members.withColumn("class", F.floor(F.ln("size") * width).cast("int"))
+    least = sized.groupBy("bucket", "class").agg(F.min("size").alias("least"))
+    over = least.select("bucket", F.explode(F.sequence(F.col("class"), F.col("class") + reach)).alias("class"), "least").groupBy("bucket", "class").agg(F.min("least").alias("least"))
+    nodes = sized.join(over, ["bucket", "class"]).groupBy("node").agg(*(F.first(c).alias(c) for c in ("degree", "size", "sketch", "component")), F.min("least").alias("least"))
+    nodes = materialise(nodes, "prefix-nodes")
+    partner = F.greatest(F.col("least").cast("double"), F.col("size") * similarity)
+    common = F.ceil((F.col("size") + partner) * (similarity / (1 + similarity)) - 1e-6)  # a shade less, for the rounding of doubles
+    places = nodes.select("node", (F.col("size") - common + 1).cast("int").alias("places"))
+    tokens = materialise(sets.join(places.hint("merge"), "node").select("node", "places", F.size("shingles").alias("n"), F.explode("shingles").alias("bucket")), "prefix-tokens")
+    often = tokens.groupBy("bucket").agg(F.count("*").alias("times")).filter("times > 1")
+    shared = tokens.join(often.hint("merge"), "bucket").groupBy("node", "places", "n").agg(F.array_sort(F.collect_list(F.struct("times", "bucket"))).alias("shared"))
+    kept = F.slice("shared", 1, F.greatest(F.lit(0), F.col("places") - (F.col("n") - F.size("shared"))))
+    placed = materialise(shared.select("node", F.explode(kept).alias("s")).select("node", "s.bucket"), "prefix-places")
+    rows = placed.join(nodes, "node")
+    mixed = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
+    return rows.join(mixed.hint("merge"), "bucket").select(members.columns)
+
+
 def pivots(members: DataFrame) -> DataFrame:
     """``bucket, a, a_size, a_sketch, a_component``: the node of each bucket that shares most places with others. The
     text from which others were copied meets more of them than they meet one another."""

@@ -237,3 +237,25 @@ def test_blocks_return_fewer_pairs_than_nodes(spark):
     for a, b in links:
         own[find(a)] = find(b)
     assert len({find(x) for x in range(n)}) == 1
+
+
+def test_prefix_groups_keep_every_similar_pair(spark):
+    """Two similar sets of one bucket share a group; families that are alike below the threshold make none."""
+    r = random.Random(3)
+    base = list(range(200))
+    sets = {k: sorted({*r.sample(base, r.randint(120, 200)), *(1000 * k + i for i in range(r.randint(0, 40)))}) for k in range(1, 41)}
+    sets |= {k: sorted({*base[:150], *(1000 * k + i for i in range(40))}) for k in range(101, 121)}  # 150 of 230: below
+    rows = [(b, k, 1, len(v), [0] * 7, k) for k, v in sets.items() for b in ((1, 2) if k % 3 else (2,))]
+    members = spark.createDataFrame(rows, "bucket long, node long, degree long, size long, sketch array<long>, component long")
+    own = spark.createDataFrame(list(sets.items()), "node long, shingles array<long>")
+    got = near_dedup.prefix_groups(members, own, 0.8)
+    assert got.columns == members.columns
+    groups = {}
+    for x in got.select("bucket", "node").collect():
+        groups.setdefault(x["bucket"], set()).add(x["node"])
+    similar = [(a, b) for a in sets for b in sets if a < b and len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})]
+    assert len(similar) > 20
+    for a, b in similar:
+        assert any(a in g and b in g for g in groups.values()), (a, b)
+    alone = near_dedup.prefix_groups(members.filter("node > 100"), own, 0.8)
+    assert alone.isEmpty()
