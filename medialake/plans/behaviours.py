@@ -38,12 +38,12 @@ def duration_format(spark, d):
 
 
 @registered(f"""SELECT doc_id, CASE WHEN n_chars >= 3600 THEN printf('%d:%02d:%02d', n_chars // 3600, n_chars % 3600 // 60, n_chars % 60) ELSE printf('%d:%02d', n_chars // 60, n_chars % 60) END AS shown,
-    CASE WHEN n_chars % 100 < 60 THEN n_chars * 60.0::DOUBLE + n_chars % 100 END AS parsed, length({TOKENS.format('text')}) AS n_tokens FROM documents WHERE n_chars < 60""")
+    CASE WHEN n_chars % 100 < 60 THEN n_chars * 60.0::DOUBLE + n_chars % 100 END AS parsed, length({TOKENS.format('text')}) AS n_tokens FROM documents""")
 def sql_functions(spark, d):
     functions_sql.register(spark)
-    t.read(spark, d, "documents").filter("n_chars < 60").createOrReplaceTempView("_short_documents")
+    t.read(spark, d, "documents").createOrReplaceTempView("_documents")
     return spark.sql(
-        "SELECT doc_id, format_timestamp(n_chars) AS shown, parse_timestamp(concat(cast(n_chars AS string), ':', cast(n_chars % 100 AS string))) AS parsed, size(tokens(text)) AS n_tokens FROM _short_documents"
+        "SELECT doc_id, format_timestamp(n_chars) AS shown, parse_timestamp(concat(cast(n_chars AS string), ':', cast(n_chars % 100 AS string))) AS parsed, size(tokens(text)) AS n_tokens FROM _documents"
     )
 
 
@@ -117,11 +117,7 @@ def recogniser_output(spark, d):
     part = F.struct(F.struct((turn * 500).cast("long").alias("from"), (turn * 500 + 400).cast("long").alias("to")).alias("offsets"), said.alias("text"))
     lines = t.read(spark, d, "conversations").select("conv_id", "turn", F.to_json(F.struct(F.array(part).alias("transcription"))).alias("value"))
     parsed = lines.select("conv_id", "turn", F.from_json("value", raw.RAW_ASR).alias("r")).select("conv_id", "turn", "r.transcription")
-    # each file is one turn here, so the turn goes along in the text of its own record
-    found = raw.asr_segments(parsed.select(F.transform("transcription", lambda x: x.withField("text", F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.trim(x["text"])))).alias("transcription")))
-    silent = F.col("text").endswith("|" + raw.SILENCE)
-    back = F.split("text", r"\|", 3)
-    return found.filter(~silent).select(back[0].cast("long").alias("conv_id"), back[1].cast("int").alias("turn"), "start", back[2].alias("text"))
+    return raw.asr_segments(parsed, "conv_id", "turn").select("conv_id", "turn", "start", "text")
 
 
 @registered("""SELECT doc_id, e - s AS duration, coalesce(v, 0) AS votes FROM (SELECT doc_id, (doc_id % 50)::DOUBLE AS s, (doc_id % 50 + doc_id % 7)::DOUBLE AS e, CASE WHEN doc_id % 3 > 0 THEN doc_id % 9 END AS v FROM documents)""")
@@ -363,22 +359,6 @@ def attempts_until_throttled(spark, d):
     return ingest.until_throttled(rows).select("ord")
 
 
-@registered("""WITH RECURSIVE e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
-    r(user_id, k, concurrency, strikes) AS (SELECT user_id, 1, CASE event_type WHEN 'error' THEN 4 WHEN 'signup' THEN 1 ELSE 8 END, CASE WHEN event_type IN ('error', 'signup') THEN 1 ELSE 0 END FROM e WHERE k = 1 UNION ALL
-      SELECT e.user_id, e.k, CASE e.event_type WHEN 'error' THEN greatest(1, concurrency // 2) WHEN 'signup' THEN 1 ELSE concurrency END, CASE WHEN e.event_type IN ('error', 'signup') THEN strikes + 1 WHEN e.event_type = 'view' THEN strikes ELSE 0 END
-      FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1) SELECT user_id AS client, CAST(k AS DOUBLE) AS at, concurrency, strikes FROM r WHERE k <= 19""")
-def call_paces(spark, d):
-    from pyspark.sql import Window as W
-
-    kind = F.col("event_type")
-    outcome = F.when(kind == "error", "RATE_LIMITED").when(kind == "signup", "BOT_CHECK").when(kind == "view", "NOT_FOUND").otherwise("ok")
-    by = W.partitionBy("user_id").orderBy("event_id")
-    calls = t.read(spark, d, "events").select(F.col("user_id").cast("string").alias("client"), F.row_number().over(by).cast("double").alias("at"), outcome.alias("outcome")).filter("at <= 19")
-    return ingest.paces(calls, 8).select(F.col("client").cast("long").alias("client"), "at", "concurrency", "strikes")
-
-
-
-
 # -- scalars and small rules --------------------------------------------------------------------------------------
 
 
@@ -435,10 +415,10 @@ def receipts_that_break_rules(spark, d):
     return cov.violations(spoiled).select("target_id", F.array_join("broken", ",").alias("broken"))
 
 
-@registered("""SELECT l_orderkey AS "videoId", l_linenumber AS "likeCount", strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S.000Z') AS "publishedAt", '''=' || l_partkey AS author FROM lineitem WHERE l_linenumber < 3""")
+@registered("""SELECT l_orderkey AS "videoId", l_linenumber AS "likeCount", strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S.000Z') AS "publishedAt", '''=' || l_partkey AS author FROM lineitem""")
 def exported_comments(spark, d):
     none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
-    rows = t.comments(spark, d).filter("line < 3").select(
+    rows = t.comments(spark, d).select(
         *none("comment_id", "parent_id", "is_pinned", "author_is_uploader", "author_is_verified", "text"), F.col("video_id"), F.col("line").alias("like_count"), F.col("published_at").cast("timestamp").alias("published_at"),
         F.concat(F.lit("="), F.col("author_id").cast("string")).alias("author"), F.lit(None).cast("string").alias("author_id"),
     )

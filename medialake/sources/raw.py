@@ -201,12 +201,12 @@ def sponsor_segments(raw: DataFrame, video_id: str | None = None) -> DataFrame:
     return (rows if video_id is None else rows.filter(F.col("video_id") == video_id)).orderBy("video_id", "start", "end")
 
 
-def asr_segments(raw: DataFrame) -> DataFrame:
-    """Speech-to-text segments in seconds, without empty ones and the marker of silence. What a recogniser says of
-    other sounds stays."""
-    rows = raw.select(F.posexplode("transcription").alias("ord", "t"))
+def asr_segments(raw: DataFrame, *keys: str) -> DataFrame:
+    """Speech-to-text segments in seconds, without empty ones and the marker of silence, with the record's ``keys``. What a
+    recogniser says of other sounds stays."""
+    rows = raw.select(*keys, F.posexplode("transcription").alias("ord", "t"))
     text = F.trim("t.text")
-    return rows.filter((text != "") & (text != SILENCE)).select("ord", (F.col("t.offsets.from") / 1000).alias("start"), (F.col("t.offsets.to") / 1000).alias("end"), text.alias("text"))
+    return rows.filter((text != "") & (text != SILENCE)).select(*keys, "ord", (F.col("t.offsets.from") / 1000).alias("start"), (F.col("t.offsets.to") / 1000).alias("end"), text.alias("text"))
 
 
 def scene_cuts(log: Column) -> Column:

@@ -1,11 +1,10 @@
-"""Ingestion policies: checkpoints, stopping when a source refuses, and pacing."""
+"""Ingestion policies: checkpoints, and stopping when a source refuses."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from collections.abc import Callable
+from dataclasses import dataclass
 
-import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -76,73 +75,3 @@ def build(store: Store, outstanding: DataFrame, read: Callable[[DataFrame], tupl
         found = phrases.ranked(phrases.recurring(store.read("passage")))
         store.commit({"phrase": found}, based_on=store.manifest()["snapshot"])
     return Build(attempted, checkpoints, reason)
-
-
-# Fixed values of the pacer, in seconds where they are times.
-COOLDOWN, COOLDOWN_MOST, BOT_COOLDOWN = 30.0, 900.0, 600.0
-GRACE, CIRCUIT_STRIKES, CIRCUIT_OPEN = 2, 5, 300.0
-STEP_UP_AFTER, STEP_DOWN, LEAST = 20, 0.5, 1
-#: What an outcome does: whether it counts as throttling, and to the number of calls at once.
-EFFECTS = {THROTTLED: (True, "less"), "BOT_CHECK": (True, "least"), "TIMEOUT": (False, "less")}
-
-
-@dataclass(frozen=True)
-class Pace:
-    """A client's pace: calls at once, refusals and successes in a row, and until when it waits."""
-
-    concurrency: int
-    strikes: int = 0
-    successes: int = 0
-    cooldown_until: float = 0.0
-    circuit_until: float = 0.0
-
-    def after(self, outcome: str, at: float) -> Pace:
-        """One more step up after so many successes, half at a refusal, a wait that doubles with each, and a pause
-        of all calls after several."""
-        if outcome == "ok":
-            more = self.successes + 1 >= STEP_UP_AFTER
-            return replace(self, strikes=0, successes=0 if more else self.successes + 1, concurrency=self.concurrency + more)
-        throttled, effect = EFFECTS.get(outcome, (False, "none"))
-        if not throttled:
-            return self  # only a throttled call changes what others do
-        strikes = self.strikes + 1
-        wait = BOT_COOLDOWN if outcome == "BOT_CHECK" else min(COOLDOWN * 2 ** (strikes - 1), COOLDOWN_MOST)
-        waits = strikes >= (1 if outcome == "BOT_CHECK" else GRACE)
-        fewer = LEAST if effect == "least" else max(LEAST, int(self.concurrency * STEP_DOWN))
-        return Pace(
-            fewer, strikes, 0, max(self.cooldown_until, at + wait) if waits else self.cooldown_until, at + CIRCUIT_OPEN if strikes >= CIRCUIT_STRIKES else self.circuit_until
-        )
-
-    def wait(self, at: float) -> float:
-        return self.circuit_until - at if self.circuit_until > at else max(0.0, self.cooldown_until - at)
-
-
-PACE = "client string, at double, outcome string, concurrency int, strikes int, cooldown_until double, circuit_until double"
-
-
-def paces(calls: DataFrame, limit: int) -> DataFrame:
-    """The pace after each call of ``calls(client, at, outcome)``, in the order of each client's calls."""
-
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        pace, out = Pace(limit), []
-        for at, outcome in rows.sort_values("at", kind="stable")[["at", "outcome"]].itertuples(index=False):
-            pace = pace.after(outcome, at)
-            out.append((key[0], at, outcome, pace.concurrency, pace.strikes, pace.cooldown_until, pace.circuit_until))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in PACE.split(", ")])
-
-    return calls.select("client", F.col("at").cast("double").alias("at"), "outcome").groupBy("client").applyInPandas(fold, PACE)
-
-
-def paces_stream(calls: DataFrame, limit: int) -> DataFrame:
-    """The same of a stream, each client's pace after a micro-batch."""
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        pace = Pace(*state.get) if state.exists else Pace(limit)
-        for frame in frames:
-            for at, outcome in frame.sort_values("at", kind="stable")[["at", "outcome"]].itertuples(index=False):
-                pace = pace.after(outcome, float(at))
-        state.update((pace.concurrency, pace.strikes, pace.successes, pace.cooldown_until, pace.circuit_until))
-        yield pd.DataFrame({"client": [key[0]], "concurrency": [pace.concurrency], "strikes": [pace.strikes], "cooldown_until": [pace.cooldown_until], "circuit_until": [pace.circuit_until]})
-
-    held = "concurrency int, strikes int, successes int, cooldown_until double, circuit_until double"
-    return calls.groupBy("client").applyInPandasWithState(fold, "client string, concurrency int, strikes int, cooldown_until double, circuit_until double", held, "update", "NoTimeout")

@@ -176,16 +176,3 @@ def test_build_checkpoints_and_stops(spark, tmp_path):
     done = ingest.build(s, queue, reader([9, 10, 11, 12]))
     assert (done.attempted, done.checkpoints) == (12, 2) and "throttling" in done.stop_reason
     assert s.read("state").count() == 12 and s.read("passage").count() == 9
-
-
-def test_pace():
-    p = ingest.Pace(8)
-    for outcome, at, concurrency, wait in [("RATE_LIMITED", 0, 4, 0), ("RATE_LIMITED", 1, 2, 60), ("ok", 2, 2, 59), ("TIMEOUT", 3, 2, 58), ("BOT_CHECK", 100, 1, 600), ("NOT_FOUND", 101, 1, 599)]:
-        p = p.after(outcome, at)
-        assert (p.concurrency, p.wait(at)) == (concurrency, wait), outcome
-    for k in range(4):
-        p = p.after("RATE_LIMITED", 200 + k)
-    assert p.wait(203) == 300 and p.strikes == 5
-    for k in range(20):
-        p = p.after("ok", 5000)
-    assert (p.concurrency, p.successes, p.strikes) == (2, 0, 0)
