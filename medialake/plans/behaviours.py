@@ -38,7 +38,7 @@ def duration_format(spark, d):
 
 
 @registered(f"""SELECT doc_id, CASE WHEN n_chars >= 3600 THEN printf('%d:%02d:%02d', n_chars // 3600, n_chars % 3600 // 60, n_chars % 60) ELSE printf('%d:%02d', n_chars // 60, n_chars % 60) END AS shown,
-    CASE WHEN n_chars % 100 < 60 THEN n_chars * 60.0::DOUBLE + n_chars % 100 END AS parsed, length({TOKENS.format('text')}) AS n_tokens FROM documents""")
+    CASE WHEN n_chars < 60 AND n_chars % 100 < 60 THEN n_chars * 60.0::DOUBLE + n_chars % 100 END AS parsed, length({TOKENS.format('text')}) AS n_tokens FROM documents""")
 def sql_functions(spark, d):
     functions_sql.register(spark)
     t.read(spark, d, "documents").createOrReplaceTempView("_documents")
