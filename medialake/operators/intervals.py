@@ -6,11 +6,19 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 
+from . import ordered
 
-def covered_length(rows: DataFrame, key: str, begin: str = "start", end: str = "end") -> DataFrame:
-    """Length of the union of each key's intervals."""
-    before = W.partitionBy(key).orderBy(begin, end).rowsBetween(W.unboundedPreceding, -1)
-    reached = rows.withColumn("_reached", F.max(end).over(before))
+
+def covered_length(rows: DataFrame, key: str, begin: str = "start", end: str = "end", one_task: int = ordered.ONE_TASK) -> DataFrame:
+    """Length of the union of each key's intervals. Where a key has more than ``one_task`` of them, each range of its
+    intervals starts from the furthest end of those before."""
+    if ordered.hot(rows, key, one_task):
+        parts = ordered.carry(ordered.ranges(rows.select(key, begin, end), key, begin, end), key, F.max(end), F.max)
+        inside = F.max(end).over(ordered.inside(key, begin, end).rowsBetween(W.unboundedPreceding, -1))
+        reached = parts.withColumn("_reached", F.greatest(inside, "_carried"))
+    else:
+        before = W.partitionBy(key).orderBy(begin, end).rowsBetween(W.unboundedPreceding, -1)
+        reached = rows.withColumn("_reached", F.max(end).over(before))
     fresh = F.greatest(F.lit(0), F.col(end) - F.greatest(F.col(begin), F.coalesce("_reached", F.col(begin))))
     return reached.groupBy(key).agg(F.sum(fresh).alias("covered"))
 
@@ -36,14 +44,22 @@ def context(hits: DataFrame, rows: DataFrame, key: str, around: float, row_id: s
     return met.drop("_key", "_low", "_high", "_bucket", "_own")
 
 
-def as_of(rows: DataFrame, marks: DataFrame, key: str, at: str, mark_at: str, value: str) -> DataFrame:
-    """Each row with ``value`` of the latest mark of its key at or before it, by one sorted pass over both."""
+def as_of(rows: DataFrame, marks: DataFrame, key: str, at: str, mark_at: str, value: str, one_task: int = ordered.ONE_TASK) -> DataFrame:
+    """Each row with ``value`` of the latest mark of its key at or before it, by one sorted pass over both; of marks at one
+    time the largest counts. Where a key has more than ``one_task`` rows and marks, each range of them starts from the
+    last mark before it."""
     left = rows.select("*", F.lit(1).alias("_side"), F.col(at).alias("_at"), F.lit(None).cast(marks.schema[value].dataType).alias("_value"))
     right = marks.select(key, F.col(mark_at).alias("_at"), F.lit(0).alias("_side"), F.col(value).alias("_value"))
-    both = left.unionByName(right, allowMissingColumns=True)
-    by = W.partitionBy(key).orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = both.withColumn(value, F.last("_value", ignorenulls=True).over(by)).filter("_side = 1")
-    return found.drop("_side", "_at", "_value")
+    both, order = left.unionByName(right, allowMissingColumns=True), ("_at", "_side", "_value")
+    if ordered.hot(both, key, one_task):
+        latest = F.max_by(F.struct("_value"), F.when(F.col("_value").isNotNull(), F.struct(*order)))["_value"]
+        parts = ordered.carry(ordered.ranges(both, key, *order), key, latest, lambda edge: F.last(edge, ignorenulls=True))
+        by = ordered.inside(key, *order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        found = parts.withColumn(value, F.coalesce(F.last("_value", ignorenulls=True).over(by), "_carried")).drop("_part", "_carried")
+    else:
+        by = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        found = both.withColumn(value, F.last("_value", ignorenulls=True).over(by))
+    return found.filter("_side = 1").drop("_side", "_at", "_value")
 
 
 def peaks(heatmap: str, n: int, spacing: int = 3):

@@ -5,17 +5,24 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
+from . import ordered
 from .store import Store
 
 STATES = ["indexed", "no-captions", "failed", "excluded", "pending"]
 
 
-def corpus_stats(videos: DataFrame, corpus: str = "channel_id") -> DataFrame:
-    """One row a corpus of ``videos(state, word_count, duration_s, upload_date)``."""
+def corpus_stats(videos: DataFrame, corpus: str = "channel_id", one_task: int = ordered.ONE_TASK) -> DataFrame:
+    """One row a corpus of ``videos(state, word_count, duration_s, upload_date)``. The median rate is exact; where a corpus
+    has more than ``one_task`` videos it is selected by ranks, and no task holds a corpus' rates."""
     states = [F.count_if(F.col("state") == s).alias(s.replace("-", "_")) for s in STATES]
     rate = F.when((F.col("word_count") > 0) & (F.col("duration_s") > 0), F.col("word_count") / (F.col("duration_s") / 60))
-    median = F.coalesce(F.floor(F.percentile(rate, 0.5) + 0.5), F.lit(0)).alias("words_per_minute")
-    return videos.groupBy(corpus).agg(F.count("*").alias("videos"), *states, F.sum("word_count").alias("words"), F.min("upload_date").alias("first_upload"), F.max("upload_date").alias("last_upload"), median)
+    counts = [F.count("*").alias("videos"), *states, F.sum("word_count").alias("words"), F.min("upload_date").alias("first_upload"), F.max("upload_date").alias("last_upload")]
+    rounded = lambda median: F.coalesce(F.floor(median + 0.5), F.lit(0)).alias("words_per_minute")
+    if not ordered.hot(videos, corpus, one_task):
+        return videos.groupBy(corpus).agg(*counts, rounded(F.percentile(rate, 0.5)))
+    middle = ordered.medians(videos.select(corpus, rate.alias("_rate")), corpus, "_rate").select(F.col(corpus).alias("_corpus"), "median")
+    found = videos.groupBy(corpus).agg(*counts).join(middle, F.col(corpus).eqNullSafe(F.col("_corpus")), "left")
+    return found.withColumn("words_per_minute", rounded(F.col("median"))).drop("_corpus", "median")
 
 
 def uploads_per_month(videos: DataFrame, date: str = "upload_date") -> DataFrame:

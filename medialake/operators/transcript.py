@@ -8,6 +8,8 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 
+from . import ordered
+
 TARGET_CHARS, MAX_CHARS, BREAK_GAP = 800, 1200, 2.0
 MAX_PATTERN = 200
 MAX_PASSAGES_PER_VIDEO, MAX_PASSAGES = 2000, 100_000
@@ -17,17 +19,41 @@ class UnsafePatternError(ValueError):
     """A search pattern that is too long, repeats a repetition or refers back."""
 
 
-def rolling_dedupe(cues: DataFrame, key: str = "video_id", order: str = "ord") -> DataFrame:
+def rolling_dedupe(cues: DataFrame, key: str = "video_id", order: str = "ord", one_task: int = ordered.ONE_TASK) -> DataFrame:
     """Cue lines ``(key, ord, start, end, text)`` without blank lines and repeats of the line before; neighbouring lines
-    of one start are one segment, which ends with the last of them."""
+    of one start are one segment, which ends with the last of them. Where a key has more than ``one_task`` lines, each
+    range of them starts from the last line before it."""
     lines = cues.withColumn("text", F.regexp_replace("text", r"(?U)^\s+|\s+$", "")).filter("text <> ''")
-    by = W.partitionBy(key).orderBy(order)
-    fresh = lines.withColumn("_before", F.lag("text").over(by)).filter(F.col("_before").isNull() | (F.col("_before") != F.col("text")))
-    new = F.coalesce((F.lag("start").over(by) != F.col("start")).cast("int"), F.lit(1))
-    grouped = fresh.withColumn("_new", new).withColumn("_run", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    if ordered.hot(lines, key, one_task):
+        runs = _runs_by_ranges(lines, key, order)
+    else:
+        by = W.partitionBy(key).orderBy(order)
+        fresh = lines.withColumn("_before", F.lag("text").over(by)).filter(_differs("_before", "text"))
+        new = F.coalesce((F.lag("start").over(by) != F.col("start")).cast("int"), F.lit(1))
+        runs = fresh.withColumn("_new", new).withColumn("_run", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
     line = F.struct(F.col(order).alias("o"), F.col("text").alias("t"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: F.trim(x["t"])), " ")
-    return grouped.groupBy(key, "start", "_run").agg(F.min(order).alias(order), F.max_by("end", order).alias("end"), joined.alias("text")).drop("_run")
+    return runs.groupBy(key, "start", "_run").agg(F.min(order).alias(order), F.max_by("end", order).alias("end"), joined.alias("text")).drop("_run")
+
+
+def _differs(before: str, own: str) -> Column:
+    return F.col(before).isNull() | (F.col(before) != F.col(own))
+
+
+def _runs_by_ranges(lines: DataFrame, key: str, order: str) -> DataFrame:
+    """Fresh lines with ``_run``, in two carries: the last text of earlier ranges says which first lines are repeats, and
+    the starts at the ranges' edges where a run goes on."""
+    by = ordered.inside(key, order)
+    parts = ordered.carry(ordered.ranges(lines, key, order), key, F.max_by("text", order), lambda edge: F.last(edge, ignorenulls=True))
+    fresh = parts.withColumn("_before", F.coalesce(F.lag("text").over(by), "_carried")).filter(_differs("_before", "text")).drop("_carried")
+    # a key's first fresh line in a range is judged by its edge, all others within the range
+    new = F.when(F.row_number().over(by) == 1, 0).otherwise(F.coalesce((F.lag("start").over(by) != F.col("start")).cast("int"), F.lit(1)))
+    fresh = fresh.withColumn("_new", new)
+    edges = fresh.groupBy("_part", key).agg(F.min_by("start", order).alias("_first"), F.max_by("start", order).alias("_last"), F.sum("_new").alias("_sum"))
+    opens = F.coalesce((F.lag("_last").over(W.partitionBy(key).orderBy("_part")) != F.col("_first")).cast("int"), F.lit(1))
+    edges = edges.withColumn("_opens", opens)
+    so_far = ordered.attach(fresh, edges, key, {"_runs": F.sum(F.col("_opens") + F.col("_sum")).over(ordered.earlier(key)) + F.col("_opens")})
+    return so_far.withColumn("_run", F.coalesce("_runs", F.lit(1)) + F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
 
 
 def slice_segments(segments: DataFrame, start: float | None = None, end: float | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions import scalars as X
 from ..functions import text as T
 from ..operators import channels as ch
 from ..operators import coverage as cov
-from ..operators import fts, index, intervals, phrases, query, retrieval, stats, store, threads, transcript
+from ..operators import fts, index, intervals, ordered, phrases, query, retrieval, stats, store, threads, transcript
 from ..sources import exports, raw
 from ..streaming import jobs
 from ..work import spread, work_path
@@ -429,6 +429,37 @@ def rolling_dedupe(spark, d):
     return found.join(cues.select("video_id", "ord", "event_id"), ["video_id", "ord"]).select(F.col("video_id").alias("user_id"), F.col("event_id").alias("ord"), "start", "end", "text")
 
 
+@registered(f"""WITH o AS (SELECT s, e, max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM {SPANS} x)
+    SELECT 'all' AS key, round(sum(greatest(0, e - greatest(s, coalesce(r, s)))), 2) AS covered FROM o""")
+def interval_union_one_key(spark, d):
+    """All spans under one key, which every core takes a range of."""
+    rows = _spans(spark, d).select(F.lit("all").alias("key"), "start", "end")
+    return intervals.covered_length(rows, "key", one_task=0).withColumn("covered", F.round("covered", 2))
+
+
+@registered("""SELECT e.event_id, c.chapter FROM (SELECT * FROM events WHERE event_type = 'click') e ASOF LEFT JOIN (SELECT ts, max(event_id) AS chapter FROM events WHERE event_type = 'view' GROUP BY ts) c ON e.ts >= c.ts""")
+def asof_one_key(spark, d):
+    """Each click with the last view of anybody."""
+    rows = t.read(spark, d, "events").withColumn("key", F.lit("all"))
+    marks = rows.filter("event_type = 'view'").select("key", F.col("ts").alias("mark_at"), F.col("event_id").alias("chapter"))
+    return intervals.as_of(rows.filter("event_type = 'click'"), marks, "key", "ts", "mark_at", "chapter", one_task=0).select("event_id", "chapter")
+
+
+@registered("""WITH a AS (SELECT event_id, event_type, event_id // 3 AS start, lag(event_type) OVER (ORDER BY event_id) AS p FROM events)
+    SELECT min(event_id) AS ord, start::DOUBLE AS start, max_by(start + 5, event_id)::DOUBLE AS "end", string_agg(event_type, ' ' ORDER BY event_id) AS text FROM a WHERE p IS NULL OR p <> event_type GROUP BY start""")
+def dedupe_one_key(spark, d):
+    """The whole log as one rolling caption track, three lines a second."""
+    start = F.expr("event_id div 3").cast("double")
+    cues = t.read(spark, d, "events").select(F.lit("all").alias("video_id"), F.col("event_id").alias("ord"), start.alias("start"), (start + 5).alias("end"), F.col("event_type").alias("text"))
+    return transcript.rolling_dedupe(cues, one_task=0).select("ord", "start", "end", "text")
+
+
+@registered("SELECT l_returnflag AS key, count(*) AS n, median(l_extendedprice) AS median FROM lineitem GROUP BY 1")
+def exact_medians(spark, d):
+    rows = t.read(spark, d, "lineitem").select(F.col("l_returnflag").alias("key"), F.col("l_extendedprice").cast("double").alias("price"))
+    return ordered.medians(rows, "key", "price")
+
+
 @registered("""WITH RECURSIVE h AS (SELECT user_id, floor(epoch(ts) / 3600) * 3600 AS start, round(sum(value), 2) AS value FROM events GROUP BY 1, 2),
     s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, start) AS k FROM h),
     r(user_id, k, chosen) AS (SELECT user_id, 1, [{'start': start, 'value': value}] FROM s WHERE k = 1 UNION ALL
