@@ -11,6 +11,9 @@ from pyspark.sql import Window as W
 
 from ..functions.scalars import channel_key
 
+# A channel id, and a handle, anywhere in a text.
+ID_IN_TEXT, HANDLE_IN_TEXT = r"UC[A-Za-z0-9_-]{22}", r"@[\w.-]+"
+
 
 def union_tabs(listings: DataFrame, max_videos: int | None = None, step: int = 4096) -> DataFrame:
     """One row a video of ``listings(channel_id, tab, tab_order, position, video_id, ...)``: the first tab owns it, the
@@ -43,6 +46,30 @@ def resolve_channel(channel: DataFrame, name: str) -> DataFrame:
     return channel.filter(F.array_contains(names, asked) | inside)
 
 
+def resolve_channels(channel: DataFrame, asked: DataFrame, name: str = "name") -> DataFrame:
+    """Every row of ``asked`` with ``status`` found, ambiguous or unknown, and ``channel_id`` where exactly one channel goes by
+    the name: an id, a handle with or without ``@``, a name in any case, a URL, or a text that holds an id or a handle.
+
+    Both sides are exploded to alias keys and joined by equality. Of the channels of one alias only the least and the
+    greatest id travel, which tells one from many, so an alias that half of the channels share is no hot pair. Each
+    spelling is looked up once. A null or blank name is unknown; a channel of null id is no match; rows that repeat are answered each."""
+    low = lambda c: F.when(channel_key(c) != "", channel_key(c))
+    known = channel.filter(F.col("channel_id").isNotNull())
+    names = F.array_compact(F.array(low("channel_id"), low("handle"), low(F.regexp_replace(F.trim("handle"), "^@", "")), low("name"), low("channel_url")))
+    aliases = known.select("channel_id", F.explode(F.array_distinct(names)).alias("_key"))
+    aliases = aliases.groupBy("_key").agg(F.min("channel_id").alias("_low"), F.max("channel_id").alias("_high"))
+    text = F.col("_text")
+    held = [F.lower(F.nullif(F.regexp_extract(text, pattern, 0), F.lit(""))) for pattern in (ID_IN_TEXT, HANDLE_IN_TEXT)]
+    wanted = F.array_compact(F.array(low("_text"), held[0], held[1], F.regexp_replace(held[1], "^@", "")))
+    spelt = asked.select(F.col(name).alias("_text")).filter(F.col("_text").isNotNull()).distinct()
+    keys = spelt.select("_text", F.explode(F.array_distinct(wanted)).alias("_key"))
+    met = keys.join(aliases, "_key").groupBy("_text").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    one = F.col("_low") == F.col("_high")
+    met = met.select("_text", F.when(one, "found").otherwise("ambiguous").alias("_status"), F.when(one, F.col("_low")).alias("_found"))
+    out = asked.join(met, F.col(name) == F.col("_text"), "left")
+    return out.select(*asked.columns, F.coalesce("_status", F.lit("unknown")).alias("status"), F.col("_found").alias("channel_id"))
+
+
 def chapter_by_name(chapters: DataFrame, name: str, key: str = "video_id") -> DataFrame:
     """The chapter of each video that has the name, or else the first that holds it."""
     low = F.lower("title")

@@ -642,6 +642,38 @@ def channel_lookup(spark, d):
     return ch.resolve_channel(named, " Customer#000000042/ ").select(F.col("channel_id").cast("long").alias("channel_id"))
 
 
+ASKED = """(SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN ' Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') || '/' WHEN 1 THEN 'https://example.org/@c' || o_custkey || '/videos' WHEN 2 THEN o_orderpriority
+    WHEN 3 THEN 'c' || o_custkey || '.' WHEN 4 THEN '@C' || o_custkey END AS name FROM orders)"""
+KEYS = """(SELECT c_custkey AS id, unnest(['id-' || c_custkey, '@c' || c_custkey, 'c' || c_custkey, lower(c_name), lower(c_mktsegment)]) AS k FROM customer)"""
+
+
+@registered(f"""WITH w AS (SELECT o_orderkey, unnest([rtrim(lower(trim(name)), '/'), lower(regexp_extract(name, '@[\\w.-]+')), lower(substr(regexp_extract(name, '@[\\w.-]+'), 2))]) AS k FROM {ASKED} a),
+    m AS (SELECT o_orderkey, count(DISTINCT id) AS n, min(id) AS id FROM w JOIN {KEYS} x USING (k) WHERE k <> '' GROUP BY 1)
+    SELECT o.o_orderkey, CASE WHEN n IS NULL THEN 'unknown' WHEN n = 1 THEN 'found' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN id END AS channel_id FROM orders o LEFT JOIN m USING (o_orderkey)""")
+def channels_resolved(spark, d):
+    """Five spellings of the orders' customers, the status of each, looked up in one join."""
+    who, own = F.col("o_custkey").cast("string"), F.col("o_orderkey") % 5
+    spelt = F.when(own == 0, F.concat(F.lit(" Customer#"), F.lpad(who, 9, "0"), F.lit("/"))).when(own == 1, F.concat(F.lit("https://example.org/@c"), who, F.lit("/videos"))).when(own == 2, F.col("o_orderpriority"))
+    spelt = spelt.when(own == 3, F.concat(F.lit("c"), who, F.lit("."))).otherwise(F.concat(F.lit("@C"), who))
+    asked = t.read(spark, d, "orders").select("o_orderkey", spelt.alias("name"))
+    key = F.col("c_custkey").cast("string")
+    channel = t.read(spark, d, "customer").select(F.concat(F.lit("ID-"), key).alias("channel_id"), F.concat(F.lit("@c"), key).alias("handle"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("channel_url"))
+    return ch.resolve_channels(channel, asked).select("o_orderkey", "status", F.substring("channel_id", 4, 20).cast("long").alias("channel_id"))
+
+
+@registered("SELECT doc_id, 'intro' AS category, (doc_id % 50)::DOUBLE AS start, (doc_id % 50 + 2)::DOUBLE AS \"end\", doc_id % 9 AS votes FROM documents WHERE doc_id % 3 <> 1 AND doc_id % 2 = 0")
+def segments_of_videos(spark, d):
+    """Even documents' segments from the answers of all but each third, of which each eleventh is also filed wrongly."""
+    k = F.col("doc_id")
+    rows = t.read(spark, d, "documents")
+    part = F.struct(F.lit("intro").alias("category"), F.array((k % 50).cast("double"), (k % 50 + 2).cast("double")).alias("segment"), (k % 9).cast("int").alias("votes"))
+    prefix = F.substring(F.sha2(k.cast("string"), 256), 1, raw.PREFIX_DIGITS)
+    answers = rows.filter(k % 3 != 1).select(F.upper(prefix).alias("prefix"), k.cast("string").alias("videoID"), F.array(part).alias("segments"))
+    wrong = rows.filter(k % 11 == 0).select(F.reverse(F.concat(prefix, F.lit("x"))).alias("prefix"), k.cast("string").alias("videoID"), F.array(part).alias("segments"))
+    found = raw.segments_by_prefix(rows.filter(k % 2 == 0), answers.unionByName(wrong), "doc_id")
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "category", "start", "end", F.col("votes").cast("long").alias("votes"))
+
+
 @registered("""SELECT o_orderkey AS video_id, coalesce(q, o_totalprice) AS view_count, o_orderpriority AS title FROM orders LEFT JOIN (SELECT l_orderkey, max(l_quantity) AS q FROM lineitem WHERE l_linenumber = 2 GROUP BY 1) ON l_orderkey = o_orderkey""")
 def detail_update(spark, d):
     details = t.comments(spark, d).filter("line = 2").groupBy("video_id").agg(F.max("like_count").alias("view_count")).withColumn("title", F.lit(None).cast("string"))

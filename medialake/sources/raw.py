@@ -193,6 +193,23 @@ def formats(raw: DataFrame) -> DataFrame:
     )
 
 
+#: Hexadecimal digits of an id's SHA-256 by which segments are asked for.
+PREFIX_DIGITS = 4
+
+
+def segments_by_prefix(videos: DataFrame, answers: DataFrame, key: str = "video_id") -> DataFrame:
+    """``key, category, start, end, duration, votes`` for the videos asked for, from ``answers(prefix, videoID, segments)``.
+
+    A prefix is the hash prefix that was asked for, and its answer also holds other videos of that bucket; the join is
+    on prefix and id together, so a bucket of any size spreads over its ids. An answer filed under a prefix that is not
+    its id's is not taken. Ids asked for or answered twice: each once asked for, each answer's segments; a null id, or one
+    without an answer, has no rows."""
+    prefix = F.substring(F.sha2(F.col(key).cast("string"), 256), 1, PREFIX_DIGITS)
+    asked = videos.select(F.col(key).cast("string").alias("videoID"), prefix.alias("prefix")).filter("videoID IS NOT NULL").distinct()
+    mine = answers.select(F.lower("prefix").alias("prefix"), "videoID", "segments").join(asked, ["prefix", "videoID"])
+    return sponsor_segments(mine).withColumnRenamed("video_id", key)
+
+
 def sponsor_segments(raw: DataFrame, video_id: str | None = None) -> DataFrame:
     """``video_id, category, start, end, duration, votes`` of hash-prefix answers, for one video or all, in order."""
     rows = raw.select(F.col("videoID").alias("video_id"), F.explode("segments").alias("s")).filter(F.size("s.segment") == 2)

@@ -434,3 +434,20 @@ def test_channels(spark):
     passages = spark.createDataFrame([("a",)], "video_id string")
     got = {r.video_id: r.state for r in channels.reconcile(states, passages, spark.createDataFrame([("d",)], "video_id string")).collect()}
     assert got == {"a": "indexed", "b": "pending", "c": "failed", "d": "pending"}
+
+
+def test_channels_resolved_in_bulk(spark):
+    made = [("UC" + "x" * 22, "@handle", "Some Name", "https://www.youtube.com/@handle"), ("UC" + "y" * 22, "@other", "Twin", None), ("UC" + "z" * 22, None, "twin", ""), (None, "@ghost", "Ghost", None)]
+    channel = spark.createDataFrame(made, "channel_id string, handle string, name string, channel_url string")
+    want = {
+        "UC" + "x" * 22: "x", "@handle": "x", " HANDLE ": "x", "some name/": "x", "https://www.youtube.com/@Handle/": "x", "https://www.youtube.com/@handle/videos?a=1": "x",
+        "see https://www.youtube.com/channel/UC" + "y" * 22: "y", "uc" + "z" * 22: "z", "TWIN": "ambiguous", "@twin": "ambiguous", "twin @handle": "x",
+        "UC" + "x" * 22 + " and @other": "ambiguous", "nobody": "unknown", "ghost": "unknown", "": "unknown", "  ": "unknown", None: "unknown",
+    }
+    asked = spark.createDataFrame([(n, i) for i, n in enumerate([*want, "twin", "twin"])], "name string, status_before int")
+    got = channels.resolve_channels(channel, asked)
+    assert got.columns == ["name", "status_before", "status", "channel_id"] and got.count() == len(want) + 2
+    kinds = {r.name: r.channel_id[-1] if r.status == "found" else r.status for r in got.collect()}
+    assert kinds == want | {"twin": "ambiguous"}
+    assert channels.resolve_channels(channel.limit(0), asked).filter("status <> 'unknown' OR channel_id IS NOT NULL").count() == 0
+    assert channels.resolve_channels(channel, asked.limit(0)).count() == 0

@@ -176,3 +176,16 @@ def test_build_checkpoints_and_stops(spark, tmp_path):
     done = ingest.build(s, queue, reader([9, 10, 11, 12]))
     assert (done.attempted, done.checkpoints) == (12, 2) and "throttling" in done.stop_reason
     assert s.read("state").count() == 12 and s.read("passage").count() == 9
+
+
+def test_segments_by_prefix(spark):
+    import hashlib
+
+    sha = lambda v: hashlib.sha256(v.encode()).hexdigest()[: raw.PREFIX_DIGITS]
+    part = lambda at: [("sponsor", [at, at + 1.0], None)]
+    kind = "prefix string, videoID string, segments array<struct<category:string,segment:array<double>,votes:int>>"
+    answers = spark.createDataFrame([(sha("a"), "a", part(1.0)), (sha("a"), "neighbour", part(2.0)), (sha("b"), "a", part(3.0)), (sha("c").upper(), "c", part(4.0)), (sha("c"), "c", part(5.0)), (sha("d"), "d", None), (sha("e"), None, part(6.0))], kind)
+    videos = spark.createDataFrame([("a",), ("a",), ("c",), ("d",), ("none",), (None,)], "id string")
+    got = raw.segments_by_prefix(videos, answers, "id")
+    assert sorted((r.id, r.start, r.votes) for r in got.collect()) == [("a", 1.0, 0), ("c", 4.0, 0), ("c", 5.0, 0)]
+    assert raw.segments_by_prefix(videos.limit(0), answers, "id").count() == 0
