@@ -1,20 +1,23 @@
 """Operator 4, licence scans by a positional rare-token index (DataFrame functions only).
 
 A licence is a label with one or more templates: the words of its text or notice, and its mandatory key phrases in
-their order. Postings hold, for a word, the phrases (base phrases and first key phrases) that it stands in and its
-position there. One scan finds which licence words each text has and so their document frequencies; every phrase is
-indexed by its words of highest IDF. A second scan looks up the words of each text in the index: phrases whose rare
-words all stand at one relative position are candidates, and a candidate is verified word by word. A first key
-phrase that is met lays its whole template over the text at that position. The template is met if every other key
-phrase stands within ``SLACK`` words of its own place there; the alignment's share is that of the template's words
-which stand at exactly their places. A label is given when a template of its is met, and the score is the largest
-share, 1 for a base phrase. Both scans are row-local; only the frequencies, a row for each licence word, are gathered.
+their order. One scan finds which licence words each text has and so their document frequencies. Postings hold each
+template's words of highest IDF, over the whole template and in its first key phrase, with their positions. A second
+scan looks up the words of each text: where two different rare words of a template agree on where it would begin,
+within ``SLACK`` words, it is laid over the text. It is met if each key phrase stands within ``SLACK`` words of its
+place there; a phrase of ``DAMAGED_FROM`` words or more may have one other word in it, but not in place of a number or
+of a name that tells licences apart, and a word
+inserted in it or left out breaks it. A label is given when a template of its is met. The alignment's share is that of
+the template's words that stand within ``SLACK`` words of their places; the score is the largest share, and
+``MENTION`` at least where a base phrase stands. Base phrases are found by their two rarest words at one relative
+position and compared word by word. Both scans are row-local; only the frequencies, a row for each licence word, are gathered.
 
 Defined cases: a null or empty text has no words, no places, empty labels and score 0; a phrase occurrence may
 overlap others and each counts; a template that a text's begin or end cuts off is met by the key phrases that are
-there, and its missing words lower the share; labels met twice are listed once; a text of any length is scanned
-whole, with work in proportion to its words and its places; repeated rows get a row each; an empty table gives no
-rows; other columns are ignored.
+there, and its missing words lower the share, so a lone key phrase scores low; words inserted or left out shift what
+follows, which counts as long as the shift is within ``SLACK``; labels met twice are listed once; a text of any length
+is scanned whole, with work in proportion to its words and its hits; repeated rows get a row each; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -142,10 +145,19 @@ TEMPLATES = [
     ),
 ]
 
+# Names that tell one licence from another; they and numbers are never taken for damage.
+NAMES = {"affero", "apache", "attribution", "cc", "cc0", "eclipse", "general", "gnu", "lesser", "mozilla", "noncommercial", "sharealike", "v"}
+
 #: Words of highest IDF by which each phrase is indexed.
 RARE_WORDS = 2
-#: Words by which a further key phrase may stand off its place, for what a notice inserts.
+#: A template is indexed by its ``RARE_WORDS`` rarest words, or by one in so many of its words if these are more.
+WORDS_A_POSTING = 20
+#: Words by which a rare word, a key phrase or another word may stand off its place, for what a text inserts or leaves out.
 SLACK = 3
+#: The shortest key phrase in which one word may be another.
+DAMAGED_FROM = 5
+#: The score of a base phrase that no template is met around.
+MENTION = 0.25
 
 
 def words(text: Column) -> Column:
@@ -170,16 +182,33 @@ def rare_words(phrase: str, frequency: dict[str, int], k: int = RARE_WORDS) -> l
     return sorted(at.items(), key=lambda x: (frequency[x[0]], x[1]))[:k]
 
 
+def rare_places(template: Template, frequency: dict[str, int]) -> list[tuple[str, int]]:
+    """A template's postings: the rarest words of all of it, and of its first key phrase, with their places."""
+    own = rare_words(template.text, frequency, max(RARE_WORDS, len(template.words) // WORDS_A_POSTING))
+    first = [(w, template.places[0] + i) for w, i in rare_words(template.keys[0], frequency)]
+    return list(dict.fromkeys(own + first))
+
+
+def firm(phrase: str) -> list[int]:
+    """The places of a phrase's words that must not differ."""
+    return [i for i, w in enumerate(phrase.split()) if w.isdigit() or w in NAMES or len(phrase.split()) < DAMAGED_FROM]
+
+
 def quoted(word: str) -> str:
     return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def scan(docs: DataFrame, base: dict[str, str] | None = None, templates: list[Template] | None = None, id_column: str = "doc_id") -> DataFrame:
-    """The licence report of every row of ``docs(doc_id, text)``."""
-    base, templates = BASE if base is None else base, TEMPLATES if templates is None else templates
-    phrases = list(dict.fromkeys([*base.values(), *(t.keys[0] for t in templates)]))
-    numbers = {p: n for n, p in enumerate(phrases)}
-    frequency, _ = frequencies(docs, phrases)
+def listed(own: list[str]) -> str:
+    return f"array({', '.join(map(quoted, own))})"
+
+
+def numbers(own: list[int]) -> str:
+    return f"array({', '.join(map(str, own))})" if own else "cast(array() as array<int>)"
+
+
+def base_places(phrases: list[str], frequency: dict[str, int]) -> str:
+    """SQL for the places ``(phrase, start)`` of the phrases in the words ``w``: the rare words of a phrase met in ``w`` say
+    where it would begin, and a phrase whose rare words all agree is compared with the text there."""
     postings: dict[str, list[tuple[int, int]]] = {}
     needed, rarest = [], set()
     for number, phrase in enumerate(phrases):
@@ -188,55 +217,66 @@ def scan(docs: DataFrame, base: dict[str, str] | None = None, templates: list[Te
         rarest.add(own[0][0])
         for word, position in own:
             postings.setdefault(word, []).append((number, position))
-    listed = lambda own: f"array({', '.join(map(quoted, own))})"
     index = ", ".join(f"{quoted(w)}, array({', '.join(f'named_struct({chr(39)}phrase{chr(39)}, {n}, {chr(39)}at{chr(39)}, {p})' for n, p in own)})" for w, own in sorted(postings.items()))
-    spelled = f"array({', '.join(listed(p.split()) for p in phrases)})"
-    wanted = f"array({', '.join(map(str, needed))})"
-    # hits: indexed words with their places; starts: (phrase, where it would begin), once for each rare word
-    # met there; a phrase whose rare words all agree on a start is compared with the text at that place
-    places = f"""
+    spelled, wanted = f"array({', '.join(listed(p.split()) for p in phrases)})", numbers(needed)
+    return f"""
     CASE WHEN arrays_overlap(w, {listed(sorted(rarest))}) THEN
       transform(array(array_sort(flatten(transform(
           filter(transform(w, (x, i) -> named_struct('x', x, 'i', i)), h -> array_contains({listed(sorted(postings))}, h.x)),
           h -> transform(element_at(map({index}), h.x), p -> named_struct('phrase', p.phrase, 'start', h.i - p.at)))))), starts ->
-        filter(array_distinct(filter(starts, (s, k) ->
-            s.start >= 0 AND k + element_at({wanted}, s.phrase + 1) <= size(starts) AND starts[least(k + element_at({wanted}, s.phrase + 1) - 1, size(starts) - 1)] = s)),
+        filter(filter(starts, (s, k) ->
+            s.start >= 0 AND k + element_at({wanted}, s.phrase + 1) <= size(starts) AND starts[least(k + element_at({wanted}, s.phrase + 1) - 1, size(starts) - 1)] = s),
             s -> slice(w, s.start + 1, size(element_at({spelled}, s.phrase + 1))) = element_at({spelled}, s.phrase + 1)))[0]
     ELSE cast(array() as array<struct<phrase:int,start:int>>) END"""
-    # alignments: a template laid over the text where its first key phrase stands; `s` is where its first word would be
-    def key_struct(key: str, at: int) -> str:
-        return f"named_struct('at', {at}, 'words', {listed(key.split())})"
-
-    laid = ", ".join(
-        f"named_struct('label', {quoted(t.label)}, 'phrase', {numbers[t.keys[0]]}, 'at', {t.places[0]}, 'words', {listed(t.words)}, 'rest', "
-        + (f"array({', '.join(key_struct(k, a) for k, a in zip(t.keys[1:], t.places[1:]))})" if len(t.keys) > 1 else f"slice(array({key_struct('x', 0)}), 1, 0)")
-        + ")"
-        for t in templates
-    )
-    nearest = f"array({', '.join(map(str, sorted(range(-SLACK, SLACK + 1), key=abs)))})"
-    met = f"""
-    flatten(transform(array({laid}), t -> transform(
-        filter(transform(filter(places, p -> p.phrase = t.phrase), p -> p.start - t.at), s -> forall(t.rest, k ->
-            exists({nearest}, d -> s + k.at + d >= 0 AND slice(w, greatest(s + k.at + d + 1, 1), size(k.words)) = k.words))),
-        s -> named_struct('label', t.label, 'share', cast(size(filter(t.words, (x, i) -> get(w, s + i) = x)) as double) / size(t.words)))))"""
-    none = "cast(array() as array<struct<label:string,share:double>>)"
-    met = met if templates else none
+
+
+def alignments(templates: list[Template], frequency: dict[str, int]) -> str:
+    """SQL for the templates met in the words ``w``, as ``(label, share)``. Hits are sorted by template and begin; those
+    within ``SLACK`` of one of them are a bounded number of places away, so each is compared with a bounded slice."""
+    if not templates:
+        return "cast(array() as array<struct<label:string,share:double>>)"
+    postings: dict[str, list[tuple[int, int]]] = {}
+    for number, template in enumerate(templates):
+        for word, position in rare_places(template, frequency):
+            postings.setdefault(word, []).append((number, position))
+    words_ = sorted(postings)
+    reach = (2 * SLACK + 1) * max(len(rare_places(t, frequency)) for t in templates)
+    posted = lambda j, own: ", ".join(f"named_struct('t', {n}, 'at', {p}, 'j', {j})" for n, p in own)
+    index = ", ".join(f"{quoted(w)}, array({posted(j, postings[w])})" for j, w in enumerate(words_))
+    key = lambda k, at: f"named_struct('at', {at}, 'words', {listed(k.split())}, 'firm', {numbers(firm(k))})"
+    laid = ", ".join(f"named_struct('label', {quoted(t.label)}, 'words', {listed(t.words)}, 'keys', array({', '.join(key(k, a) for k, a in zip(t.keys, t.places))}))" for t in templates)
+    near = numbers(sorted(range(-SLACK, SLACK + 1), key=abs))
+    at = lambda place: f"coalesce(get(w, {place}), '')"
+    stands = f"""forall(k.firm, i -> {at('c.s + k.at + d + i')} = k.words[i])
+        AND size(filter(k.words, (x, i) -> {at('c.s + k.at + d + i')} = x)) >= size(k.words) - 1"""
+    return f"""
+    transform(array(array_sort(flatten(transform(
+        filter(transform(w, (x, i) -> CASE WHEN x IN ({', '.join(map(quoted, words_))}) THEN i END), i -> i IS NOT NULL),
+        i -> transform(element_at(map({index}), w[i]), p -> named_struct('t', p.t, 's', i - p.at, 'j', p.j)))))), hits ->
+      flatten(transform(
+        filter(hits, (h, n) -> (n = 0 OR get(hits, n - 1).t <> h.t OR get(hits, n - 1).s <> h.s)
+            AND exists(slice(hits, greatest(n + 1 - {reach}, 1), 2 * {reach} + 1), o -> o.t = h.t AND o.j <> h.j AND abs(o.s - h.s) <= {SLACK})),
+        c -> transform(
+          filter(array(element_at(array({laid}), c.t + 1)), t -> forall(t.keys, k -> exists({near}, d -> {stands}))),
+          t -> named_struct('label', t.label, 'share', cast(size(filter(t.words, (x, k) -> exists({near}, d -> {at('c.s + k + d')} = x))) as double) / size(t.words))))))[0]"""
+
+
+def scan(docs: DataFrame, base: dict[str, str] | None = None, templates: list[Template] | None = None, id_column: str = "doc_id") -> DataFrame:
+    """The licence report of every row of ``docs(doc_id, text)``."""
+    base, templates = BASE if base is None else base, TEMPLATES if templates is None else templates
+    phrases = list(dict.fromkeys(base.values()))
+    place = {p: n for n, p in enumerate(phrases)}
+    frequency, _ = frequencies(docs, [*phrases, *(t.text for t in templates)])
     # array(w0) binds the words once: the expression for w0 itself is put where w0 stands
-    per_row = F.expr(
-        f"transform(array(w0), w -> transform(array({places}), places -> named_struct('n_words', cast(size(w) as bigint), 'places', places,"
-        f" 'met', CASE WHEN size(places) = 0 THEN {none} ELSE {met} END))[0])[0]"
-    )
+    per_row = F.expr(f"transform(array(w0), w -> named_struct('n_words', cast(size(w) as bigint), 'places', {base_places(phrases, frequency)}, 'met', {alignments(templates, frequency)}))[0]")
     rows = docs.select(id_column, words(text_of()).alias("w0")).select(id_column, per_row.alias("r"))
-    base_numbers = f"array({', '.join(str(numbers[p]) for p in base.values())})"
-    rows = rows.select(id_column, "r.n_words", "r.places", "r.met").select(
-        "*", F.expr(f"transform(filter(places, p -> array_contains({base_numbers}, p.phrase)), p -> cast(p.start as bigint))").alias("base"), F.expr("array_distinct(transform(places, p -> p.phrase))").alias("found")
-    )
-    base_labels = F.array_compact(F.array(*(F.when(F.array_contains("found", numbers[p]), F.lit(label)) for label, p in base.items())))
+    rows = rows.select(id_column, "r.n_words", "r.met", F.expr("transform(r.places, p -> cast(p.start as bigint))").alias("base"), F.expr("array_distinct(transform(r.places, p -> p.phrase))").alias("found"))
+    base_labels = F.array_compact(F.array(*(F.when(F.array_contains("found", place[p]), F.lit(label)) for label, p in base.items())))
 
     def joined(labels: Column) -> Column:
         return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
 
-    score = F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max("met.share"), F.lit(0.0)))
+    score = F.greatest(F.when(F.size("base") > 0, F.lit(MENTION)).otherwise(F.lit(0.0)), F.array_max("met.share"))
     return rows.select(
         id_column, "n_words", F.size("base").cast("long").alias("n_base"), F.array_min("base").alias("first_word"), F.array_max("base").alias("last_word"),
         joined(base_labels).alias("base_labels"), joined(F.concat(base_labels, F.col("met.label"))).alias("labels"), score.alias("score"),

@@ -5,7 +5,7 @@ model (10). tests/llm compares those with brute force."""
 
 from __future__ import annotations
 
-from .licenses import BASE, SLACK, TEMPLATES
+from .licenses import BASE, MENTION, RARE_WORDS, SLACK, TEMPLATES, WORDS_A_POSTING, firm
 from .near_dedup import SIMILARITY
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -27,25 +27,34 @@ FROM f JOIN b ON b.depth = f.depth AND b.prefix = f.hash >> (60 - f.depth)"""
 def licenses_sql() -> str:
     phrase = lambda p: "' " + "  ".join(p.split()) + " '"
     at = lambda words, i: " AND ".join(f"w[{i} + {k}] = '{x}'" for k, x in enumerate(words, 1))
-    parts, laid = [], []
+    listed = lambda own: "[" + ", ".join(f"'{x}'" for x in own) + "]"
+    parts = []
     for label, p in BASE.items():
         parts.append(f"SELECT doc_id, '{label}' AS label, i FROM (SELECT doc_id, w, unnest(range(0, length(w))) AS i FROM d WHERE contains(t, {phrase(p)})) WHERE {at(p.split(), 'i')}")
-    for t in TEMPLATES:
-        first, *rest = zip(t.keys, t.places)
-        near = " AND ".join("(" + " OR ".join(f"(i + {a - first[1] + d} >= 0 AND {at(key.split(), f'i + {a - first[1] + d}')})" for d in range(-SLACK, SLACK + 1)) + ")" for key, a in rest)
-        words = "[" + ", ".join(f"'{x}'" for x in t.words) + "]"
-        share = f"length(list_filter(range(0, {len(t.words)}), lambda k: i - {first[1]} + k >= 0 AND w[i - {first[1]} + k + 1] = {words}[k + 1])) / {len(t.words)}.0::DOUBLE"
-        laid.append(
-            f"SELECT doc_id, '{t.label}' AS label, {share} AS share FROM (SELECT doc_id, w, unnest(range(0, length(w))) AS i FROM d WHERE contains(t, {phrase(first[0])})) "
-            f"WHERE {at(first[0].split(), 'i')} AND {near or 'true'}"
-        )
+    key = lambda k, place: f"{{'place': {place}, 'words': {listed(k.split())}, 'firm': CAST({firm(k)} AS BIGINT[])}}"
+    templates = ", ".join(f"({n}, '{t.label}', {listed(t.words)}, [{', '.join(key(k, a) for k, a in zip(t.keys, t.places))}])" for n, t in enumerate(TEMPLATES))
+    near = f"range({-SLACK}, {SLACK + 1})"
+    here = "s + k.place + d + i"
+    stands = f"""length(list_filter(k.firm, lambda i: {here} >= 0 AND w[{here} + 1] = k.words[i + 1])) = length(k.firm)
+        AND length(list_filter(range(0, length(k.words)), lambda i: {here} >= 0 AND w[{here} + 1] = k.words[i + 1])) >= length(k.words) - 1"""
     return f"""
 WITH d AS (SELECT doc_id, w, ' ' || array_to_string(w, '  ') || ' ' AS t FROM (SELECT doc_id, {WORDS} AS w FROM documents)),
   p AS ({' UNION ALL '.join(parts)}),
   g AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM p GROUP BY doc_id),
-  m AS (SELECT doc_id, list(DISTINCT label) AS own, max(share) AS share FROM ({' UNION ALL '.join(laid)}) GROUP BY doc_id)
+  t(tid, label, words, keys) AS (VALUES {templates}),
+  df AS (SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(w)) AS word FROM d) GROUP BY word),
+  own AS (SELECT tid, 0 AS kind, 0 AS place, greatest({RARE_WORDS}, length(words) // {WORDS_A_POSTING}) AS most, words FROM t UNION ALL SELECT tid, 1, keys[1].place, {RARE_WORDS}, keys[1].words FROM t),
+  spelt AS (SELECT tid, kind, place, most, word, min(k) AS k FROM (SELECT tid, kind, place, most, unnest(words) AS word, unnest(range(0, length(words))) AS k FROM own) GROUP BY ALL),
+  ranked AS (SELECT tid, word, place + k AS at_, most, row_number() OVER (PARTITION BY tid, kind ORDER BY coalesce(n, 0), k) AS nth
+    FROM spelt LEFT JOIN df USING (word)),
+  rare AS (SELECT DISTINCT tid, word, at_ FROM ranked WHERE nth <= most),
+  hits AS (SELECT DISTINCT doc_id, tid, word, i - at_ AS s FROM (SELECT doc_id, unnest(w) AS word, unnest(range(0, length(w))) AS i FROM d) JOIN rare USING (word)),
+  c AS (SELECT DISTINCT a.doc_id, a.tid, a.s FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND a.tid = b.tid AND a.word <> b.word AND abs(a.s - b.s) <= {SLACK}),
+  met AS (SELECT doc_id, label, length(list_filter(range(0, length(words)), lambda i: length(list_filter({near}, lambda d: s + i + d >= 0 AND w[s + i + d + 1] = words[i + 1])) > 0)) / length(words)::DOUBLE AS share
+    FROM c JOIN d USING (doc_id) JOIN t USING (tid) WHERE length(list_filter(keys, lambda k: length(list_filter({near}, lambda d: {stands})) > 0)) = length(keys)),
+  m AS (SELECT doc_id, list(DISTINCT label) AS own, max(share) AS share FROM met GROUP BY doc_id)
 SELECT d.doc_id, length(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(labels), ','), '') AS base_labels,
-  array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(labels, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0) END AS score
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(labels, [])))), ',') AS labels, greatest(CASE WHEN n_base > 0 THEN {MENTION}::DOUBLE ELSE 0.0::DOUBLE END, coalesce(share, 0.0)) AS score
 FROM d LEFT JOIN g USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
 

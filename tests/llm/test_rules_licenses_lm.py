@@ -84,20 +84,29 @@ LICENSED = [
 ]
 
 
-def license_report(text):
-    """What the scan of a text has to give, by trying every place."""
+def license_report(text, frequency):
+    """What the scan of a text has to give, by trying every pair of hits and every place."""
     w = words(text)
+    get = lambda i: w[i] if 0 <= i < len(w) else None
     at = lambda p: [i for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+    near = range(-licenses.SLACK, licenses.SLACK + 1)
+
+    def stands(begin, key):
+        same = [get(begin + i) == x for i, x in enumerate(key.split())]
+        return same.count(False) <= 1 and all(same[i] for i, x in enumerate(key.split()) if len(same) < licenses.DAMAGED_FROM or x.isdigit() or x in licenses.NAMES)
+
     places = sorted(i for p in licenses.BASE.values() for i in at(p))
     base, met, share = {k for k, p in licenses.BASE.items() if at(p)}, set(), 0.0
     for t in licenses.TEMPLATES:
-        for first in at(t.keys[0]):
-            begin = first - t.places[0]
-            if all(any(abs(i - begin - a) <= licenses.SLACK for i in at(k)) for k, a in zip(t.keys[1:], t.places[1:])):
+        rare = set()
+        for own, offset, most in ((t.words, 0, max(2, len(t.words) // 20)), (t.keys[0].split(), t.places[0], 2)):
+            rare |= {(x, offset + own.index(x)) for x in sorted(set(own), key=lambda x: (frequency[x], own.index(x)))[:most]}
+        hits = {(x, i - p) for i, x in enumerate(w) for y, p in rare if x == y}
+        for s in {s for x, s in hits if any(y != x and abs(s - o) <= licenses.SLACK for y, o in hits)}:
+            if all(any(stands(s + a + d, k) for d in near) for k, a in zip(t.keys, t.places)):
                 met.add(t.label)
-                aligned = sum(0 <= begin + k < len(w) and w[begin + k] == x for k, x in enumerate(t.words))
-                share = max(share, aligned / len(t.words))
-    return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | met)), 1.0 if base else share
+                share = max(share, sum(any(get(s + k + d) == x for d in near) for k, x in enumerate(t.words)) / len(t.words))
+    return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | met)), max(share, licenses.MENTION if base else 0.0)
 
 
 def license_texts():
@@ -115,12 +124,28 @@ def test_licenses(spark):
     texts = license_texts()
     docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, labels string")
     found = {r.doc_id: tuple(r)[1:] for r in licenses.scan(docs).collect()}
-    assert [found[k] for k in range(len(texts))] == [license_report(t) for t in texts]
+    frequency = Counter(x for t in texts for x in set(words(t)))
+    assert [found[k] for k in range(len(texts))] == [license_report(t, frequency) for t in texts]
     far = [k for k, t in enumerate(texts) if t and "Python" in t]
     assert [found[k][5] for k in far] == ["gpl"] and found[far[0] + 1][5:] == ("", 0.0)  # a distant or lone version labels nothing
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_licenses_with_damage(spark):
+    mit = next(t for t in licenses.TEMPLATES if t.label == "mit-text")
+    apache = max((t for t in licenses.TEMPLATES if t.label == "apache-2.0"), key=lambda t: len(t.words))
+    notice = lambda label: max((t for t in licenses.TEMPLATES if t.label == label), key=lambda t: len(t.words)).text
+    w = mit.words
+    texts = [
+        mit.text, mit.text.replace("person obtaining", "human obtaining"), apache.text.replace("apache license", "apache licence", 1), " ".join(w[:16] + ["hereinafter"] + w[16:]), " ".join(w[:30] + w[31:]),
+        mit.keys[0], notice("gpl-3.0"), notice("agpl-3.0"), notice("gpl-2.0"), "licensed under the gnu lesser general public license", "licensed under cc by 3 0", "nothing of the kind",
+    ]
+    found = [(r.labels, r.score) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert [labels for labels, _ in found] == ["mit-text", "mit-text", "apache-2.0", "mit-text", "mit-text", "mit-text", "gpl,gpl-3.0", "agpl-3.0", "gpl,gpl-2.0", "lgpl", "cc-by", ""]
+    scores = [score for _, score in found]
+    assert scores[0] == 1.0 and min(scores[:5]) > 0.95 and 0 < scores[5] < 0.3 and scores[10:] == [licenses.MENTION, 0.0]
+
+
 def test_licenses_oracle(spark, tmp_path):
     docs = spark.createDataFrame(list(enumerate(license_texts())), "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "d"))
