@@ -10,8 +10,10 @@ from ..functions.scalars import to_fixed
 STALE_AFTER_DAYS = 7
 EXHAUSTED = "source-exhausted"
 
-# Reasons of a failed attempt, and the words for scopes and reasons.
+# Reasons of a failed attempt, outcomes that end a detail run with the reasons that they give, and the words for scopes and reasons.
 FAILED_REASONS = ["SOURCE_REFUSED", "TIMEOUT"]
+STOPPING = {"BOT_CHECK": "SOURCE_REFUSED", "LOGIN_REQUIRED": "SOURCE_REFUSED", "RATE_LIMITED": "RATE_LIMITED", "CANCELLED": "CANCELLED"}
+UNREADABLE_NOTE = " cannot be read (private, members-only, age-gated, removed or failing), so this stays incomplete."
 UNITS = {"catalog": "videos", "details": "videos", "comments": "comments", "channel-catalog": "videos", "video-details": "videos", "video-comments": "comments"}
 ESTIMATED = ["comment_count", "youtube:comment_count"]
 WHY = {
@@ -76,6 +78,29 @@ def details_expected(details: DataFrame, catalogue: DataFrame) -> DataFrame:
     return details.join(known, "target_id", "left").withColumn("expected_source", F.when(F.col("expected").isNotNull(), "catalogue"))
 
 
+def detail_attempts(made: DataFrame, state: DataFrame, max_videos: int, now: Column) -> DataFrame:
+    """What ``receipts`` takes of detail runs, with ``note``: a row for each channel of ``state(target_id, videos, detailed,
+    unreadable, remaining, catalogue_complete)``, which is the store after the run; ``made(target_id, ord, code)`` are the
+    reads that were made, none for a channel whose queue was empty.
+
+    A stopping code gives the reason; without one, unread videos at the end of the queue do. The cap binds if that many
+    were read and some are left. The catalogue's size is the expected count only if the catalogue is whole."""
+    stopping = F.col("code").isin(list(STOPPING))
+    ran = made.groupBy("target_id").agg(F.count("*").alias("_attempted"), F.count("code").alias("_failed"), F.min_by("code", F.when(stopping, F.col("ord"))).alias("_stopped"))
+    rows = state.join(ran, "target_id", "left")
+    left, stopped = F.col("remaining") > 0, F.col("_stopped").isNotNull()
+    failed = (F.coalesce("_failed", F.lit(0)) > 0) | (F.col("unreadable") > 0)
+    why = F.coalesce(*(F.when(F.col("_stopped") == code, reason) for code, reason in STOPPING.items()))
+    whole = F.coalesce("catalogue_complete", F.lit(False))
+    unread = F.concat(F.format_number("unreadable", 0), F.when(F.col("unreadable") == 1, " video").otherwise(" videos"), F.lit(UNREADABLE_NOTE))
+    return rows.select(
+        F.lit("video-details").alias("scope"), "target_id", F.col("detailed").alias("have"), F.when(whole, F.col("videos")).alias("expected"), F.when(whole, "store:catalog").alias("expected_source"),
+        F.lit(None).cast("boolean").alias("ran_to_exhaustion"), F.when((F.coalesce("_attempted", F.lit(0)) >= max_videos) & left, F.lit(max_videos)).cast("long").alias("limit_applied"),
+        F.when(stopped, why).when(~left & failed, "PARTIAL_ERROR").alias("reason"), F.when(left | stopped, F.concat(F.lit("details:"), F.col("target_id").cast("string"))).alias("resume_token"),
+        now.alias("harvested_at"), F.when(F.col("unreadable") > 0, unread).alias("note"),
+    )
+
+
 def verify(rows: DataFrame, stored: DataFrame) -> DataFrame:
     """Receipts that claim another count than is ``stored(target_id, n)``, downgraded."""
     counted = rows.join(stored, "target_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 
 def normalised(raw: DataFrame) -> DataFrame:
     """Raw comments ``(id, parent, text, like_count, author, ...)`` with their defaults; ``root`` means top level. A
-    comment without an id keeps its row, under an id made up for it."""
+    comment without an id keeps its row, under an id made of its fields, so that reading it again gives no other
+    comment; rows without an id that are equal in every field share one."""
     flag = lambda name: F.coalesce(F.col(name), F.lit(False)).alias(name)
-    made_up = F.concat(F.lit("unknown-"), F.monotonically_increasing_id().cast("string"))
+    made_up = F.concat(F.lit("unknown-"), F.substring(F.sha2(F.to_json(F.struct(*sorted(raw.columns))), 256), 1, 32))
     return raw.select(
         F.coalesce("id", made_up).alias("comment_id"), F.nullif(F.col("parent"), F.lit("root")).alias("parent_id"), F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce("like_count", F.lit(0)).alias("like_count"), F.coalesce("author", F.lit("Unknown")).alias("author"), "author_id", "author_url", F.col("author_thumbnail").alias("author_thumbnail_url"),

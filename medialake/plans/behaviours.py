@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyspark.sql.functions as F
+from pyspark.sql import Window as W
 
 from ..functions import scalars as X
 from ..functions import sql as functions_sql
@@ -282,6 +283,32 @@ def detail_receipts(spark, d):
     return cov.details_expected(t.read(spark, d, "nation").select(F.col("n_nationkey").alias("target_id")), catalogue)
 
 
+@registered("""WITH q AS (SELECT o_custkey AS c, o_orderkey AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n,
+      CASE WHEN o_orderkey % 37 = 0 THEN 'RATE_LIMITED' WHEN o_orderkey % 41 = 0 THEN 'BOT_CHECK' WHEN o_orderkey % 43 = 0 THEN 'CANCELLED' WHEN o_orderkey % 11 = 0 THEN 'PRIVATE' END AS code FROM orders),
+    s AS (SELECT c, min((n - 1) // 4) AS stop FROM q WHERE n <= 16 AND code <> 'PRIVATE' GROUP BY c),
+    m AS (SELECT q.* FROM q LEFT JOIN s USING (c) WHERE n <= 16 AND (stop IS NULL OR (n - 1) // 4 <= stop)),
+    r AS (SELECT c, count(*) AS attempted, count(code) AS failed, count(*) FILTER (code IS NULL) AS detailed, count(*) FILTER (code = 'PRIVATE') AS unread, min_by(code, n) FILTER (code <> 'PRIVATE') AS stopped FROM m GROUP BY c),
+    x AS (SELECT r.*, videos, videos - detailed - unread AS remaining, c % 2 = 0 AS whole FROM r JOIN (SELECT o_custkey AS c, count(*) AS videos FROM orders GROUP BY 1) USING (c)),
+    y AS (SELECT *, CASE WHEN attempted >= 16 AND remaining > 0 THEN 16 END AS cap FROM x),
+    z AS (SELECT *, whole AND detailed >= videos AND NOT (cap IS NOT NULL AND detailed >= cap) AS complete FROM y)
+    SELECT c AS target_id, detailed AS have, CASE WHEN whole THEN videos END AS expected, complete, CASE WHEN complete THEN 'COMPLETE' WHEN stopped IN ('BOT_CHECK') THEN 'SOURCE_REFUSED' WHEN stopped IS NOT NULL THEN stopped
+      WHEN remaining = 0 AND failed > 0 THEN 'PARTIAL_ERROR' WHEN cap IS NOT NULL AND detailed >= cap THEN 'CAP_REACHED' ELSE 'SOURCE_SILENT' END AS reason,
+      CASE WHEN NOT complete AND (remaining > 0 OR stopped IS NOT NULL) THEN 'details:' || c END AS resume_token, CASE WHEN unread > 0 THEN unread || ' video' || CASE WHEN unread > 1 THEN 's' ELSE '' END END AS unread FROM z""")
+def detail_run_receipts(spark, d):
+    """A run over each customer's orders, 16 at most and four at a time, and its receipt."""
+    k = F.col("o_orderkey")
+    code = F.when(k % 37 == 0, "RATE_LIMITED").when(k % 41 == 0, "BOT_CHECK").when(k % 43 == 0, "CANCELLED").when(k % 11 == 0, "PRIVATE")
+    place = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    videos = t.read(spark, d, "orders").select(F.col("o_custkey").alias("target_id"), place.alias("ord"), code.alias("code"))
+    made = ingest.detail_run(videos.filter("ord < 16"), 4)
+    after = made.groupBy("target_id").agg(F.count_if(F.col("code").isNull()).alias("detailed"), F.count_if("marks_unreadable").alias("unreadable"))
+    state = videos.groupBy("target_id").agg(F.count("*").alias("videos")).join(after, "target_id")
+    state = state.withColumn("remaining", F.col("videos") - F.col("detailed") - F.col("unreadable")).withColumn("catalogue_complete", F.col("target_id") % 2 == 0)
+    found = cov.receipts(cov.detail_attempts(made, state, 16, F.lit("2024-01-01").cast("timestamp")))
+    unread = F.nullif(F.regexp_extract("note", r"^\d+ videos?", 0), F.lit(""))
+    return found.select("target_id", "have", "expected", "complete", "reason", "resume_token", unread.alias("unread"))
+
+
 @registered("""SELECT CAST(o_custkey AS VARCHAR) AS target_id FROM orders WHERE o_orderstatus = 'P' AND o_custkey IS NOT NULL UNION SELECT 'asked'""")
 def receipt_targets(spark, d):
     return query.targets_of(t.videos(spark, d).filter("availability = 'P'"), "channel_id", "asked")

@@ -642,13 +642,13 @@ def channel_lookup(spark, d):
     return ch.resolve_channel(named, " Customer#000000042/ ").select(F.col("channel_id").cast("long").alias("channel_id"))
 
 
-ASKED = """(SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN ' Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') || '/' WHEN 1 THEN 'https://example.org/@c' || o_custkey || '/videos' WHEN 2 THEN o_orderpriority
+NAMES_ASKED = """(SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN ' Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') || '/' WHEN 1 THEN 'https://example.org/@c' || o_custkey || '/videos' WHEN 2 THEN o_orderpriority
     WHEN 3 THEN 'c' || o_custkey || '.' WHEN 4 THEN '@C' || o_custkey END AS name FROM orders)"""
-KEYS = """(SELECT c_custkey AS id, unnest(['id-' || c_custkey, '@c' || c_custkey, 'c' || c_custkey, lower(c_name), lower(c_mktsegment)]) AS k FROM customer)"""
+ALIAS_KEYS = """(SELECT c_custkey AS id, unnest(['id-' || c_custkey, '@c' || c_custkey, 'c' || c_custkey, lower(c_name), lower(c_mktsegment)]) AS k FROM customer)"""
 
 
-@registered(f"""WITH w AS (SELECT o_orderkey, unnest([rtrim(lower(trim(name)), '/'), lower(regexp_extract(name, '@[\\w.-]+')), lower(substr(regexp_extract(name, '@[\\w.-]+'), 2))]) AS k FROM {ASKED} a),
-    m AS (SELECT o_orderkey, count(DISTINCT id) AS n, min(id) AS id FROM w JOIN {KEYS} x USING (k) WHERE k <> '' GROUP BY 1)
+@registered(f"""WITH w AS (SELECT o_orderkey, unnest([rtrim(lower(trim(name)), '/'), lower(regexp_extract(name, '@[\\w.-]+')), lower(substr(regexp_extract(name, '@[\\w.-]+'), 2))]) AS k FROM {NAMES_ASKED} a),
+    m AS (SELECT o_orderkey, count(DISTINCT id) AS n, min(id) AS id FROM w JOIN {ALIAS_KEYS} x USING (k) WHERE k <> '' GROUP BY 1)
     SELECT o.o_orderkey, CASE WHEN n IS NULL THEN 'unknown' WHEN n = 1 THEN 'found' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN id END AS channel_id FROM orders o LEFT JOIN m USING (o_orderkey)""")
 def channels_resolved(spark, d):
     """Five spellings of the orders' customers, the status of each, looked up in one join."""

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 
 from ..operators import phrases
+from ..operators.coverage import STOPPING
 from ..operators.store import Merge, Store
 
 # Videos between checkpoints, refusals in a row that end a run, and outcomes that end one at once.
@@ -32,6 +33,20 @@ def until_throttled(attempts: DataFrame, key: str = "channel_id", order: str = "
     return attempts.join(stops, key, "left").filter(F.col("_stop").isNull() | (F.col(order) <= F.col("_stop"))).drop("_stop")
 
 
+def detail_run(queue: DataFrame, width: int, key: str = "target_id", order: str = "ord") -> DataFrame:
+    """The reads ``(key, ord, code)`` of a queue of details that are made, with ``marks_unreadable``; ``ord`` counts from 0 and
+    ``code`` is null where the read succeeds.
+
+    Videos are read ``width`` at a time. The first batch with a stopping code is read to its end and is the last. A failed
+    read marks its video, but not by a stopping code, which is the session's fault. The stop of each key is one
+    aggregate; nothing is sorted."""
+    stopping = F.coalesce(F.col("code").isin(list(STOPPING)), F.lit(False))
+    batch = F.floor(F.col(order) / width)
+    stops = queue.filter(stopping).groupBy(key).agg(F.min(batch).alias("_stop"))
+    made = queue.join(stops, key, "left").filter(F.col("_stop").isNull() | (batch <= F.col("_stop"))).drop("_stop")
+    return made.withColumn("marks_unreadable", F.col("code").isNotNull() & ~stopping)
+
+
 @dataclass(frozen=True)
 class Build:
     """How a build ended: videos tried, checkpoints written, and why it stopped early, if it did."""

@@ -451,3 +451,27 @@ def test_channels_resolved_in_bulk(spark):
     assert kinds == want | {"twin": "ambiguous"}
     assert channels.resolve_channels(channel.limit(0), asked).filter("status <> 'unknown' OR channel_id IS NOT NULL").count() == 0
     assert channels.resolve_channels(channel, asked.limit(0)).count() == 0
+
+
+def test_detail_runs(spark):
+    from medialake.streaming import ingest
+
+    codes = {
+        "whole": [None] * 3, "capped": [None] * 6, "private": [None, "PRIVATE", None], "throttled": [None, "PRIVATE", "RATE_LIMITED", "PRIVATE", None, "BOT_CHECK"],
+        "refused": ["LOGIN_REQUIRED"], "cancelled": [None, None, None, None, "CANCELLED"], "unknown": [None, None],
+    }
+    videos = spark.createDataFrame([(c, i, code) for c, own in codes.items() for i, code in enumerate(own)], "target_id string, ord int, code string")
+    made = ingest.detail_run(videos.filter("ord < 5"), 2)
+    reads = {c: [r.marks_unreadable for r in made.filter(F.col("target_id") == c).orderBy("ord").collect()] for c in codes}
+    assert reads["throttled"] == [False, True, False, True] and reads["private"] == [False, True, False] and len(reads["capped"]) == 5  # a batch is read to its end
+    after = made.groupBy("target_id").agg(F.count_if(F.col("code").isNull()).alias("detailed"), F.count_if("marks_unreadable").alias("unreadable"))
+    state = videos.groupBy("target_id").agg(F.count("*").alias("videos")).join(after, "target_id")
+    state = state.withColumn("remaining", F.col("videos") - F.col("detailed") - F.col("unreadable")).withColumn("catalogue_complete", F.col("target_id") != "unknown")
+    idle = spark.createDataFrame([("idle", 2, 2, 0, 0, True)], "target_id string, videos long, detailed long, unreadable long, remaining long, catalogue_complete boolean")
+    rows = coverage.receipts(coverage.detail_attempts(made, state.unionByName(idle), 5, F.lit("2024-01-01").cast("timestamp")))
+    got = {r.target_id: (r.have, r.complete, r.reason, r.resume_token, (r.note or "")[:8]) for r in rows.collect()}
+    assert got == {
+        "whole": (3, True, "COMPLETE", None, ""), "capped": (5, False, "CAP_REACHED", "details:capped", ""), "private": (2, False, "PARTIAL_ERROR", None, "1 video "), "throttled": (1, False, "RATE_LIMITED", "details:throttled", "2 videos"),
+        "refused": (0, False, "SOURCE_REFUSED", "details:refused", ""), "cancelled": (4, False, "CANCELLED", "details:cancelled", ""), "unknown": (2, False, "SOURCE_SILENT", None, ""), "idle": (2, True, "COMPLETE", None, ""),
+    }
+    assert coverage.violations(rows).count() == 0
