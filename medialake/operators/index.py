@@ -28,7 +28,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..functions.text import tokens
-from ..work import discard, materialise, small
+from ..work import discard, materialise, spread, width
 
 ONE = "all"
 #: Segments of one size tier that are merged, and the factor between tiers.
@@ -209,6 +209,30 @@ def build(documents: DataFrame, path: str, words: Column | None = None, key: str
     return publish(Index(spark, path, meta))
 
 
+def counted(words: Column, positions: bool) -> Column:
+    """An array of one struct: ``n_tokens`` of a document's words and its ``postings``, the terms in order with their
+    counts. A document's postings are made in its own row, from its sorted words, so nothing is grouped or shuffled."""
+
+    def runs(s: Column) -> Column:
+        term = lambda i: F.get(s, i)["term"] if positions else F.get(s, i)
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (term(i) != term(i - 1)))
+
+        def posting(b: Column, i: Column, k: Column) -> Column:
+            tf = F.coalesce(F.get(b, k + 1), F.size(s)) - i
+            at = [F.transform(F.slice(s, i + 1, tf), lambda x: x["at"]).alias("positions")] if positions else []
+            return F.struct(term(i).alias("term"), tf.alias("tf"), *at)
+
+        return F.transform(F.array(begins), lambda b: F.transform(b, lambda i, k: posting(b, i, k)))[0]
+
+    def of(w: Column) -> Column:
+        placed = F.transform(w, lambda x, i: F.struct(x.alias("term"), i.alias("at"))) if positions else w
+        made = F.transform(F.array(F.sort_array(placed)), runs)[0]
+        return F.struct(F.greatest(F.size(w), F.lit(0)).alias("n_tokens"), F.when(F.size(w) > 0, made).alias("postings"))
+
+    # words, sorted words and where their runs begin are each bound once, as an expression used twice is computed twice
+    return F.transform(F.array(words), of)
+
+
 def _segment(documents: DataFrame, path: str, number: int, words: Column | None, key: str, corpus: str | None, positions: bool, mark: bool = False) -> dict:
     """Writes a segment of ``documents``; with ``mark``, its keys are dead in older ones."""
     spark, name = documents.sparkSession, f"segment-{number}-{uuid.uuid4().hex}"
@@ -217,17 +241,13 @@ def _segment(documents: DataFrame, path: str, number: int, words: Column | None,
     bad = plain.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1 OR _key IS NULL").limit(3).collect()  # reads the keys alone
     if bad:
         raise RepeatedKeysError(f"keys that are null or stand in several rows, such as {', '.join(str(r['_key']) for r in bad)}")
-    # dealt by document, so that a document's tokens are counted where they are made
-    by_key = plain.repartition(spark.sparkContext.defaultParallelism, "_key") if small(documents) else plain.repartition("_key")
-    dealt = by_key.select(F.col("_key").alias("key"), F.col("_corpus").alias("corpus"), (tokens("text") if words is None else words).alias("w"))
-    placed = dealt.select("key", "corpus", F.greatest(F.size("w"), F.lit(0)).alias("n_tokens"), F.posexplode_outer("w").alias("at", "term"))
-    counts = [F.count("term").cast("int").alias("tf")] + ([F.array_sort(F.collect_list("at")).alias("positions")] if positions else [])
-    # written before it is sorted, since a range sort looks at its rows twice; a document without tokens has one row
-    every = materialise(placed.groupBy("key", "corpus", "n_tokens", "term").agg(*counts), "postings")
-    every.groupBy("key", "corpus").agg(F.first("n_tokens").alias("n_tokens")).write.parquet(f"{path}/{name}/docs")
+    dealt = spread(plain).select(F.col("_key").alias("key"), F.col("_corpus").alias("corpus"), F.inline_outer(counted(tokens("text") if words is None else words, positions)))
+    # a row a document, written before its postings are sorted, since a range sort looks at its rows twice
+    every = materialise(dealt, "postings")
+    every.select("key", "corpus", "n_tokens").write.parquet(f"{path}/{name}/docs")
     if mark:
         spark.read.parquet(f"{path}/{name}/docs").select("key", F.lit(number).alias("since")).write.parquet(f"{path}/{name}/dead")
-    files = _write_postings(every.filter("term IS NOT NULL"), f"{path}/{name}")
+    files = _write_postings(every.select("key", "corpus", "n_tokens", F.inline("postings")), f"{path}/{name}")
     discard(every)
     return {"number": number, "name": name, "docs": spark.read.parquet(f"{path}/{name}/docs").count(), "dead": mark} | files
 
@@ -236,7 +256,9 @@ def _write_postings(rows: DataFrame, folder: str) -> dict[str, list[list[str]]]:
     """Writes sorted postings and their frequencies; returns the first and last term of each file of either."""
     spark = rows.sparkSession
     columns = [c for c in ("key", "corpus", "n_tokens", "term", "tf", "positions") if c in rows.columns]
-    rows.select(columns).repartitionByRange("term", "corpus", "key").sortWithinPartitions("term", "corpus", "key").write.parquet(f"{folder}/postings")
+    tasks = width(rows)  # so that a task sorts no more when there are more documents
+    order = [*([tasks] if tasks else []), "term", "corpus", "key"]
+    rows.select(columns).repartitionByRange(*order).sortWithinPartitions("term", "corpus", "key").write.parquet(f"{folder}/postings")
     spark.read.schema(rows.select(columns).schema).parquet(f"{folder}/postings").groupBy("term", "corpus").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/terms")
     out = {}
     for part in ("postings", "terms"):

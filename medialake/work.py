@@ -52,6 +52,23 @@ def _remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Input bytes, as stored, that a task of a wide shuffle is meant to take.
+TASK_BYTES = 16 << 20
+
+
+def stored(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` reads, as far as the planner knows them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return sum(n for n in sizes if n < 1 << 60)
+
+
+def width(df: DataFrame) -> int | None:
+    """Tasks for a shuffle of ``df`` that grow with its files; None while the session's own number is enough."""
+    n = -(-stored(df) // TASK_BYTES)
+    return n if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def small(df: DataFrame) -> bool:
     """Whether the files of ``df`` are so small that they are read in fewer tasks than there are cores."""
     spark = df.sparkSession
@@ -60,10 +77,13 @@ def small(df: DataFrame) -> bool:
     return stored < spark.sparkContext.defaultParallelism * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, task_bytes: int | None = None) -> DataFrame:
     """``df`` dealt to all cores if it is small; files of a core's share of ``maxPartitionBytes`` or more are left as the
-    scan splits them."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if small(df) else df
+    scan splits them, unless ``task_bytes`` says how many of their bytes a task takes."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if task_bytes:
+        return df.repartition(max(cores, -(-stored(df) // task_bytes)))
+    return df.repartition(cores) if small(df) else df
 
 
 @atexit.register

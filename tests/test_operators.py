@@ -220,6 +220,20 @@ def test_tokens_are_made_once(spark, tmp_path):
         assert scans and plan.count("split(") <= scans, plan
 
 
+def test_postings_are_counted_in_their_rows(spark, tmp_path, monkeypatch):
+    """Terms, counts and positions of repeated words, null and empty texts; tasks that grow with the rows."""
+    from medialake import work
+
+    docs = spark.createDataFrame([(1, "beta alpha beta  beta"), (2, None), (3, ""), *((k, f"word{k} common") for k in range(4, 400))], "doc_id long, text string")
+    monkeypatch.setattr(work, "TASK_BYTES", 1000)
+    made = index.build(docs, f"file://{tmp_path}/i", fts.search_tokens("text"), positions=True)
+    assert {tuple(x) for x in made.postings(["alpha", "beta"]).select("key", "n_tokens", "term", "tf", F.array_join("positions", ",")).collect()} == {(1, 4, "alpha", 1, "1"), (1, 4, "beta", 3, "0,2,3")}
+    assert {tuple(x) for x in made.docs().filter("key < 4").select("key", "n_tokens").collect()} == {(1, 4), (2, 0), (3, 0)}
+    assert len(made.segments[0]["postings"]) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = docs.select("doc_id", F.inline_outer(index.counted(fts.search_tokens("text"), True)))._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan and "Filter" not in plan
+
+
 def test_index_reads_the_files_of_its_terms(spark, tmp_path):
     docs = spark.createDataFrame([(k, f"word{k % 50:02d} common text{k}") for k in range(400)], "doc_id int, text string")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would make one file
