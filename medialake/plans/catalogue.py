@@ -365,8 +365,7 @@ PHRASE_WORDS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}'']+'
 @registered(f"""WITH w AS (SELECT doc_id, {PHRASE_WORDS} AS w FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, length(w) - 1), lambda i: w[i:i+2])) AS g FROM w WHERE length(w) >= 3)
     SELECT array_to_string(g, ' ') AS phrase, count(DISTINCT doc_id) AS video_count, count(*) AS occurrences FROM g WHERE length(list_filter(g, lambda x: x NOT IN ({STOP}))) > 0 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3""")
 def phrase_3gram(spark, d):
-    docs = spread(t.read(spark, d, "documents").select(F.col("doc_id").alias("video_id"), "text"))
-    return phrases.count_phrases(docs.select("video_id", T.phrase_words("text").alias("words")), range(3, 4), 3)
+    return phrases.count_phrases(t.read(spark, d, "documents").select(F.col("doc_id").alias("video_id"), "text"), range(3, 4), 3)
 
 
 # a phrase can only be contained in one of as many videos, so the most frequent ones are compared among themselves
@@ -376,7 +375,7 @@ def phrase_3gram(spark, d):
     f AS (SELECT * FROM c WHERE video_count >= (SELECT min(video_count) FROM (SELECT video_count FROM c ORDER BY video_count DESC LIMIT 2000)))
     SELECT * FROM f p WHERE NOT EXISTS (SELECT 1 FROM f o WHERE o.phrase <> p.phrase AND o.video_count >= p.video_count AND contains(o.phrase, p.phrase)) ORDER BY video_count DESC, occurrences DESC, phrase LIMIT 20""")
 def phrase_ranked(spark, d):
-    return phrases.ranked(phrases.recurring_in_videos(t.read(spark, d, "documents").select(F.col("doc_id").alias("video_id"), "text")))
+    return phrases.most_frequent(t.read(spark, d, "documents").select(F.col("doc_id").alias("video_id"), "text"))
 
 
 @registered("""WITH s AS (SELECT conv_id, turn, text, concat_ws(' ', text, lead(text, 1) OVER w, lead(text, 2) OVER w) AS hay FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))

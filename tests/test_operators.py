@@ -101,6 +101,30 @@ def test_phrases(spark):
     assert [(r.phrase, r.video_count, r.occurrences) for r in got] == [("ring the little bell", 3, 4)]
 
 
+def test_phrases_as_counted_by_hand(spark, monkeypatch):
+    """Against counting every run; the most frequent phrases are those of the full ranking, however few runs are tried first."""
+    from collections import Counter, defaultdict
+
+    r = random.Random(5)
+    texts = [None, "", "ab ac", *(" ".join(r.choices("ab ac the it's of éa".split(), [9, 5, 4, 2, 3, 1], k=r.randint(1, 40)) if k % 3 else ["ab", "the", "of"] * 5) for k in range(40))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "video_id long, text string")
+    videos, n = defaultdict(set), Counter()
+    for k, text in enumerate(texts):
+        w = (text or "").split()
+        for size in range(3, 7):
+            for i in range(len(w) - size + 1):
+                if not {*w[i : i + 3]} <= {"the", "of"}:
+                    videos[" ".join(w[i : i + size])].add(k)
+                    n[" ".join(w[i : i + size])] += 1
+    want = {(p, len(v), n[p]) for p, v in videos.items() if len(v) >= 3}
+    assert {tuple(x) for x in phrases.recurring_in_videos(rows).collect()} == want
+    assert {tuple(x) for x in phrases.count_phrases(rows, range(3, 4), 3).collect()} == {x for x in want if len(x[0].split()) == 3}
+    full = phrases.ranked(phrases.recurring_in_videos(rows), 4).collect()
+    for first in (3, 20, 10_000):
+        monkeypatch.setattr(phrases, "FIRST", first)
+        assert phrases.most_frequent(rows, limit=4).collect() == full
+
+
 def test_phrase_inside_words(spark):
     rows = spark.createDataFrame([("hat the ending", 3, 3), ("at the end", 3, 3), ("at the en d", 4, 4)], "phrase string, video_count long, occurrences long")
     assert {r.phrase for r in phrases.ranked(rows).collect()} == {"hat the ending", "at the en d"}
