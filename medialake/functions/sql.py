@@ -21,6 +21,10 @@ FUNCTIONS = {
                   + cast(try_element_at(split(trim(written), ':'), -2) AS DOUBLE) * 60 + cast(try_element_at(split(trim(written), ':'), -1) AS DOUBLE) END""",
     "deep_link(video STRING, seconds DOUBLE) RETURNS STRING": f"concat('https://www.youtube.com/watch?v=', video, '&t=', {_WHOLE}, 's')",
     "tokens(written STRING) RETURNS ARRAY<STRING>": rf"filter(split(lower(coalesce(written, '')), '[^\\p{{L}}\\p{{N}}]+'), x -> length(x) > 1 AND x NOT IN ({_STOP}))",
+    # for whole tables, as a lateral join of `ngrams` is a join on the distinct texts
+    "ngram_list(written STRING, n INT) RETURNS ARRAY<STRING>": r"""
+        transform(array(array_remove(split(lower(coalesce(written, '')), '[^\\p{L}\\p{N}\']+'), '')), words ->
+            CASE WHEN size(words) >= n THEN transform(sequence(1, size(words) - n + 1), i -> array_join(slice(words, i, n), ' ')) ELSE cast(array() AS array<string>) END)[0]""",
 }
 
 #: A row for each run of ``n`` words.

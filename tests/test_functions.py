@@ -46,6 +46,17 @@ def test_filesize_just_below_a_tie(spark, tmp_path):
     assert {tuple(r) for r in behaviours.filesize_format(spark, f"file://{tmp_path}").collect()} == {(3279382, "3.05 GB"), (5, "Unknown")}
 
 
+def test_ngrams_of_a_table(spark, tmp_path):
+    """Runs of a whole table are counted without a join, and are those of the table function."""
+    from medialake.plans import behaviours
+
+    spark.createDataFrame([("a b a b",), ("It's a B",), (None,), ("one",), ("a b a b",)], "text string").write.parquet(f"file://{tmp_path}/conversations.parquet")
+    found = behaviours.sql_ngrams(spark, f"file://{tmp_path}")
+    assert {tuple(r) for r in found.collect()} == {("a b", 5), ("b a", 2), ("it's a", 1)}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in spark.sql("SELECT * FROM ngrams('a b a', 2) ORDER BY place").collect()] == [(0, "a b"), (1, "b a")]
+
+
 def test_to_fixed_is_exact(spark):
     from decimal import ROUND_HALF_UP, Decimal
 
