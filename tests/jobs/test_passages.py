@@ -122,3 +122,14 @@ def test_config(spark, tmp_path):
 
     here = Path(passages.__file__).parent
     assert common.config(spark, f"{here}/passages.json", passages.SETTINGS) == passages.SETTINGS
+
+
+def test_texts_are_cut_once_for_their_rows(spark):
+    """No filter below the shuffles cuts the texts as well."""
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, "One. Two.", "en", "s", 1, "f"), (2, None, "en", "s", 1, "f")], "doc_id long, text string, lang string, source string, _time long, _path string")
+    found = passages.placed(passages.cut(passages.newest(rows)).withColumn("batch", F.lit(0)))
+    assert [(r.doc_id, r.ord, r.text) for r in found.collect()] == [(1, 0, "One. Two.")]
+    filters = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter " in x]
+    assert not [x for x in filters if "aggregate(" in x or "split(" in x], filters
