@@ -20,7 +20,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-MEMO_ENTRIES = 1_200_000
+MEMO_ENTRIES = 400_000
 #: One Latin word in small letters, then sentence marks: two pieces for the splitting pattern.
 PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)")
 _encoders: dict[str, "Encoder"] = {}

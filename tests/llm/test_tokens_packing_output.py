@@ -185,3 +185,13 @@ def test_stripes_have_row_indexes_and_bloom_filters(spark):
 
 def test_token_output_empty(spark):
     assert token_output.token_output(empty(spark), VOCABULARY).count() == 0
+
+
+def test_a_full_memo_is_small():
+    """Each Python worker keeps one beside its JVM's heap."""
+    import sys
+
+    from medialake.llm import tokens
+
+    memo = {b"%09d," % i: bytes(12) for i in range(tokens.MEMO_ENTRIES)}
+    assert sys.getsizeof(memo) + sum(sys.getsizeof(x) for pair in memo.items() for x in pair) < 100 << 20
